@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, line_dedup, simhash, toxicity
+from . import embedding_dedup, fingerprint, line_dedup, mixing, packing, pieces, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -17,13 +17,20 @@ def op8_simhash_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_document_fingerprints": fingerprint.query,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_source_mixing": mixing.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_sharding": sharding.query,
+    "op6_sentencepiece": pieces.query,
+    "op7_url_filters": urls.query,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": toxicity.query,
+    "op10_token_packing": packing.query,
 }
 
 ORACLES = {
     "op1_document_fingerprints": fingerprint.QUERY_SQL,
     "op2_embedding_near_dedup": embedding_dedup.QUERY_SQL,
+    "op3_source_mixing": mixing.QUERY_SQL,
     "op4_line_dedup": line_dedup.QUERY_SQL,
+    "op7_url_filters": urls.QUERY_SQL,
 }
