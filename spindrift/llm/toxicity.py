@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ MAX_DOCS, MAX_CHARS = 12_000, 60_000_000
 #: Features: prefixes of these lengths beside whole words; most kept, least toxic documents with one, least share of toxic ones.
 PREFIXES, MAX_FEATURES, LEAST_DOCS, LEAST_SHARE = (4, 5, 6), 20_000, 4, 0.4
 #: Training: steps, rate, weight decay.
-STEPS, RATE, DECAY = 400, 0.08, 2e-4
+STEPS, RATE, DECAY = 400, 0.08, 2e-5
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,54 +78,78 @@ class Model:
         return float(min(1.0, max(0.0, -np.expm1(log_clean))))
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Learns from document labels alone; one class only gives its smoothed share as the score of every text."""
+def fit(samples: Iterable[tuple[str, int]]) -> Model:
+    """Learns from (text, document label) alone; one class only gives its smoothed share as the score of every text.
+
+    Texts are kept as numbers of words, so memory follows the number of words rather than of strings.
+    """
+    words: dict[str, int] = {}
+    flat, sentence_sizes, doc_sentences, labels = array("i"), array("i"), array("i"), []
+    for text, label in samples:
+        count = 0
+        for s in _SENTENCE.split(text.lower()):
+            if found := set(_WORD.findall(s)):
+                flat.extend([words.setdefault(w, len(words)) for w in found])
+                sentence_sizes.append(len(found))
+                count += 1
+        doc_sentences.append(count)
+        labels.append(label)
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(prior=float((y.sum() + 0.5) / (len(y) + 2)) if len(y) else 0.0)
-    docs = [[frozenset(_WORD.findall(s)) for s in _SENTENCE.split(t.lower())] for t in texts]
-    every, bad = Counter(), Counter()
-    for d, toxic in zip(docs, labels, strict=True):
-        own = {f for w in set().union(*d) for f in features(w)} if d else ()
-        every.update(own)
-        if toxic:
-            bad.update(own)
+    flat, docs = np.array(flat, dtype=np.int32), len(y)
+    sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
+    owner_of = np.repeat(np.arange(docs, dtype=np.int32), doc_sentences)
+
+    # Features of each word, by number; -1 where a word is too short for a prefix.
+    numbers: dict[str, int] = {}
+    table_ = np.full((len(words), 1 + len(PREFIXES)), -1, dtype=np.int32)
+    for w, k in words.items():
+        own = features(w)
+        table_[k, : len(own)] = [numbers.setdefault(f, len(numbers)) for f in own]
+    del words
+
+    every, bad = np.zeros(len(numbers)), np.zeros(len(numbers))
+    bounds = np.searchsorted(owner_of[sentence], np.arange(docs + 1))
+    for d in range(docs):
+        own = np.unique(table_[np.unique(flat[bounds[d] : bounds[d + 1]])])
+        own = own[own >= 0]
+        every[own] += 1
+        bad[own] += y[d]
     base = y.mean()
-    chosen = [(n * np.log(n / every[f] / base), f) for f, n in bad.items() if n >= min(LEAST_DOCS, max(2, y.sum() / 20)) and n / every[f] >= max(LEAST_SHARE, 2 * base)]
-    # Words that clean documents hold too are known as such, so that rare chance words weigh little.
-    names = {f: k for k, (_, f) in enumerate(sorted(chosen, reverse=True)[:MAX_FEATURES])}
-    inside: dict[str, tuple[int, ...]] = {}
-    owner, held, item, clean = [], [], [], np.zeros(len(docs))
-    for k, d in enumerate(docs):
-        for s in d:
-            ids = set()
-            for w in s:
-                if w not in inside:
-                    inside[w] = tuple(names[f] for f in features(w) if f in names)
-                ids.update(inside[w])
-            if ids:
-                item.extend(ids)
-                held.extend([len(owner)] * len(ids))
-                owner.append(k)
-            elif s:
-                clean[k] += 1
-    owner, held, item = np.array(owner, dtype=int), np.array(held, dtype=int), np.array(item, dtype=int)
-    w, b = np.full(len(names), 0.5), -7.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    # Shares are taken with what chance words would show added, so that rare words need more evidence.
+    share = bad / (every + 1)
+    chosen = np.flatnonzero((bad >= min(LEAST_DOCS, max(2, y.sum() / 20))) & (share >= max(LEAST_SHARE, 2 * base)))
+    chosen = chosen[np.argsort(-bad[chosen] * np.log(share[chosen] / base), kind="stable")[:MAX_FEATURES]]
+    place = np.full(len(numbers) + 1, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    pairs = []
+    for c in range(table_.shape[1]):
+        f = place[table_[flat, c]]
+        hit = np.flatnonzero(f >= 0)
+        pairs.append(sentence[hit].astype(np.int64) * max(1, len(chosen)) + f[hit])
+    pairs = np.unique(np.concatenate(pairs))
+    held, item = pairs // max(1, len(chosen)), pairs % max(1, len(chosen))
+    marked, held = np.unique(held, return_inverse=True)
+    owner = owner_of[marked]
+    clean = np.array(doc_sentences) - np.bincount(owner, minlength=docs)
+
+    w, b = np.full(len(chosen), 0.5), -7.0
+    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(held, weights=w[item], minlength=len(owner))
-        p = 1 / (1 + np.exp(-z))
-        p0 = 1 / (1 + np.exp(-b))
-        log_clean = -np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(docs)) - clean * np.logaddexp(0, b)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        log_clean = -np.bincount(owner, weights=np.logaddexp(0, z), minlength=docs) - clean * np.logaddexp(0, b)
         toxic = np.clip(-np.expm1(log_clean), 1e-9, 1 - 1e-9)
-        # d(-log likelihood)/d z of a sentence: its p for a clean document, -p (1 - P) / P for a toxic one.
+        # The negative log likelihood grows with a sentence's z by its p in a clean document, by -p (1 - P) / P in a toxic one.
         g = np.where(y > 0, -(1 - toxic) / toxic, 1.0)
         gz = p * g[owner]
-        grad = np.append(np.bincount(item, weights=gz[held], minlength=len(names)) + DECAY * len(docs) * w / 10, gz.sum() + (clean * g).sum() * p0) / len(docs)
+        grad = np.append(np.bincount(item, weights=gz[held], minlength=len(chosen)) / docs + DECAY * w, (gz.sum() + (clean * g).sum() * p0) / docs)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model({f: float(w[k]) for f, k in names.items() if abs(w[k]) > 1e-6}, float(b))
+    names = {k: f for f, k in numbers.items() if place[k] >= 0}
+    return Model({names[k]: float(w[place[k]]) for k in chosen.tolist()}, float(b))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,14 +169,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_char
     ids = checkpointed(ids.orderBy(F.xxhash64("lid", F.lit(9)), "lid").limit(max_docs))
     found = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == ids.lid).select("lid", "toxic", text_or_empty().alias("text"))
     sample = found.groupBy("lid", "toxic").agg(F.max("text").alias("text")).orderBy(F.xxhash64("lid", F.lit(9)), "lid")
-    texts, marks, held = [], [], 0
-    for row in sample.toLocalIterator():
-        held += len(row["text"])
-        if held > max_chars:
-            break
-        texts.append(row["text"])
-        marks.append(row["toxic"])
-    return fit(texts, marks)
+
+    def bounded() -> Iterator[tuple[str, int]]:
+        held = 0
+        for row in sample.toLocalIterator():
+            held += len(row["text"])
+            if held > max_chars:
+                return
+            yield row["text"], row["toxic"]
+
+    return fit(bounded())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
