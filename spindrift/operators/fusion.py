@@ -110,14 +110,14 @@ def rerank(candidates: DataFrame, answer: Column | str, top_k: int) -> DataFrame
     return one.select(F.posexplode(F.slice(F.concat(chosen, rest), 1, top_k)).alias("k", "chunk_id")).select("chunk_id", (F.col("k") + 1).alias("ord"))
 
 
-def best_sentences(chunks: DataFrame, score: Column, id_: str = "chunk_id", text: str = "text", break_: str = HIGHLIGHT_BREAK) -> DataFrame:
+def best_sentences(chunks: DataFrame, score: Column, id_: str = "chunk_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(chunk_id, satz, score): for each chunk its best sentence by ``score`` of column ``satz``.
 
     Sentences of 30 to 350 characters that start like one and score above 0; then the best score,
-    the shortest, the earliest.
+    the shortest, the earliest. ``keep`` names columns that the score reads besides.
     """
     low, high = HIGHLIGHT_CHARS
-    rows = chunks.select(F.col(id_).alias("chunk_id"), F.posexplode(F.split(F.col(text), break_, -1)).alias("pos", "satz"))
+    rows = chunks.select(F.col(id_).alias("chunk_id"), *(keep or []), F.posexplode(F.split(F.col(text), HIGHLIGHT_BREAK, -1)).alias("pos", "satz"))
     rows = rows.where(F.length("satz").between(low, high) & F.col("satz").rlike(HIGHLIGHT_START)).withColumn("score", score).where("score > 0")
     first = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("score").desc(), F.length("satz"), "pos"))
     return rows.withColumn("_n", first).where("_n = 1").select("chunk_id", "satz", "score")

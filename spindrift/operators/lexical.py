@@ -13,12 +13,16 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"text": 1.0, "redner": 0.5}
 
 
+def _weighted(column: str, weight: float) -> Column:
+    return F.transform(index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+
 def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id") -> DataFrame:
     """(term, chunk_id, tf, hits): weighted and plain occurrences of each term in each chunk.
 
     Columns are tokenised apart and exploded together, so one shuffle counts them all.
     """
-    marked = [F.transform(index_tokens(F.col(c)), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+    marked = [_weighted(c, w) for c, w in columns.items()]
     rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(F.concat(*marked)).alias("t"))
     return rows.groupBy(F.col("t.term").alias("term"), "chunk_id").agg(F.sum("t.w").alias("tf"), F.count("*").alias("hits"))
 
@@ -59,7 +63,7 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
     Statistics are of all chunks, ``keep`` only filters what is returned. Rows that hold none of the question's
     terms end in the scan stage, since the terms are broadcast (at most 32).
     """
-    marked = [F.transform(index_tokens(F.col(c)), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+    marked = [_weighted(c, w) for c, w in columns.items()]
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     rows = chunks.select(F.col(id_).alias("chunk_id"), kept.alias("kept"), F.concat(*marked).alias("tokens"))
     stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
