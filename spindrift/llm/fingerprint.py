@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +112,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # The first row of each range by (doc_id, digest): at most one row a range, so at most n.
     ranked = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "digest")
     heads = sorted(d.groupBy("bucket").agg(F.max(ranked).alias("head")).collect(), key=lambda r: -r["bucket"])
-    guests = [(h["head"]["doc_id"], h["head"]["digest"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]
-    guests = spark.createDataFrame(guests or [(None, None, None)], "gid long, gdigest string, guest int")
+    guests = json.dumps([{"gid": h["head"]["doc_id"], "gdigest": h["head"]["digest"], "guest": heads[k - 1]["bucket"]} for k, h in enumerate(heads)])
+    guests = spark.range(1).select(F.explode(F.from_json(F.lit(guests), "array<struct<gid:bigint, gdigest:string, guest:int>>")).alias("g")).select("g.*")
     d = d.join(F.broadcast(guests), d.doc_id.eqNullSafe(guests.gid) & (d.digest == guests.gdigest), "left")
     places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("guest").alias("b"), F.lit(1).alias("copy")))
     d = d.select("doc_id", "text", "digest", F.explode(F.filter(places, lambda p: p["b"].isNotNull())).alias("at"))

@@ -80,25 +80,26 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     Of chunks with the same bytes anywhere in the table the first stays (smallest doc_id, then text MD5,
     then place). Lines that are left keep their order and are joined by line feeds; a document of repeated
     chunks only becomes empty and stays a row. Null texts stay null. Rows that repeat both doc_id and text
-    count as one document and get the same result. Other columns are kept, whatever their names.
+    count as one document and get the same result. Other columns are kept, whatever their names, but for
+    one named ``cut_``.
     """
-    names = docs.columns
-    prepared = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_md5_": F.md5(text_or_empty(text).cast("binary"))})
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty(text).cast("binary")).alias("digest"), F.split(text_or_empty(text), "\n", -1).alias("lines"))
-    d = d.withColumn("chunks", chunks(F.col("lines")))
-    gone = removals(d).select(F.col("doc_id").alias("_gid_"), F.col("digest").alias("_gmd5_"), F.col("gone").alias("_gone_"))
-    j = prepared.join(gone, prepared._id_.eqNullSafe(gone._gid_) & (prepared._md5_ == gone._gmd5_), "left")
-    lines = F.split(F.col(text), "\n", -1)
+    body = text_or_empty(text)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(body.cast("binary")).alias("digest"), F.split(body, "\n", -1).alias("lines"))
+    gone = removals(d.withColumn("chunks", chunks(F.col("lines")))).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.md5(body.cast("binary")).alias("own_digest"))
+    j = rows.join(gone, rows.own_id.eqNullSafe(gone.gone_id) & (rows.own_digest == gone.gone_digest), "left")
+    own = F.col("row")[text]
+    lines = F.split(own, "\n", -1)
 
     def rest(parts: Column) -> Column:
-        ls, cs = parts["lines"], parts["chunks"]
-        kept = F.filter(F.transform(cs, lambda c, k: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.try_element_at(F.map_from_entries(F.col("_gone_")), k).alias("gone"))), lambda c: c["gone"].isNull() | (c["gone"] != _text(ls, c)))
+        ls, cs, first = parts["lines"], parts["chunks"], parts["first"]
+        kept = F.filter(F.transform(cs, lambda c, k: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.try_element_at(first, k).alias("gone"))), lambda c: c["gone"].isNull() | (c["gone"] != _text(ls, c)))
         return F.struct(F.array_join(F.transform(kept, lambda c: _text(ls, c)), "\n").alias("text"), (F.size(ls) - F.aggregate(kept, F.lit(0), lambda n, c: n + c["lines"])).alias("cut"))
 
-    parts = F.array(F.struct(lines.alias("lines"), chunks(lines).alias("chunks")))
-    j = j.withColumn("_rest_", F.when(F.col("_gone_").isNotNull(), F.transform(parts, rest)[0]))
-    out = [F.coalesce(F.col("_rest_.text"), F.col(text)).alias(text) if n == text else F.col(n) for n in names]
-    return j.select(*out, F.coalesce(F.col("_rest_.cut"), F.lit(0)).alias("cut_"))
+    parts = F.array(F.struct(lines.alias("lines"), chunks(lines).alias("chunks"), F.map_from_entries("gone").alias("first")))
+    j = j.withColumn("rest", F.when(F.col("gone").isNotNull(), F.transform(parts, rest)[0]))
+    out = [F.coalesce(F.col("rest.text"), own).alias(n) if n == text else F.col("row")[n].alias(n) for n in docs.columns if n != "cut_"]
+    return j.select(*out, F.coalesce(F.col("rest.cut"), F.lit(0)).alias("cut_"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

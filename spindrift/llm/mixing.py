@@ -50,21 +50,23 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     (a source without one gets 0), else its count to the power ``alpha``. A row's number of copies is Poisson with mean total *
     share / count, by inversion of a uniform that is hashed from seed and doc_id, so it depends on
     nothing else; repeated doc_ids draw alike, a null one as ``null``, and null is a source of its own. Means of 0
-    drop a source: this is a sampling operator. Other columns stay, whatever their names.
+    drop a source: this is a sampling operator. Other columns stay, but for those named ``copy_`` and ``place_``.
     """
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("copy_", "place_")]
     known = rates(docs, weights, alpha, total, by)
-    d = with_small(docs, known, docs[by].eqNullSafe(known["_by"]), "left", rows=10_000)
-    key = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"))
+    rows = docs.select(F.struct("*").alias("row"), docs[by].alias("own_by"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("own_key"))
+    d = with_small(rows, known, F.col("own_by").eqNullSafe(known["_by"]), "left", rows=10_000)
+    key = F.concat(F.lit(f"{seed}/"), F.col("own_key"), F.lit("/"))
+
     # One-element transforms bind the uniform once, else it would be hashed for each entry of the table.
     def below(k: Column) -> Column:
         return F.transform(F.array(uniform(F.concat(key, k.cast("string")))), lambda u: F.size(F.filter(F.col("_table"), lambda c: c < u)))[0]
 
     draw = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, k: n + below(k))
     d = d.withColumn("_count", draw).where("_count > 0")
-    d = d.select(*[F.col(f"`{n}`") for n in names], F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_"))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("place/"), key, F.col("copy_").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return d.withColumn("place_", place)
+    d = d.select(*[F.col("row")[n].alias(n) for n in names], key.alias("own_key"), F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_"))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("place/"), F.col("own_key"), F.col("copy_").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return d.select(*[F.col(n) for n in names], "copy_", place.alias("place_"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:

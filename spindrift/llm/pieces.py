@@ -17,7 +17,7 @@ MODEL = "piece_bpe_32k.model"
 #: UTF-8 of the sign that stands for a space.
 SPACE = "▁".encode()
 #: Texts are encoded in groups of at most so many characters, so that memory doesn't grow with a batch.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 500_000
 
 
 def model_path(name: str = MODEL) -> str:

@@ -11,7 +11,7 @@ def op2_embedding_near_dedup(spark, sf_dir):
 
 
 def op8_simhash_near_dedup(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

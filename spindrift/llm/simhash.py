@@ -129,43 +129,41 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt(rows, ["key"], "fp", TILE).select("key", "tile", "side", "fp").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, digest, fp, component (its least fingerprint), component_id."""
+    fps = checkpointed(fingerprints(docs))
+    own = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    linked = checkpointed(connected_components(links(own.select("fp"), bits)))
+    placed = own.join(linked, own.fp == linked.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    placed = checkpointed(placed)
+    least = checkpointed(placed.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    named = checkpointed(placed.join(least, "component").select(F.col("fp").alias("_fp"), "component", "component_id"))
+    return fps.join(named, fps.fp == F.col("_fp"), "left").drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, digest, fingerprint (16 hex digits), component_id.
+    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id reachable by links of at most ``bits`` differing bits; equal
     fingerprints link, those of texts without words (zero) too. Null texts are empty; a null doc_id
     never names a component, one without any other id is null. Repeated rows give repeated rows; other
     columns are not read. An empty table gives no rows.
     """
-    fps = checkpointed(fingerprints(docs))
-    own = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    linked = connected_components(links(own.select("fp"), bits))
-    linked = checkpointed(linked)
-    placed = own.join(linked, own.fp == linked.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    placed = checkpointed(placed)
-    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = checkpointed(placed.join(checkpointed(least), "component").select(F.col("fp").alias("_fp"), "component_id"))
-    out = fps.join(named, fps.fp == F.col("_fp"), "left")
-    return out.select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (null ids last), then of the least xxhash64 of the text.
 
-    All columns stay as they are, whatever their names. Of rows that share the smallest doc_id one
-    stays; a group whose ids are all null keeps one row for each distinct text.
+    All columns stay as they are, whatever their names; of rows that repeat both doc_id and text one stays.
     """
-    found = near_duplicates(docs, bits)
-    keep = checkpointed(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("digest").alias("digest")).unionByName(found.where("doc_id is null and component_id is null").select("doc_id", "digest").distinct()).distinct())
-    names = docs.columns
-    marked = docs.withColumns({"_digest_": F.xxhash64(text_or_empty()), "_id_": F.col("doc_id").cast("long")})
-    k = keep.select(F.col("doc_id").alias("_kid_"), F.col("digest").alias("_kdigest_"))
-    kept = marked.join(k, (marked._digest_ == k._kdigest_) & marked._id_.eqNullSafe(k._kid_), "left_semi")
-    repeats = found.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_rid_"), F.col("digest").alias("_rdigest_"))
-    repeats = checkpointed(repeats)
-    same = (kept._digest_ == repeats._rdigest_) & kept._id_.eqNullSafe(repeats._rid_)
-    if repeats.isEmpty():
-        return kept.select(*names)
-    single = kept.join(repeats, same, "left_anti")
-    several = kept.join(repeats, same, "left_semi").dropDuplicates(["_digest_", "_id_"])
-    return single.unionByName(several).select(*names)
+    found = checkpointed(grouped(docs, bits).select("doc_id", "digest", "component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("r")
+    keep = found.groupBy("component").agg(first).select(F.col("r.doc_id").alias("kept_id"), F.col("r.digest").alias("kept_digest")).distinct()
+    counts = found.groupBy("doc_id", "digest").count()
+    keep = checkpointed(keep.join(counts, keep.kept_id.eqNullSafe(counts.doc_id) & (keep.kept_digest == counts.digest)).select("kept_id", "kept_digest", F.col("count").alias("rows")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_digest"))
+    kept = rows.join(keep, (rows.own_digest == keep.kept_digest) & rows.own_id.eqNullSafe(keep.kept_id))
+    if not keep.where("rows > 1").isEmpty():
+        kept = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["own_id", "own_digest"]))
+    return kept.select("row.*")

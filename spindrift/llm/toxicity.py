@@ -41,7 +41,7 @@ class Model:
     def word(self, word: str) -> float:
         w = self.memo.get(word)
         if w is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             get = self.weights.get
             w = self.memo[word] = sum(get(f, 0.0) for f in features(word))
@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_char
     ids = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic in (0, 1)")
     ids = ids.where(~held_out(F.col("lid"))).groupBy("lid").agg(F.max("toxic").alias("toxic"))
     ids = checkpointed(ids.orderBy(F.xxhash64("lid", F.lit(9)), "lid").limit(max_docs))
-    found = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == ids.lid).select("lid", "toxic", text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_or_empty().alias("text"))
+    found = texts.join(F.broadcast(ids), texts.own_id == ids.lid).select("lid", "toxic", "text")
     sample = found.groupBy("lid", "toxic").agg(F.max("text").alias("text")).orderBy(F.xxhash64("lid", F.lit(9)), "lid")
 
     def bounded() -> Iterator[tuple[str, int]]:
@@ -195,6 +196,30 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(doc_id, sentence_no, sentence, score) of sentences whose own probability is at least ``least``: where a document offends.
+
+    sentence_no counts sentences with a word from 0. Of a document that only the noisy-or of several sentences
+    rejects, its worst sentence is given, with its lower score; documents that are not rejected have no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if own.prior is not None or own.score(text) < 0.5:
+                    continue
+                found = [(doc_id, k, s, p) for k, (s, p) in enumerate(own.sentences(text))]
+                worst = max((f[3] for f in found), default=0.0)
+                out += [f for f in found if f[3] >= min(least, worst)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["doc_id", "sentence_no", "sentence", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sentence_no int, sentence string, score double")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; repeated rows give repeated rows.
 
