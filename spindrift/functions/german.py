@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 # Fixed values of the published algorithm: vowels and the letters that may stand before s and st.
 VOWELS = "aeiouyäöü"
 BEFORE_S, BEFORE_ST = "bdfghklmnrt", "bdfghklmnt"
@@ -73,6 +75,7 @@ def stopwords(spark: SparkSession) -> list[str]:
 
 def stems(words: DataFrame, column: str = "term") -> DataFrame:
     """(word, stem) of distinct lower-case words; the stem of a stopword is null. Each word goes through Python once."""
+    shipped(words.sparkSession)
     stop = frozenset(stopwords(words.sparkSession))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

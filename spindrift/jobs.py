@@ -9,6 +9,7 @@ from . import models
 from .operators import evaluation, lexical, maintenance, segment
 from .plans import search as plans
 from .profiles import PROFILES, SQLITE, Profile
+from .shipping import shipped
 from .sources import jsonl, rest, tables
 
 KINDS = {"drucksache": "drucksache-text", "plenarprotokoll": "plenarprotokoll-text"}
@@ -16,7 +17,7 @@ KINDS = {"drucksache": "drucksache-text", "plenarprotokoll": "plenarprotokoll-te
 
 def harvest(spark: SparkSession, url: str, raw: str, kind: str = "alle", term: int = 21, since: str | None = None, token: str | None = None) -> int:
     """Reads the endpoints of a kind into JSON lines; with ``since`` only what was updated from then on is appended."""
-    spark.dataSource.register(rest.RestSource)
+    shipped(spark).dataSource.register(rest.RestSource)
     paths = list(KINDS.values()) if kind == "alle" else [KINDS[kind]]
     options = {"url": url, "paths": ",".join(paths), "terms": str(term)} | ({"since": since} if since else {}) | ({"token": token} if token else {})
     records = spark.read.format("paged_rest").options(**options).load()

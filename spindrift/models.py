@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import shipped
+
 #: Characters that a model sees, dimensions, texts of a call, tries, first wait.
 MAX_CHARS, DIMENSIONS, BATCH, TRIES, WAIT = 8_000, 768, 64, 5, 2.0
 DOCUMENT, QUERY = "document", "query"
@@ -81,4 +83,5 @@ def embed(chunks: DataFrame, embedder: Embedder, task: str = DOCUMENT, id_: str
                 yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": retried(lambda: embedder.embed(texts, task))})
 
     rows = chunks.select(F.col(id_).cast("long").alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    shipped(rows.sparkSession)
     return rows.mapInPandas(run, "chunk_id long, embedding array<float>")
