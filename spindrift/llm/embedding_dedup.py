@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, mapped
 from .components import connected_components, forest
 from .tiles import dealt, tile_starts, whole_tiles
 
@@ -115,7 +115,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(gid[hit]), pa.array(gid[root[hit]]), pa.array(degree[hit])], names=["a", "b", "degree"])
 
     tiles = dealt(rows, ["key"], "gid", TILE).select("key", "tile", "side", "name", "gid", "n", "embedding")
-    found = checkpointed(tiles.mapInArrow(run, "a long, b long, degree long"))
+    found = checkpointed(mapped(tiles, run, "a long, b long, degree long"))
     degrees = found.groupBy("a").agg(F.sum("degree").alias("degree"))
     linked = checkpointed(connected_components(found.select("a", "b")))
     placed = groups.drop("embedding", "label").join(linked, groups.gid == linked.node, "left")

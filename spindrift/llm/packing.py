@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import mapped, table, text_or_empty
 
 #: Production parameters: ids of a row, end id after each document (its pieces are not ended), documents packed together.
 LENGTH, END, TOGETHER = 2048, 50_256, 1024
@@ -141,7 +141,7 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end:
 
     packs = max(1, -(-docs.count() // together))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", text_or_empty()), F.lit(packs)).alias("pack"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(tokens, "pack long, doc_id long, ids binary").groupBy("pack").applyInArrow(pack, SCHEMA)
+    return mapped(rows, tokens, "pack long, doc_id long, ids binary").groupBy("pack").applyInArrow(pack, SCHEMA)
 
 
 def _kind(largest: int) -> str:

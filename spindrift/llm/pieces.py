@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import mapped, table, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 #: UTF-8 of the sign that stands for a space.
@@ -211,7 +211,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return mapped(rows, run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -235,7 +235,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return mapped(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, mapped, text_or_empty
 from .components import connected_components, forest
 from .tiles import dealt, tile_starts, whole_tiles
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
+    return mapped(rows, run, "doc_id long, digest long, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             hooked = np.flatnonzero(root != np.arange(len(own)))
             yield pa.RecordBatch.from_arrays([pa.array(own[hooked]), pa.array(own[root[hooked]])], names=["a", "b"])
 
-    return dealt(rows, ["key"], "fp", TILE).select("key", "tile", "side", "fp").mapInArrow(run, "a long, b long")
+    return mapped(dealt(rows, ["key"], "fp", TILE).select("key", "tile", "side", "fp"), run, "a long, b long")
 
 
 def grouped(docs: DataFrame, bits: int = BITS) -> DataFrame:

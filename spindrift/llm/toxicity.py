@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_or_empty
+from .common import checkpointed, mapped, table, text_or_empty
 
 #: Bounds of the labelled sample that the model is fitted on: documents and characters.
 MAX_DOCS, MAX_CHARS = 12_000, 60_000_000
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return mapped(rows, run, "doc_id long, score double")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -217,7 +217,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["doc_id", "sentence_no", "sentence", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sentence_no int, sentence string, score double")
+    return mapped(rows, run, "doc_id long, sentence_no int, sentence string, score double")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [own.score(t or "") < 0.5 for t in texts.to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

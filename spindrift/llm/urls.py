@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +13,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, table
+from ..shipping import put
+from .common import mapped, table
 
 #: The production rules, as (verdict, host, path). Fixed values of the query's contract.
 RULES = (
@@ -133,17 +133,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def shared(spark: SparkSession, index: bytes) -> str:
     """Puts an index into the shared folder and has every executor, also a later one, fetch it; returns its file name."""
     name = f"url-index-{hashlib.sha256(index).hexdigest()[:24]}.bin"
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{name}")
-    system = path.getFileSystem(context._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        own = context._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{os.getpid()}")
-        out = system.create(own, True)
-        out.write(bytearray(index))
-        out.close()
-        if not system.rename(own, path):
-            system.delete(own, False)
-    context.addFile(path.toString())
+    spark.sparkContext.addFile(put(spark, name, index))
     return name
 
 
@@ -178,7 +168,7 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defa
 
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return mapped(rows, run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
