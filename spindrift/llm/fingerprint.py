@@ -15,8 +15,8 @@ PARAGRAPH, SECTION, ROOT = "p", "s", "r"
 ENDS = ("0", "1")
 #: Runs of words that are compared inside changed paragraphs: up to a word that ends so, eight words at most.
 RUN = r"(?:[^ \n]{0,31}[^ \naehnst.,;:!?|] +){0,7}[^ \n]{1,32} *"
-#: Parts of the id order for each shuffle partition.
-BUCKETS = 8
+#: Parts of the id order for each shuffle partition, and the most: their bounds are a literal of the plan.
+BUCKETS, MAX_BUCKETS = 8, 16_384
 
 
 def tree(text: Column) -> Column:
@@ -90,7 +90,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    n = buckets or BUCKETS * partitions(spark)
+    n = buckets or min(MAX_BUCKETS, BUCKETS * partitions(spark))
     bounds = d.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     steps = max(1, len(bounds)).bit_length()

@@ -55,15 +55,20 @@ def _text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["lines"]), "\n")
 
 
+def _cut(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("lines", F.split("body", "\n", -1)).withColumn("chunks", chunks(F.col("lines")))
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, digest, lines, chunks)`` to (doc_id, digest, gone): the repeated chunks of each document that has any.
+    """``docs(doc_id, digest, body)`` to (doc_id, digest, gone): the repeated chunks of each document that has any.
 
     gone is an array of (k, text): the chunk's number and the text of the chunk that came first, by (doc_id,
     digest, k), nulls first. What is removed is compared with that text byte by byte.
     """
+    cut = _cut(docs)
     # Only chunks of several lines, or of one long line, are ever removed.
     marks = F.transform("chunks", lambda c, k: F.when((c["lines"] > 1) | _long(F.try_element_at(F.col("lines"), c["first"] + 1)), F.struct(k.alias("k"), _md5(_text(F.col("lines"), c)).alias("mark"))))
-    seen = docs.select("doc_id", "digest", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("doc_id", "digest", "m.k", "m.mark")
+    seen = cut.select("doc_id", "digest", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("doc_id", "digest", "m.k", "m.mark")
     seen = checkpointed(seen)
     # Repeated rows of one document and digest are the same document: sets take their occurrences once.
     spread = seen.groupBy("mark").agg(F.min(F.struct("doc_id", "digest", "k")).alias("first"), F.max(F.struct("doc_id", "digest", "k")).alias("last"))
@@ -71,7 +76,7 @@ def removals(docs: DataFrame) -> DataFrame:
     found = checkpointed(seen.join(repeated, seen.mark == repeated.rmark).select("doc_id", "digest", "k", "mark", (F.struct("doc_id", "digest", "k") == F.col("first")).alias("is_first")))
     wanted = found.where("is_first").groupBy(F.col("doc_id").alias("wid"), F.col("digest").alias("wdigest")).agg(F.collect_set(F.struct("k", "mark")).alias("want"))
     wanted = checkpointed(wanted)
-    holders = with_small(docs, wanted, docs.doc_id.eqNullSafe(wanted.wid) & (docs.digest == wanted.wdigest), "inner")
+    holders = _cut(with_small(docs, wanted, docs.doc_id.eqNullSafe(wanted.wid) & (docs.digest == wanted.wdigest), "inner"))
     firsts = holders.select(F.explode(F.transform("want", lambda w: F.struct(w["mark"].alias("mark"), _text(F.col("lines"), F.try_element_at(F.col("chunks"), w["k"] + 1)).alias("text")))).alias("w"))
     firsts = firsts.select("w.mark", "w.text").groupBy("mark").agg(F.first("text").alias("text"))
     firsts = checkpointed(firsts.select(F.col("mark").alias("fmark"), F.col("text").alias("ftext")))
@@ -89,8 +94,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     one named ``cut_``.
     """
     body = text_or_empty(text)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _md5(body).alias("digest"), F.split(body, "\n", -1).alias("lines"))
-    gone = removals(d.withColumn("chunks", chunks(F.col("lines")))).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _md5(body).alias("digest"), body.alias("body"))
+    gone = removals(d).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _md5(body).alias("own_digest"))
     j = rows.join(gone, rows.own_id.eqNullSafe(gone.gone_id) & (rows.own_digest == gone.gone_digest), "left")
     own = F.col("row")[text]
