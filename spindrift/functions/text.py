@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the text rules: patterns and word lists.
+# Fixed values of the text rules: white space, patterns and word lists. White space is spelt out: a class of a few characters
+# costs far less than Java's Unicode mode.
+_SPACES = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = f"[{_SPACES}]"
+STRIPPED = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-DOT_LEADER = r"(?U)(?:\s*\.){4,}\s*\d*"
+DOT_LEADER = rf"(?:{SPACE}*+\.){{4,}}{SPACE}*+\p{{Nd}}*"
 CONJUNCTIONS = "und|oder|bzw|sowie|beziehungsweise"
-SOFT_BREAK = r"(?<![.!?:;])\n(?!\n)"
-SENTENCE_END = r"(?U)(?<=[.!?])\s+"
-PARAGRAPH_BREAK = r"(?U)\n\s*\n"
+SOFT_BREAK = r"\n(?<![.!?:;]\n)(?!\n)"
+SENTENCE_END = rf"(?<=[.!?]){SPACE}+"
+PARAGRAPH_BREAK = rf"\n{SPACE}*\n"
 STOPWORDS = tuple(
     "der die das und oder aber auch ein eine einen einem einer eines ist sind war waren wird werden wurde wurden hat haben hatte"
     " wie was wer wo wann warum welche welcher welches gibt steht geht fuer für von vom mit auf aus bei zum zur den dem des im in an"
@@ -22,8 +27,13 @@ STOPWORDS = tuple(
 )
 
 
+def _where(c: Column, holds: Callable[[Column], Column], repaired: Callable[[Column], Column]) -> Column:
+    """``repaired`` where the cheap test ``holds``, so that most texts are spared a pass; ``c`` is bound and made once."""
+    return F.transform(F.array(c), lambda x: F.when(holds(x), repaired(x)).otherwise(x))[0]
+
+
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return _where(c, lambda x: F.contains(x, F.lit("\r")), lambda x: F.regexp_replace(x, r"\r\n?", "\n"))
 
 
 def strip_controls(c: Column) -> Column:
@@ -37,23 +47,26 @@ def repair_spaces(c: Column) -> Column:
 
 def drop_dot_leaders(c: Column) -> Column:
     """Table-of-contents dots with the page number behind them become one space."""
-    return F.regexp_replace(c, DOT_LEADER, " ")
+    return _where(c, lambda x: x.rlike(rf"\.{SPACE}*+\."), lambda x: F.regexp_replace(x, DOT_LEADER, " "))
 
 
 def dehyphenate(c: Column) -> Column:
     """Joins words that a line end broke; a hyphen before a conjunction stays, with a space."""
-    kept = F.regexp_replace(c, rf"(?U)(\w)-\n[ \t]*(?=(?iu:{CONJUNCTIONS})\b)", "$1- ")
-    return F.regexp_replace(kept, r"(?U)(\w)-\n[ \t]*(\w)", "$1$2")
 
+    def joined(x: Column) -> Column:
+        kept = F.regexp_replace(x, rf"(?U)(\w)-\n[ \t]*(?=(?iu:{CONJUNCTIONS})\b)", "$1- ")
+        return F.regexp_replace(kept, r"(?U)(\w)-\n[ \t]*(\w)", "$1$2")
 
-def strip_lines(c: Column) -> Column:
-    left = F.regexp_replace(c, r"(?U)(?<=^|\n)[\s&&[^\n]]+", "")
-    return F.regexp_replace(left, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
+    return _where(c, lambda x: F.contains(x, F.lit("-\n")), joined)
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.trim(c, F.lit(STRIPPED))
+
+
+def strip_lines(c: Column) -> Column:
+    return F.array_join(F.transform(F.split(c, "\n", -1), strip), "\n")
 
 
 def prepare(c: Column) -> Column:
@@ -91,7 +104,7 @@ def _folding() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.lower(c), *_folding())
+    return _where(F.lower(c), lambda x: x.rlike(r"[^\x00-\x7f]"), lambda x: F.translate(x, *_folding()))
 
 
 def index_tokens(c: Column) -> Column:

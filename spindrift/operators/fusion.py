@@ -117,7 +117,7 @@ def best_sentences(chunks: DataFrame, score: Column, id_: str = "chunk_id", text
     the shortest, the earliest. ``keep`` names columns that the score reads besides.
     """
     low, high = HIGHLIGHT_CHARS
-    rows = chunks.select(F.col(id_).alias("chunk_id"), *(keep or []), F.posexplode(F.split(F.col(text), HIGHLIGHT_BREAK, -1)).alias("pos", "satz"))
+    rows = chunks.select(F.col(id_).alias("chunk_id"), *(keep or []), F.posexplode_outer(F.split(F.col(text), HIGHLIGHT_BREAK, -1)).alias("pos", "satz"))
     rows = rows.where(F.length("satz").between(low, high) & F.col("satz").rlike(HIGHLIGHT_START)).withColumn("score", score).where("score > 0")
     first = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("score").desc(), F.length("satz"), "pos"))
     return rows.withColumn("_n", first).where("_n = 1").select("chunk_id", "satz", "score")

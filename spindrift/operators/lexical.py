@@ -23,7 +23,7 @@ def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str =
     Columns are tokenised apart and exploded together, so one shuffle counts them all.
     """
     marked = [_weighted(c, w) for c, w in columns.items()]
-    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(F.concat(*marked)).alias("t"))
+    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode_outer(F.concat(*marked)).alias("t")).where("t is not null")
     return rows.groupBy(F.col("t.term").alias("term"), "chunk_id").agg(F.sum("t.w").alias("tf"), F.count("*").alias("hits"))
 
 
@@ -67,7 +67,7 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     rows = chunks.select(F.col(id_).alias("chunk_id"), kept.alias("kept"), F.concat(*marked).alias("tokens"))
     stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    hits = rows.select("chunk_id", "kept", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(F.broadcast(terms.select("term")), F.col("t.term") == F.col("term"), "left_semi")
+    hits = rows.select("chunk_id", "kept", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("t")).join(F.broadcast(terms.select("term")), F.col("t.term") == F.col("term"), "left_semi")
     per = hits.groupBy("chunk_id", "kept", "size", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
     df = per.groupBy("term").agg(F.count("*").alias("df"))
     # df has a row for each term of the question at most.
@@ -80,7 +80,7 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
 def coverage(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id") -> DataFrame:
     """(chunk_id, score): how often a chunk holds any of the terms. No idf and no length, as a cover-density rank of an OR query."""
     tokens = F.concat(*[index_tokens(F.col(c)) for c in columns])
-    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(tokens).alias("token"))
+    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode_outer(tokens).alias("token"))
     hits = rows.join(F.broadcast(terms.select("term")), F.col("token") == F.col("term"), "left_semi")
     return hits.groupBy("chunk_id").agg((F.count("*") * 0.1).alias("score"))
 

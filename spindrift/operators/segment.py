@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, prepare, reflow, split_paragraphs, split_sentences, strip
+from ..functions.text import SPACE, normalize, prepare, reflow, split_paragraphs, split_sentences, strip
 from ..profiles import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
 
 # The roles that a speaker line names, and what an agenda line starts with.
@@ -21,6 +21,8 @@ SPEAKER = (
     r"|([^\n:(,]{3,60}),\s*(" + ROLES_AFTER + r")[^\n:]{0,60}"
     r"):[ \t]*$"
 )
+# Arrays that are dear to make are exploded with the outer form and filtered after: the plain form first filters
+# on the array's size, which makes it anew.
 #: A piece above this is packed by sentences, a sentence above that is cut.
 LONG_PIECE, LONG_SENTENCE = int(CHUNK_TARGET * 1.6), 2 * CHUNK_TARGET
 
@@ -33,7 +35,7 @@ def hard_split(sentences: Column) -> Column:
         back = F.instr(F.reverse(F.substring(rest, 1, LONG_SENTENCE)), " ")
         space = F.lit(LONG_SENTENCE) - back
         at = F.when((back > 0) & (space >= LONG_SENTENCE // 2), space).otherwise(F.lit(LONG_SENTENCE))
-        tail = F.regexp_replace(F.substring(rest, at + 1, F.length(rest)), r"(?U)^\s+", "")
+        tail = F.regexp_replace(F.substring(rest, at + 1, F.length(rest)), f"^{SPACE}+", "")
         more = F.struct(F.concat(state["out"], F.array(F.substring(rest, F.lit(1), at))).alias("out"), tail.alias("rest"))
         return F.when(F.length(rest) > LONG_SENTENCE, more).otherwise(state)
 
@@ -52,9 +54,12 @@ def _by_sentences(piece: Column) -> Column:
     def add(state: Column, s: Column) -> Column:
         buffer = state["cur"]
         full = (buffer != "") & (F.length(buffer) + F.length(s) + 1 > CHUNK_TARGET)
-        overlap = F.regexp_replace(F.when(F.length(buffer) > CHUNK_OVERLAP, F.substring(buffer, -CHUNK_OVERLAP, CHUNK_OVERLAP)).otherwise(buffer), r"(?U)^\s+", "")
+        overlap = F.regexp_replace(F.when(F.length(buffer) > CHUNK_OVERLAP, F.substring(buffer, -CHUNK_OVERLAP, CHUNK_OVERLAP)).otherwise(buffer), f"^{SPACE}+", "")
         out = F.when(full, F.concat(state["out"], F.array(strip(buffer)))).otherwise(state["out"])
-        return F.struct(out.alias("out"), strip(F.concat(F.when(full, overlap).otherwise(buffer), F.lit(" "), s)).alias("cur"))
+        lead = F.when(full, overlap).otherwise(buffer)
+        joined = F.when(lead == "", s).otherwise(F.concat(lead, F.lit(" "), s))
+        # Sentences start without white space; only cut ones can end with it.
+        return F.struct(out.alias("out"), F.when(F.substring(s, -1, 1).rlike(SPACE), strip(joined)).otherwise(joined).alias("cur"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
     last = lambda x: F.concat(x["out"], F.filter(F.array(strip(x["cur"])), lambda c: c != ""))
@@ -80,7 +85,7 @@ def pack(pieces: Column) -> Column:
 
 def segment_papers(docs: DataFrame, id_: str = "document_id", text: str = "text") -> DataFrame:
     """(document_id, position, text) of papers: normalised, by paragraphs, packed. Null and short texts give no rows."""
-    return docs.select(F.col(id_).alias("document_id"), F.posexplode(pack(split_paragraphs(normalize(F.col(text))))).alias("position", "text"))
+    return docs.select(F.col(id_).alias("document_id"), F.posexplode_outer(pack(split_paragraphs(normalize(F.col(text))))).alias("position", "text")).where("position is not null")
 
 
 def speaker_lines(docs: DataFrame, id_: str = "document_id", text: str = "text") -> DataFrame:
@@ -88,7 +93,7 @@ def speaker_lines(docs: DataFrame, id_: str = "document_id", text: str = "text")
 
     A speaker line stands alone, ends with a colon and has one of three forms; agenda lines are none.
     """
-    lines = docs.select(F.col(id_).alias("document_id"), F.posexplode(F.split(prepare(F.col(text)), "\n", -1)).alias("line_no", "line"))
+    lines = docs.select(F.col(id_).alias("document_id"), F.posexplode_outer(F.split(prepare(F.col(text)), "\n", -1)).alias("line_no", "line"))
     line = F.col("line")
     hit = line.rlike(SPEAKER) & ~line.rlike(AGENDA)
 
@@ -123,7 +128,7 @@ def segment_transcripts(docs: DataFrame, id_: str = "document_id", text: str = "
     said = said.select("document_id", "offset", "redner", "rolle", "fraktion", F.posexplode("chunks").alias("k", "text"))
     said = said.select("document_id", (F.col("offset") + F.col("k")).cast("int").alias("position"), "text", "redner", "rolle", "fraktion")
     none = [F.lit(None).cast("string").alias(c) for c in ("redner", "rolle", "fraktion")]
-    plain = parts.where("speakers = 0").select("document_id", F.posexplode(pack(split_paragraphs(reflow(F.col("body"))))).alias("position", "text"), *none)
+    plain = parts.where("speakers = 0").select("document_id", F.posexplode_outer(pack(split_paragraphs(reflow(F.col("body"))))).alias("position", "text"), *none).where("position is not null")
     return said.unionByName(plain)
 
 

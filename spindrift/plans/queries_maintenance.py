@@ -94,7 +94,7 @@ def status_assignment(spark, sf):
 
 def _lines(spark, sf):
     d = read(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
+    return d.select(F.col("doc_id").alias("document_id"), F.posexplode_outer(F.split("text", "\n", -1)).alias("position", "text"))
 
 
 _LINES_SQL = "lines as (select doc_id as document_id, (i - 1)::int as position, ls[i] as text from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)))"

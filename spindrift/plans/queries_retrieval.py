@@ -21,7 +21,7 @@ LIMIT = 40
 
 def chunks(spark, sf):
     d = read(spark, sf, "documents")
-    lines = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
+    lines = d.select("doc_id", "lang", "source", F.posexplode_outer(F.split("text", "\n", -1)).alias("position", "text"))
     return lines.select(
         (F.col("doc_id") * 100_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "position", "text",
         F.col("source").alias("redner"), F.col("lang").alias("dokumentart"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("datum"),

@@ -47,7 +47,7 @@ _SENTENCES_SQL = r"string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1)
 
 @query("split_sentences", f"select doc_id, i::int as position, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {_SENTENCES_SQL.format(t='text')} as s from documents))")
 def split_sentences(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).alias("position"), "sentence")
+    return read(spark, sf, "documents").select("doc_id", F.posexplode_outer(T.split_sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).alias("position"), "sentence")
 
 
 _PARAGRAPHS = r"replace(text, '. ', '.\n \n\n')"
@@ -55,7 +55,7 @@ _PARAGRAPHS = r"replace(text, '. ', '.\n \n\n')"
 
 @query("split_paragraphs", r"select doc_id, i::int as position, s[i] as paragraph from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(regexp_replace(replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || chr(10)), '\n\s*\n', chr(1), 'g'), chr(1)) as s from documents))")
 def split_paragraphs(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.posexplode(T.split_paragraphs(F.expr(_PARAGRAPHS))).alias("p", "paragraph"))
+    rows = read(spark, sf, "documents").select("doc_id", F.posexplode_outer(T.split_paragraphs(F.expr(_PARAGRAPHS))).alias("p", "paragraph"))
     return rows.select("doc_id", (F.col("p") + 1).alias("position"), "paragraph")
 
 
@@ -80,7 +80,7 @@ select doc_id, (row_number() over (partition by doc_id order by ord))::int as po
   select doc_id, k as ord, piece from hs where k > 0
   union all select doc_id, k + 1, rest from hs where length(rest) <= {_LONG} and rest <> '')""")
 def hard_split(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.posexplode(S.hard_split(F.array(_joined()))).alias("p", "piece"))
+    rows = read(spark, sf, "documents").select("doc_id", F.posexplode_outer(S.hard_split(F.array(_joined()))).alias("p", "piece")).where("p is not null")
     return rows.select("doc_id", (F.col("p") + 1).alias("position"), "piece")
 
 
@@ -100,7 +100,7 @@ o as (select doc_id, i as ord, done as text from f where done is not null union
 select doc_id, (row_number() over (partition by doc_id order by ord) - 1)::int as position, text from o where length(text) >= {CHUNK_MIN}""")
 def pack_chunks(spark, sf):
     pieces = F.transform(F.split("text", "\n", -1), lambda p: F.left(p, F.lit(1900)))
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(S.pack(pieces)).alias("position", "text"))
+    return read(spark, sf, "documents").select("doc_id", F.posexplode_outer(S.pack(pieces)).alias("position", "text")).where("position is not null")
 
 
 @query("pack_sentences", rf"""with recursive b as (select doc_id, trim(replace(regexp_replace(text, '\n', ' ', 'g'), '  ', ' '), ' ') as t from documents),
@@ -119,7 +119,7 @@ def pack_sentences(spark, sf):
     flat = F.trim(F.replace(F.regexp_replace("text", "\n", " "), F.lit("  "), F.lit(" ")))
     long = F.exists(T.split_sentences(F.col("t")), lambda s: F.length(s) > _LONG)
     rows = read(spark, sf, "documents").select("doc_id", flat.alias("t")).where((F.length("t") > S.LONG_PIECE) & ~long)
-    return rows.select("doc_id", F.posexplode(S.pack(F.array("t"))).alias("position", "text"))
+    return rows.select("doc_id", F.posexplode_outer(S.pack(F.array("t"))).alias("position", "text")).where("position is not null")
 
 
 @query("segment_papers")
