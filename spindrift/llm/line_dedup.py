@@ -68,7 +68,8 @@ def removals(docs: DataFrame) -> DataFrame:
     cut = _cut(docs)
     # Only chunks of several lines, or of one long line, are ever removed.
     marks = F.transform("chunks", lambda c, k: F.when((c["lines"] > 1) | _long(F.try_element_at(F.col("lines"), c["first"] + 1)), F.struct(k.alias("k"), _md5(_text(F.col("lines"), c)).alias("mark"))))
-    seen = cut.select("doc_id", "digest", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("doc_id", "digest", "m.k", "m.mark")
+    # The outer form: the plain one would first filter on the size of the array and so make it twice.
+    seen = cut.select("doc_id", "digest", F.explode_outer(F.filter(marks, lambda m: m.isNotNull())).alias("m")).where("m is not null").select("doc_id", "digest", "m.k", "m.mark")
     seen = checkpointed(seen)
     # Repeated rows of one document and digest are the same document: sets take their occurrences once.
     spread = seen.groupBy("mark").agg(F.min(F.struct("doc_id", "digest", "k")).alias("first"), F.max(F.struct("doc_id", "digest", "k")).alias("last"))
@@ -77,7 +78,7 @@ def removals(docs: DataFrame) -> DataFrame:
     wanted = found.where("is_first").groupBy(F.col("doc_id").alias("wid"), F.col("digest").alias("wdigest")).agg(F.collect_set(F.struct("k", "mark")).alias("want"))
     wanted = checkpointed(wanted)
     holders = _cut(with_small(docs, wanted, docs.doc_id.eqNullSafe(wanted.wid) & (docs.digest == wanted.wdigest), "inner"))
-    firsts = holders.select(F.explode(F.transform("want", lambda w: F.struct(w["mark"].alias("mark"), _text(F.col("lines"), F.try_element_at(F.col("chunks"), w["k"] + 1)).alias("text")))).alias("w"))
+    firsts = holders.select(F.explode_outer(F.transform("want", lambda w: F.struct(w["mark"].alias("mark"), _text(F.col("lines"), F.try_element_at(F.col("chunks"), w["k"] + 1)).alias("text")))).alias("w"))
     firsts = firsts.select("w.mark", "w.text").groupBy("mark").agg(F.first("text").alias("text"))
     firsts = checkpointed(firsts.select(F.col("mark").alias("fmark"), F.col("text").alias("ftext")))
     later = found.where("not is_first")
