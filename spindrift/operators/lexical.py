@@ -51,7 +51,8 @@ def cut_frequent(terms: DataFrame, frequency: DataFrame, max_df: float) -> DataF
 
     ``terms`` is a question's, so both it and the joined rows are small, and the frequencies are read once.
     """
-    known = frequency.join(F.broadcast(terms), "term", "right").select("term", F.coalesce("ndoc", F.lit(0)).cast("long").alias("ndoc"))
+    asked = frequency.join(F.broadcast(terms), "term", "left_semi")
+    known = terms.join(F.broadcast(asked), "term", "left").select("term", F.coalesce("ndoc", F.lit(0)).cast("long").alias("ndoc"))
     rare = known.where(F.col("ndoc") <= max_df)
     any_rare = rare.agg((F.count("*") > 0).alias("any_rare"))
     return known.join(F.broadcast(any_rare)).where((F.col("ndoc") <= max_df) | ~F.col("any_rare")).select("term", "ndoc")

@@ -34,15 +34,23 @@ def nearest(vectors: DataFrame, query: DataFrame | Sequence[float], limit: int,
     return near.orderBy("distance", id_).limit(limit)
 
 
-def nearest_per_query(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "cosine", id_: str = "vec_id", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the ``limit`` nearest rows of each query ``(query_id, q)``.
+def nearest_per_query(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "cosine", id_: str = "vec_id", block: int = 10_000, places: int | None = None, keep: Column | None = None) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the ``limit`` nearest rows of each query ``(query_id, q)``, by distance (rounded to ``places``), then id.
 
-    A stated set of queries, counted to be at most ``most_queries``, is broadcast and held against all rows; the limit of
-    each query is applied in the scan tasks already (a window group limit), so only their best are shuffled.
+    A stated set of queries is held against all rows in blocks: each block of about ``block`` queries is
+    broadcast, and the limit of each query is applied in the scan tasks already (a window group limit), so only
+    their best are shuffled. ``keep`` filters pairs.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in blocks")
-    pairs = vectors.select(id_, "embedding").join(F.broadcast(queries.select("query_id", "q")))
-    d = pairs.select("query_id", id_, DISTANCES[metric](F.col("embedding"), F.col("q")).alias("distance")).where("distance is not null")
+    blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_))
-    return d.withColumn("rank", rank).where(F.col("rank") <= limit)
+    rows, out = vectors.select(id_, "embedding"), None
+    for k in range(blocks):
+        own = queries.select("query_id", "q")
+        if blocks > 1:
+            own = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = rows.join(F.broadcast(own))
+        measured = DISTANCES[metric](F.col("embedding"), F.col("q"))
+        d = (pairs if keep is None else pairs.where(keep)).select("query_id", id_, (measured if places is None else F.round(measured, places)).alias("distance"))
+        best = d.where("distance is not null").withColumn("rank", rank).where(F.col("rank") <= limit)
+        out = best if out is None else out.unionByName(best)
+    return out

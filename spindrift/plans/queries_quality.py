@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance
 from ..operators import answers as A
 from ..operators import evaluation as E
 from ..operators import limits as L
+from ..operators import semantic
 from ..sources.tables import read
 from .catalogue import query
 
@@ -124,16 +123,15 @@ judged as (select q.frage_id, (select min(rank) from ranked r join ziele z on z.
 def _ranked(spark, sf):
     v = read(spark, sf, "embeddings")
     asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("frage_id"), F.col("embedding").alias("q"))
-    pairs = v.join(F.broadcast(asked), F.col("vec_id") != F.col("frage_id"))
-    d = pairs.select("frage_id", F.col("vec_id").alias("dokument"), F.round(cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("frage_id").orderBy("distance", "dokument"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= _K)
+    found = semantic.nearest_per_query(v, asked.withColumnRenamed("frage_id", "query_id"), _K, places=9, keep=F.col("vec_id") != F.col("query_id"))
+    return found.select(F.col("query_id").alias("frage_id"), F.col("vec_id").alias("dokument"), "distance", "rank")
 
 
 def _targets(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "label")
     asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("frage_id"), "label")
-    return v.where("vec_id < 100").join(F.broadcast(asked), "label").where("vec_id <> frage_id").select("frage_id", F.col("vec_id").alias("ziel"))
+    # Ids below a hundred bound the broadcast side.
+    return asked.join(F.broadcast(v.where("vec_id < 100")), "label").where("vec_id <> frage_id").select("frage_id", F.col("vec_id").alias("ziel"))
 
 
 @query("eval_hit_at_k", f"with {_EVAL_SQL} select frage_id, first_rank::int as first_rank, first_rank is not null as treffer from judged")

@@ -128,3 +128,12 @@ def test_ask(spark):
         assert [e["typ"] for e in events] == ["analyse", "quellen", "text", "text", "fertig"] and len(events[1]["quellen"]) == 9
     none = list(search.ask(c, None, "Xyz", EchoGenerator(["kein JSON"]), None, "{frage}", "", SQLITE))
     assert [e["typ"] for e in none] == ["analyse", "text", "fertig"]
+
+
+def test_queries_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole, blocks = (sorted(map(tuple, semantic.nearest_per_query(v, q, 4, block=b).collect())) for b in (1000, 7))
+    assert whole == blocks and len(whole) == 80
