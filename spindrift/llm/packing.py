@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ class Capacities:
     def __init__(self, length: int):
         self.size = 1 << length.bit_length()
         self.count = [0] * (2 * self.size)
-        self.rows: list[list[int]] = [[] for _ in range(length + 1)]
+        self.rows: list[deque[int]] = [deque() for _ in range(length + 1)]
 
     def _add(self, capacity: int, by: int) -> None:
         at = capacity + self.size
@@ -66,7 +67,7 @@ class Capacities:
                 at = 2 * at if count[2 * at] else 2 * at + 1
         capacity = at - self.size
         self._add(capacity, -1)
-        return self.rows[capacity].pop(0), capacity
+        return self.rows[capacity].popleft(), capacity
 
 
 def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
