@@ -89,6 +89,7 @@ def index(spark: SparkSession, store: str, buckets: int = 64) -> None:
     """Postings and document frequencies as bucketed tables, whole each time, so no stale term stays."""
     chunks = tables.load(spark, f"{store}/chunks")
     tables.bucketed(lexical.postings(chunks), "postings", "term", buckets)
+    tables.bucketed(lexical.lengths(chunks), "lengths", "chunk_id", buckets)
     tables.bucketed(lexical.document_frequency(spark.table("postings")), "lexeme_df", "term", buckets)
 
 

@@ -35,6 +35,14 @@ def fuse(lists: Mapping[str, tuple[DataFrame, float]], limit: int, k: int = RRF_
     return best.select("chunk_id", "score", "found_by", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
+def pinned(hits: DataFrame, most: int = 1000) -> DataFrame:
+    """``hits`` as rows of the plan: a search's few best are fetched once instead of being searched for by each use of them."""
+    rows = hits.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} hits")
+    return hits.sparkSession.createDataFrame(rows, hits.schema)
+
+
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     """Neighbours of ``hits(chunk_id, rank)`` within ``window`` positions of the same document: (chunk_id, owner_rank, position).
 
@@ -51,6 +59,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1, order: str = "interleaved") -> DataFrame:
     """(chunk_id, ord, is_neighbour): hits with neighbours after their hit (``interleaved``) or after all hits (``appended``)."""
+    hits = pinned(hits.select("chunk_id", "rank"))
     own = hits.select("chunk_id", F.col("rank").alias("owner_rank"), F.lit(0).alias("position"), F.lit(0).alias("is_neighbour"))
     rows = own
     if window > 0:

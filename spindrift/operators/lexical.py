@@ -73,9 +73,22 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
     df = per.groupBy("term").agg(F.count("*").alias("df"))
     # df has a row for each term of the question at most.
     scored = per.where("kept").join(F.broadcast(df), "term").join(F.broadcast(stats))
+    return scored.groupBy("chunk_id").agg(F.sum(_part()).alias("score"))
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, terms: DataFrame) -> DataFrame:
+    """``bm25`` over a stored index: ``postings`` and ``lengths``. Texts are not read; postings of other terms end in the scan."""
+    per = index.join(F.broadcast(terms.select("term")), "term", "left_semi").select("chunk_id", "term", "tf")
+    df = per.groupBy("term").agg(F.count("*").alias("df"))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean"))
+    scored = per.join(sizes.withColumnRenamed("tokens", "size"), "chunk_id").join(F.broadcast(df), "term").join(F.broadcast(stats))
+    return scored.groupBy("chunk_id").agg(F.sum(_part()).alias("score"))
+
+
+def _part() -> Column:
+    """What a term adds to a chunk's score, from tf, df, size, n and mean."""
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
 
 def coverage(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id") -> DataFrame:

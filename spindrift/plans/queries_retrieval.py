@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import to_half
 from ..operators import fusion, lexical, semantic
 from ..profiles import POSTGRES, SQLITE
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .catalogue import query
 from .search import hybrid
 
@@ -20,7 +20,7 @@ LIMIT = 40
 
 
 def chunks(spark, sf):
-    d = read(spark, sf, "documents")
+    d = spread(read(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     lines = d.select("doc_id", "lang", "source", F.posexplode_outer(F.split("text", "\n", -1)).alias("position", "text"))
     return lines.select(
         (F.col("doc_id") * 100_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "position", "text",
@@ -95,6 +95,13 @@ def bm25_topk(spark, sf):
     return _best(lexical.bm25(chunks(spark, sf), terms(spark, sf))).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("bm25_indexed_topk", f"with {BM25_SQL} select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from bm25 qualify rank <= {LIMIT}")
+def bm25_indexed_topk(spark, sf):
+    c = chunks(spark, sf)
+    scores = lexical.bm25_indexed(lexical.postings(c), lexical.lengths(c), terms(spark, sf))
+    return _best(scores).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 _KEEP = "dokumentart = 'en' and datum >= date '2024-03-01' and datum <= date '2025-06-30'"
 
 

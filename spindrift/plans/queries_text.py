@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segment as S
 from ..profiles import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .catalogue import query
 
 
@@ -39,7 +39,7 @@ _NARROW_SQL = rf"trim({_STRIP_LINES_SQL.format(t='''regexp_replace(regexp_replac
 
 
 query("text_reflow", f"with d as (select doc_id, {_BREAKS_SQL} as t from documents), c as (select doc_id, string_split(t, '') as l from d), s as (select doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when l[i] = chr(10) and (i = 1 or l[i-1] not in ('.', '!', '?', ':', ';')) and (i = len(l) or l[i+1] <> chr(10)) then ' ' else l[i] end), '') as t from c) select doc_id, {_NARROW_SQL.replace('{t}', 't')} as result from s")(
-    lambda spark, sf: read(spark, sf, "documents").select("doc_id", T.reflow(F.expr(_BREAKS)).alias("result"))
+    lambda spark, sf: spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.reflow(F.expr(_BREAKS)).alias("result"))
 )
 
 _SENTENCES_SQL = r"string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
@@ -125,7 +125,7 @@ def pack_sentences(spark, sf):
 @query("segment_papers")
 def segment_papers(spark, sf):
     """All repairs and packing over whole documents; tests hold it against a plain fold."""
-    return S.segment_papers(read(spark, sf, "documents"), "doc_id").withColumnRenamed("document_id", "doc_id")
+    return S.segment_papers(spread(read(spark, sf, "documents").select("doc_id", "text")), "doc_id").withColumnRenamed("document_id", "doc_id")
 
 
 _SPEAKERS = ("Präsidentin Julia Beispiel", "Max Muster (CDU/CSU)", "Lars Probe, Bundesminister der Finanzen", "Tagesordnungspunkt 3 (Fortsetzung)")
