@@ -37,11 +37,22 @@ def tree(text: Column) -> Column:
             F.transform(p, lambda h, i: F.when((F.substring(h, 1, 1).isin(*ENDS)) | (h == blank) | (i == F.size(p) - 1), i)),
             lambda i: i.isNotNull(),
         )
-        sections = F.transform(
-            F.transform(last, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(last, k) + 1).alias("a"), e.alias("e"))),
-            lambda s: F.sha2(F.concat(F.lit(SECTION), F.array_join(F.slice(p, s["a"] + 1, s["e"] - s["a"] + 1), "")).cast("binary"), 256),
-        )
-        return F.struct(F.sha2(F.concat(F.lit(ROOT), F.array_join(sections, "")).cast("binary"), 256).alias("root"), sections.alias("sections"), p.alias("paragraphs"))
+
+        def section(first: Column, end: Column) -> Column:
+            return F.sha2(F.concat(F.lit(SECTION), F.array_join(F.slice(p, first + 1, end - first + 1), "")).cast("binary"), 256)
+
+        # Bound like the paragraphs: an expression that a lambda names would be made for each element.
+        def cut(ends: Column) -> Column:
+            return F.transform(ends, lambda e, k: section(F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(ends, k) + 1), e))
+
+        sections = F.transform(F.array(last), cut)[0]
+        return F.transform(F.array(sections), rooted(p))[0]
+
+    def rooted(p: Column):
+        def root(sections: Column) -> Column:
+            return F.struct(F.sha2(F.concat(F.lit(ROOT), F.array_join(sections, "")).cast("binary"), 256).alias("root"), sections.alias("sections"), p.alias("paragraphs"))
+
+        return root
 
     # transform over an array of one element binds the paragraphs once, else each use would hash anew.
     return F.transform(F.array(leaves), of)[0]
@@ -69,11 +80,24 @@ def likeness(tree_a: Column, runs_a: Column, tree_b: Column, runs_b: Column) ->
 
 
 def changed(tree_a: Column, tree_b: Column) -> Column:
-    """Where two trees differ: array of the zero-based paragraphs of the first that lie in differing sections and are not in the second; empty if the roots are equal."""
-    gone = F.array_except(tree_a["sections"], tree_b["sections"])
-    lost = F.array_except(tree_a["paragraphs"], tree_b["paragraphs"])
-    at = F.filter(F.transform(tree_a["paragraphs"], lambda p, i: F.when(F.array_contains(lost, p), i)), lambda i: i.isNotNull())
-    return F.when((tree_a["root"] == tree_b["root"]) | (F.size(gone) == 0), F.array().cast("array<int>")).otherwise(at)
+    """Where two trees differ: array of the zero-based paragraphs of the first that the second has nowhere; empty if there are none.
+
+    Sections narrow the search: those that both trees have hold no such paragraph.
+    """
+
+    # What a lambda names is made for each element, so the lists are bound.
+    def lost(only: Column) -> Column:
+        return F.filter(F.transform(tree_a["paragraphs"], lambda p, i: F.when(F.array_contains(only, p), i)), lambda i: i.isNotNull())
+
+    at = F.transform(F.array(F.array_except(tree_a["paragraphs"], tree_b["paragraphs"])), lost)[0]
+    same = F.size(F.array_except(tree_a["sections"], tree_b["sections"])) == 0
+    return F.when(same, F.array().cast("array<int>")).otherwise(at)
+
+
+def first_changed(tree_a: Column, tree_b: Column) -> Column:
+    """The first of ``changed`` or null, in time that grows as the number of paragraphs: the difference of two arrays keeps their order."""
+    only = F.array_except(tree_a["paragraphs"], tree_b["paragraphs"])
+    return F.when(F.size(only) > 0, (F.array_position(tree_a["paragraphs"], F.try_element_at(only, F.lit(1))) - 1).cast("int"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,7 +166,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("edited_tree.root").alias("edited_fingerprint"),
         likeness(F.col("text_tree"), F.col("text_runs"), F.col("edited_tree"), F.col("edited_runs")).alias("near_edited"),
         likeness(F.col("text_tree"), F.col("text_runs"), F.col("next_text_tree"), F.col("next_text_runs")).alias("near_next"),
-        F.try_element_at(changed(F.col("text_tree"), F.col("edited_tree")), F.lit(1)).alias("edit_paragraph"),
+        first_changed(F.col("text_tree"), F.col("edited_tree")).alias("edit_paragraph"),
     )
 
 

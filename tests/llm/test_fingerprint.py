@@ -28,6 +28,8 @@ def test_tree_and_changes(spark):
     pair = spark.createDataFrame([(long, edited), (long, long)], "a string, b string")
     c = [r[0] for r in pair.select(P.changed(P.tree(F.col("a")), P.tree(F.col("b")))).collect()]
     assert c == [[7, 120], []]
+    first = [r[0] for r in pair.select(P.first_changed(P.tree(F.col("a")), P.tree(F.col("b")))).collect()]
+    assert first == [7, None]
     like = [r[0] for r in pair.select(P.likeness(P.tree(F.col("a")), P.runs(F.col("a")), P.tree(F.col("b")), P.runs(F.col("b")))).collect()]
     assert 0.9 < like[0] < 1 and like[1] == 1
 
@@ -55,3 +57,10 @@ def test_next_over_many_ranges(spark, docs_of):
 def test_extra_columns(docs_of):
     d = docs_of([(1, "a"), (2, "b")]).withColumn("bucket", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("at", F.lit(0)).withColumn("guest", F.lit(None))
     assert P.edited_fingerprints(d).count() == 2
+
+
+def test_many_paragraphs(docs_of):
+    """Texts of very many paragraphs and sections take time in proportion."""
+    rows = [(1, "\n" * 40_000), (2, "line one\n" * 40_000), (3, "x" * 1_000_000)]
+    found = P.edited_fingerprints(docs_of(rows)).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in found} == {i: plain_root(t)[0] for i, t in rows}
