@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, l2_distance
+from ..functions.vectors import as_double, cosine_distance, dot, l2_distance, norm
 
 DISTANCES = {"l2": l2_distance, "cosine": cosine_distance}
 
@@ -43,13 +43,14 @@ def nearest_per_query(vectors: DataFrame, queries: DataFrame, limit: int, metric
     """
     blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_))
-    rows, out = vectors.select(id_, "embedding"), None
+    # Casts and norms are made once for a vector, not for each pair.
+    rows, out = vectors.select(id_, as_double(F.col("embedding")).alias("e"), norm(F.col("embedding")).alias("e_norm")), None
+    measured = l2_distance(F.col("e"), F.col("q")) if metric == "l2" else F.lit(1.0) - dot(F.col("e"), F.col("q")) / F.nullif(F.col("e_norm") * F.col("q_norm"), F.lit(0.0))
     for k in range(blocks):
-        own = queries.select("query_id", "q")
+        own = queries.select("query_id", as_double(F.col("q")).alias("q"), norm(F.col("q")).alias("q_norm"))
         if blocks > 1:
             own = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
         pairs = rows.join(F.broadcast(own))
-        measured = DISTANCES[metric](F.col("embedding"), F.col("q"))
         d = (pairs if keep is None else pairs.where(keep)).select("query_id", id_, (measured if places is None else F.round(measured, places)).alias("distance"))
         best = d.where("distance is not null").withColumn("rank", rank).where(F.col("rank") <= limit)
         out = best if out is None else out.unionByName(best)

@@ -8,7 +8,7 @@ from ..operators import answers as A
 from ..operators import evaluation as E
 from ..operators import limits as L
 from ..operators import semantic
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .catalogue import query
 
 # Turns of a conversation as answers that cite: the sentence ends of a text get numbers by its conversation.
@@ -121,7 +121,7 @@ judged as (select q.frage_id, (select min(rank) from ranked r join ziele z on z.
 
 
 def _ranked(spark, sf):
-    v = read(spark, sf, "embeddings")
+    v = spread(read(spark, sf, "embeddings"))
     asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("frage_id"), F.col("embedding").alias("q"))
     found = semantic.nearest_per_query(v, asked.withColumnRenamed("frage_id", "query_id"), _K, places=9, keep=F.col("vec_id") != F.col("query_id"))
     return found.select(F.col("query_id").alias("frage_id"), F.col("vec_id").alias("dokument"), "distance", "rank")

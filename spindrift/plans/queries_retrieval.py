@@ -153,7 +153,7 @@ query("knn_postfilter_x5", _knn_sql("l2", "label = 3", 5 * LIMIT))(lambda spark,
 @query("knn_batch_per_query", f"""with p as (select a.vec_id as query_id, b.vec_id, {_COS.format(a='b.embedding', b='a.embedding')} as distance from embeddings a, embeddings b where a.vec_id % 50 = 0)
 select query_id, vec_id, round(distance, 5) + 0.0 as distance, (row_number() over (partition by query_id order by distance, vec_id))::int as rank from p qualify rank <= 5""")
 def knn_batch_per_query(spark, sf):
-    v = read(spark, sf, "embeddings")
+    v = spread(read(spark, sf, "embeddings"))
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return semantic.nearest_per_query(v, asked, 5).select("query_id", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
 
@@ -161,7 +161,7 @@ def knn_batch_per_query(spark, sf):
 @query("knn_half_recall")
 def knn_half_recall(spark, sf):
     """Share of the exact nearest ten of each query that vectors of 16-bit floats find too; tests hold it against NumPy."""
-    v = read(spark, sf, "embeddings")
+    v = spread(read(spark, sf, "embeddings"))
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     exact = semantic.nearest_per_query(v, asked, 10).select("query_id", "vec_id")
     halved = v.withColumn("embedding", to_half(F.col("embedding")))
