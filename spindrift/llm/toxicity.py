@@ -16,8 +16,9 @@ from .common import checkpointed, mapped, table, text_or_empty
 
 #: Bounds of the labelled sample that the model is fitted on: documents and characters.
 MAX_DOCS, MAX_CHARS = 12_000, 60_000_000
-#: Features: prefixes of these lengths beside whole words; most kept, least share of toxic documents, least log likelihood ratio.
-PREFIXES, MAX_FEATURES, LEAST_SHARE, LEAST_EVIDENCE = (4, 5, 6), 20_000, 0.4, 8.0
+#: Features: prefixes of these lengths beside whole words; most kept, least share of toxic documents, toxic documents that hold one
+#: (a twentieth of all of them, 2 at least, where there are fewer).
+PREFIXES, MAX_FEATURES, LEAST_SHARE, LEAST_DOCS = (4, 5, 6), 20_000, 0.4, 4
 #: Training: steps, rate, weight decay.
 STEPS, RATE, DECAY = 500, 0.15, 1e-5
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -117,10 +118,10 @@ def fit(samples: Iterable[tuple[str, int]]) -> Model:
         every[own] += 1
         bad[own] += y[d]
     base = y.mean()
-    # What a feature's toxic share says against the share of all documents, as a log likelihood ratio, keeps chance words out.
-    share = np.clip(bad / np.maximum(every, 1), 1e-9, 1 - 1e-9)
-    evidence = bad * np.log(share / base) + (every - bad) * np.log((1 - share) / (1 - base))
-    chosen = np.flatnonzero((share >= max(LEAST_SHARE, 2 * base)) & (evidence >= LEAST_EVIDENCE))
+    # One chance occurrence in a clean document is added to each, so that rare words need more evidence.
+    share = bad / (every + 1)
+    evidence = bad * np.log(np.maximum(share, 1e-9) / base)
+    chosen = np.flatnonzero((share >= max(LEAST_SHARE, 2 * base)) & (bad >= min(LEAST_DOCS, max(2, y.sum() / 20))))
     chosen = chosen[np.argsort(-evidence[chosen], kind="stable")[:MAX_FEATURES]]
     place = np.full(len(numbers) + 1, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
