@@ -157,7 +157,12 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     All columns stay as they are, whatever their names; of rows that repeat both doc_id and text one stays.
     """
-    found = checkpointed(grouped(docs, bits).select("doc_id", "digest", "component"))
+    return kept_of(docs, grouped(docs, bits).select("doc_id", "digest", "component"))
+
+
+def kept_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each component of ``found(doc_id, digest, component)``, in the order of ``keep_one``."""
+    found = checkpointed(found)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("r")
     keep = found.groupBy("component").agg(first).select(F.col("r.doc_id").alias("kept_id"), F.col("r.digest").alias("kept_digest")).distinct()
     counts = found.groupBy("doc_id", "digest").count()
