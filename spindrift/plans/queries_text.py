@@ -122,6 +122,13 @@ def pack_sentences(spark, sf):
     return rows.select("doc_id", F.posexplode_outer(S.pack(F.array("t"))).alias("position", "text")).where("position is not null")
 
 
+@query("pack_chunks_whole")
+def pack_chunks_whole(spark, sf):
+    """``pack_chunks`` over whole lines: no line loses its tail, long ones are packed by sentences. Tests hold it against a plain fold."""
+    rows = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.posexplode_outer(S.pack(F.split("text", "\n", -1))).alias("position", "text")).where("position is not null")
+
+
 @query("segment_papers")
 def segment_papers(spark, sf):
     """All repairs and packing over whole documents; tests hold it against a plain fold."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import segment as S
+from spindrift.plans.catalogue import load
 
 GOLDEN = [
     ("Die Früh-\nstartrente kommt.", "Die Frühstartrente kommt."),
@@ -144,3 +145,26 @@ def test_match_terms(spark, text, terms):
 
 def test_fold(spark):
     assert one(spark, ["Müller ÉLAN ñandú groß"], T.fold(F.col("s"))) == ["muller elan nandu groß"]
+
+
+def long_table(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def packed_by(name, spark, folder):
+    out = {}
+    for r in sorted(load()[name].run(spark, folder).collect(), key=lambda r: (r["doc_id"], r["position"])):
+        out.setdefault(r["doc_id"], []).append(r["text"])
+    return out
+
+
+LONG_TEXTS = [(1, "Ein Satz mit Wort. " * 150 + "Ende"), (2, "kurz " * 30 + "\n" + "y" * 5000 + "\n" + "z" * 130), (3, "wort " * 700 + ". Und mehr. " * 40), (4, "zu kurz"), (5, None)]
+
+
+def test_whole_lines_are_packed(spark, tmp_path, small):
+    want = {k: c for k, t in LONG_TEXTS if t and (c := packed(t.split("\n")))}
+    assert packed_by("pack_chunks_whole", spark, long_table(spark, tmp_path, LONG_TEXTS)) == want
+    assert any(c[-1].endswith("Ende") for c in want.values())
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert packed_by("pack_chunks_whole", spark, small) == {r["doc_id"]: c for r in docs if r["text"] and (c := packed(r["text"].split("\n")))}
