@@ -129,6 +129,14 @@ def pack_chunks_whole(spark, sf):
     return rows.select("doc_id", F.posexplode_outer(S.pack(F.split("text", "\n", -1))).alias("position", "text")).where("position is not null")
 
 
+@query("pack_sentences_whole")
+def pack_sentences_whole(spark, sf):
+    """``pack_sentences`` over all documents: short ones and those with sentences that are cut too. Tests hold it against a plain fold."""
+    flat = F.trim(F.replace(F.regexp_replace("text", "\n", " "), F.lit("  "), F.lit(" ")))
+    rows = spread(read(spark, sf, "documents").select("doc_id", flat.alias("t")))
+    return rows.select("doc_id", F.posexplode_outer(S.pack(F.array("t"))).alias("position", "text")).where("position is not null")
+
+
 @query("segment_papers")
 def segment_papers(spark, sf):
     """All repairs and packing over whole documents; tests hold it against a plain fold."""

@@ -168,3 +168,11 @@ def test_whole_lines_are_packed(spark, tmp_path, small):
     assert any(c[-1].endswith("Ende") for c in want.values())
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     assert packed_by("pack_chunks_whole", spark, small) == {r["doc_id"]: c for r in docs if r["text"] and (c := packed(r["text"].split("\n")))}
+
+
+def test_all_documents_are_packed(spark, tmp_path, small):
+    flat = lambda t: t.replace("\n", " ").replace("  ", " ").strip(" ")
+    want = {k: c for k, t in LONG_TEXTS if t and (c := packed([flat(t)]))}
+    assert packed_by("pack_sentences_whole", spark, long_table(spark, tmp_path, LONG_TEXTS)) == want and set(want) == {1, 2, 3}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert packed_by("pack_sentences_whole", spark, small) == {r["doc_id"]: c for r in docs if r["text"] and (c := packed([flat(r["text"])]))}
