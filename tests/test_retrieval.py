@@ -137,3 +137,19 @@ def test_queries_in_blocks(spark):
     q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     whole, blocks = (sorted(map(tuple, semantic.nearest_per_query(v, q, 4, block=b).collect())) for b in (1000, 7))
     assert whole == blocks and len(whole) == 80
+
+
+def test_recall_of_nothing_is_reported(spark):
+    from spindrift.plans.queries_retrieval import recall
+
+    exact = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12)], "query_id long, vec_id long")
+    found = spark.createDataFrame([(1, 10), (1, 12), (2, 13), (2, 14)], "query_id long, vec_id long")
+    assert {r["query_id"]: r["recall"] for r in recall(exact, found, 2).collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_every_20th_vector_is_asked(spark, small):
+    from spindrift.plans.catalogue import load
+
+    want = {r["vec_id"] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect() if r["vec_id"] % 20 == 0}
+    for name, column in (("knn_half_recall", "query_id"), ("knn_batch_every_20th", "query_id"), ("eval_hit_at_k_all", "frage_id")):
+        assert {r[column] for r in load()[name].run(spark, small).select(column).collect()} == want
