@@ -143,6 +143,18 @@ def embed_priority_queue(spark, sf):
     return M.embed_queue(c, d, done, 500, small=8)
 
 
+@query("embed_queue_whole", f"""with {_LINES_SQL},
+g as (select document_id, count(*) as n from lines group by document_id)
+select document_id * 100000 + position as chunk_id, (case when lang = 'de' then 0 when n < 8 then 1 else 2 end)::int as prioritaet
+from lines join g using (document_id) join documents on doc_id = document_id where position % 4 <> 0""")
+def embed_queue_whole(spark, sf):
+    """``embed_priority_queue`` without a limit."""
+    c = _lines(spark, sf).withColumn("chunk_id", F.col("document_id") * 100_000 + F.col("position"))
+    done = c.where("position % 4 = 0").select("chunk_id")
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "Plenarprotokoll").otherwise("Drucksache").alias("dokumentart"))
+    return M.embed_queue(c, d, done, small=8)
+
+
 @query("index_stats", f"with {_VERSIONS_SQL}, {_LINES_SQL} select (select count(*) from newest) as documents, (select count(*) from newest where status = 'pending') as ohne_volltext, (select count(*) from newest where id % 2 = 0 and status <> 'pending') as gechunkt, (select count(*) from lines) as chunks, (select count(*) from lines where position % 2 = 0) as chunks_mit_embedding, (select count(*) from embeddings) as vektoren")
 def index_stats(spark, sf):
     d = M.latest(M.incoming(_raw(spark, sf))).withColumn("status", F.when((F.col("status") == "fetched") & (F.col("id") % 2 == 0), "chunked").otherwise(F.col("status")))

@@ -31,3 +31,10 @@ def test_filters_reach_the_scan(spark, small, capsys):
     for name in ("scan_project_filter", "date_range_filter", "optional_filter"):
         CATALOGUE[name].run(spark, small).explain("formatted")
         assert "PushedFilters: []" not in capsys.readouterr().out.split("customer.parquet")[-1].split("ReadSchema")[0]
+
+
+def test_the_queue_holds_every_open_chunk(spark, small):
+    from spindrift.plans.queries_maintenance import _lines
+
+    got = [(r["prioritaet"], r["chunk_id"]) for r in CATALOGUE["embed_queue_whole"].run(spark, small).collect()]
+    assert len(got) == _lines(spark, small).where("position % 4 <> 0").count() > 500 and got == sorted(got)
