@@ -121,7 +121,8 @@ def fit(samples: Iterable[tuple[str, int]]) -> Model:
     # One chance occurrence in a clean document is added to each, so that rare words need more evidence.
     share = bad / (every + 1)
     evidence = bad * np.log(np.maximum(share, 1e-9) / base)
-    chosen = np.flatnonzero((share >= max(LEAST_SHARE, 2 * base)) & (bad >= min(LEAST_DOCS, max(2, y.sum() / 20))))
+    # Twice the base rate, or half the way from it to one where that is less: a share never reaches one.
+    chosen = np.flatnonzero((share >= max(LEAST_SHARE, min(2 * base, (1 + base) / 2))) & (bad >= min(LEAST_DOCS, max(2, y.sum() / 20))))
     chosen = chosen[np.argsort(-evidence[chosen], kind="stable")[:MAX_FEATURES]]
     place = np.full(len(numbers) + 1, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -162,8 +163,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Fits the model on labelled rows outside the held-out fifth.
 
-    The sample is the first ``max_docs`` labelled ids in the order of a hash of the id, whole texts, until
-    ``max_chars`` is reached; both bounds hold what the driver takes. Of repeated rows of an id one
+    The sample is the first ``max_docs`` labelled ids in the order of a hash of the id, whole texts, without
+    those that would pass ``max_chars``; both bounds hold what the driver takes. Of repeated rows of an id one
     counts (the greatest text, the toxic label).
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic in (0, 1)")
@@ -176,10 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_char
     def bounded() -> Iterator[tuple[str, int]]:
         held = 0
         for row in sample.toLocalIterator():
-            held += len(row["text"])
-            if held > max_chars:
-                return
-            yield row["text"], row["toxic"]
+            if held + len(row["text"]) <= max_chars:
+                held += len(row["text"])
+                yield row["text"], row["toxic"]
 
     return fit(bounded())
 

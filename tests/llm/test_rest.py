@@ -317,3 +317,16 @@ def test_decoding_gives_the_text_back(docs_of):
     r = packing.packed(docs_of([(1, "Ünïcode 🙂 text\n\n x")]), length=512).first()
     ids = np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]].tolist()
     assert ids[-1] == packing.END and own.decode(ids[:-1]) == "Ünïcode 🙂 text\n\n x"
+
+
+def test_toxicity_of_balanced_labels():
+    for clean in (1, 3):
+        samples = [(f"plain words of text {k % 7}. " + ("You vilest scum. " if k % 4 >= clean else "Fine day. "), int(k % 4 >= clean)) for k in range(400)]
+        model = toxicity.fit(samples)
+        assert model.score("Some text. You vilest scum.") > 0.5 > model.score("Some text. Fine day.")
+
+
+def test_toxicity_skips_a_text_over_the_bound(spark, docs_of):
+    rows = [(k, "x" * 5000 if k % 2 else "You vilest scum." if k % 4 else "Fine day.") for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 2)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs_of(rows), labels, max_chars=4000).weights
