@@ -26,7 +26,7 @@ RULES = (
 )
 #: The verdict where no rule fits.
 DEFAULT = "allow"
-#: Most bytes of an index that every executor maps; a longer list is joined instead.
+#: Most bytes of an index that every executor maps; ``judged`` refuses a longer list.
 MAX_BYTES = 2 << 30
 _MAGIC = b"URLDIGST"
 
