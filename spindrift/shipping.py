@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,16 +14,26 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. One of its own only on a local master, where all tasks run on this machine; a cluster must name one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoints-"))
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spindrift-checkpoints-")
+        context.setCheckpointDir(named)
         current = context.getCheckpointDir()
     return current.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared folder with all that is in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a file into the shared folder under a name that stands for its contents; returns its path."""
     context = spark.sparkContext
