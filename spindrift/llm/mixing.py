@@ -50,7 +50,8 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     (a source without one gets 0), else its count to the power ``alpha``. A row's number of copies is Poisson with mean total *
     share / count, by inversion of a uniform that is hashed from seed and doc_id, so it depends on
     nothing else; repeated doc_ids draw alike, a null one as ``null``, and null is a source of its own. Means of 0
-    drop a source: this is a sampling operator. Other columns stay, but for those named ``copy_`` and ``place_``.
+    drop a source: this is a sampling operator. Texts are carried as they are, null, empty or long; other columns stay
+    too, but for those named ``copy_`` and ``place_``. An empty table gives no rows.
     """
     names = [n for n in docs.columns if n not in ("copy_", "place_")]
     known = rates(docs, weights, alpha, total, by)
@@ -75,9 +76,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """doc_id, source, copy, place of every copy, in shuffled order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixed(docs).select("doc_id", "source", F.col("copy_").alias("copy"), F.col("place_").alias("place"))
+    """doc_id, source, copy, place, text_sha256 of every copy, in shuffled order. Whole documents are replicated and shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    return mixed(docs).select("doc_id", "source", F.col("copy_").alias("copy"), F.col("place_").alias("place"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 QUERY_SQL = f"""
@@ -85,8 +86,8 @@ with n as (select source, count(*) as n from documents group by source),
 r as (select source, (select count(*) from documents) * sqrt(n) / (select sum(sqrt(n)) from n) / n as mean from n),
 p as (select *, greatest(ceil(mean / {PART}), 1)::int as parts from r),
 t as (select *, list_transform(range({EVENTS} + 1), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-mean / parts + j * ln(mean / parts) - lgamma(j + 1))))) as cdf from p where mean > 0),
-d as (select doc_id, d.source, coalesce(doc_id::varchar, 'null') as key,
+d as (select doc_id, d.source, sha256(text) as text_sha256, coalesce(doc_id::varchar, 'null') as key,
   list_sum(list_transform(range(1, parts + 1), lambda k: len(list_filter(cdf, lambda c: c < (('0x' || md5('{SEED}/' || coalesce(doc_id::varchar, 'null') || '/' || k)[1:13])::bigint + 0.5) / {1 << 52}))))::int as copies
   from documents d join t on d.source is not distinct from t.source),
 e as (select *, unnest(range(1, copies + 1))::int as copy from d)
-select doc_id, source, copy, ('0x' || md5('place/{SEED}/' || key || '/' || copy)[1:15])::bigint as place from e"""
+select doc_id, source, text_sha256, copy, ('0x' || md5('place/{SEED}/' || key || '/' || copy)[1:15])::bigint as place from e"""
