@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, table, text_or_empty
+from ..shipping import remove, shared_folder
+from .common import checkpointed, mapped, table, text_or_empty
 
-#: Production parameters: ids of a row, end id after each document (its pieces are not ended), documents packed together.
+#: Production parameters: ids of a row, end id after each document (its pieces are not ended), rests of documents packed together.
 LENGTH, END, TOGETHER = 2048, 50_256, 1024
+#: Rows that are handed on at once.
+BATCH = 256
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -88,100 +93,187 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
-SCHEMA = "pack long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<int>"
+SCHEMA = "pack long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>"
+_KINDS = {"pack": pa.int64(), "row": pa.int32(), "n_tokens": pa.int32(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "positions": pa.binary(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64())}
+
+
+def _kind(largest: int) -> str:
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
+def _kinds(path: str, length: int, end: int | None) -> tuple[str, str]:
+    """Little-endian kinds of ids and of positions."""
+    return _kind(max(encoding(path).n_vocab - 1, end or 0)), _kind(length - 1)
+
+
+def pack_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int | None, together: int, task: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of batches of (doc_id, text), in bounded memory: whole rows of long documents at once, rests as soon as ``together`` are held."""
+    own = encoding(path)
+    kind, place_kind = _kinds(path, length, end)
+    steps = np.arange(length, dtype=place_kind)
+    pack, row, held, out = 0, 0, [], []
+
+    def add(parts: list[tuple[int | None, int, np.ndarray]]) -> None:
+        nonlocal row
+        line, place, ends = np.zeros(length, dtype=kind), np.zeros(length, dtype=place_kind), [0]
+        for _, _, ids in parts:
+            at, to = ends[-1], ends[-1] + len(ids)
+            line[at:to], place[at:to] = ids, steps[: len(ids)]
+            ends.append(to)
+        out.append((task << 32 | pack, row, ends[-1], line.tobytes(), ends, place.tobytes(), [p[0] for p in parts], [p[1] for p in parts]))
+        row += 1
+
+    def ready(least: int) -> Iterator[pa.RecordBatch]:
+        while len(out) >= least and out:
+            part = out[:BATCH]
+            del out[:BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(_KINDS.values())], names=list(_KINDS))
+
+    def close() -> None:
+        nonlocal pack, row
+        for items in best_fit_decreasing(np.array([len(h[2]) for h in held], dtype=np.int64), length):
+            add([held[k] for k in items])
+        held.clear()
+        pack, row = pack + 1, 0
+
+    for b in batches:
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids = own.encode_to_numpy(text.as_py(), disallowed_special=()).astype(kind)
+            if end is not None:
+                ids = np.append(ids, np.array([end], dtype=kind))
+            for at in range(0, len(ids), length):
+                piece = ids[at : at + length]
+                if len(piece) < length:
+                    held.append((doc_id, at, piece.copy()))
+                    continue
+                add([(doc_id, at, piece)])
+                yield from ready(BATCH)
+            if len(held) >= together:
+                close()
+                yield from ready(BATCH)
+    close()
+    yield from ready(0)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int | None = END, together: int = TOGETHER) -> DataFrame:
-    """Packed rows of the token ids of ``docs(doc_id, text)``.
+    """Packed rows of the token ids of ``docs(doc_id, text)``; nothing is shuffled.
 
     Each document is its ids and ``end`` (None: no end id; a text without ids is then left out, as it has
-    no token). One longer than ``length`` is split into whole rows' worth and a rest; nothing is dropped. About
-    ``together`` documents, by a hash of id and text, are packed at once, so a pack is the work of one task and
-    comes out alike on any cluster. Null texts are empty; repeated rows are packed as often as they occur.
+    no token). One longer than ``length`` is split into whole rows, which are full as they are, and a rest; nothing is dropped. A
+    task packs the rests of its own rows, ``together`` at a time, each shorter than a row: so its memory has a bound
+    whatever is in the table, and no key or group of copies meets in one task. Rows of a task that runs again
+    come out alike; which documents share a row depends on how the table is split into tasks. Null texts are
+    empty; repeated rows are packed as often as they occur; other columns are not read; an empty table gives no rows.
 
-    Returns pack, row (in the pack), n_tokens (the rest of the row is padding with 0), ids (little-endian
+    Returns pack (task and number in it), row (in the pack), n_tokens (the rest of the row is padding with 0), ids (little-endian
     uint16 or uint32 by the vocabulary, ``length`` of them), cu_seqlens (0 and the end of each segment),
-    positions (little-endian int32 for each id, from 0 in each segment; padding 0), doc_ids and starts (each segment's
+    positions (uint16 or uint32 by ``length``, reset to 0 at each segment; padding 0), doc_ids and starts (each segment's
     document and its first token's number in that).
     """
     path = path or vocabulary_path()
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding(path)
-        kind = _kind(max(own.n_vocab - 1, end or 0))
-        for b in batches:
-            ids = (np.array(own.encode_ordinary(t) + ([] if end is None else [end]), dtype=kind).tobytes() for t in b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["pack", "doc_id", "ids"])
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        docs_ids, blobs = group.column("doc_id").to_pylist(), group.column("ids").to_pylist()
-        kind = _kind(max(encoding(path).n_vocab - 1, end or 0))
-        order = sorted(range(len(blobs)), key=lambda k: (docs_ids[k] is None, docs_ids[k] or 0, blobs[k]))
-        arrays = [np.frombuffer(blobs[k], dtype=kind) for k in order]
-        pieces = [(k, at, min(at + length, len(a))) for k, a in enumerate(arrays) for at in range(0, len(a), length)]
-        rows = best_fit_decreasing(np.array([z - a for _, a, z in pieces], dtype=np.int64), length)
-        out = {name: [] for name in ("n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts")}
-        for row in rows:
-            line, place, ends = np.zeros(length, dtype=kind), np.zeros(length, dtype="<i4"), [0]
-            for item in row:
-                k, a, z = pieces[item]
-                at = ends[-1]
-                line[at : at + z - a] = arrays[k][a:z]
-                place[at : at + z - a] = np.arange(z - a)
-                ends.append(at + z - a)
-            out["n_tokens"].append(ends[-1])
-            out["ids"].append(line.tobytes())
-            out["cu_seqlens"].append(ends)
-            out["positions"].append(place.tobytes())
-            out["doc_ids"].append([docs_ids[order[pieces[i][0]]] for i in row])
-            out["starts"].append([pieces[i][1] for i in row])
-        head = {"pack": pa.array([group.column("pack")[0].as_py()] * len(rows), pa.int64()), "row": pa.array(range(len(rows)), pa.int32())}
-        kinds = {"n_tokens": pa.int32(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "positions": pa.binary(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int32())}
-        return pa.table(head | {n: pa.array(v, kinds[n]) for n, v in out.items()})
-
-    packs = max(1, -(-docs.count() // together))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", text_or_empty()), F.lit(packs)).alias("pack"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return mapped(rows, tokens, "pack long, doc_id long, ids binary").groupBy("pack").applyInArrow(pack, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack_batches(batches, path, length, end, together, TaskContext.get().partitionId())
+
+    return mapped(_rows(docs), run, SCHEMA)
+
+
+#: Files of a shard: what a row has in each, beside the two matrices.
+SHARD = ("ids", "positions", "cu_seqlens", "segments", "rows")
+MANIFEST = "shard string, rows long, bytes long"
+
+
+def write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes packed rows as one shard of binary files and tells of it; without rows there is none."""
+    from pyarrow import fs
+
+    task, streams, count, size = TaskContext.get(), [], 0, 0
+    # A task that runs again, or twice at once, writes other files; only those of the one that counts are told of.
+    shard = f"{task.partitionId():07d}-{task.taskAttemptId()}"
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if not streams:
+            system, base = fs.FileSystem.from_uri(folder)
+            system.create_dir(base, recursive=True)
+            streams = [system.open_output_stream(f"{base}/{shard}.{name}") for name in SHARD]
+        segments = [np.array([[i is not None, i or 0, s] for i, s in zip(ids, starts, strict=True)], dtype="<i8").tobytes() for ids, starts in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)]
+        parts = (
+            b.column(3).to_pylist(),
+            b.column(5).to_pylist(),
+            [np.array([len(c), *c], dtype="<i4").tobytes() for c in b.column(4).to_pylist()],
+            segments,
+            [np.array(r, dtype="<i8").tobytes() for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)],
+        )
+        for stream, values in zip(streams, parts, strict=True):
+            whole = b"".join(values)
+            stream.write(whole)
+            size += len(whole)
+        count += b.num_rows
+    for stream in streams:
+        stream.close()
+    if count:
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["shard", "rows", "bytes"])
+
+
+def write_binary(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes packed rows as binary shards, one for each task, into a folder that all executors reach; returns shard, rows, bytes.
+
+    ``<shard>.ids`` is the (rows, length) id matrix and ``<shard>.positions`` that of the positions; ``<shard>.cu_seqlens`` has for each
+    row the number of its entries and these, int32; ``<shard>.segments`` for each segment whether its document has an id,
+    the id and its first token's number, int64; ``<shard>.rows`` pack and row, int64. Only shards that are returned
+    count: files of attempts that were lost have other names and are named nowhere.
+    """
+    return mapped(rows, lambda batches: write_batches(batches, folder), MANIFEST)
 
 
-def _kind(largest: int) -> str:
-    return "<u2" if largest < 1 << 16 else "<u4"
+def write_packed(docs: DataFrame, folder: str, path: str | None = None, length: int = LENGTH, end: int | None = END, together: int = TOGETHER) -> DataFrame:
+    """``packed`` and ``write_binary`` in one pass: rows go from the packer to the files of a task without a way through the JVM."""
+    path = path or vocabulary_path()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return write_batches(pack_batches(batches, path, length, end, together, TaskContext.get().partitionId()), folder)
 
-def write_binary(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Writes packed rows as binary files of each pack into a folder that all executors share; returns pack, rows, bytes.
+    return mapped(_rows(docs), run, MANIFEST)
 
-    ``<pack>.ids`` is the (rows, length) id matrix, ``<pack>.positions`` the int32 positions, ``<pack>.cu_seqlens`` for each
-    row the number of its entries and these, int32. A file is written under another name and then renamed,
-    and its contents depend on the pack alone, so a task that runs again leaves the same files.
-    """
 
-    def write(group: pa.Table) -> pa.Table:
-        import os
+def read_binary(manifest: DataFrame, folder: str, path: str | None = None, length: int = LENGTH, end: int | None = END) -> DataFrame:
+    """The packed rows of the shards of ``manifest(shard, rows)``, read as they were written; no file is held whole."""
+    path = path or vocabulary_path()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        group = group.sort_by("row")
-        pack, size = group.column("pack")[0].as_py(), 0
-        cu = [np.array([len(c), *c], dtype="<i4").tobytes() for c in group.column("cu_seqlens").to_pylist()]
-        for name, parts in (("ids", group.column("ids").to_pylist()), ("positions", group.column("positions").to_pylist()), ("cu_seqlens", cu)):
-            own = f"{base}/.{pack}.{name}.{os.getpid()}"
-            with system.open_output_stream(own) as f:
-                for part in parts:
-                    f.write(part)
-                    size += len(part)
-            system.move(own, f"{base}/{pack}.{name}")
-        return pa.table({"pack": pa.array([pack], pa.int64()), "rows": pa.array([group.num_rows], pa.int64()), "bytes": pa.array([size], pa.int64())})
-
-    return rows.groupBy("pack").applyInArrow(write, "pack long, rows long, bytes long")
+        widths = [length * np.dtype(k).itemsize for k in _kinds(path, length, end)]
+        for b in batches:
+            for shard, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, places, cu, segments, at = (system.open_input_stream(f"{base}/{shard}.{name}") for name in SHARD)
+                for first in range(0, rows, BATCH):
+                    out = []
+                    for _ in range(min(BATCH, rows - first)):
+                        pack, row = np.frombuffer(at.read(16), "<i8").tolist()
+                        ends = np.frombuffer(cu.read(4 * int(np.frombuffer(cu.read(4), "<i4")[0])), "<i4").tolist()
+                        known = np.frombuffer(segments.read(24 * (len(ends) - 1)), "<i8").reshape(-1, 3).tolist()
+                        out.append((pack, row, ends[-1], ids.read(widths[0]), ends, places.read(widths[1]), [k[1] if k[0] else None for k in known], [k[2] for k in known]))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_KINDS.values())], names=list(_KINDS))
 
+    return mapped(manifest.select("shard", "rows"), run, SCHEMA)
 
-def query(spark, sf_dir: str) -> DataFrame:
-    """The packed rows with digests in place of the id and position matrices."""
-    p = packed(table(spark, sf_dir, "documents"))
-    return p.select("pack", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"), "cu_seqlens", "doc_ids", "starts")
 
+def query(spark, sf_dir: str) -> DataFrame:
+    """The packed rows with digests in place of the id and position matrices, of binary shards that were written to the shared folder and read again.
 
+    The shards are removed when the digests are made.
+    """
+    folder = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    # The manifest keeps a partition for each task, so shards are read by as many.
+    written = checkpointed(write_packed(table(spark, sf_dir, "documents"), folder))
+    p = read_binary(written, folder)
+    out = checkpointed(p.select("pack", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"), "cu_seqlens", "doc_ids", "starts"))
+    remove(spark, folder)
+    return out

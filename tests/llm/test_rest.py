@@ -48,6 +48,16 @@ def test_mixing(docs_of, weights, total):
     assert mixing.mixed(docs_of([]), weights).count() == 0
 
 
+def test_mixing_carries_texts(docs_of):
+    rows = [(None, None)] * 40 + [(None, "")] * 40 + [(k, f"{k} " * 50_000) for k in range(9)]
+    texts = dict(rows[80:])
+    got = mixing.replicated(docs_of(rows), {"s": 1.0}).collect()
+    assert all(r["text"] == texts[r["doc_id"]] if r["doc_id"] is not None else not r["text"] for r in got)
+    copies = Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] is None)
+    # Rows of a repeated id draw alike.
+    assert len(set(copies.values())) <= 1 and all(n % 40 == 0 for n in copies.values())
+
+
 def test_mixing_meets_the_target(docs_of):
     rows = [(k, "t", "big" if k % 10 else "small") for k in range(5000)]
     got = Counter(r["source"] for r in mixing.mixed(docs_of(rows), {"big": 1.0, "small": 1.0}).collect())
@@ -61,9 +71,11 @@ def plain_shard(key, weights):
     return min((-math.log(md5_uniform(f"{key}/{k}")) / w, k) for k, w in enumerate(weights) if w > 0)[1]
 
 
-def test_sharding(docs_of):
+@pytest.mark.parametrize("equal", [7, 100_000])
+def test_sharding(docs_of, equal):
     rows = [(k, "ü" * (k % 7)) for k in range(400)] + [(3, "üüü"), (3, "üüü"), (None, None), (9, None)]
-    got = sharding.placed(docs_of(rows).withColumn("shard", F.lit(1)).withColumn("best", F.lit(2))).collect()
+    rows += [(12, "a hot row")] * 150 + [(None, f"of no id {k}") for k in range(60)] + [(7, "long " * 200_000)]
+    got = sharding.placed(docs_of(rows).withColumn("shard", F.lit(1)).withColumn("best", F.lit(2)).withColumn("rows", F.lit(3)), equal=equal).collect()
     key = lambda i: "null" if i is None else str(i)
     want = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "key", plain_shard(key(i), [1] * 16), plain_shard(key(i), [1] * 17)) for i, t in rows), key=repr)
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got), key=repr) == want
@@ -276,22 +288,15 @@ def test_best_fit_decreasing(seed):
     assert sorted(k for row in got for k in row) == list(range(300))
 
 
-def test_packing(docs_of, tmp_path):
-    rows = [(k, f"Some text {k} " * (k % 40)) for k in range(150)] + [(1000, "long " * 3000), (1001, None), (None, "no id"), (5, "twice"), (5, "twice")]
-    length = 256
-    p = packing.packed(docs_of(rows).withColumn("ids", F.lit(1)).withColumn("pack", F.lit(2)), length=length, together=50).cache()
-    own = packing.encoding(packing.vocabulary_path())
-    parts = {}
-    for r in p.collect():
-        ids, place, cu = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["positions"], "<i4"), r["cu_seqlens"]
+def packed_texts(rows, length):
+    """(doc_id, ids) of each document, put together again from its pieces; every row's own invariants hold."""
+    parts, got = {}, Counter()
+    for r in rows:
+        ids, place, cu = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["positions"], "<u2"), r["cu_seqlens"]
         assert len(ids) == len(place) == length and cu[-1] == r["n_tokens"] and not ids[cu[-1] :].any() and not place[cu[-1] :].any()
         for k, (a, z) in enumerate(zip(cu, cu[1:], strict=False)):
             assert place[a:z].tolist() == list(range(z - a))
             parts.setdefault(r["doc_ids"][k], []).append((r["starts"][k], ids[a:z].tolist()))
-    want = Counter()
-    for i, t in rows:
-        want[i, tuple(own.encode_ordinary(t or "") + [packing.END])] += 1
-    got = Counter()
     for i, segments in parts.items():
         segments.sort()
         while segments:  # from each start on, pieces follow each other
@@ -301,15 +306,48 @@ def test_packing(docs_of, tmp_path):
                 at = next(k for k, s in enumerate(segments) if s[0] == len(whole))
                 whole = whole + segments.pop(at)[1]
             got[i, tuple(whole)] += 1
-    assert got == want
-    used = p.agg(F.sum("n_tokens") / F.count("*") / length).first()[0]
-    assert used > 0.9
-    done = packing.write_binary(p, f"file://{tmp_path}/bin", length).collect()
-    for r in done:
-        matrix = np.fromfile(tmp_path / "bin" / f"{r['pack']}.ids", "<u2").reshape(-1, length)
-        assert len(matrix) == r["rows"] and [m.tobytes() for m in matrix] == [x["ids"] for x in p.where(F.col("pack") == r["pack"]).orderBy("row").collect()]
-    assert not [f for f in (tmp_path / "bin").iterdir() if f.name.startswith(".")]
-    assert packing.packed(docs_of([])).count() == 0
+    return got
+
+
+def test_packing(docs_of, tmp_path):
+    rows = [(k, f"Some text {k} " * (k % 40)) for k in range(150)] + [(1000, "long " * 3000), (1001, None), (None, "no id"), (5, "twice"), (5, "twice")]
+    length = 256
+    d = docs_of(rows).withColumn("ids", F.lit(1)).withColumn("pack", F.lit(2)).coalesce(1)
+    p = packing.packed(d, length=length, together=50).cache()
+    own = packing.encoding(packing.vocabulary_path())
+    found = p.collect()
+    want = Counter((i, tuple(own.encode_ordinary(t or "") + [packing.END])) for i, t in rows)
+    assert packed_texts(found, length) == want
+    assert sum(r["n_tokens"] for r in found) / len(found) / length > 0.9
+    assert sorted((r["pack"], r["row"]) for r in found) == sorted({(r["pack"], r["row"]) for r in found})
+    for manifest in (packing.write_binary(p, f"file://{tmp_path}/a").cache(), packing.write_packed(d, f"file://{tmp_path}/a", length=length, together=50).cache()):
+        for r in manifest.collect():
+            matrix = np.fromfile(tmp_path / "a" / f"{r['shard']}.ids", "<u2").reshape(-1, length)
+            assert [m.tobytes() for m in matrix] == [x["ids"] for x in found] and len(matrix) == r["rows"]
+        again = packing.read_binary(manifest, f"file://{tmp_path}/a", length=length).collect()
+        assert sorted(again) == sorted(found) and len(again) == len(found)
+    none = docs_of([])
+    assert packing.packed(none).count() == packing.write_packed(none, f"file://{tmp_path}/none").count() == 0
+
+
+def test_equal_rows_stay_in_bounded_packs(docs_of):
+    rows = packing.packed(docs_of([(1, "the same words again and again " * 40)] * 5000 + [(2, "w " * 300_000)]), together=100).collect()
+    held = Counter()
+    for r in rows:
+        if r["n_tokens"] < packing.LENGTH or len(r["doc_ids"]) > 1:
+            held[r["pack"]] += len(r["doc_ids"])
+    assert max(held.values()) <= 101 and sum(r["doc_ids"].count(1) for r in rows) == 5000
+
+
+def test_packing_query(spark, small):
+    found = packing.query(spark, small).collect()
+    p = packing.packed(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    key = lambda r: (r["pack"], r["row"])
+    assert [(key(r), r["ids_sha256"], r["positions_sha256"], r["cu_seqlens"], r["doc_ids"], r["starts"]) for r in sorted(found, key=key)] == [(key(r), sha(r["ids"]), sha(r["positions"]), r["cu_seqlens"], r["doc_ids"], r["starts"]) for r in sorted(p, key=key)]
+    own = packing.encoding(packing.vocabulary_path())
+    want = Counter((r["doc_id"], tuple(own.encode_ordinary(r["text"] or "") + [packing.END])) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    assert packed_texts(p, packing.LENGTH) == want
 
 
 def test_decoding_gives_the_text_back(docs_of):
