@@ -19,8 +19,11 @@ MAX_DOCS, MAX_CHARS = 12_000, 60_000_000
 #: Features: prefixes of these lengths beside whole words; most kept, least share of toxic documents, toxic documents that hold one
 #: (a twentieth of all of them, 2 at least, where there are fewer).
 PREFIXES, MAX_FEATURES, LEAST_SHARE, LEAST_DOCS = (4, 5, 6), 20_000, 0.4, 4
-#: Training: steps, rate, weight decay.
-STEPS, RATE, DECAY = 500, 0.15, 1e-5
+#: Training: steps, rate, weight decay, bias to start from.
+STEPS, RATE, DECAY, BIAS = 500, 0.15, 1e-4, -7.0
+#: Calibration: folds of the training rows, the share of their clean documents that may be rejected out of fold, and the
+#: range of the probability from which a document is rejected.
+FOLDS, FALSE_ALARMS, CUTS = 5, 0.0075, (0.05, 0.5)
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -32,11 +35,12 @@ def features(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """Weights of features and the bias of a sentence; ``prior`` is the score where nothing could be learnt."""
+    """Weights of features and the bias of a sentence; ``prior`` is the score where nothing could be learnt, ``cut`` the noisy-or that scores 0.5."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -12.0
     prior: float | None = None
+    cut: float = 0.5
     memo: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def word(self, word: str) -> float:
@@ -58,7 +62,7 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        """Noisy-or of the sentences of a text; that of one clean sentence if it has none."""
+        """Noisy-or of the sentences of a text (of one clean sentence if it has none), its log odds less those of ``cut``."""
         if self.prior is not None:
             return self.prior
         z, clean, word, memo = [], 0, self.word, self.memo.get
@@ -76,83 +80,170 @@ class Model:
                 clean += 1
         z = self.bias + np.array(z + [0.0] * (not z and not clean))
         log_clean = -np.logaddexp(0, z).sum() - clean * np.logaddexp(0, self.bias)
-        return float(min(1.0, max(0.0, -np.expm1(log_clean))))
+        return calibrated(float(-np.expm1(log_clean)), self.cut)
 
 
-def fit(samples: Iterable[tuple[str, int]]) -> Model:
-    """Learns from (text, document label) alone; one class only gives its smoothed share as the score of every text.
+def calibrated(probability: float, cut: float) -> float:
+    """A probability with its log odds moved so that ``cut`` becomes one half."""
+    p = min(1.0, max(0.0, probability))
+    return p if cut == 0.5 else p * (1 - cut) / (p * (1 - cut) + (1 - p) * cut)
+
+
+class Sample:
+    """Labelled documents as numbers: words of sentences, sentences of documents, features of words.
 
     Texts are kept as numbers of words, so memory follows the number of words rather than of strings.
     """
-    words: dict[str, int] = {}
-    flat, sentence_sizes, doc_sentences, labels = array("i"), array("i"), array("i"), []
-    for text, label in samples:
-        count = 0
-        for s in _SENTENCE.split(text.lower()):
-            if found := set(_WORD.findall(s)):
-                flat.extend([words.setdefault(w, len(words)) for w in found])
-                sentence_sizes.append(len(found))
-                count += 1
-        doc_sentences.append(count)
-        labels.append(label)
-    y = np.array(labels, dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Model(prior=float((y.sum() + 0.5) / (len(y) + 2)) if len(y) else 0.0)
-    flat, docs = np.array(flat, dtype=np.int32), len(y)
-    sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
-    owner_of = np.repeat(np.arange(docs, dtype=np.int32), doc_sentences)
-
-    # Features of each word, by number; -1 where a word is too short for a prefix.
-    numbers: dict[str, int] = {}
-    table_ = np.full((len(words), 1 + len(PREFIXES)), -1, dtype=np.int32)
-    for w, k in words.items():
-        own = features(w)
-        table_[k, : len(own)] = [numbers.setdefault(f, len(numbers)) for f in own]
-    del words
-
-    every, bad = np.zeros(len(numbers)), np.zeros(len(numbers))
-    bounds = np.searchsorted(owner_of[sentence], np.arange(docs + 1))
-    for d in range(docs):
-        own = np.unique(table_[np.unique(flat[bounds[d] : bounds[d + 1]])])
-        own = own[own >= 0]
-        every[own] += 1
-        bad[own] += y[d]
-    base = y.mean()
+
+    def __init__(self, samples: Iterable[tuple[str, int]]):
+        words: dict[str, int] = {}
+        flat, sizes, counts, labels = array("i"), array("i"), array("i"), []
+        for text, label in samples:
+            count = 0
+            for s in _SENTENCE.split(text.lower()):
+                if found := set(_WORD.findall(s)):
+                    flat.extend([words.setdefault(w, len(words)) for w in found])
+                    sizes.append(len(found))
+                    count += 1
+            counts.append(count)
+            labels.append(label)
+        self.y = np.array(labels, dtype=float)
+        self.flat = np.array(flat, dtype=np.int32)
+        #: Sentence of each word, document of each sentence, sentences of each document.
+        self.sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.counts = np.array(counts, dtype=np.int64)
+        # Features of each word, by number; -1 where a word is too short for a prefix.
+        self.numbers: dict[str, int] = {}
+        self.table = np.full((len(words), 1 + len(PREFIXES)), -1, dtype=np.int32)
+        for w, k in words.items():
+            own = features(w)
+            self.table[k, : len(own)] = [self.numbers.setdefault(f, len(self.numbers)) for f in own]
+
+    def held_by(self, folds: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many documents of each fold hold each feature, and how many toxic ones."""
+        every, bad = (np.zeros((folds, len(self.numbers)), dtype=np.int32) for _ in range(2))
+        bounds = np.searchsorted(self.owner[self.sentence], np.arange(len(self.y) + 1))
+        for d in range(len(self.y)):
+            own = np.unique(self.table[np.unique(self.flat[bounds[d] : bounds[d + 1]])])
+            own = own[own >= 0]
+            every[d % folds, own] += 1
+            if self.y[d]:
+                bad[d % folds, own] += 1
+        return every, bad
+
+
+class Fit:
+    """The likelihood of document labels by the chosen features; documents whose ``use`` is 0 are carried but not learnt from."""
+
+    def __init__(self, sample: Sample, chosen: np.ndarray, use: np.ndarray):
+        place = np.full(len(sample.numbers) + 1, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        held, item = [], []
+        for c in range(sample.table.shape[1]):
+            f = place[sample.table[sample.flat, c]]
+            hit = np.flatnonzero(f >= 0)
+            held.append(sample.sentence[hit])
+            item.append(f[hit])
+        # A feature counts in a sentence for each of its different words, as in a score.
+        held, self.item = np.concatenate(held), np.concatenate(item)
+        marked, self.held = np.unique(held, return_inverse=True)
+        self.owner, self.docs = sample.owner[marked], len(sample.y)
+        self.clean = sample.counts - np.bincount(self.owner, minlength=self.docs)
+        self.y, self.use, self.size = sample.y, use.astype(float), len(chosen)
+        self.share = np.bincount(self.item, minlength=self.size)
+
+    def toxic(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """z of each sentence that holds a feature, and the noisy-or of each document."""
+        z = b + np.bincount(self.held, weights=w[self.item], minlength=len(self.owner))
+        log_clean = -np.bincount(self.owner, weights=np.logaddexp(0, z), minlength=self.docs) - self.clean * np.logaddexp(0, b)
+        return z, np.clip(-np.expm1(log_clean), 1e-9, 1 - 1e-9)
+
+    def loss(self, w: np.ndarray, b: float) -> float:
+        _, toxic = self.toxic(w, b)
+        likely = np.where(self.y > 0, np.log(toxic), np.log1p(-toxic))
+        return float(-(self.use * likely).sum() / self.use.sum() + DECAY / 2 * (w * w).sum())
+
+    def gradient(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        z, toxic = self.toxic(w, b)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        # The negative log likelihood grows with a sentence's z by its p in a clean document, by -p (1 - P) / P in a toxic one.
+        g = self.use * np.where(self.y > 0, -(1 - toxic) / toxic, 1.0)
+        gz, n = p * g[self.owner], self.use.sum()
+        return np.bincount(self.item, weights=gz[self.held], minlength=self.size) / n + DECAY * w, float((gz.sum() + (self.clean * g).sum() * p0) / n)
+
+    def run(self, start: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights and bias after ``STEPS`` steps by moments of the gradient."""
+        x, m, v = np.append(start, BIAS), np.zeros(self.size + 1), np.zeros(self.size + 1)
+        for step in range(1, STEPS + 1):
+            grad = np.append(*self.gradient(x[:-1], x[-1]))
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        return x[:-1], float(x[-1])
+
+
+def choose(every: np.ndarray, bad: np.ndarray, toxic: float, base: float) -> np.ndarray:
+    """Features that hold enough evidence, the strongest first."""
     # One chance occurrence in a clean document is added to each, so that rare words need more evidence.
     share = bad / (every + 1)
     evidence = bad * np.log(np.maximum(share, 1e-9) / base)
     # Twice the base rate, or half the way from it to one where that is less: a share never reaches one.
-    chosen = np.flatnonzero((share >= max(LEAST_SHARE, min(2 * base, (1 + base) / 2))) & (bad >= min(LEAST_DOCS, max(2, y.sum() / 20))))
-    chosen = chosen[np.argsort(-evidence[chosen], kind="stable")[:MAX_FEATURES]]
-    place = np.full(len(numbers) + 1, -1, dtype=np.int32)
+    chosen = np.flatnonzero((share >= max(LEAST_SHARE, min(2 * base, (1 + base) / 2))) & (bad >= min(LEAST_DOCS, max(2, toxic / 20))))
+    return chosen[np.argsort(-evidence[chosen], kind="stable")[:MAX_FEATURES]]
+
+
+def _learnt(sample: Sample, every: np.ndarray, bad: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Chosen features, their weights, the bias and the noisy-or of all documents, learnt from those that ``use`` marks."""
+    toxic = float(sample.y[use].sum())
+    chosen = choose(every, bad, toxic, toxic / use.sum())
+    fit_ = Fit(sample, chosen, use)
+    # Training starts where a word's features share the log odds of the documents that hold them.
+    odds = np.clip(np.log((bad[chosen] + 0.5) / (every[chosen] - bad[chosen] + 0.5)), -3, 5)
+    known = np.isin(sample.table, chosen).sum(axis=1)[sample.flat]
+    place = np.full(len(sample.numbers) + 1, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    pairs = []
-    for c in range(table_.shape[1]):
-        f = place[table_[flat, c]]
-        hit = np.flatnonzero(f >= 0)
-        pairs.append(sentence[hit].astype(np.int64) * max(1, len(chosen)) + f[hit])
-    pairs = np.unique(np.concatenate(pairs))
-    held, item = pairs // max(1, len(chosen)), pairs % max(1, len(chosen))
-    marked, held = np.unique(held, return_inverse=True)
-    owner = owner_of[marked]
-    clean = np.array(doc_sentences) - np.bincount(owner, minlength=docs)
-
-    w, b = np.full(len(chosen), 0.5), -7.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, STEPS + 1):
-        z = b + np.bincount(held, weights=w[item], minlength=len(owner))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        log_clean = -np.bincount(owner, weights=np.logaddexp(0, z), minlength=docs) - clean * np.logaddexp(0, b)
-        toxic = np.clip(-np.expm1(log_clean), 1e-9, 1 - 1e-9)
-        # The negative log likelihood grows with a sentence's z by its p in a clean document, by -p (1 - P) / P in a toxic one.
-        g = np.where(y > 0, -(1 - toxic) / toxic, 1.0)
-        gz = p * g[owner]
-        grad = np.append(np.bincount(item, weights=gz[held], minlength=len(chosen)) / docs + DECAY * w, (gz.sum() + (clean * g).sum() * p0) / docs)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    names = {k: f for f, k in numbers.items() if place[k] >= 0}
-    return Model({names[k]: float(w[place[k]]) for k in chosen.tolist()}, float(b))
+    beside = np.zeros(len(chosen))
+    for c in range(sample.table.shape[1]):
+        f = place[sample.table[sample.flat, c]]
+        hit = f >= 0
+        beside += np.bincount(f[hit], weights=known[hit], minlength=len(chosen))
+    w, b = fit_.run((odds - BIAS) / np.maximum(beside / np.maximum(fit_.share, 1), 1))
+    return chosen, w, b, fit_.toxic(w, b)[1]
+
+
+def cut_of(sample: Sample, every: np.ndarray, bad: np.ndarray) -> float:
+    """The noisy-or from which a document is rejected: that of the best F-score out of fold, where recall counts twice as much as precision.
+
+    It rejects no more than ``FALSE_ALARMS`` of the clean documents out of fold and stays within ``CUTS``; where none does, or there are too few
+    documents for the folds, it is one half.
+    """
+    if sample.y.sum() < 4 * FOLDS or (1 - sample.y).sum() < 4 * FOLDS:
+        return CUTS[1]
+    out, fold = np.zeros(len(sample.y)), np.arange(len(sample.y)) % FOLDS
+    for k in range(FOLDS):
+        others = [j for j in range(FOLDS) if j != k]
+        out[fold == k] = _learnt(sample, every[others].sum(axis=0), bad[others].sum(axis=0), fold != k)[3][fold == k]
+    # Rejected documents from the highest noisy-or down; those of equal ones go together.
+    order = np.argsort(-out, kind="stable")
+    caught, alarms = np.cumsum(sample.y[order]), np.cumsum(1 - sample.y[order])
+    able = np.append(np.diff(out[order]) < 0, True) & (out[order] >= CUTS[0]) & (out[order] <= CUTS[1]) & (alarms <= FALSE_ALARMS * (1 - sample.y).sum())
+    if not able.any():
+        return CUTS[1]
+    worth = np.where(able, 5 * caught / (5 * caught + 4 * (sample.y.sum() - caught) + alarms), -1.0)
+    return float(out[order][int(np.argmax(worth))])
+
+
+def fit(samples: Iterable[tuple[str, int]]) -> Model:
+    """Learns from (text, document label) alone; one class only gives its smoothed share as the score of every text."""
+    sample = Sample(samples)
+    y = sample.y
+    if not len(y) or y.min() == y.max():
+        return Model(prior=float((y.sum() + 0.5) / (len(y) + 2)) if len(y) else 0.0)
+    every, bad = sample.held_by(FOLDS)
+    cut = cut_of(sample, every, bad)
+    chosen, w, b, _ = _learnt(sample, every.sum(axis=0), bad.sum(axis=0), np.ones(len(y), dtype=bool))
+    place = {int(f): k for k, f in enumerate(chosen)}
+    return Model({f: float(w[place[n]]) for f, n in sample.numbers.items() if n in place}, b, cut=cut)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,7 +292,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, sentence_no, sentence, score) of sentences whose own probability is at least ``least``: where a document offends.
 
-    sentence_no counts sentences with a word from 0. Of a document that only the noisy-or of several sentences
+    A sentence's probability is its own, before the calibration of documents; sentence_no counts sentences with a word from 0. Of a document that only the noisy-or of several sentences
     rejects, its worst sentence is given, with its lower score; documents that are not rejected have no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,7 +323,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score is 0.5 or more; every column stays."""
+    """``docs`` without those whose score is 0.5 or more.
+
+    Every column stays as it is, whatever its name; null texts count as empty and stay null, repeated rows stay or go
+    together, long texts are scored whole. Labels of ids that are not in ``docs`` say nothing; without labels all stay. An empty
+    table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
