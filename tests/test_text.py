@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from oracle import rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
@@ -76,53 +77,66 @@ def test_speaker_lines(spark):
             assert (r["redner"], r["rolle"], r["fraktion"]) == who
 
 
-def hard(sentences, most=2400):
-    out = []
-    for s in sentences:
-        while len(s) > most:
-            at = s.rfind(" ", 0, most)
-            at = most if at < most // 2 else at
-            out.append(s[:at])
-            s = s[at:].lstrip()
-        out += [s] if s else []
-    return out
-
-
-def packed(pieces, target=1200, overlap=200, least=120):
-    """A plain fold over pieces, with its own state."""
-    done, held = [], ""
-    for p in filter(None, (x.strip() for x in pieces)):
-        if len(p) > 1.6 * target:
-            done += [held] if held else []
-            held, tail = "", ""
-            for s in hard(re.split(r"(?<=[.!?])\s+", p)):
-                if tail and len(tail) + 1 + len(s) > target:
-                    done.append(tail.strip())
-                    tail = tail[-overlap:].lstrip()
-                tail = (tail + " " + s).strip()
-            done += [tail] if tail else []
-        elif held and len(held) + 2 + len(p) <= target:
-            held += "\n\n" + p
-        else:
-            done += [held] if held else []
-            held = p
-    return [c for c in done + ([held] if held else []) if len(c) >= least]
-
-
-def pieces(seed):
-    r = random.Random(seed)
-    out = []
-    for _ in range(r.randrange(1, 7)):
-        kind = r.randrange(4)
-        words = [("x" * r.randrange(1, 12)) + r.choice(["", "", "", ".", "!"]) for _ in range(r.randrange(1, 500))]
-        out.append({0: " ".join(words), 1: "y" * r.randrange(1, 6000), 2: " ".join(words[:20]), 3: "  "}[kind])
-    return out
-
-
-def test_pack(spark):
-    cases = [pieces(k) for k in range(60)] + [[], [""], ["a" * 2500]]
-    assert one(spark, cases, S.pack(F.col("s")), "s array<string>") == [packed(c) for c in cases]
-    assert [len(x) for x in hard(["z" * 2500])] == [2400, 100]
+def numbered(r, first, chars, ends=True, gap=" "):
+    """A piece of about so many characters whose words carry numbers from ``first`` on; the next number."""
+    words, size = [], 0
+    while size < chars:
+        words.append(f"w{first:06d}x" + (r.choice([".", "!", "", "", ""]) if ends else ""))
+        size, first = size + len(words[-1]) + len(gap), first + 1
+    return gap.join(words), first
+
+
+def numbers(text):
+    return [int(n) for n in re.findall(r"w(\d{6})x", text)]
+
+
+@pytest.mark.parametrize("ends", [True, False])
+def test_what_packing_keeps(spark, ends):
+    """Least and greatest sizes, order, all words whole, and overlaps that end the chunk before."""
+    r, cases, counts = random.Random(7), [], []
+    for _ in range(40):
+        first, ps = 0, []
+        for _ in range(r.randrange(1, 8)):
+            piece, first = numbered(r, first, r.choice([130, 400, 1100, 1900, 2500, 9000]), ends)
+            ps.append(r.choice(["", "  ", " \n"]) + piece + r.choice(["", " "]))
+        cases.append(ps)
+        counts.append(first)
+    longest = S.LONG_SENTENCE + S.CHUNK_OVERLAP + 1
+    for ps, count, chunks in zip(cases, counts, one(spark, cases, S.pack(F.col("s")), "s array<string>"), strict=True):
+        assert all(S.CHUNK_MIN <= len(c) <= longest and c == c.strip() for c in chunks)
+        # Above the target: a whole short piece, or one sentence with what leads to it.
+        assert all(len(c) <= S.LONG_PIECE or not ends for c in chunks)
+        seen = -1
+        for before, c in zip(["", *chunks], chunks, strict=False):
+            own = numbers(c)
+            assert own == list(range(own[0], own[-1] + 1))
+            lead = [n for n in own if n <= seen]
+            assert lead == numbers(before)[len(numbers(before)) - len(lead) :] and sum(len(f"w{n:06d}x ") for n in lead) <= S.CHUNK_OVERLAP + 8
+            assert own[-1] > seen and own[len(lead)] == seen + 1
+            seen = own[-1]
+        assert seen == count - 1
+
+
+def test_packing_by_hand(spark):
+    a, b, c = "a" * 598, "b" * 600, "c" * 601
+    ten = ["x" * 99 + "." for _ in range(10)]
+    cases = [
+        ([], []),
+        (["", "  "], []),
+        (["a" * 119], []),
+        (["a" * 120], ["a" * 120]),
+        ([a, b], [f"{a}\n\n{b}"]),
+        ([a, c], [a, c]),
+        ([a, "", b, "d" * 120], [f"{a}\n\n{b}", "d" * 120]),
+        (["p" * 1920], ["p" * 1920]),
+        # Ten sentences of 100 with spaces between are 1009 characters; the twelfth would pass 1200.
+        ([" ".join(ten + ten)], [" ".join(ten + ten[:1]), "x" * 98 + ". " + "x" * 99 + ". " + " ".join(ten[:9])]),
+        ([a, " ".join(ten * 2), b], [a, " ".join(ten + ten[:1]), "x" * 98 + ". " + "x" * 99 + ". " + " ".join(ten[:9]), b]),
+        (["z" * 2500], ["z" * 2400, "z" * 200 + " " + "z" * 100]),
+    ]
+    assert one(spark, [x for x, _ in cases], S.pack(F.col("s")), "s array<string>") == [y for _, y in cases]
+    cut = one(spark, [["z" * 2500], ["k " * 1500], ["s" * 1200 + " " + "t" * 1300], ["s" * 1199 + " " + "t" * 1300], [""]], S.hard_split(F.col("s")), "s array<string>")
+    assert [[len(x) for x in parts] for parts in cut] == [[2400, 100], [2399, 600], [1200, 1300], [2400, 100], []]
 
 
 def test_segment_by_kind(spark):
@@ -147,32 +161,21 @@ def test_fold(spark):
     assert one(spark, ["Müller ÉLAN ñandú groß"], T.fold(F.col("s"))) == ["muller elan nandu groß"]
 
 
-def long_table(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    return str(tmp_path)
-
+LONG_TEXTS = [(1, "Ein Satz mit Wort. " * 150 + "Ende"), (2, "kurz " * 30 + "\n" + "y" * 5000 + "\n" + "z" * 130), (3, "wort " * 700 + ". Und mehr. " * 40), (4, "zu kurz"), (5, None), (6, ""), (7, "a\n" * 90 + "b" * 1921 + "\n" + "Ja! " * 800)]
 
-def packed_by(name, spark, folder):
-    out = {}
-    for r in sorted(load()[name].run(spark, folder).collect(), key=lambda r: (r["doc_id"], r["position"])):
-        out.setdefault(r["doc_id"], []).append(r["text"])
-    return out
 
+@pytest.mark.parametrize("name", ["pack_chunks", "pack_sentences", "segment_papers"])
+def test_long_texts_by_sql(spark, tmp_path, name):
+    """Long lines, overlong sentences and empty texts, which the test tables lack, by the query's own SQL."""
+    import duckdb
 
-LONG_TEXTS = [(1, "Ein Satz mit Wort. " * 150 + "Ende"), (2, "kurz " * 30 + "\n" + "y" * 5000 + "\n" + "z" * 130), (3, "wort " * 700 + ". Und mehr. " * 40), (4, "zu kurz"), (5, None)]
-
-
-def test_whole_lines_are_packed(spark, tmp_path, small):
-    want = {k: c for k, t in LONG_TEXTS if t and (c := packed(t.split("\n")))}
-    assert packed_by("pack_chunks_whole", spark, long_table(spark, tmp_path, LONG_TEXTS)) == want
-    assert any(c[-1].endswith("Ende") for c in want.values())
-    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
-    assert packed_by("pack_chunks_whole", spark, small) == {r["doc_id"]: c for r in docs if r["text"] and (c := packed(r["text"].split("\n")))}
-
-
-def test_all_documents_are_packed(spark, tmp_path, small):
-    flat = lambda t: t.replace("\n", " ").replace("  ", " ").strip(" ")
-    want = {k: c for k, t in LONG_TEXTS if t and (c := packed([flat(t)]))}
-    assert packed_by("pack_sentences_whole", spark, long_table(spark, tmp_path, LONG_TEXTS)) == want and set(want) == {1, 2, 3}
-    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
-    assert packed_by("pack_sentences_whole", spark, small) == {r["doc_id"]: c for r in docs if r["text"] and (c := packed([flat(r["text"])]))}
+    r, rows = random.Random(3), list(LONG_TEXTS)
+    for k in range(60):
+        parts = [numbered(r, 0, r.choice([20, 200, 900, 1300, 3000, 6000]), r.random() < 0.7, r.choice([" ", " ", "  "]))[0] for _ in range(r.randrange(1, 6))]
+        rows.append((100 + k, r.choice(["\n", "\n\n", ".\n\n\n"]).join(parts)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    q = load()[name]
+    got = rows_of(q.run(spark, str(tmp_path)))
+    assert got == rows_of_sql(con, q.sql) and len({x[0] for x in got[1]}) > 50
