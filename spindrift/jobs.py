@@ -39,8 +39,7 @@ def build(spark: SparkSession, raw: str, store: str, force: bool = False) -> Non
     after = maintenance.upsert(_documents(spark, store), new.drop("text"))
     cut = after.where("changed" if not force else "true").select("id").join(new.select("id", "dokumentart", "text"), "id").where("text <> ''")
     pieces = segment.segment(cut.withColumnRenamed("id", "document_id"))
-    # A document has fewer chunks than this, so ids are stable and need no counter.
-    pieces = pieces.withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("position"))
+    pieces = pieces.withColumn("chunk_id", segment.chunk_id(F.col("document_id"), F.col("position")))
     pieces = pieces.select("chunk_id", "document_id", F.col("position").cast("int").alias("position"), "text", "redner", "rolle", "fraktion")
     stored = tables.load(spark, f"{store}/chunks")
     if stored is None:
@@ -52,7 +51,7 @@ def build(spark: SparkSession, raw: str, store: str, force: bool = False) -> Non
     tables.replace(joined.drop("changed", "cut_id"), f"{store}/documents")
     vectors = tables.load(spark, f"{store}/vectors")
     if vectors is not None:  # vectors of replaced chunks go with them
-        tables.replace(vectors.join(done, (vectors.chunk_id / 1_000_000).cast("long") == done.cut_id, "left_anti"), f"{store}/vectors")
+        tables.replace(vectors.join(done, segment.document_of(vectors.chunk_id) == done.cut_id, "left_anti"), f"{store}/vectors")
 
 
 def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None) -> None:

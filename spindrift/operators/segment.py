@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, normalize, prepare, reflow, split_paragraphs, split_sentences, strip
-from ..profiles import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
+from ..profiles import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_PLACES, CHUNK_TARGET
 
 # The roles that a speaker line names, and what an agenda line starts with.
 ROLES_BEFORE = r"(?:Alterspr|Pr)äsident(?:in)?|Vizepräsident(?:in)?|Bundeskanzler(?:in)?|Bundesminister(?:in)?"
@@ -27,6 +27,17 @@ SPEAKER = (
 LONG_PIECE, LONG_SENTENCE = int(CHUNK_TARGET * 1.6), 2 * CHUNK_TARGET
 
 
+def chunk_id(document: Column, position: Column) -> Column:
+    """A chunk's id by its document and place: stable, and needs no counter. A place beyond ``CHUNK_PLACES`` is an error, not another document's id."""
+    lost = F.raise_error(F.concat(F.lit("too many chunks: document "), document.cast("string"))).cast("long")
+    return F.when(position < CHUNK_PLACES, document.cast("long") * CHUNK_PLACES + position).otherwise(lost)
+
+
+def document_of(chunk: Column) -> Column:
+    """The document of a chunk's id, by whole numbers."""
+    return F.call_function("div", chunk - F.pmod(chunk, F.lit(CHUNK_PLACES)), F.lit(CHUNK_PLACES))
+
+
 def hard_split(sentences: Column) -> Column:
     """Cuts sentences of more than ``LONG_SENTENCE`` characters at the last space in reach, else right there."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
+from ..operators.segment import chunk_id
+from ..profiles import CHUNK_PLACES
 from ..sources.tables import read
 from .catalogue import query
 
@@ -134,22 +136,11 @@ def resume_after_max(spark, sf):
 
 @query("embed_priority_queue", f"""with {_LINES_SQL},
 g as (select document_id, count(*) as n from lines group by document_id)
-select document_id * 100000 + position as chunk_id, (case when lang = 'de' then 0 when n < 8 then 1 else 2 end)::int as prioritaet
-from lines join g using (document_id) join documents on doc_id = document_id where position % 4 <> 0 order by 2, 1 limit 500""")
-def embed_priority_queue(spark, sf):
-    c = _lines(spark, sf).withColumn("chunk_id", F.col("document_id") * 100_000 + F.col("position"))
-    done = c.where("position % 4 = 0").select("chunk_id")
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "Plenarprotokoll").otherwise("Drucksache").alias("dokumentart"))
-    return M.embed_queue(c, d, done, 500, small=8)
-
-
-@query("embed_queue_whole", f"""with {_LINES_SQL},
-g as (select document_id, count(*) as n from lines group by document_id)
-select document_id * 100000 + position as chunk_id, (case when lang = 'de' then 0 when n < 8 then 1 else 2 end)::int as prioritaet
+select document_id * {CHUNK_PLACES} + position as chunk_id, (case when lang = 'de' then 0 when n < 8 then 1 else 2 end)::int as prioritaet
 from lines join g using (document_id) join documents on doc_id = document_id where position % 4 <> 0""")
-def embed_queue_whole(spark, sf):
-    """``embed_priority_queue`` without a limit."""
-    c = _lines(spark, sf).withColumn("chunk_id", F.col("document_id") * 100_000 + F.col("position"))
+def embed_priority_queue(spark, sf):
+    """The whole queue; a limit is an option of the job."""
+    c = _lines(spark, sf).withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("position")))
     done = c.where("position % 4 = 0").select("chunk_id")
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "Plenarprotokoll").otherwise("Drucksache").alias("dokumentart"))
     return M.embed_queue(c, d, done, small=8)

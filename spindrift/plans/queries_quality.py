@@ -111,50 +111,23 @@ def history_dedupe(spark, sf):
     return A.history(rows, ["nutzer"]).select("nutzer", "id", "frage", "platz")
 
 
-# ---- evaluation: questions are vectors, a question's targets are vectors of its label among the first hundred
+# ---- evaluation: questions are vectors, a question's targets are all other vectors of its label
 
 _K = 20
 _COS = "1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double))))"
-_EVAL_SQL = f"""ranked as (select a.vec_id as frage_id, b.vec_id as dokument, row_number() over (partition by a.vec_id order by round({_COS}, 9), b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 25 = 0 and a.vec_id <> b.vec_id),
-ziele as (select a.vec_id as frage_id, b.vec_id as ziel from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 25 = 0 and b.vec_id < 100),
+_EVAL_SQL = f"""ranked as (select a.vec_id as frage_id, b.vec_id as dokument, row_number() over (partition by a.vec_id order by round({_COS}, 9), b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+ziele as (select a.vec_id as frage_id, b.vec_id as ziel from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
 judged as (select q.frage_id, (select min(rank) from ranked r join ziele z on z.frage_id = r.frage_id and z.ziel = r.dokument where r.frage_id = q.frage_id and rank <= {_K}) as first_rank from (select distinct frage_id from ziele) q)"""
 
 
-def _ranked(spark, sf, every=25):
+def _ranked(spark, sf):
     v = spread(read(spark, sf, "embeddings"))
-    asked = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("frage_id"), F.col("embedding").alias("q"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("frage_id"), F.col("embedding").alias("q"))
     found = semantic.nearest_per_query(v, asked.withColumnRenamed("frage_id", "query_id"), _K, places=9, keep=F.col("vec_id") != F.col("query_id"))
     return found.select(F.col("query_id").alias("frage_id"), F.col("vec_id").alias("dokument"), "distance", "rank")
 
 
-def _targets(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", "label")
-    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("frage_id"), "label")
-    # Ids below a hundred bound the broadcast side.
-    return asked.join(F.broadcast(v.where("vec_id < 100")), "label").where("vec_id <> frage_id").select("frage_id", F.col("vec_id").alias("ziel"))
-
-
-@query("eval_hit_at_k", f"with {_EVAL_SQL} select frage_id, first_rank::int as first_rank, first_rank is not null as treffer from judged")
-def eval_hit_at_k(spark, sf):
-    return E.judge(_ranked(spark, sf), _targets(spark, sf), _K).select("frage_id", "first_rank", F.col("first_rank").isNotNull().alias("treffer"))
-
-
-@query("eval_median_rank", f"with {_EVAL_SQL} select count(*) as fragen, count(first_rank) as treffer, round(count(first_rank) / count(*), 6) as trefferquote, median(first_rank)::double as median_rang from judged")
-def eval_median_rank(spark, sf):
-    return E.metrics(E.judge(_ranked(spark, sf), _targets(spark, sf), _K)).withColumn("trefferquote", F.round("trefferquote", 6))
-
-
-@query("eval_failures", f"with {_EVAL_SQL} select j.frage_id, list(r.dokument order by rank) as gefunden from judged j join ranked r on r.frage_id = j.frage_id and rank <= 5 where first_rank is null group by j.frage_id")
-def eval_failures(spark, sf):
-    ranked = _ranked(spark, sf)
-    return E.failures(E.judge(ranked, _targets(spark, sf), _K), ranked)
-
-
-# The same over every id divisible by 20, with all vectors of its label as targets.
-_EVAL_ALL_SQL = _EVAL_SQL.replace("% 25", "% 20").replace(" and b.vec_id < 100", "")
-
-
-def _judged_all(spark, sf, ranked):
+def _judged(spark, sf, ranked):
     """(frage_id, first_rank): labels are joined to what was ranked, so that the pairs of a label are never made."""
     labels = read(spark, sf, "embeddings").select("vec_id", "label").where("label is not null")
     asked = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("frage_id"), F.col("label").alias("asked_label"))
@@ -165,20 +138,20 @@ def _judged_all(spark, sf, ranked):
     return asked.select("frage_id").join(found, "frage_id", "left")
 
 
-@query("eval_hit_at_k_all", f"with {_EVAL_ALL_SQL} select frage_id, first_rank::int as first_rank, first_rank is not null as treffer from judged")
-def eval_hit_at_k_all(spark, sf):
-    return _judged_all(spark, sf, _ranked(spark, sf, 20)).select("frage_id", "first_rank", F.col("first_rank").isNotNull().alias("treffer"))
+@query("eval_hit_at_k", f"with {_EVAL_SQL} select frage_id, first_rank::int as first_rank, first_rank is not null as treffer from judged")
+def eval_hit_at_k(spark, sf):
+    return _judged(spark, sf, _ranked(spark, sf)).select("frage_id", "first_rank", F.col("first_rank").isNotNull().alias("treffer"))
 
 
-@query("eval_median_rank_all", f"with {_EVAL_ALL_SQL} select count(*) as fragen, count(first_rank) as treffer, round(count(first_rank) / count(*), 6) as trefferquote, median(first_rank)::double as median_rang from judged")
-def eval_median_rank_all(spark, sf):
-    return E.metrics(_judged_all(spark, sf, _ranked(spark, sf, 20))).withColumn("trefferquote", F.round("trefferquote", 6))
+@query("eval_median_rank", f"with {_EVAL_SQL} select count(*) as fragen, count(first_rank) as treffer, round(count(first_rank) / count(*), 6) as trefferquote, median(first_rank)::double as median_rang from judged")
+def eval_median_rank(spark, sf):
+    return E.metrics(_judged(spark, sf, _ranked(spark, sf))).withColumn("trefferquote", F.round("trefferquote", 6))
 
 
-@query("eval_failures_all", f"with {_EVAL_ALL_SQL} select j.frage_id, list(r.dokument order by rank) as gefunden from judged j join ranked r on r.frage_id = j.frage_id and rank <= 5 where first_rank is null group by j.frage_id")
-def eval_failures_all(spark, sf):
-    ranked = _ranked(spark, sf, 20)
-    return E.failures(_judged_all(spark, sf, ranked), ranked)
+@query("eval_failures", f"with {_EVAL_SQL} select j.frage_id, list(r.dokument order by rank) as gefunden from judged j join ranked r on r.frage_id = j.frage_id and rank <= 5 where first_rank is null group by j.frage_id")
+def eval_failures(spark, sf):
+    ranked = _ranked(spark, sf)
+    return E.failures(_judged(spark, sf, ranked), ranked)
 
 
 @query("cache_missing", "select item_id, text as frage from benchmark b where not exists (select 1 from benchmark c where c.text = b.text and c.item_id % 3 = 0)")

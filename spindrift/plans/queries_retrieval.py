@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import to_half
 from ..operators import fusion, lexical, semantic
-from ..profiles import POSTGRES, SQLITE
+from ..operators.segment import chunk_id
+from ..profiles import CHUNK_PLACES, POSTGRES, SQLITE
 from ..sources.tables import read, spread
 from .catalogue import query
 from .search import hybrid
@@ -23,12 +24,12 @@ def chunks(spark, sf):
     d = spread(read(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     lines = d.select("doc_id", "lang", "source", F.posexplode_outer(F.split("text", "\n", -1)).alias("position", "text"))
     return lines.select(
-        (F.col("doc_id") * 100_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "position", "text",
+        chunk_id(F.col("doc_id"), F.col("position")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "position", "text",
         F.col("source").alias("redner"), F.col("lang").alias("dokumentart"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("datum"),
     )
 
 
-CHUNKS_SQL = """chunks as (select doc_id * 100000 + (i - 1) as chunk_id, doc_id as document_id, (i - 1)::int as position, ls[i] as text, source as redner, lang as dokumentart, date '2024-01-01' + (doc_id % 700)::int as datum
+CHUNKS_SQL = f"""chunks as (select doc_id * {CHUNK_PLACES} + (i - 1) as chunk_id, doc_id as document_id, (i - 1)::int as position, ls[i] as text, source as redner, lang as dokumentart, date '2024-01-01' + (doc_id % 700)::int as datum
   from (select doc_id, lang, source, ls, unnest(range(1, len(ls) + 1)) as i from (select *, string_split(text, chr(10)) as ls from documents)))"""
 
 
@@ -150,18 +151,10 @@ query("knn_prefilter", _knn_sql("cosine", "label = 3"))(lambda spark, sf: _knn(s
 query("knn_postfilter_x5", _knn_sql("l2", "label = 3", 5 * LIMIT))(lambda spark, sf: _knn(spark, sf, "l2", F.col("label") == 3, "after"))
 
 
-@query("knn_batch_per_query", f"""with p as (select a.vec_id as query_id, b.vec_id, {_COS.format(a='b.embedding', b='a.embedding')} as distance from embeddings a, embeddings b where a.vec_id % 50 = 0)
+@query("knn_batch_per_query", f"""with p as (select a.vec_id as query_id, b.vec_id, {_COS.format(a='b.embedding', b='a.embedding')} as distance from embeddings a, embeddings b where a.vec_id % 20 = 0)
 select query_id, vec_id, round(distance, 5) + 0.0 as distance, (row_number() over (partition by query_id order by distance, vec_id))::int as rank from p qualify rank <= 5""")
 def knn_batch_per_query(spark, sf):
-    v = spread(read(spark, sf, "embeddings"))
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return semantic.nearest_per_query(v, asked, 5).select("query_id", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
-
-
-@query("knn_batch_every_20th", f"""with p as (select a.vec_id as query_id, b.vec_id, {_COS.format(a='b.embedding', b='a.embedding')} as distance from embeddings a, embeddings b where a.vec_id % 20 = 0)
-select query_id, vec_id, round(distance, 5) + 0.0 as distance, (row_number() over (partition by query_id order by distance, vec_id))::int as rank from p qualify rank <= 5""")
-def knn_batch_every_20th(spark, sf):
-    """``knn_batch_per_query`` with every id divisible by 20."""
+    """The nearest five of every vector whose id is divisible by 20."""
     v = spread(read(spark, sf, "embeddings"))
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return semantic.nearest_per_query(v, asked, 5).select("query_id", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
@@ -188,7 +181,7 @@ def knn_half_recall(spark, sf):
 
 
 def _vectors(spark, sf):
-    return read(spark, sf, "embeddings").select((F.col("vec_id") * 100_000).alias("chunk_id"), "embedding", "label")
+    return read(spark, sf, "embeddings").select(chunk_id(F.col("vec_id"), F.lit(0)).alias("chunk_id"), "embedding", "label")
 
 
 def _fused(spark, sf, profile, weight, with_vectors=True):
@@ -205,14 +198,21 @@ def _out(fused):
     return fused.select("chunk_id", F.round("score", 9).alias("score"), "found_by", "rank")
 
 
-def _rrf_sql(metric: str, weight: float, top_k: int, both: bool = True) -> str:
-    vec = f"vec as (select chunk_id, row_number() over (order by round(distance, 9), chunk_id) as r from (select vec_id * 100000 as chunk_id, {_MEASURE[metric].format(a='embedding', b='q')} as distance from embeddings, q) qualify r <= {LIMIT})"
+def _fused_sql(metric: str, weight: float, both: bool = True) -> str:
+    """CTEs up to ``f(chunk_id, score, found_by, r0, r1)``."""
+    vec = f"vec as (select chunk_id, row_number() over (order by round(distance, 9), chunk_id) as r from (select vec_id * {CHUNK_PLACES} as chunk_id, {_MEASURE[metric].format(a='embedding', b='q')} as distance from embeddings, q) qualify r <= {LIMIT})"
     union = f"union all select chunk_id, r, 1, 'vektor', {weight} from vec" if both else ""
-    return f"""with {BM25_SQL}, {_Q_SQL}, {vec},
+    return f"""{BM25_SQL}, {_Q_SQL}, {vec},
 lex as (select chunk_id, row_number() over (order by round(score, 9) desc, chunk_id) as r from bm25 qualify r <= {LIMIT}),
 a as (select chunk_id, r, 0 as l, 'bm25' as name, 1.0 as w from lex {union}),
-f as (select chunk_id, sum(w / (60 + r))::double as score, list(name order by l) as found_by, min(r) filter (where l = 0) as r0, min(r) filter (where l = 1) as r1 from a group by chunk_id)
-select chunk_id, round(score, 9) as score, found_by, (row_number() over (order by round(score, 12) desc, r0 nulls last, r1 nulls last))::int as rank from f qualify rank <= {top_k}"""
+f as (select chunk_id, sum(w / (60 + r))::double as score, list(name order by l) as found_by, min(r) filter (where l = 0) as r0, min(r) filter (where l = 1) as r1 from a group by chunk_id)"""
+
+
+_RANK_SQL = "(row_number() over (order by round(score, 12) desc, r0 nulls last, r1 nulls last))::int as rank"
+
+
+def _rrf_sql(metric: str, weight: float, top_k: int, both: bool = True) -> str:
+    return f"with {_fused_sql(metric, weight, both)} select chunk_id, round(score, 9) as score, found_by, {_RANK_SQL} from f qualify rank <= {top_k}"
 
 
 query("rrf_unweighted", _rrf_sql("l2", 1.0, SQLITE.top_k))(lambda spark, sf: _out(_fused(spark, sf, SQLITE, 1.0)))
@@ -226,10 +226,10 @@ def _hits(spark, sf):
 
 
 _HITS_SQL = f"{BM25_SQL}, hits as (select chunk_id, row_number() over (order by round(score, 9) desc, chunk_id) as rank from bm25 qualify rank <= 12)"
-_NEAR_SQL = f"""{_HITS_SQL},
-spot as (select h.rank, c.document_id, c.position from hits h join chunks c using (chunk_id)),
+_AROUND_SQL = """spot as (select h.rank, c.document_id, c.position from hits h join chunks c using (chunk_id)),
 near as (select c.chunk_id, min(a.rank) as owner_rank, c.position from chunks c join spot a on a.document_id = c.document_id and c.position between a.position - 1 and a.position + 1 where c.chunk_id not in (select chunk_id from hits) group by c.chunk_id, c.position),
 rows as (select chunk_id, rank as owner_rank, 0 as position, 0 as nb from hits union all select chunk_id, owner_rank, position, 1 from near)"""
+_NEAR_SQL = f"{_HITS_SQL}, {_AROUND_SQL}"
 
 query("neighbours_interleaved", f"with {_NEAR_SQL} select chunk_id, (row_number() over (order by owner_rank, nb, position, chunk_id))::int as ord, nb = 1 as is_neighbour from rows")(
     lambda spark, sf: fusion.with_neighbours(_hits(spark, sf), chunks(spark, sf), 1, "interleaved")
@@ -302,9 +302,23 @@ def mark_sentence(spark, sf):
     return c.join(best_sentence(spark, sf), "chunk_id").select("chunk_id", fusion.mark_sentence(F.col("text"), F.col("satz")).alias("auszug"))
 
 
-@query("hybrid_context", None)
+def _context_sql(profile, order: str) -> str:
+    """The hits of both lists, with their neighbours, as blocks of which those that fit are numbered."""
+    return f"""with recursive {_fused_sql(profile.metric, profile.vector_weight)},
+hits as (select chunk_id, {_RANK_SQL} from f qualify rank <= {profile.top_k}), {_AROUND_SQL},
+placed as (select chunk_id, (row_number() over (order by {order}))::int as ord from rows),
+g as (select list(struct_pack(place := ord, head := dokumentart || ' 21/' || document_id || ' vom ' || strftime(datum, '%Y-%m-%d') || ', ' || redner, body := text) order by ord) as xs from placed join chunks using (chunk_id)),
+fold(xs, i, n, used, block, place) as (
+  select xs, 1, 0, 0::bigint, null::varchar, null::int from g
+  union all
+  select xs, i + 1, case when fits then n + 1 else n end, case when fits then used + length(b) else used end, case when fits then b end, case when fits then xs[i].place end
+  from (select *, length(b) <= {profile.block_chars} and used + length(b) <= {profile.context_chars} as fits from (select *, '[' || (n + 1) || '] ' || xs[i].head || chr(10) || xs[i].body as b from fold where i <= len(xs))))
+select n::int as nummer, place as "at", block from fold where block is not null"""
+
+
+@query("hybrid_context", _context_sql(SQLITE, "owner_rank, nb, position, chunk_id"))
 def hybrid_context(spark, sf):
-    """The flagship: a question's hybrid hits with neighbours as a numbered, budgeted context; its parts have SQL of their own."""
+    """The flagship: a question's hybrid hits with neighbours as a numbered, budgeted context."""
     c = chunks(spark, sf)
     hits = hybrid(c, _vectors(spark, sf), terms(spark, sf), _query_vector(spark, sf), SQLITE)
     ordered = fusion.with_neighbours(hits, c, SQLITE.window, SQLITE.neighbours)

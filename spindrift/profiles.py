@@ -29,5 +29,7 @@ PROFILES = {p.name: p for p in (SQLITE, POSTGRES)}
 
 #: Sizes of chunks in characters: aimed at, carried over, least.
 CHUNK_TARGET, CHUNK_OVERLAP, CHUNK_MIN = 1200, 200, 120
+#: Places that the ids of a document's chunks leave; one with more chunks is an error.
+CHUNK_PLACES = 10_000_000
 #: Requests of a minute by purpose.
 LIMITS = {"ask": 10, "login": 5}

@@ -36,5 +36,5 @@ def test_filters_reach_the_scan(spark, small, capsys):
 def test_the_queue_holds_every_open_chunk(spark, small):
     from spindrift.plans.queries_maintenance import _lines
 
-    got = [(r["prioritaet"], r["chunk_id"]) for r in CATALOGUE["embed_queue_whole"].run(spark, small).collect()]
+    got = [(r["prioritaet"], r["chunk_id"]) for r in CATALOGUE["embed_priority_queue"].run(spark, small).collect()]
     assert len(got) == _lines(spark, small).where("position % 4 <> 0").count() > 500 and got == sorted(got)

@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift import jobs
 from spindrift.functions import german
 from spindrift.models import HashEmbedder
-from spindrift.operators import lexical
+from spindrift.operators import lexical, segment
+from spindrift.profiles import CHUNK_PLACES
 from spindrift.sources import tables
 
 WORDS = ["Rente", "Miete", "Haushalt", "Verteidigung"]
@@ -34,7 +36,7 @@ def test_life_of_a_store(spark, tmp_path):
     jobs.publish(spark, store, str(tmp_path / "serving"))
     jobs.build(spark, raw, store)
     after = {r["chunk_id"]: r["text"] for r in tables.load(spark, f"{store}/chunks").collect()}
-    assert {k // 1_000_000 for k in {**before, **after} if before.get(k) != after.get(k)} == {2}
+    assert {k // CHUNK_PLACES for k in {**before, **after} if before.get(k) != after.get(k)} == {2}
     assert jobs.stats(spark, store)["vektoren"] < len(after)
     assert [tuple(r) for r in jobs.resync(spark, store, str(tmp_path / "serving")).collect()] == [(2, "replace")]
     jobs.publish(spark, store, str(tmp_path / "serving"))
@@ -60,3 +62,12 @@ def test_stemmed_postings(spark):
     c = spark.createDataFrame([(1, "Die Mietpreise und der Mietpreis", ""), (2, "mietpreisen", "und")], "chunk_id long, text string, redner string")
     rows = {(r["term"], r["chunk_id"]): r["hits"] for r in german.stemmed_postings(lexical.postings(c)).collect()}
     assert rows == {("mietpreis", 1): 2, ("mietpreis", 2): 1}
+
+
+def test_chunk_ids(spark):
+    rows = spark.createDataFrame([(0, 0), (7, 3), (9_007_199_255, CHUNK_PLACES - 1), (123_456_789_012, 5)], "d long, p int")
+    got = rows.select("d", "p", segment.chunk_id(F.col("d"), F.col("p")).alias("c")).withColumn("back", segment.document_of(F.col("c"))).collect()
+    # Whole numbers: a double would lose the last places of large ids.
+    assert all(r["c"] == r["d"] * CHUNK_PLACES + r["p"] and r["back"] == r["d"] for r in got)
+    with pytest.raises(Exception, match="too many chunks"):
+        spark.createDataFrame([(1, CHUNK_PLACES)], "d long, p int").select(segment.chunk_id(F.col("d"), F.col("p"))).collect()

@@ -151,5 +151,5 @@ def test_every_20th_vector_is_asked(spark, small):
     from spindrift.plans.catalogue import load
 
     want = {r["vec_id"] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect() if r["vec_id"] % 20 == 0}
-    for name, column in (("knn_half_recall", "query_id"), ("knn_batch_every_20th", "query_id"), ("eval_hit_at_k_all", "frage_id")):
+    for name, column in (("knn_half_recall", "query_id"), ("knn_batch_per_query", "query_id"), ("eval_hit_at_k", "frage_id")):
         assert {r[column] for r in load()[name].run(spark, small).select(column).collect()} == want
