@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +114,30 @@ class Sample:
         self.sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.counts = np.array(counts, dtype=np.int64)
-        # Features of each word, by number; -1 where a word is too short for a prefix.
-        self.numbers: dict[str, int] = {}
-        self.table = np.full((len(words), 1 + len(PREFIXES)), -1, dtype=np.int32)
-        for w, k in words.items():
-            own = features(w)
-            self.table[k, : len(own)] = [self.numbers.setdefault(f, len(self.numbers)) for f in own]
+        self.words = list(words)
+        del words
+        # Features of each word, by number; -1 where a word is too short for a prefix. They are told apart by 64-bit
+        # hashes, so that no string is held for each.
+        self.table = np.full((len(self.words), 1 + len(PREFIXES)), -1, dtype=np.int32)
+        hashes = np.zeros(self.table.shape, dtype=np.uint64)
+        for k, w in enumerate(self.words):
+            own = [xxhash.xxh64_intdigest(f) for f in features(w)]
+            hashes[k, : len(own)] = own
+        held = hashes != 0
+        numbers = np.unique(hashes[held], return_inverse=True)
+        self.features = len(numbers[0])
+        self.table[held] = numbers[1]
+
+    def names(self, chosen: np.ndarray) -> dict[str, int]:
+        """Features by name, with their places in ``chosen``."""
+        place = np.full(self.features + 1, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        rows = np.flatnonzero((place[self.table] >= 0).any(axis=1))
+        return {f: int(place[n]) for k in rows.tolist() for f, n in zip(features(self.words[k]), self.table[k].tolist(), strict=False) if place[n] >= 0}
 
     def held_by(self, folds: int) -> tuple[np.ndarray, np.ndarray]:
         """How many documents of each fold hold each feature, and how many toxic ones."""
-        every, bad = (np.zeros((folds, len(self.numbers)), dtype=np.int32) for _ in range(2))
+        every, bad = (np.zeros((folds, self.features), dtype=np.uint16 if len(self.y) < 1 << 16 else np.int32) for _ in range(2))
         bounds = np.searchsorted(self.owner[self.sentence], np.arange(len(self.y) + 1))
         for d in range(len(self.y)):
             own = np.unique(self.table[np.unique(self.flat[bounds[d] : bounds[d + 1]])])
@@ -137,7 +152,7 @@ class Fit:
     """The likelihood of document labels by the chosen features; documents whose ``use`` is 0 are carried but not learnt from."""
 
     def __init__(self, sample: Sample, chosen: np.ndarray, use: np.ndarray):
-        place = np.full(len(sample.numbers) + 1, -1, dtype=np.int32)
+        place = np.full(sample.features + 1, -1, dtype=np.int32)
         place[chosen] = np.arange(len(chosen))
         held, item = [], []
         for c in range(sample.table.shape[1]):
@@ -200,7 +215,7 @@ def _learnt(sample: Sample, every: np.ndarray, bad: np.ndarray, use: np.ndarray)
     # Training starts where a word's features share the log odds of the documents that hold them.
     odds = np.clip(np.log((bad[chosen] + 0.5) / (every[chosen] - bad[chosen] + 0.5)), -3, 5)
     known = np.isin(sample.table, chosen).sum(axis=1)[sample.flat]
-    place = np.full(len(sample.numbers) + 1, -1, dtype=np.int32)
+    place = np.full(sample.features + 1, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     beside = np.zeros(len(chosen))
     for c in range(sample.table.shape[1]):
@@ -222,7 +237,7 @@ def cut_of(sample: Sample, every: np.ndarray, bad: np.ndarray) -> float:
     out, fold = np.zeros(len(sample.y)), np.arange(len(sample.y)) % FOLDS
     for k in range(FOLDS):
         others = [j for j in range(FOLDS) if j != k]
-        out[fold == k] = _learnt(sample, every[others].sum(axis=0), bad[others].sum(axis=0), fold != k)[3][fold == k]
+        out[fold == k] = _learnt(sample, every[others].sum(axis=0, dtype=np.int64), bad[others].sum(axis=0, dtype=np.int64), fold != k)[3][fold == k]
     # Rejected documents from the highest noisy-or down; those of equal ones go together.
     order = np.argsort(-out, kind="stable")
     caught, alarms = np.cumsum(sample.y[order]), np.cumsum(1 - sample.y[order])
@@ -241,9 +256,8 @@ def fit(samples: Iterable[tuple[str, int]]) -> Model:
         return Model(prior=float((y.sum() + 0.5) / (len(y) + 2)) if len(y) else 0.0)
     every, bad = sample.held_by(FOLDS)
     cut = cut_of(sample, every, bad)
-    chosen, w, b, _ = _learnt(sample, every.sum(axis=0), bad.sum(axis=0), np.ones(len(y), dtype=bool))
-    place = {int(f): k for k, f in enumerate(chosen)}
-    return Model({f: float(w[place[n]]) for f, n in sample.numbers.items() if n in place}, b, cut=cut)
+    chosen, w, b, _ = _learnt(sample, every.sum(axis=0, dtype=np.int64), bad.sum(axis=0, dtype=np.int64), np.ones(len(y), dtype=bool))
+    return Model({f: float(w[k]) for f, k in sample.names(chosen).items()}, b, cut=cut)
 
 
 def held_out(doc_id: Column) -> Column:

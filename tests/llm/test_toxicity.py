@@ -17,7 +17,7 @@ def fitted(n=160, seed=5):
     samples = [(t, lab[2]) for (_, t), lab in zip(rows, labels, strict=True)] + [("", 0), ("!", 1), ("vilest", 1)]
     sample = T.Sample(samples)
     every, bad = sample.held_by(3)
-    chosen = T.choose(every.sum(axis=0), bad.sum(axis=0), sample.y.sum(), sample.y.mean())
+    chosen = T.choose(every.sum(axis=0, dtype=int), bad.sum(axis=0, dtype=int), sample.y.sum(), sample.y.mean())
     use = np.arange(len(samples)) % 4 != 0
     return samples, sample, chosen, use, T.Fit(sample, chosen, use)
 
@@ -43,8 +43,7 @@ def test_loss_and_gradient():
     samples, sample, chosen, use, fit = fitted()
     r = np.random.default_rng(2)
     w, b = r.normal(size=len(chosen)), -2.0
-    place = {int(f): k for k, f in enumerate(chosen)}
-    names = {f: place[n] for f, n in sample.numbers.items() if n in place}
+    names = sample.names(chosen)
     assert fit.loss(w, b) == pytest.approx(plain_loss(samples, names, use, w, b), rel=1e-9)
     gw, gb = fit.gradient(w, b)
     h = 1e-6
@@ -57,10 +56,11 @@ def test_loss_and_gradient():
 
 def test_counts_of_features():
     samples, sample, *_ = fitted()
-    every, bad = (x.sum(axis=0) for x in sample.held_by(3))
+    every, bad = (x.sum(axis=0, dtype=int) for x in sample.held_by(3))
+    numbers = sample.names(np.arange(sample.features))
     for f in ("vilest", "scum*", "word"):
         holds = [any(f in T.features(w) for w in T._WORD.findall(t.lower())) for t, _ in samples]
-        assert every[sample.numbers[f]] == sum(holds) and bad[sample.numbers[f]] == sum(h for h, (_, y) in zip(holds, samples, strict=True) if y)
+        assert every[numbers[f]] == sum(holds) and bad[numbers[f]] == sum(h for h, (_, y) in zip(holds, samples, strict=True) if y)
 
 
 def test_training_lowers_the_loss():
