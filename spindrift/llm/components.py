@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by alternating large-star and small-star steps; few links are contracted by one task.
 
 Links stay distributed: a step is one aggregate and one equi-join, whose skewed keys
 (the least node of a large component) adaptive execution splits, because both inputs of
@@ -7,11 +7,17 @@ each join are checkpoints that are shuffled for the join alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, mapped
+
+#: Links (16 bytes each) up to which one task contracts them at once; the result is that of the steps.
+SMALL = 1 << 20
 
 
 def forest(n: int, pairs) -> np.ndarray:
@@ -40,15 +46,33 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, component) of counted, few ``edges(u, v)``, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = forest(len(nodes), [(back[: len(u)], back[len(u) :])])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+    return mapped(edges.select("u", "v").coalesce(1), run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, small: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the least node reachable.
 
     Edges are undirected longs; loops, nulls and repeats are allowed and say nothing
-    (a node that has loops only is left out). No edges give no rows.
+    (a node that has loops only is left out). No edges give no rows. Up to ``small`` links (``SMALL``) are
+    counted and contracted in one task; more go by steps over all tasks, of which ``max_rounds`` settle any graph that fits
+    into a cluster (their number grows with the logarithm of the longest path), else it is an error.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
     sign = _signature(e)
+    if sign[0] <= (SMALL if small is None else small):
+        return contracted(e)
     for _ in range(max_rounds):
         if not sign[0]:
             break

@@ -102,15 +102,16 @@ def test_documents(spark, small):
     assert found == {r["doc_id"]: (f"{int(fp[k]):016x}", least[root[k]]) for k, r in enumerate(d)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_components(spark, small):
     rng = np.random.default_rng(5)
     n = 300
     pairs = [(k, k + 1) for k in range(0, 80)] + [(100, k) for k in range(101, 160)] + [tuple(map(int, rng.integers(160, n, 2))) for _ in range(60)]
     want = union(n, pairs)
     edges = spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in pairs] + [(7, 7), (None, 3)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(edges, small=small).collect()}
     assert got == {k: want[k] for p in pairs for k in p if any(k in q and q[0] != q[1] for q in pairs)}
-    assert components.connected_components(edges.where("false")).count() == 0
+    assert components.connected_components(edges.where("false"), small=small).count() == 0
 
 
 def test_every_pair_meets_once(spark):
