@@ -34,6 +34,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def listed(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the folders in a folder that start so, in order; none where it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith(prefix))
+
+
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a file into the shared folder under a name that stands for its contents; returns its path."""
     context = spark.sparkContext
@@ -50,9 +59,16 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: batches are held several times over, in and outside of the heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Gives this package to the Python workers of every executor, later ones too; once for a context."""
+    """Gives this package to the Python workers of every executor, later ones too; once for a context. Bounds batches of long texts."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if not getattr(context, "_spindrift_shipped", False):
         root = Path(__file__).resolve().parent
         held = io.BytesIO()
