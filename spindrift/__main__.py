@@ -8,10 +8,10 @@ import json
 from pyspark.sql import SparkSession
 
 from . import jobs, models
-from .plans.search import ask
-from .profiles import PROFILES
+from .sources import index
 
 
+# The names of commands and options are those that users of the command line know.
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="spindrift", description=__doc__)
     p.add_argument("--store", default="store")
@@ -22,7 +22,9 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("--raw", default="raw")
     c.add_argument("--since")
     c.add_argument("--wahlperiode", type=int, default=21)
+    c.add_argument("--zuordnung")
     c = sub.add_parser("build")
+    c.add_argument("kind", nargs="?", default="alle", choices=["drucksache", "plenarprotokoll", "alle"])
     c.add_argument("--raw", default="raw")
     c.add_argument("--force", action="store_true")
     c = sub.add_parser("embed")
@@ -34,23 +36,26 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("--no-vector", action="store_true")
     c = sub.add_parser("ask")
     c.add_argument("question")
+    c.add_argument("--limit", type=int)
     for name in ("publish", "resync"):
         c = sub.add_parser(name)
         c.add_argument("target")
-    sub.add_parser("index")
+    c = sub.add_parser("index")
+    c.add_argument("--buckets", type=int, default=index.BUCKETS)
     c = sub.add_parser("eval")
     c.add_argument("questions")
     c.add_argument("--top-k", type=int, default=20)
     c.add_argument("--vektor-gewicht", type=float, default=1.5)
+    c.add_argument("--neu", action="store_true")
     sub.add_parser("stats")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("spindrift").getOrCreate()
     # Offline stand-ins; a caller with a model service passes its own to the functions of ``jobs``.
     embedder, generator = models.HashEmbedder(), models.EchoGenerator()
     if a.command == "harvest":
-        print(jobs.harvest(spark, a.url, a.raw, a.kind, a.wahlperiode, a.since))
+        print(jobs.harvest(spark, a.url, a.raw, a.kind, a.wahlperiode, a.since, assignment=a.zuordnung))
     elif a.command == "build":
-        jobs.build(spark, a.raw, a.store, a.force)
+        jobs.build(spark, a.raw, a.store, a.force, a.kind)
     elif a.command == "embed":
         jobs.embed(spark, a.store, embedder, a.limit)
     elif a.command == "search":
@@ -58,16 +63,16 @@ def main(args: list[str] | None = None) -> None:
         for r in rows.collect():
             print(r["rank"], round(r["score"], 5), ",".join(r["found_by"]), r["dokumentnummer"], r["text"][:200].replace("\n", " "))
     elif a.command == "ask":
-        for event in ask(jobs.serving(spark, a.store), jobs.vectors(spark, a.store), a.question, generator, embedder, "{frage}", "{frage}\n{kontext}", PROFILES["sqlite"]):
+        for event in jobs.ask(spark, a.store, a.question, generator, embedder, "{frage}", "{frage}\n{kontext}", limit=a.limit):
             print(json.dumps(event, ensure_ascii=False))
     elif a.command == "publish":
         jobs.publish(spark, a.store, a.target)
     elif a.command == "resync":
         jobs.resync(spark, a.store, a.target).show(1000, False)
     elif a.command == "index":
-        jobs.index(spark, a.store)
+        jobs.index(spark, a.store, a.buckets)
     elif a.command == "eval":
-        print(jobs.evaluate(spark, a.store, a.questions, embedder, a.top_k, a.vektor_gewicht))
+        print(jobs.evaluate(spark, a.store, a.questions, embedder, a.top_k, a.vektor_gewicht, new=a.neu))
     elif a.command == "stats":
         print(json.dumps(jobs.stats(spark, a.store)))
 

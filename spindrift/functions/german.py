@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +74,21 @@ def stopwords(spark: SparkSession) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("german")
 
 
+@lru_cache(maxsize=1)
+def _stopwords(spark: SparkSession) -> frozenset[str]:
+    return frozenset(stopwords(spark))
+
+
+def question_stems(spark: SparkSession, words: list[str]) -> list[str]:
+    """Distinct stems of a question's words, in order, without stopwords."""
+    stop = _stopwords(spark)
+    return list(dict.fromkeys(stem(w) for w in (x.lower() for x in words) if w not in stop))
+
+
 def stems(words: DataFrame, column: str = "term") -> DataFrame:
     """(word, stem) of distinct lower-case words; the stem of a stopword is null. Each word goes through Python once."""
     shipped(words.sparkSession)
-    stop = frozenset(stopwords(words.sparkSession))
+    stop = _stopwords(words.sparkSession)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:

@@ -112,6 +112,11 @@ def index_tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def word_tokens(c: Column) -> Column:
+    """Lower-case runs of letters and digits with their diacritics, as a stemmer takes them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def match_terms(c: Column) -> Column:
     """Words of a question for the ``sqlite`` profile: no operator signs, no stopwords unless all are, 32 at most."""
     words = F.regexp_extract_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"""["'()*:^-]""", " "), F.lit(r"(?U)\w{2,}"), F.lit(0))

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import statistics
+import time
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
-from .operators import evaluation, lexical, maintenance, segment
+from .operators import evaluation, fusion, maintenance, segment
 from .plans import search as plans
 from .profiles import PROFILES, SQLITE, Profile
-from .shipping import shipped
+from .shipping import shared_folder, shipped
+from .sources import index as stored_index
 from .sources import jsonl, rest, tables
 
+#: Chunks that are embedded between two commits.
+COMMIT = 50_000
 KINDS = {"drucksache": "drucksache-text", "plenarprotokoll": "plenarprotokoll-text"}
 
 
-def harvest(spark: SparkSession, url: str, raw: str, kind: str = "alle", term: int = 21, since: str | None = None, token: str | None = None) -> int:
-    """Reads the endpoints of a kind into JSON lines; with ``since`` only what was updated from then on is appended."""
+def harvest(spark: SparkSession, url: str, raw: str, kind: str = "alle", term: int = 21, since: str | None = None, token: str | None = None, assignment: str | None = None) -> int:
+    """Reads the endpoints of a kind into JSON lines, a harvest for each; with ``since`` only what was updated from then on is added.
+
+    A full harvest replaces the former ones of the same kind and term and leaves those of others. Returns the number of records.
+    """
     shipped(spark).dataSource.register(rest.RestSource)
-    paths = list(KINDS.values()) if kind == "alle" else [KINDS[kind]]
-    options = {"url": url, "paths": ",".join(paths), "terms": str(term)} | ({"since": since} if since else {}) | ({"token": token} if token else {})
-    records = spark.read.format("paged_rest").options(**options).load()
-    jsonl.write(records.select(jsonl.parsed(F.col("record")).alias("r")).select("r.*"), raw, since)
-    return spark.read.schema(jsonl.RAW).json(raw).count()
+    count = 0
+    for own in list(KINDS) if kind == "alle" else [kind]:
+        options = {"url": url, "paths": KINDS[own], "terms": str(term)}
+        options |= {k: v for k, v in (("since", since), ("token", token), ("assignment", assignment)) if v}
+        records = spark.read.format("paged_rest").options(**options).load()
+        folder = jsonl.write(records.select(jsonl.parsed(F.col("record")).alias("r")).select("r.*"), raw, own, term, since)
+        count += spark.read.schema(jsonl.RAW).json(folder).count()
+    return count
 
 
 def _documents(spark: SparkSession, store: str) -> DataFrame:
@@ -33,19 +46,23 @@ def _documents(spark: SparkSession, store: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def build(spark: SparkSession, raw: str, store: str, force: bool = False) -> None:
-    """Upserts raw records and cuts changed documents anew (all with ``force``); documents and chunks are replaced as whole versions."""
+def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind: str = "alle") -> None:
+    """Upserts raw records (of a kind) and cuts changed documents anew (all with ``force``); documents and chunks are replaced as whole versions."""
     new = maintenance.latest(maintenance.incoming(jsonl.read(spark, raw)))
-    after = maintenance.upsert(_documents(spark, store), new.drop("text"))
-    cut = after.where("changed" if not force else "true").select("id").join(new.select("id", "dokumentart", "text"), "id").where("text <> ''")
+    if kind != "alle":
+        new = new.where(F.lower("dokumentart") == kind)
+    shared_folder(spark)
+    # Without texts: what the three tables below need of the upsert is planned and run once.
+    after = maintenance.upsert(_documents(spark, store), new.drop("text")).checkpoint()
+    done = after.where("text_len > 0" if force else "text_len > 0 and changed").select(F.col("id").alias("cut_id"))
+    cut = new.select("id", "dokumentart", "text").join(done, F.col("id") == F.col("cut_id"), "left_semi")
     pieces = segment.segment(cut.withColumnRenamed("id", "document_id"))
     pieces = pieces.withColumn("chunk_id", segment.chunk_id(F.col("document_id"), F.col("position")))
     pieces = pieces.select("chunk_id", "document_id", F.col("position").cast("int").alias("position"), "text", "redner", "rolle", "fraktion")
     stored = tables.load(spark, f"{store}/chunks")
     if stored is None:
         stored = spark.createDataFrame([], tables.CHUNKS)
-    tables.replace(maintenance.replace_chunks(stored, pieces, cut.select(F.col("id").alias("document_id"))), f"{store}/chunks")
-    done = cut.select(F.col("id").alias("cut_id"))
+    tables.replace(maintenance.replace_chunks(stored, pieces, done.select(F.col("cut_id").alias("document_id"))), f"{store}/chunks")
     joined = after.join(done, after.id == done.cut_id, "left")
     joined = joined.withColumn("status", F.when(F.col("cut_id").isNotNull(), "chunked").otherwise(F.col("status"))).withColumn("chunked_at", F.when(F.col("cut_id").isNotNull(), F.current_timestamp()).otherwise(F.col("chunked_at")))
     tables.replace(joined.drop("changed", "cut_id"), f"{store}/documents")
@@ -54,15 +71,24 @@ def build(spark: SparkSession, raw: str, store: str, force: bool = False) -> Non
         tables.replace(vectors.join(done, segment.document_of(vectors.chunk_id) == done.cut_id, "left_anti"), f"{store}/vectors")
 
 
-def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None) -> None:
-    """Adds vectors of open chunks in order of priority; what is there is not computed again."""
-    chunks = tables.load(spark, f"{store}/chunks")
+def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None, commit: int = COMMIT) -> int:
+    """Adds vectors of open chunks in order of priority, about ``commit`` at a time; what is there is not computed or written again.
+
+    Each part is a commit of its own, so a run that fails keeps what it had and the next one goes on there. Returns the number of parts.
+    """
+    chunks, parts = tables.load(spark, f"{store}/chunks"), 0
     stored = tables.load(spark, f"{store}/vectors")
     if stored is None:
         stored = spark.createDataFrame([], "chunk_id long, embedding array<float>")
-    queue = maintenance.embed_queue(chunks, tables.load(spark, f"{store}/documents"), stored, limit)
-    made = models.embed(chunks.join(queue.select("chunk_id"), "chunk_id", "left_semi"), embedder)
-    tables.replace(stored.unionByName(made), f"{store}/vectors")
+    shared_folder(spark)
+    queue = maintenance.embed_queue(chunks, tables.load(spark, f"{store}/documents"), stored, limit).checkpoint()
+    for row in queue.groupBy("prioritaet").count().orderBy("prioritaet").collect():
+        own, rounds = queue.where(F.col("prioritaet") == row["prioritaet"]), -(-row["count"] // commit)
+        for k in range(rounds):
+            part = own.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k).select("chunk_id")
+            tables.append(models.embed(chunks.join(part, "chunk_id", "left_semi"), embedder), f"{store}/vectors")
+            parts += 1
+    return parts
 
 
 def serving(spark: SparkSession, store: str) -> DataFrame:
@@ -77,19 +103,31 @@ def vectors(spark: SparkSession, store: str) -> DataFrame | None:
 
 
 def search(spark: SparkSession, store: str, question: str, embedder: models.Embedder | None = None, limit: int = 8, profile: Profile = SQLITE, **filters) -> DataFrame:
-    """The best chunks of a question with their texts: chunk_id, score, found_by, rank and the columns of ``serving``."""
-    chunks = serving(spark, store)
+    """The best chunks of a question with their texts: chunk_id, score, found_by, rank and the columns of ``serving``; by the store's index if it has one."""
+    own, chunks = index_of(spark, store), serving(spark, store)
     vector = embedder.embed([question], models.QUERY)[0] if embedder is not None else None
-    hits = plans.hybrid(chunks, vectors(spark, store), plans.question_terms(spark, question, profile), vector, profile, plans.filters(**filters), limit)
+    hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own)
+    if own is not None:
+        hits = fusion.pinned(hits)
+        chunks = own.of_documents(r["d"] for r in hits.select(segment.document_of(F.col("chunk_id")).alias("d")).distinct().collect())
     return chunks.join(F.broadcast(hits), "chunk_id").orderBy("rank")
 
 
-def index(spark: SparkSession, store: str, buckets: int = 64) -> None:
-    """Postings and document frequencies as bucketed tables, whole each time, so no stale term stays."""
-    chunks = tables.load(spark, f"{store}/chunks")
-    tables.bucketed(lexical.postings(chunks), "postings", "term", buckets)
-    tables.bucketed(lexical.lengths(chunks), "lengths", "chunk_id", buckets)
-    tables.bucketed(lexical.document_frequency(spark.table("postings")), "lexeme_df", "term", buckets)
+def ask(spark: SparkSession, store: str, question: str, generator: models.Generator, embedder: models.Embedder | None, analyse_template: str, answer_template: str, **options):
+    """The events of ``plans.search.ask`` over a store, by its index if it has one."""
+    return plans.ask(serving(spark, store), vectors(spark, store), question, generator, embedder, analyse_template, answer_template, index=index_of(spark, store), **options)
+
+
+def index(spark: SparkSession, store: str, buckets: int = stored_index.BUCKETS) -> None:
+    """Writes the store's index: postings by word and stem, frequencies, and its chunks by document."""
+    stored_index.write(serving(spark, store), f"{store}/index", buckets)
+
+
+def index_of(spark: SparkSession, store: str) -> stored_index.Index | None:
+    """The store's index, unless chunks were replaced since it was written."""
+    if tables.written(spark, f"{store}/chunks") > tables.written(spark, f"{store}/index/stats"):
+        return None
+    return stored_index.read(spark, f"{store}/index")
 
 
 def publish(spark: SparkSession, store: str, target: str) -> None:
@@ -108,20 +146,73 @@ def resync(spark: SparkSession, store: str, target: str) -> DataFrame:
     return maintenance.resync(tables.load(spark, f"{store}/chunks"), tables.load(spark, f"{target}/chunks"))
 
 
-def evaluate(spark: SparkSession, store: str, questions: str, embedder: models.Embedder | None = None, top_k: int = 20, vector_weight: float = 1.5, profile: str = "postgres") -> str:
-    """Report of hit rate and median rank over a set of questions; each is a small plan of its own, its hits are joined together."""
-    from dataclasses import replace
-
+def prepare(spark: SparkSession, store: str, asked: DataFrame, embedder: models.Embedder | None, generator: models.Generator | None = None, analyse_template: str = "{frage}", new: bool = False) -> DataFrame:
+    """(frage, suchbegriffe, dokumentart, vektor) of each question of an evaluation set, made once and kept in the store.
+
+    So two runs differ in their ranking alone. ``new`` makes all of them again. A set is a file that one reads, so its
+    questions go through the models in the driver.
+    """
+    folder = f"{store}/eval_cache"
+    known = None if new else tables.load(spark, folder)
+    if known is None:
+        known = spark.createDataFrame([], "frage string, suchbegriffe string, dokumentart string, vektor array<double>")
+    rows = []
+    for r in evaluation.uncached(asked, known).select("frage").distinct().collect():
+        found = plans.analyse(generator, analyse_template, r["frage"]) if generator is not None else {"suchbegriffe": r["frage"], "dokumentart": None}
+        rows.append((r["frage"], found["suchbegriffe"], found["dokumentart"], [float(x) for x in embedder.embed([r["frage"]], models.QUERY)[0]] if embedder is not None else None))
+    if rows:
+        made = spark.createDataFrame(rows, known.schema)
+        (tables.replace if new else tables.append)(made.coalesce(1), folder)
+        known = tables.load(spark, folder)
+    return known.join(asked.select("frage").distinct(), "frage", "left_semi").dropDuplicates(["frage"])
+
+
+def evaluate(
+    spark: SparkSession,
+    store: str,
+    questions: str,
+    embedder: models.Embedder | None = None,
+    top_k: int = 20,
+    vector_weight: float = 1.5,
+    profile: str = "postgres",
+    generator: models.Generator | None = None,
+    rerank_template: str | None = None,
+    new: bool = False,
+) -> str:
+    """Report of hit rate, median rank and milliseconds over a set of questions, from what ``prepare`` keeps.
+
+    All questions are one plan: their terms meet the postings once, their vectors go in blocks. With ``rerank_template`` a model
+    picks from each question's candidates, a call each.
+    """
     asked = evaluation.read_questions(spark, questions)
-    own = replace(PROFILES[profile], top_k=top_k, vector_weight=vector_weight)
-    ranked = None
-    for q in asked.where("size(ziele) > 0").collect():
-        part = search(spark, store, q["frage"], embedder, top_k, own).select(F.lit(q["frage_id"]).alias("frage_id"), F.col("dokumentnummer").alias("dokument"), "rank")
-        ranked = part if ranked is None else ranked.unionByName(part)
-    if ranked is None:
+    positive = asked.where("size(ziele) > 0")
+    if positive.isEmpty():
         return "Keine Fragen."
+    own = replace(PROFILES[profile], top_k=top_k, vector_weight=vector_weight)
+    cache = prepare(spark, store, positive, embedder, generator, new=new)
+    began = time.perf_counter()
+    known = positive.join(cache, "frage").select("frage_id", "frage", "suchbegriffe", "vektor")
+    chunks, held = serving(spark, store), index_of(spark, store)
+    limit = top_k if rerank_template is None else fusion.RERANK_MOST
+    hits = plans.batch(chunks, vectors(spark, store), known, own, limit, held)
+    ranked = hits.join(chunks.select("chunk_id", F.col("dokumentnummer").alias("dokument")), "chunk_id").select("frage_id", "chunk_id", "dokument", "rank")
+    times = []
+    if rerank_template is not None:
+        ranked, parts = fusion.pinned(ranked, 1 << 20), []
+        for q in known.select("frage_id", "frage").collect():
+            at = time.perf_counter()
+            one = ranked.where(F.col("frage_id") == q["frage_id"])
+            parts += [(q["frage_id"], r["chunk_id"], r["rank"]) for r in plans.reranked(one, chunks, q["frage"], generator, rerank_template, top_k).collect()]
+            times.append(time.perf_counter() - at)
+        picked = spark.createDataFrame(parts, "frage_id int, chunk_id long, rank int")
+        ranked = picked.join(ranked.select("frage_id", "chunk_id", "dokument"), ["frage_id", "chunk_id"])
+    # One row for each question and rank, so few.
+    ranked = spark.createDataFrame(ranked.select("frage_id", "dokument", "rank").collect(), "frage_id int, dokument string, rank int")
+    spent = time.perf_counter() - began
     judged = evaluation.judge(ranked, evaluation.targets(asked), top_k)
-    return evaluation.report(evaluation.metrics(judged).first(), evaluation.failures(judged, ranked).collect())
+    row = evaluation.metrics(judged).first()
+    each = statistics.median(times) if times else spent / max(1, row["fragen"])
+    return evaluation.report(row, evaluation.failures(judged, ranked).collect(), 1000 * each)
 
 
 def stats(spark: SparkSession, store: str) -> dict[str, int]:

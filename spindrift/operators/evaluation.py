@@ -51,7 +51,8 @@ def targets(questions: DataFrame) -> DataFrame:
     return questions.select("frage_id", F.explode("ziele").alias("ziel"))
 
 
-def report(row, misses) -> str:
-    """A few lines of text from a row of ``metrics`` and those of ``failures``."""
+def report(row, misses, milliseconds: float | None = None) -> str:
+    """A few lines of text from a row of ``metrics`` and those of ``failures``; with the milliseconds of a question if they are known."""
     lines = [f"Treffer: {row['treffer']}/{row['fragen']} ({100 * (row['trefferquote'] or 0):.0f} %)", f"Median des ersten Rangs: {row['median_rang']}"]
+    lines += [] if milliseconds is None else [f"Zeit je Frage: {milliseconds:.0f} ms"]
     return "\n".join(lines + [f"- {m['frage_id']}: gefunden {', '.join(map(str, m['gefunden']))}" for m in misses])

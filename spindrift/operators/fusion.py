@@ -7,13 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, strip
+from ..shipping import shared_folder
+
 RRF_K = 60
 #: How sentences of a highlight are told apart, what one starts with, its lengths, its marks.
 HIGHLIGHT_BREAK = r"(?U)(?<=[^0-9][.!?])\s+(?=[A-ZÄÖÜ„\"(])"
 HIGHLIGHT_START = r'^[A-ZÄÖÜ„"(]'
 HIGHLIGHT_CHARS = (30, 350)
 MARK_ON, MARK_OFF = "\u0001", "\u0002"
-RERANK_MOST = 60
+RERANK_MOST, TEASER = 60, 200
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -36,10 +39,14 @@ def fuse(lists: Mapping[str, tuple[DataFrame, float]], limit: int, k: int = RRF_
 
 
 def pinned(hits: DataFrame, most: int = 1000) -> DataFrame:
-    """``hits`` as rows of the plan: a search's few best are fetched once instead of being searched for by each use of them."""
+    """``hits`` as rows of the plan: a search's few best are fetched once instead of being searched for by each use of them.
+
+    More than ``most`` go to a checkpoint instead.
+    """
     rows = hits.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} hits")
+        shared_folder(hits.sparkSession)
+        return hits.checkpoint()
     return hits.sparkSession.createDataFrame(rows, hits.schema)
 
 
@@ -103,15 +110,30 @@ def build_context(hits: DataFrame, max_block: int = 8_000, max_total: int = 60_0
     return out.withColumn("context", F.array_join(F.transform("quellen", lambda q: q["block"]), SEPARATOR))
 
 
+def candidate_lines(candidates: DataFrame, chars: int = TEASER) -> DataFrame:
+    """One row, column ``kandidaten``: a numbered line for each of the first ``RERANK_MOST`` of ``candidates(rank, drucksachetyp, dokumentart, dokumentnummer, text)``.
+
+    A line is ``n. [kind number] text``, white space in the text as single spaces, its first ``chars`` characters.
+    """
+    kind = F.coalesce(F.nullif(F.col("drucksachetyp"), F.lit("")), F.col("dokumentart"), F.lit(""))
+    text = F.left(strip(F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")), F.lit(chars))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". ["), kind, F.lit(" "), F.coalesce("dokumentnummer", F.lit("")), F.lit("] "), text)
+    rows = candidates.where(F.col("rank") <= RERANK_MOST).select("rank", line.alias("line"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("kandidaten"))
+
+
 def rerank(candidates: DataFrame, answer: Column | str, top_k: int) -> DataFrame:
     """(chunk_id, ord) from ``candidates(chunk_id, rank)`` and a model's answer: its first ``[...]`` of candidate numbers from 1.
 
-    Only the first ``RERANK_MOST`` candidates can be picked. Other numbers are ignored, repeated ones
-    stay, the rest is filled up in the order of the candidates; an answer without a list, or candidates that all fit,
-    leave that order.
+    Only the first ``RERANK_MOST`` candidates can be picked. Of a list that holds other things the whole numbers count, in
+    their order; numbers of no candidate are ignored, repeated ones stay, the rest is filled up in the order of the
+    candidates. An answer without a list, one that is no JSON, or candidates that all fit, leave that order.
     """
     text = F.lit(answer) if isinstance(answer, str) else answer
-    picks = F.from_json(F.regexp_extract(text, r"\[[^\]]*\]", 0), "array<int>")
+    found = F.regexp_extract(text, r"\[[^\]]*\]", 0)
+    parts = F.transform(F.split(F.substring(found, F.lit(2), F.length(found) - 2), ",", -1), lambda p: F.trim(p, F.lit(" \t\r\n")))
+    whole = F.transform(F.filter(parts, lambda p: p.rlike(r"^-?[0-9]+$")), lambda p: p.try_cast("int"))
+    picks = F.when(F.from_json(found, "array<string>").isNotNull(), whole)
     one = candidates.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id"))).alias("c"))
     one = one.withColumn("p", F.filter(F.coalesce(picks, F.array().cast("array<int>")), lambda p: p.isNotNull() & (p >= 1) & (p <= F.least(F.size("c"), F.lit(RERANK_MOST))) & (F.size("c") > top_k)))
     chosen = F.transform("p", lambda p: F.try_element_at(F.col("c"), p)["chunk_id"])

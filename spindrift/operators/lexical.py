@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +15,22 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"text": 1.0, "redner": 0.5}
 
 
-def _weighted(column: str, weight: float) -> Column:
-    return F.transform(index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+def _weighted(column: str, weight: float, tokens: Callable[[Column], Column] = index_tokens) -> Column:
+    return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
 
-def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id") -> DataFrame:
-    """(term, chunk_id, tf, hits): weighted and plain occurrences of each term in each chunk.
+def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id", tokens: Callable[[Column], Column] = index_tokens, sizes: bool = False) -> DataFrame:
+    """(term, chunk_id, tf, hits): weighted and plain occurrences of each term in each chunk; with ``sizes`` also size, the chunk's tokens.
 
     Columns are tokenised apart and exploded together, so one shuffle counts them all.
     """
-    marked = [_weighted(c, w) for c, w in columns.items()]
-    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode_outer(F.concat(*marked)).alias("t")).where("t is not null")
-    return rows.groupBy(F.col("t.term").alias("term"), "chunk_id").agg(F.sum("t.w").alias("tf"), F.count("*").alias("hits"))
+    marked = F.concat(*[_weighted(c, w, tokens) for c, w in columns.items()])
+    rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(F.array(marked)).alias("ts")) if sizes else chunks.select(F.col(id_).alias("chunk_id"), marked.alias("ts"))
+    own = [F.size("ts").cast("long").alias("size")] if sizes else []
+    rows = rows.select("chunk_id", *own, F.explode_outer("ts").alias("t")).where("t is not null")
+    keys = [F.col("t.term").alias("term"), "chunk_id", *(["size"] if sizes else [])]
+    counted = rows.groupBy(*keys).agg(F.sum("t.w").alias("tf"), F.count("*").alias("hits"))
+    return counted.select("term", "chunk_id", "tf", "hits", *(["size"] if sizes else []))
 
 
 def lengths(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id") -> DataFrame:
@@ -76,13 +82,14 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
     return scored.groupBy("chunk_id").agg(F.sum(_part()).alias("score"))
 
 
-def bm25_indexed(index: DataFrame, sizes: DataFrame, terms: DataFrame) -> DataFrame:
-    """``bm25`` over a stored index: ``postings`` and ``lengths``. Texts are not read; postings of other terms end in the scan."""
-    per = index.join(F.broadcast(terms.select("term")), "term", "left_semi").select("chunk_id", "term", "tf")
-    df = per.groupBy("term").agg(F.count("*").alias("df"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean"))
-    scored = per.join(sizes.withColumnRenamed("tokens", "size"), "chunk_id").join(F.broadcast(df), "term").join(F.broadcast(stats))
-    return scored.groupBy("chunk_id").agg(F.sum(_part()).alias("score"))
+def bm25_indexed(per: DataFrame, frequency: DataFrame, count: int, mean: float, by: list[str] | None = None) -> DataFrame:
+    """``bm25`` from stored ``per(term, chunk_id, tf, size)`` and ``frequency(term, ndoc)`` of a question's terms, and the numbers of all chunks.
+
+    ``by`` names further columns of ``per``, for the scores of several questions at once.
+    """
+    known = frequency.select("term", F.col("ndoc").alias("df"))
+    scored = per.join(F.broadcast(known), "term").withColumns({"n": F.lit(count), "mean": F.lit(float(mean))})
+    return scored.groupBy(*(by or []), "chunk_id").agg(F.sum(_part()).alias("score"))
 
 
 def _part() -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators.segment import chunk_id
 from ..profiles import CHUNK_PLACES
+from ..shipping import remove, shared_folder
+from ..sources import jsonl
 from ..sources.tables import read
 from .catalogue import query
 
@@ -161,3 +165,23 @@ def duplicate_positions(spark, sf):
 @query("orphan_chunks", f"with {_LINES_SQL}, {_TARGET_SQL} select document_id, position, text from target where document_id not in (select doc_id from documents)")
 def orphan_chunks(spark, sf):
     return M.orphans(_target(spark, sf), read(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query("harvest_latest_wins", """select doc_id as id, 'Titel ' || doc_id || case when doc_id % 3 = 0 then ' neu' else '' end as titel, case when doc_id % 3 = 0 then 'b' else 'a' end as aktualisiert, case when doc_id % 3 = 0 then length(text || '!') else length(text) end as text_len from documents where doc_id % 2 = 0
+union all select doc_id, 'Titel ' || doc_id, 'a', length(text) from documents where doc_id % 2 = 1""")
+def harvest_latest_wins(spark, sf):
+    """Two harvests of a kind and one of another, written as JSON lines and read again: the later version of a document stays, other kinds are untouched."""
+    d = read(spark, sf, "documents")
+    raw = f"{shared_folder(spark)}/harvest-{uuid.uuid4().hex}"
+
+    def records(rows, version, more, end):
+        return rows.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Titel "), F.col("doc_id").cast("string"), F.lit(more)).alias("titel"), F.lit(version).alias("aktualisiert"), F.concat("text", F.lit(end)).alias("text"))
+
+    even, odd = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
+    jsonl.write(records(odd, "a", "", ""), raw, "plenarprotokoll", 21)
+    jsonl.write(records(even, "0", " alt", "?"), raw, "drucksache", 21)
+    jsonl.write(records(even, "a", "", ""), raw, "drucksache", 21)
+    jsonl.write(records(even.where("doc_id % 3 = 0"), "b", " neu", "!"), raw, "drucksache", 21, since="2025-01-01")
+    out = M.latest(M.incoming(jsonl.read(spark, raw))).select("id", "titel", "aktualisiert", "text_len").checkpoint()
+    remove(spark, raw)
+    return out

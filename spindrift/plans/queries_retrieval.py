@@ -5,6 +5,8 @@ Chunks are the lines of documents; the question is a benchmark text; vectors are
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from ..functions.vectors import to_half
 from ..operators import fusion, lexical, semantic
 from ..operators.segment import chunk_id
 from ..profiles import CHUNK_PLACES, POSTGRES, SQLITE
+from ..shipping import shared_folder
+from ..sources import index
 from ..sources.tables import read, spread
 from .catalogue import query
-from .search import hybrid
+from .search import asked_of, context_chunks, hybrid, lexical_hits
 
 LIMIT = 40
 
@@ -98,9 +102,30 @@ def bm25_topk(spark, sf):
 
 @query("bm25_indexed_topk", f"with {BM25_SQL} select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from bm25 qualify rank <= {LIMIT}")
 def bm25_indexed_topk(spark, sf):
-    c = chunks(spark, sf)
-    scores = lexical.bm25_indexed(lexical.postings(c), lexical.lengths(c), terms(spark, sf))
-    return _best(scores).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    """``bm25_topk`` from the stored index."""
+    return lexical_hits(chunks(spark, sf), asked_of(_question(spark, sf), SQLITE, "text"), SQLITE, index=stored(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def stored(spark, sf):
+    """The index of the lines of ``documents``, built once for each state of the table into the shared folder."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = kind(f"{sf}/documents.parquet")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [system.getFileStatus(path)] if system.getFileStatus(path).isFile() else sorted(system.listStatus(path), key=lambda s: s.getPath().toString())
+    state = hashlib.sha256(repr([(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files]).encode()).hexdigest()[:24]
+    folder = f"{shared_folder(spark)}/lines-{state}"
+    found = index.read(spark, folder)
+    if found is None:
+        index.write(chunks(spark, sf), folder)
+        found = index.read(spark, folder)
+    return found
+
+
+@query("postgres_topk")
+def postgres_topk(spark, sf):
+    """The lexical list of the postgres profile: stems, without stopwords and too frequent ones. Stemming is beyond the SQL; tests hold it against plain Python."""
+    words = asked_of(_question(spark, sf), POSTGRES, "text")
+    return lexical_hits(chunks(spark, sf), words, POSTGRES, index=stored(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _KEEP = "dokumentart = 'en' and datum >= date '2024-03-01' and datum <= date '2025-06-30'"
@@ -318,9 +343,9 @@ select n::int as nummer, place as "at", block from fold where block is not null"
 
 @query("hybrid_context", _context_sql(SQLITE, "owner_rank, nb, position, chunk_id"))
 def hybrid_context(spark, sf):
-    """The flagship: a question's hybrid hits with neighbours as a numbered, budgeted context."""
-    c = chunks(spark, sf)
-    hits = hybrid(c, _vectors(spark, sf), terms(spark, sf), _query_vector(spark, sf), SQLITE)
-    ordered = fusion.with_neighbours(hits, c, SQLITE.window, SQLITE.neighbours)
-    blocks = c.join(F.broadcast(ordered), "chunk_id").select("ord", F.concat("dokumentart", F.lit(" 21/"), F.col("document_id").cast("string"), F.lit(" vom "), F.date_format("datum", "yyyy-MM-dd"), F.lit(", "), "redner").alias("head"), F.col("text").alias("body"))
+    """The flagship: a question's hybrid hits with neighbours as a numbered, budgeted context, from the stored index."""
+    own = stored(spark, sf)
+    hits = hybrid(own.chunks, _vectors(spark, sf), asked_of(_question(spark, sf), SQLITE, "text"), _query_vector(spark, sf), SQLITE, index=own)
+    ordered, near = context_chunks(hits, own.chunks, SQLITE, own)
+    blocks = near.join(F.broadcast(ordered), "chunk_id").select("ord", F.concat("dokumentart", F.lit(" 21/"), F.col("document_id").cast("string"), F.lit(" vom "), F.date_format("datum", "yyyy-MM-dd"), F.lit(", "), "redner").alias("head"), F.col("text").alias("body"))
     return fusion.build_context(blocks).select(F.explode("quellen").alias("q")).select("q.nummer", "q.at", "q.block")

@@ -12,11 +12,12 @@ class Profile:
     name: str
     top_k: int
     vector_weight: float
-    lexical: str  # bm25 or coverage
+    lexical: str  # bm25 over words, or coverage of stems
     metric: str  # l2 or cosine
     vector_filter: str  # after the nearest five times limit, or before
     neighbours: str  # interleaved or appended
     rrf_k: int = 60
+    max_df: float | None = None  # share of chunks above which a term is too frequent to search for
     candidates: int = 40
     window: int = 1
     block_chars: int = 8_000
@@ -24,7 +25,8 @@ class Profile:
 
 
 SQLITE = Profile("sqlite", 12, 1.0, "bm25", "l2", "after", "interleaved")
-POSTGRES = Profile("postgres", 20, 1.5, "coverage", "cosine", "before", "appended")
+#: The cut of 10,000 chunks holds for a store of 416,837.
+POSTGRES = Profile("postgres", 20, 1.5, "coverage", "cosine", "before", "appended", max_df=10_000 / 416_837)
 PROFILES = {p.name: p for p in (SQLITE, POSTGRES)}
 
 #: Sizes of chunks in characters: aimed at, carried over, least.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,41 +27,88 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
-def _pointer(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/CURRENT")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+#: A pointer's file: ``CURRENT-`` and a number. It names the versions that make up the table, one a line.
+_POINTER = "CURRENT-"
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    system, path = _pointer(spark, folder)
-    if not system.exists(path):
-        return None
-    return spark.read.text(path.toString()).first()[0]
+def _system(spark: SparkSession, folder: str):
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return kind(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[str]:
+    system, kind = _system(spark, folder)
+    if not system.exists(kind(folder)):
+        return []
+    return sorted(n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith(_POINTER))
+
+
+def current(spark: SparkSession, folder: str) -> list[str]:
+    """The versions that make up a table; none if there is no table."""
+    folder = folder.rstrip("/")
+    found = _pointers(spark, folder)
+    return [r[0] for r in spark.read.text(f"{folder}/{found[-1]}").collect() if r[0]] if found else []
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    version = current(spark, folder)
-    return None if version is None else spark.read.parquet(f"{folder.rstrip('/')}/{version}")
+    versions = current(spark, folder)
+    return spark.read.parquet(*[f"{folder.rstrip('/')}/{v}" for v in versions]) if versions else None
+
+
+def _commit(spark: SparkSession, folder: str, versions: list[str]) -> None:
+    """Names the versions by a new pointer: written aside, then renamed to the next number, which nothing else may have taken."""
+    folder = folder.rstrip("/")
+    system, kind = _system(spark, folder)
+    found = _pointers(spark, folder)
+    number = 1 + (int(found[-1].removeprefix(_POINTER)) if found else 0)
+    aside, pointer = kind(f"{folder}/_{uuid.uuid4().hex}"), kind(f"{folder}/{_POINTER}{number:012d}")
+    out = system.create(aside, True)
+    out.write(bytearray("\n".join(versions).encode()))
+    out.close()
+    if system.exists(pointer) or not system.rename(aside, pointer):
+        system.delete(aside, False)
+        raise RuntimeError(f"{folder} was written by another job at the same time")
+    # The one before stays for readers that have just listed it.
+    for name in found[:-1]:
+        system.delete(kind(f"{folder}/{name}"), False)
 
 
-def replace(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
-    """Writes a new version and then points to it, so a reader sees the old or the new table whole, also if ``df`` reads it."""
-    spark = df.sparkSession
+def _write(df: DataFrame, folder: str, partition_by: list[str] | None) -> str:
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{folder.rstrip('/')}/{version}")
-    system, path = _pointer(spark, folder)
-    out = system.create(path, True)
-    out.write(bytearray(version.encode()))
-    out.close()
     return version
 
 
-def append(df: DataFrame, folder: str) -> None:
-    df.write.mode("append").parquet(folder)
+def replace(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
+    """Writes a new version and then points to it, so a reader sees the old or the new table whole, also if ``df`` reads it."""
+    version = _write(df, folder, partition_by)
+    _commit(df.sparkSession, folder, [version])
+    return version
+
+
+def append(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
+    """Adds a version to those of a table; what is there is not written again."""
+    before = current(df.sparkSession, folder)
+    version = _write(df, folder, partition_by)
+    _commit(df.sparkSession, folder, [*before, version])
+    return version
+
+
+def vacuum(spark: SparkSession, folder: str, grace_hours: float = 24.0) -> list[str]:
+    """Deletes versions that no pointer names and that are older than the grace of readers; returns them."""
+    folder = folder.rstrip("/")
+    system, kind = _system(spark, folder)
+    named = {v for p in _pointers(spark, folder) for r in spark.read.text(f"{folder}/{p}").collect() for v in [r[0]]}
+    oldest = time.time() * 1000 - grace_hours * 3_600_000
+    gone = [n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith("v-") and n not in named and s.getModificationTime() <= oldest] if system.exists(kind(folder)) else []
+    for name in gone:
+        system.delete(kind(f"{folder}/{name}"), True)
+    return gone
 
 
-def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> None:
-    """A table that joins on ``by`` without a shuffle and prunes row groups by it, with its statistics."""
-    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS {by}")
+def written(spark: SparkSession, folder: str) -> int:
+    """When a table was last pointed to anew, in milliseconds; 0 if there is none."""
+    found = _pointers(spark, folder)
+    system, kind = _system(spark, folder)
+    return system.getFileStatus(kind(f"{folder.rstrip('/')}/{found[-1]}")).getModificationTime() if found else 0

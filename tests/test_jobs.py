@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift import jobs
 from spindrift.functions import german
-from spindrift.models import HashEmbedder
+from spindrift.models import EchoGenerator, HashEmbedder
 from spindrift.operators import lexical, segment
 from spindrift.profiles import CHUNK_PLACES
 from spindrift.sources import tables
@@ -46,8 +46,43 @@ def test_life_of_a_store(spark, tmp_path):
     assert rows and all("Miete" in r["text"] for r in rows[:2]) and "bm25" in rows[0]["found_by"]
     (tmp_path / "q.json").write_text(json.dumps({"fragen": [{"frage": "Rente", "ziele": ["21/0", "21/4"], "art": "antrag"}, {"frage": "x", "ziele": [], "art": "negativ"}]}))
     assert jobs.evaluate(spark, store, str(tmp_path / "q.json"), HashEmbedder(64)).startswith("Treffer: 1/1")
+    assert jobs.index_of(spark, store) is None
     jobs.index(spark, store, 4)
-    assert spark.table("lexeme_df").where("term = 'miete'").first()["ndoc"] > 0
+    own = jobs.index_of(spark, store)
+    assert own.of_terms(own.frequency, ["miete"]).where("kind = 'word'").first()["ndoc"] > 0
+    indexed = jobs.search(spark, store, "Wie steht es um die Miete?", HashEmbedder(64), 4, dokumentart="Drucksache").collect()
+    assert [(r["chunk_id"], r["rank"], r["text"]) for r in indexed] == [(r["chunk_id"], r["rank"], r["text"]) for r in rows]
+    before = jobs.evaluate(spark, store, str(tmp_path / "q.json"), HashEmbedder(64), profile="sqlite").splitlines()
+    assert before[0].startswith("Treffer: 1/1") and before[2].startswith("Zeit je Frage")
+    assert tables.load(spark, f"{store}/eval_cache").count() == 1
+    picked = EchoGenerator(["[1]"] * 3)
+    assert jobs.evaluate(spark, store, str(tmp_path / "q.json"), HashEmbedder(64), top_k=2, generator=picked, rerank_template="{frage} {kandidaten}").startswith("Treffer: 1/1")
+    events = list(jobs.ask(spark, store, "Miete", EchoGenerator(["kein JSON", "Ja [1]."]), HashEmbedder(64), "{frage}", "{kontext}", limit=2))
+    assert events[1]["typ"] == "quellen" and "Miete" in events[1]["quellen"][0]["auszug"]
+    # A newer build makes the index stale, so searches go by the chunks again.
+    (tmp_path / "raw" / "3.jsonl").write_text(json.dumps(record(3, "c")))
+    jobs.build(spark, raw, store, kind="drucksache")
+    assert jobs.index_of(spark, store) is None
+
+
+def test_embedding_commits_by_parts(spark, tmp_path):
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    raw.mkdir()
+    (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(12)))
+    jobs.build(spark, str(raw), store)
+
+    class Failing(HashEmbedder):
+        def embed(self, texts, task="document"):
+            raise ValueError("aus")
+
+    chunks = tables.load(spark, f"{store}/chunks").count()
+    assert jobs.embed(spark, store, HashEmbedder(8), 5, commit=3) == 2
+    first = tables.current(spark, f"{store}/vectors")
+    with pytest.raises(Exception, match="aus"):
+        jobs.embed(spark, store, Failing(8))
+    assert tables.current(spark, f"{store}/vectors") == first and jobs.stats(spark, store)["vektoren"] == 5
+    jobs.embed(spark, store, HashEmbedder(8), commit=4)
+    assert tables.current(spark, f"{store}/vectors")[: len(first)] == first and jobs.stats(spark, store)["vektoren"] == chunks
 
 
 STEMS = {"mietpreisen": "mietpreis", "häuser": "haus", "kategorische": "kategor", "katers": "kat", "aufeinander": "aufeinand", "aufeinanderfolge": "aufeinanderfolg", "käufer": "kauf", "verteidigung": "verteid", "kleinigkeit": "kleinig", "freundlichkeit": "freundlich", "erkenntnisse": "erkenntnis", "großen": "gross", "bauen": "bau", "e": "e", "": ""}

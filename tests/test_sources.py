@@ -89,6 +89,43 @@ def test_table_versions(spark, tmp_path):
     assert sorted(r["id"] for r in tables.load(spark, folder).collect()) == [1, 2]
 
 
+def test_tables_grow_by_commits(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    tables.append(spark.range(3), folder)
+    tables.append(spark.range(3, 5), folder)
+    assert sorted(r["id"] for r in tables.load(spark, folder).collect()) == list(range(5)) and len(tables.current(spark, folder)) == 2
+    before = tables.load(spark, folder)
+    tables.replace(before.where("id > 3"), folder)
+    # A reader of the table as it was still finds its files, until the grace is over.
+    assert before.count() == 5 and tables.load(spark, folder).count() == 1
+    tables.replace(spark.range(1), folder)
+    assert not tables.vacuum(spark, folder) and len(tables.vacuum(spark, folder, 0)) == 2
+    assert tables.load(spark, folder).count() == 1
+    # A version that no pointer names, as a crash leaves it, is never read.
+    spark.range(9).write.parquet(f"{folder}/v-lost")
+    (tmp_path / "t" / "_halfway").write_text("v-lost")
+    assert tables.load(spark, folder).count() == 1
+
+
+def test_harvests(spark, tmp_path):
+    """Of a full and an incremental harvest the new version always wins; a harvest of one kind leaves the other."""
+
+    def records(k, version):
+        return spark.createDataFrame([(str(k), version, "t")], "id string, aktualisiert string, text string")
+
+    for trial in range(20):
+        raw = str(tmp_path / str(trial))
+        jsonl.write(records(1, "a"), raw, "drucksache", 21)
+        jsonl.write(records(2, "a"), raw, "plenarprotokoll", 21)
+        jsonl.write(records(1, "b"), raw, "drucksache", 21, since="x")
+        assert {r["id"]: r["aktualisiert"] for r in M.latest(M.incoming(jsonl.read(spark, raw))).collect()} == {1: "b", 2: "a"}
+    jsonl.write(records(1, "c"), raw, "drucksache", 21)
+    assert {r["id"]: r["aktualisiert"] for r in M.latest(M.incoming(jsonl.read(spark, raw))).collect()} == {1: "c", 2: "a"}
+    assert jsonl.read(spark, raw).count() == 2
+    jsonl.write(records(1, "d"), raw, "drucksache", 20)
+    assert {r["id"]: r["aktualisiert"] for r in M.latest(M.incoming(jsonl.read(spark, raw))).collect()} == {1: "d", 2: "a"}
+
+
 def test_events():
     sent = "".join(events.lines([{"a": 1}, {"b": "ü"}]))
     assert list(events.parse([sent[:9], sent[9:20], sent[20:], "data: kaputt\n\n", 'data: {"c"'])) == [{"a": 1}, {"b": "ü"}]
