@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import put
-from .common import mapped, table
+from .common import checkpointed, mapped, table
 
 #: The production rules, as (verdict, host, path). Fixed values of the query's contract.
 RULES = (
@@ -26,8 +26,10 @@ RULES = (
 )
 #: The verdict where no rule fits.
 DEFAULT = "allow"
-#: Most bytes of an index that every executor maps; ``judged`` refuses a longer list.
-MAX_BYTES = 2 << 30
+#: Most bytes of a file of the index, which the driver makes at once; longer lists are several files, each probed.
+MAX_BYTES = 256 << 20
+#: What a rule takes in a file beside its string: digest, offset, verdict.
+_ROW = 17
 _MAGIC = b"URLDIGST"
 
 
@@ -52,6 +54,11 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+def _rank(rule: bytes) -> tuple[int, int]:
+    """The longest rule wins, of equally long ones that of the longer host."""
+    return len(rule), rule.find(b"/")
+
+
 class Index:
     """A mapped index. Pages of the file are shared by the workers of a machine and read as they are probed."""
 
@@ -91,7 +98,7 @@ class Index:
         return self.strings[int(self.offsets[row]) : int(self.offsets[row + 1])].tobytes()
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str | None]]:
-        """Rule and verdict of each (host, path): the longest rule that fits, else None."""
+        """Rule and verdict of each (host, path): the longest rule that fits (of equally long ones the longer host), else None."""
         keys, owner, memo = [], [], {}
         for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             suffixes = memo.get(host)
@@ -112,7 +119,7 @@ class Index:
         rows = self.find(keys)
         for c in np.flatnonzero(rows >= 0):
             k = owner[c]
-            if k not in best or len(keys[c]) > len(keys[best[k]]):
+            if k not in best or _rank(keys[c]) > _rank(keys[best[k]]):
                 best[k] = c
         rule, verdict = [None] * len(hosts), [None] * len(hosts)
         for k, c in best.items():
@@ -147,23 +154,50 @@ def _index(name: str) -> Index:
     return _OPEN[path]
 
 
-def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
+def parts_of(rules: Iterable[tuple[str, str, str]] | DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str, str]]]:
+    """Rules in lists whose index is about ``max_bytes`` at most, each rule in one list; at least one list.
+
+    Of repeated rules the last one holds; in a frame (verdict, host, path), which has no order, block holds, and parts are
+    taken by a hash of the rule, so the driver has one part at a time.
+    """
+    if isinstance(rules, DataFrame):
+        lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        known = checkpointed(rules.where("host is not null and path is not null and verdict is not null").groupBy(lower.alias("host"), "path").agg(F.max("verdict").alias("verdict")))
+        size = known.agg(F.sum(F.octet_length("host") + F.octet_length("path") + _ROW)).first()[0] or 0
+        parts = max(1, -(-size // max_bytes))
+        for k in range(parts):
+            yield [tuple(r) for r in known.where(F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == k).select("verdict", "host", "path").toLocalIterator()]
+        return
+    last, held, size = {(h.translate(_LOWER), p): v for v, h, p in rules}, [], 0
+    for (h, p), v in last.items():
+        own = len(h.encode()) + len(p.encode()) + _ROW
+        if held and size + own > max_bytes:
+            yield held
+            held, size = [], 0
+        held.append((v, h, p))
+        size += own
+    yield held
+
+
+def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame = RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages(page_id, url)``.
 
     A rule fits its host and all its subdomains if the path starts with the rule's; the longest rule
-    wins. rule is null and the verdict ``default`` where none fits, as for null or empty urls. Repeated rows
-    give repeated rows; other columns are not read. Rules are host + path, both as in a url; the index of
-    them is made in the driver and must fit ``max_bytes``.
+    wins. rule is null and the verdict ``default`` where none fits, as for null or empty urls. Urls of any length are judged
+    whole. Repeated rows give repeated rows; other columns are not read; an empty table gives no rows. Rules are
+    host + path, both as in a url, a list or a frame (see ``parts_of``); a list of more than ``max_bytes`` is several files, and
+    the longest rule of all of them wins.
     """
-    index = build(rules)
-    if len(index) > max_bytes:
-        raise ValueError(f"an index of {len(index)} bytes is above the bound of {max_bytes}; split the rules and judge each part")
-    name = shared(pages.sparkSession, index)
+    names = [shared(pages.sparkSession, build(part)) for part in parts_of(rules, max_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _index(name)
         for b in batches:
-            rule, verdict = own.judge(b.column(1).to_pylist(), b.column(2).to_pylist())
+            hosts, paths = b.column(1).to_pylist(), b.column(2).to_pylist()
+            rule, verdict = _index(names[0]).judge(hosts, paths)
+            for name in names[1:]:
+                for k, (r, v) in enumerate(zip(*_index(name).judge(hosts, paths), strict=True)):
+                    if r is not None and (rule[k] is None or _rank(r.encode("utf-8", "surrogatepass")) > _rank(rule[k].encode("utf-8", "surrogatepass"))):
+                        rule[k], verdict[k] = r, v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array([v or default for v in verdict], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     host, path = host_and_path(F.col("url"))

@@ -158,7 +158,7 @@ def test_character_map(rule):
 
 def plain_verdict(host, path, rules):
     fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fits, key=lambda f: len(f[0]), default=(None, "allow"))
+    return max(fits, key=lambda f: (len(f[0].encode()), f[0].find("/")), default=(None, "allow"))
 
 
 def test_urls(spark):
@@ -175,6 +175,26 @@ def test_urls(spark):
     assert urls.judged(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("max_bytes", [60, 1 << 20])
+def test_rules_in_parts(spark, max_bytes):
+    """Lists that one file cannot hold, a frame of rules, repeated rows and a very long url."""
+    r = random.Random(5)
+    rules = [(r.choice(["allow", "block"]), f"{'a.' * (k % 3)}h{k % 11}.org", "/" + "x/" * (k % 5)) for k in range(60)]
+    rows = [(k, f"http://www.a.a.h{k % 14}.org/" + "x/" * (k % 7)) for k in range(80)] + [(5, "http://h5.org/x/")] * 3 + [(900, "http://h1.org/x/" + "y" * 300_000), (901, "http://" + "z." * 2000 + "h1.org/x/x/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(0))
+    got = urls.judged(df, rules, max_bytes=max_bytes).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x["rule"], x["verdict"]) == plain_verdict(x["host"], x["path"], list({(h, p): (v, h, p) for v, h, p in rules}.values()))
+    frame = spark.createDataFrame(rules + rules[:9] + [("block", None, "/")], "verdict string, host string, path string")
+    block = {}
+    for v, h, p in rules:
+        block[h, p] = (max(v, block.get((h, p), (v,))[0]), h, p)
+    got = urls.judged(df, frame, max_bytes=max_bytes).collect()
+    assert len(got) == len(rows) and all((x["rule"], x["verdict"]) == plain_verdict(x["host"], x["path"], list(block.values())) for x in got)
+    assert {x["verdict"] for x in urls.judged(df, frame.where("false")).collect()} == {"allow"}
+
+
 def test_many_rules_and_collisions(tmp_path, monkeypatch):
     r = random.Random(1)
     rules = [(r.choice(["allow", "block"]), f"h{k}.x{k % 7}.org", f"/{k % 13}/") for k in range(3000)]
