@@ -13,8 +13,9 @@ from .common import checkpointed, mapped
 from .components import connected_components, forest
 from .tiles import dealt, tile_starts, whole_tiles
 
-#: Production parameters: least cosine of a link, rows of a block of a large label.
-COSINE, TILE = 0.93, 4096
+#: Production parameters: least cosine of a link, bytes of a block of a large label as float32, rows of one (None: by the bytes). A vector
+#: goes to as many tiles as its label has blocks, so blocks are as large as a worker can hold well.
+COSINE, TILE_BYTES, TILE = 0.93, 8 << 20, None
 #: Rows of one side of a product, and dimensions summed at once: 127 * 127 * 1024 < 2^24, so float32 sums of int8 products are exact.
 STRIP, EXACT_DIMS = 512, 1024
 
@@ -114,7 +115,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         hit = np.flatnonzero(degree)
         return pa.RecordBatch.from_arrays([pa.array(gid[hit]), pa.array(gid[root[hit]]), pa.array(degree[hit])], names=["a", "b", "degree"])
 
-    tiles = dealt(rows, ["key"], "gid", TILE).select("key", "tile", "side", "name", "gid", "n", "embedding")
+    dims = groups.agg(F.max(F.size("embedding"))).first()[0] or 1
+    tiles = dealt(rows, ["key"], "gid", TILE or max(1024, TILE_BYTES // (4 * dims))).select("key", "tile", "side", "name", "gid", "n", "embedding")
     found = checkpointed(mapped(tiles, run, "a long, b long, degree long"))
     degrees = found.groupBy("a").agg(F.sum("degree").alias("degree"))
     linked = checkpointed(connected_components(found.select("a", "b")))
