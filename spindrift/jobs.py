@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import models
 from .operators import evaluation, fusion, maintenance, segment
 from .plans import search as plans
-from .profiles import PROFILES, SQLITE, Profile
+from .profiles import CHUNK_PLACES, PROFILES, SQLITE, Profile
 from .shipping import shared_folder, shipped
 from .sources import index as stored_index
 from .sources import jsonl, rest, tables
@@ -109,7 +109,7 @@ def search(spark: SparkSession, store: str, question: str, embedder: models.Embe
     hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own)
     if own is not None:
         hits = fusion.pinned(hits)
-        chunks = own.of_documents(r["d"] for r in hits.select(segment.document_of(F.col("chunk_id")).alias("d")).distinct().collect())
+        chunks = own.of_documents(r["chunk_id"] // CHUNK_PLACES for r in hits.collect())
     return chunks.join(F.broadcast(hits), "chunk_id").orderBy("rank")
 
 

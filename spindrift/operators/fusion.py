@@ -66,7 +66,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1, order: str = "interleaved") -> DataFrame:
     """(chunk_id, ord, is_neighbour): hits with neighbours after their hit (``interleaved``) or after all hits (``appended``)."""
-    hits = pinned(hits.select("chunk_id", "rank"))
+    hits = pinned(hits.select("chunk_id", "rank"))  # no job where they are rows already
     own = hits.select("chunk_id", F.col("rank").alias("owner_rank"), F.lit(0).alias("position"), F.lit(0).alias("is_neighbour"))
     rows = own
     if window > 0:

@@ -6,6 +6,7 @@ Chunks are the lines of documents; the question is a benchmark text; vectors are
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def bm25_topk(spark, sf):
 @query("bm25_indexed_topk", f"with {BM25_SQL} select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from bm25 qualify rank <= {LIMIT}")
 def bm25_indexed_topk(spark, sf):
     """``bm25_topk`` from the stored index."""
-    return lexical_hits(chunks(spark, sf), asked_of(_question(spark, sf), SQLITE, "text"), SQLITE, index=stored(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _lexical(spark, sf).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def stored(spark, sf):
@@ -124,8 +125,8 @@ def stored(spark, sf):
 @query("postgres_topk")
 def postgres_topk(spark, sf):
     """The lexical list of the postgres profile: stems, without stopwords and too frequent ones. Stemming is beyond the SQL; tests hold it against plain Python."""
-    words = asked_of(_question(spark, sf), POSTGRES, "text")
-    return lexical_hits(chunks(spark, sf), words, POSTGRES, index=stored(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    own = stored(spark, sf)
+    return lexical_hits(own.chunks, asked_of(_question(spark, sf), POSTGRES, "text"), POSTGRES, index=own).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _KEEP = "dokumentart = 'en' and datum >= date '2024-03-01' and datum <= date '2025-06-30'"
@@ -209,10 +210,14 @@ def _vectors(spark, sf):
     return read(spark, sf, "embeddings").select(chunk_id(F.col("vec_id"), F.lit(0)).alias("chunk_id"), "embedding", "label")
 
 
+def _lexical(spark, sf, limit=LIMIT):
+    """The first lexical hits of the question, from the stored index."""
+    own = stored(spark, sf)
+    return lexical_hits(own.chunks, asked_of(_question(spark, sf), SQLITE, "text"), SQLITE, index=own).where(F.col("rank") <= limit)
+
+
 def _fused(spark, sf, profile, weight, with_vectors=True):
-    c = chunks(spark, sf)
-    lex = _best(lexical.bm25(c, terms(spark, sf)))
-    lists = {"bm25": (lex, 1.0)}
+    lists = {"bm25": (_lexical(spark, sf), 1.0)}
     if with_vectors:
         near = semantic.nearest(_vectors(spark, sf), _query_vector(spark, sf), LIMIT, profile.metric, id_="chunk_id")
         lists["vektor"] = (lexical.top(near.select("chunk_id", "distance"), LIMIT, [F.round("distance", 9), F.col("chunk_id")]), weight)
@@ -247,7 +252,12 @@ query("rrf_lexical_only", _rrf_sql("l2", 1.0, SQLITE.top_k, False))(lambda spark
 
 def _hits(spark, sf):
     """Twelve lexical hits of the question."""
-    return _best(lexical.bm25(chunks(spark, sf), terms(spark, sf)), 12).select("chunk_id", "rank")
+    return _lexical(spark, sf, 12).select("chunk_id", "rank")
+
+
+def _around(spark, sf, order):
+    own = stored(spark, sf)
+    return context_chunks(_hits(spark, sf), own.chunks, replace(SQLITE, neighbours=order), own)[0]
 
 
 _HITS_SQL = f"{BM25_SQL}, hits as (select chunk_id, row_number() over (order by round(score, 9) desc, chunk_id) as rank from bm25 qualify rank <= 12)"
@@ -257,10 +267,10 @@ rows as (select chunk_id, rank as owner_rank, 0 as position, 0 as nb from hits u
 _NEAR_SQL = f"{_HITS_SQL}, {_AROUND_SQL}"
 
 query("neighbours_interleaved", f"with {_NEAR_SQL} select chunk_id, (row_number() over (order by owner_rank, nb, position, chunk_id))::int as ord, nb = 1 as is_neighbour from rows")(
-    lambda spark, sf: fusion.with_neighbours(_hits(spark, sf), chunks(spark, sf), 1, "interleaved")
+    lambda spark, sf: _around(spark, sf, "interleaved")
 )
 query("neighbours_appended", f"with {_NEAR_SQL} select chunk_id, (row_number() over (order by nb, owner_rank, position, chunk_id))::int as ord, nb = 1 as is_neighbour from rows")(
-    lambda spark, sf: fusion.with_neighbours(_hits(spark, sf), chunks(spark, sf), 1, "appended")
+    lambda spark, sf: _around(spark, sf, "appended")
 )
 
 _LABEL_SQL = "case when doc_id % 3 = 0 then 'Antrag' else case when doc_id % 2 = 0 then 'Drucksache' else 'Plenarprotokoll' end end || ' 21/' || doc_id || ' vom ' || strftime(date '2024-01-01' + (doc_id % 700)::int, '%Y-%m-%d') || case when doc_id % 5 = 0 then '' else ', ' || source || case when doc_id % 7 = 0 then ' (' || lang || ')' when doc_id % 7 = 1 then '' else ' (Minister)' end end"

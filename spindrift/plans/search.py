@@ -15,8 +15,7 @@ from ..functions import german
 from ..functions.text import fold, index_tokens, match_terms, query_terms, word_tokens
 from ..models import QUERY, Embedder, Generator
 from ..operators import answers, fusion, lexical, semantic
-from ..operators.segment import document_of
-from ..profiles import SQLITE, Profile
+from ..profiles import CHUNK_PLACES, SQLITE, Profile
 from ..sources.index import Index
 
 NO_HITS = {"de": "Dazu wurde nichts gefunden.", "en": "Nothing was found on this.", "ls": "Dazu gibt es nichts."}
@@ -162,10 +161,13 @@ def _folded(spark: SparkSession, words: list[tuple[int, str]]) -> list[tuple[int
 
 
 def context_chunks(hits: DataFrame, chunks: DataFrame, profile: Profile = SQLITE, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hits (fetched) with their neighbours as (chunk_id, ord, is_neighbour), and the chunks that these are among: with an index, of their documents only."""
+    """Hits (fetched) with their neighbours as (chunk_id, ord, is_neighbour), and the chunks that these are among: with an index, they alone."""
     hits = fusion.pinned(hits.select("chunk_id", "rank"))
     if index is not None:
-        chunks = index.of_documents(r["d"] for r in hits.select(document_of(F.col("chunk_id")).alias("d")).distinct().collect())
+        ids = [r["chunk_id"] for r in hits.collect()]
+        reach = sorted({k + d for k in ids for d in range(-profile.window, profile.window + 1)})
+        # Ids tell the places around a hit, so one read of their few rows has all that a context needs.
+        chunks = fusion.pinned(index.of_documents(k // CHUNK_PLACES for k in ids).where(F.col("chunk_id").isin(reach)))
     return fusion.with_neighbours(hits, chunks, profile.window, profile.neighbours), chunks
 
 

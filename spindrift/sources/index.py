@@ -75,9 +75,14 @@ def write(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
 
 
 def read(spark: SparkSession, folder: str) -> Index | None:
-    """The index in a folder, or None; the row of its numbers, which is written last, is read at once."""
-    stats = tables.load(spark, f"{folder}/stats")
-    if stats is None:
+    """The index in a folder, or None. Its files are listed and its numbers read once for each version, which the last written table tells."""
+    version = tables.current(spark, f"{folder}/stats")
+    if not version:
         return None
-    row = stats.first()
-    return Index(*[tables.load(spark, f"{folder}/{t}") for t in ("postings", "stems", "lexeme_df", "chunks")], row["count"], row["mean"], row["buckets"])
+    held = spark.__dict__.setdefault("_spindrift_indexes", {})
+    known = held.get(folder)
+    if known is None or known[0] != version:
+        row = tables.load(spark, f"{folder}/stats").first()
+        known = version, Index(*[tables.load(spark, f"{folder}/{t}") for t in ("postings", "stems", "lexeme_df", "chunks")], row["count"], row["mean"], row["buckets"])
+        held[folder] = known
+    return known[1]

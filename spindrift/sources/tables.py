@@ -47,7 +47,17 @@ def current(spark: SparkSession, folder: str) -> list[str]:
     """The versions that make up a table; none if there is no table."""
     folder = folder.rstrip("/")
     found = _pointers(spark, folder)
-    return [r[0] for r in spark.read.text(f"{folder}/{found[-1]}").collect() if r[0]] if found else []
+    return _named(spark, folder, found[-1]) if found else []
+
+
+def _named(spark: SparkSession, folder: str, pointer: str) -> list[str]:
+    """The lines of a pointer, read without a job."""
+    system, kind = _system(spark, folder)
+    stream = system.open(kind(f"{folder}/{pointer}"))
+    try:
+        return [x for x in spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n") if x]
+    finally:
+        stream.close()
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -99,7 +109,7 @@ def vacuum(spark: SparkSession, folder: str, grace_hours: float = 24.0) -> list[
     """Deletes versions that no pointer names and that are older than the grace of readers; returns them."""
     folder = folder.rstrip("/")
     system, kind = _system(spark, folder)
-    named = {v for p in _pointers(spark, folder) for r in spark.read.text(f"{folder}/{p}").collect() for v in [r[0]]}
+    named = {v for p in _pointers(spark, folder) for v in _named(spark, folder, p)}
     oldest = time.time() * 1000 - grace_hours * 3_600_000
     gone = [n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith("v-") and n not in named and s.getModificationTime() <= oldest] if system.exists(kind(folder)) else []
     for name in gone:
