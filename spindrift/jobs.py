@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
-from .operators import evaluation, fusion, maintenance, segment
+from .operators import ann, evaluation, fusion, maintenance, segment
 from .plans import search as plans
 from .profiles import CHUNK_PLACES, PROFILES, SQLITE, Profile
 from .shipping import shared_folder, shipped
@@ -106,7 +106,7 @@ def search(spark: SparkSession, store: str, question: str, embedder: models.Embe
     """The best chunks of a question with their texts: chunk_id, score, found_by, rank and the columns of ``serving``; by the store's index if it has one."""
     own, chunks = index_of(spark, store), serving(spark, store)
     vector = embedder.embed([question], models.QUERY)[0] if embedder is not None else None
-    hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own)
+    hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own, cells_of(spark, store))
     if own is not None:
         hits = fusion.pinned(hits)
         chunks = own.of_documents(r["chunk_id"] // CHUNK_PLACES for r in hits.collect())
@@ -115,11 +115,14 @@ def search(spark: SparkSession, store: str, question: str, embedder: models.Embe
 
 def ask(spark: SparkSession, store: str, question: str, generator: models.Generator, embedder: models.Embedder | None, analyse_template: str, answer_template: str, **options):
     """The events of ``plans.search.ask`` over a store, by its index if it has one."""
-    return plans.ask(serving(spark, store), vectors(spark, store), question, generator, embedder, analyse_template, answer_template, index=index_of(spark, store), **options)
+    return plans.ask(serving(spark, store), vectors(spark, store), question, generator, embedder, analyse_template, answer_template, index=index_of(spark, store), cells=cells_of(spark, store), **options)
 
 
 def index(spark: SparkSession, store: str, buckets: int = stored_index.BUCKETS) -> None:
-    """Writes the store's index: postings by word and stem, frequencies, and its chunks by document."""
+    """Writes the store's index: cells of its vectors, postings by word and stem, frequencies, and its chunks by document."""
+    found = vectors(spark, store)
+    if found is not None:
+        ann.write(found, f"{store}/index/cells", id_="chunk_id")
     stored_index.write(serving(spark, store), f"{store}/index", buckets)
 
 
@@ -130,6 +133,13 @@ def index_of(spark: SparkSession, store: str) -> stored_index.Index | None:
     return stored_index.read(spark, f"{store}/index")
 
 
+def cells_of(spark: SparkSession, store: str) -> ann.Cells | None:
+    """The cells of the store's vectors, unless vectors or chunks were written since."""
+    if max(tables.written(spark, f"{store}/{t}") for t in ("chunks", "vectors")) > tables.written(spark, f"{store}/index/cells/centres"):
+        return None
+    return ann.read(spark, f"{store}/index/cells")
+
+
 def publish(spark: SparkSession, store: str, target: str) -> None:
     """Copies what a serving store lacks or has otherwise: documents whole, chunks by document."""
     chunks = tables.load(spark, f"{store}/chunks")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import german
 from ..functions.text import fold, index_tokens, match_terms, query_terms, word_tokens
 from ..models import QUERY, Embedder, Generator
-from ..operators import answers, fusion, lexical, semantic
+from ..operators import ann, answers, fusion, lexical, semantic
 from ..profiles import CHUNK_PLACES, SQLITE, Profile
 from ..sources.index import Index
 
@@ -96,17 +96,20 @@ def _ranked(scores: DataFrame, profile: Profile) -> DataFrame:
     return lexical.top(scores, profile.candidates, [F.round("score", 9).desc(), F.col("chunk_id")])
 
 
-def semantic_hits(vectors: DataFrame, query, profile: Profile, keep: Column | None = None) -> DataFrame:
-    """(chunk_id, distance, rank) of the nearest chunks by the profile's metric and way to filter."""
-    near = semantic.nearest(vectors, query, profile.candidates, profile.metric, keep, profile.vector_filter, "chunk_id")
+def semantic_hits(vectors: DataFrame, query, profile: Profile, keep: Column | None = None, cells: ann.Cells | None = None) -> DataFrame:
+    """(chunk_id, distance, rank) of the nearest chunks by the profile's metric and way to filter; from a few cells, if there are any, where nothing is filtered."""
+    if cells is not None and keep is None and not isinstance(query, DataFrame):
+        near = ann.nearest(cells, query, profile.candidates, profile.metric, id_="chunk_id")
+    else:
+        near = semantic.nearest(vectors, query, profile.candidates, profile.metric, keep, profile.vector_filter, "chunk_id")
     return lexical.top(near.select("chunk_id", "distance"), profile.candidates, [F.round("distance", 9), F.col("chunk_id")])
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, question: Asked, query, profile: Profile = SQLITE, keep: Column | None = None, limit: int | None = None, index: Index | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, question: Asked, query, profile: Profile = SQLITE, keep: Column | None = None, limit: int | None = None, index: Index | None = None, cells: ann.Cells | None = None) -> DataFrame:
     """(chunk_id, score, found_by, rank); without vectors or a query vector the lexical list alone. Vectors carry the columns that ``keep`` reads."""
     lists = {"bm25": (lexical_hits(chunks, question, profile, keep, index), 1.0)}
     if vectors is not None and query is not None:
-        lists["vektor"] = (semantic_hits(vectors, query, profile, keep), profile.vector_weight)
+        lists["vektor"] = (semantic_hits(vectors, query, profile, keep, cells), profile.vector_weight)
     return fusion.fuse(lists, limit or profile.top_k, profile.rrf_k)
 
 
@@ -242,6 +245,7 @@ def ask(
     limit: int | None = None,
     index: Index | None = None,
     rerank_template: str | None = None,
+    cells: ann.Cells | None = None,
 ) -> Iterator[dict]:
     """Events of one answer: analyse, quellen, text pieces, fertig; no hits end with a fixed text, errors and empty questions with fehler.
 
@@ -252,19 +256,19 @@ def ask(
         yield {"typ": "fehler", "meldung": "Keine Frage übergeben."}
         return
     try:
-        yield from _answer(chunks, vectors, question.strip(), generator, embedder, analyse_template, answer_template, profile, language if language in answers.LANGUAGES else "de", limit or profile.top_k, index, rerank_template)
+        yield from _answer(chunks, vectors, question.strip(), generator, embedder, analyse_template, answer_template, profile, language if language in answers.LANGUAGES else "de", limit or profile.top_k, index, rerank_template, cells)
     except Exception as e:
         yield {"typ": "fehler", "meldung": str(e) or "Unbekannter Fehler"}
 
 
-def _answer(chunks, vectors, question, generator, embedder, analyse_template, answer_template, profile, language, limit, index, rerank_template) -> Iterator[dict]:
+def _answer(chunks, vectors, question, generator, embedder, analyse_template, answer_template, profile, language, limit, index, rerank_template, cells) -> Iterator[dict]:
     spark = chunks.sparkSession
     analysis = analyse(generator, analyse_template, question)
     yield {"typ": "analyse", **analysis}
     vector = embedder.embed([question], QUERY)[0] if embedder is not None else None
     words = asked(spark, analysis["suchbegriffe"], profile)
     keep = filters(analysis["dokumentart"])
-    hits = hybrid(chunks, vectors, words, vector, profile, keep, limit if rerank_template is None else fusion.RERANK_MOST, index)
+    hits = hybrid(chunks, vectors, words, vector, profile, keep, limit if rerank_template is None else fusion.RERANK_MOST, index, cells)
     if rerank_template is not None:
         hits = reranked(hits, chunks, question, generator, rerank_template, limit)
     ordered, near = context_chunks(hits, chunks, profile, index)

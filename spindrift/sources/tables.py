@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHUNKS = "chunk_id long, document_id long, position int, text string, redner string, rolle string, fraktion string"
 FEEDBACK = "zeitpunkt timestamp, hilfreich boolean, frage string, suchbegriffe string, antwort string, belegte_dokumente array<string>, anzahl_stellen int, anmerkung string"
@@ -51,18 +53,33 @@ def current(spark: SparkSession, folder: str) -> list[str]:
 
 
 def _named(spark: SparkSession, folder: str, pointer: str) -> list[str]:
-    """The lines of a pointer, read without a job."""
-    system, kind = _system(spark, folder)
-    stream = system.open(kind(f"{folder}/{pointer}"))
+    return [x for x in _text(spark, f"{folder}/{pointer}").split("\n") if x]
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file, read without a job."""
+    system, kind = _system(spark, path)
+    stream = system.open(kind(path))
     try:
-        return [x for x in spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n") if x]
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    system, kind = _system(spark, path)
+    out = system.create(kind(path), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    versions = current(spark, folder)
-    return spark.read.parquet(*[f"{folder.rstrip('/')}/{v}" for v in versions]) if versions else None
+    """The table, by the schema that was written beside it, so that no file is opened to plan and an empty one is known too."""
+    folder, versions = folder.rstrip("/"), current(spark, folder)
+    if not versions:
+        return None
+    schema = StructType.fromJson(json.loads(_text(spark, f"{folder}/{versions[0]}.schema")))
+    return spark.read.schema(schema).parquet(*[f"{folder}/{v}" for v in versions])
 
 
 def _commit(spark: SparkSession, folder: str, versions: list[str]) -> None:
@@ -72,9 +89,7 @@ def _commit(spark: SparkSession, folder: str, versions: list[str]) -> None:
     found = _pointers(spark, folder)
     number = 1 + (int(found[-1].removeprefix(_POINTER)) if found else 0)
     aside, pointer = kind(f"{folder}/_{uuid.uuid4().hex}"), kind(f"{folder}/{_POINTER}{number:012d}")
-    out = system.create(aside, True)
-    out.write(bytearray("\n".join(versions).encode()))
-    out.close()
+    _put(spark, aside.toString(), "\n".join(versions))
     if system.exists(pointer) or not system.rename(aside, pointer):
         system.delete(aside, False)
         raise RuntimeError(f"{folder} was written by another job at the same time")
@@ -87,6 +102,8 @@ def _write(df: DataFrame, folder: str, partition_by: list[str] | None) -> str:
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{folder.rstrip('/')}/{version}")
+    fields = sorted(df.schema.fields, key=lambda f: f.name in (partition_by or []))
+    _put(df.sparkSession, f"{folder.rstrip('/')}/{version}.schema", StructType(fields).json())
     return version
 
 
@@ -111,10 +128,10 @@ def vacuum(spark: SparkSession, folder: str, grace_hours: float = 24.0) -> list[
     system, kind = _system(spark, folder)
     named = {v for p in _pointers(spark, folder) for v in _named(spark, folder, p)}
     oldest = time.time() * 1000 - grace_hours * 3_600_000
-    gone = [n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith("v-") and n not in named and s.getModificationTime() <= oldest] if system.exists(kind(folder)) else []
+    gone = [n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith("v-") and n.removesuffix(".schema") not in named and s.getModificationTime() <= oldest] if system.exists(kind(folder)) else []
     for name in gone:
         system.delete(kind(f"{folder}/{name}"), True)
-    return gone
+    return [n for n in gone if not n.endswith(".schema")]
 
 
 def written(spark: SparkSession, folder: str) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import vectors as V
 from spindrift.models import EchoGenerator, HashEmbedder
 from spindrift.operators import answers as A
-from spindrift.operators import fusion, lexical, semantic
+from spindrift.operators import ann, fusion, lexical, semantic
 from spindrift.plans import search
 from spindrift.profiles import CHUNK_PLACES, POSTGRES, SQLITE
 from spindrift.sources import index
@@ -235,3 +235,32 @@ def test_every_20th_vector_is_asked(spark, small):
     want = {r["vec_id"] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect() if r["vec_id"] % 20 == 0}
     for name, column in (("knn_half_recall", "query_id"), ("knn_batch_per_query", "query_id"), ("eval_hit_at_k", "frage_id")):
         assert {r[column] for r in load()[name].run(spark, small).select(column).collect()} == want
+
+
+def test_cells_find_most_neighbours(spark):
+    """Recall against the exact search, over all vectors of the largest test table; every vector is indexed."""
+    from spindrift.plans.catalogue import load
+
+    rows = load()["knn_cells_recall"].run(spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == 100 and sum(r["recall"] for r in rows) / len(rows) >= 0.9
+
+
+def test_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 12))
+    rows = [(k, r.tolist()) for k, r in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 12), (5, x[5].tolist())]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("centre", F.lit(1))
+    ann.write(v, str(tmp_path / "c"), 9)
+    own = ann.read(spark, str(tmp_path / "c"))
+    assert own.vectors.count() == len(rows) and own.vectors.where("cell = -1").count() == 2 and len(own.centres) == 9
+    # With all cells it is the exact search.
+    for metric in ("cosine", "l2"):
+        got = [(r["vec_id"], round(r["distance"], 9)) for r in ann.nearest(own, x[7].tolist(), 10, metric, probes=9).collect()]
+        assert got == [(r["vec_id"], round(r["distance"], 9)) for r in semantic.nearest(v, x[7].tolist(), 10, metric).collect()]
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in ann.nearest_per_query(own, q, 4, probes=9).collect())
+    assert whole == sorted((r["query_id"], r["vec_id"], r["rank"]) for r in semantic.nearest_per_query(v, q, 4).collect())
+    few = ann.nearest(own, x[7].tolist(), 1, probes=1)
+    assert few.first()["vec_id"] == 7 and "PartitionFilters: [isnotnull(cell" in few._jdf.queryExecution().executedPlan().toString()
+    ann.write(v.where("false"), str(tmp_path / "none"))
+    assert ann.nearest(ann.read(spark, str(tmp_path / "none")), [1.0], 3).count() == 0
