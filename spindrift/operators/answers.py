@@ -58,6 +58,11 @@ def visible_sources(sources: Column, cited: Column) -> Column:
     return F.when(F.size(hit) > 0, hit).otherwise(sources)
 
 
+def documents_of(sources: Column) -> Column:
+    """How many documents sources are from."""
+    return F.size(F.array_distinct(F.transform(sources, lambda s: F.concat(s["dokumentart"], F.lit(" "), s["dokumentnummer"]))))
+
+
 def cited_documents(sources: Column, cited: Column) -> Column:
     """Distinct ``{dokumentart} {dokumentnummer}`` of cited sources, in order."""
     hit = F.filter(sources, lambda s: F.array_contains(cited, s["nummer"]))

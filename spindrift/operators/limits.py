@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..profiles import LIMITS
+
 
 def key(purpose: Column | str, address: Column, prefix: str = "limit") -> Column:
     """The first 32 hex digits of the SHA-256 of ``{prefix}:{purpose}:{address}``, so that no address is stored."""
@@ -17,7 +19,7 @@ def counts(requests: DataFrame, width: str = "1 minute") -> DataFrame:
     return requests.groupBy("kennung", F.window("ts", width).alias("w")).agg(F.count("*").alias("anzahl")).select("kennung", F.col("w.start").alias("fenster"), "anzahl")
 
 
-def decisions(requests: DataFrame, limit: int, width: str = "1 minute", order: str = "event_id") -> DataFrame:
+def decisions(requests: DataFrame, limit: int | Column, width: str = "1 minute", order: str = "event_id") -> DataFrame:
     """Each request with fenster, anzahl so far, erlaubt, verbleibend and zuruecksetzen.
 
     A limit of 0 or less allows all, with verbleibend null. A window of one key is counted by one task:
@@ -25,13 +27,21 @@ def decisions(requests: DataFrame, limit: int, width: str = "1 minute", order: s
     """
     w = requests.withColumn("_w", F.window("ts", width))
     n = F.row_number().over(Window.partitionBy("kennung", "_w").orderBy("ts", order))
-    free = F.lit(limit <= 0)
+    most = F.lit(limit) if isinstance(limit, int) else limit
+    free = most <= 0
     return w.withColumn("anzahl", n).select(
         "*", F.col("_w.start").alias("fenster"), F.col("_w.end").alias("zuruecksetzen"),
-        (free | (F.col("anzahl") <= limit)).alias("erlaubt"), F.when(~free, F.greatest(F.lit(0), F.lit(limit) - F.col("anzahl"))).alias("verbleibend"),
+        (free | (F.col("anzahl") <= most)).alias("erlaubt"), F.when(~free, F.greatest(F.lit(0), most - F.col("anzahl"))).alias("verbleibend"),
     ).drop("_w")
 
 
+def decided(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """``decisions`` for ``requests(event_id, purpose, address, ts)`` by the limit of each purpose in a minute; a purpose without one is free."""
+    known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    keyed = requests.withColumn("kennung", key(F.col("purpose"), F.col("address")))
+    return decisions(keyed, F.coalesce(F.try_element_at(known, F.col("purpose")), F.lit(0)))
+
+
 def retained(counted: DataFrame, now: Column, keep: str = "INTERVAL 1 HOUR") -> DataFrame:
     """Windows that are not older than ``keep``."""
     return counted.where(F.col("fenster") >= now - F.expr(keep))

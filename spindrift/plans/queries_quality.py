@@ -62,6 +62,12 @@ def visible_sources(spark, sf):
     return _answers(spark, sf).select("conv_id", "turn", F.transform(seen, lambda s: s["nummer"]).alias("nummern"))
 
 
+@query("visible_documents", f"with {_A_SQL}, {_SOURCES_SQL}, c as (select conv_id, turn, {_CITED_SQL} as cs from a), v as (select conv_id, turn, case when len(list_filter(cs, lambda n: n between 1 and 10)) > 0 then list_filter(cs, lambda n: n between 1 and 10) else range(1, 11)::int[] end as ns from c) select conv_id, turn, count(distinct dokumentart || ' ' || dokumentnummer)::int as dokumente from v join s on list_contains(ns, nummer) group by all")
+def visible_documents(spark, sf):
+    seen = A.visible_sources(_sources(), A.citations(F.col("t")))
+    return _answers(spark, sf).select("conv_id", "turn", A.documents_of(seen).alias("dokumente"))
+
+
 @query("sources_grouped", f"with {_A_SQL}, {_SOURCES_SQL}, c as (select conv_id, turn, {_CITED_SQL} as cs from a) select conv_id, turn, dokumentart || '-' || dokumentnummer as schluessel, min(nummer) as erste, list(nummer order by nummer) as nummern from c join s on list_contains(cs, nummer) group by all")
 def sources_grouped(spark, sf):
     rows = _answers(spark, sf).select("conv_id", "turn", F.explode(F.filter(_sources(), lambda s: F.array_contains(A.citations(F.col("t")), s["nummer"]))).alias("s"))

@@ -21,7 +21,7 @@ from ..shipping import remove, shared_folder
 from ..sources import index
 from ..sources.tables import read, spread
 from .catalogue import query
-from .search import asked_of, context_chunks, hybrid, lexical_hits
+from .search import asked_of, context_chunks, filters, hybrid, lexical_hits
 
 LIMIT = 40
 
@@ -135,7 +135,7 @@ _KEEP = "dokumentart = 'en' and datum >= date '2024-03-01' and datum <= date '20
 
 @query("bm25_filtered", f"with {BM25_SQL} select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from bm25 join chunks using (chunk_id) where {_KEEP} qualify rank <= {LIMIT}")
 def bm25_filtered(spark, sf):
-    return _best(lexical.bm25(chunks(spark, sf), terms(spark, sf), keep=F.expr(_KEEP))).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _best(lexical.bm25(chunks(spark, sf), terms(spark, sf), keep=filters("en", "2024-03-01", "2025-06-30"))).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("coverdensity_topk", f"with {CHUNKS_SQL}, {TERMS_SQL}, {TOKENS_SQL}, s as (select chunk_id, count(*) * 0.1::double as score from tokens where term in (select term from terms) group by chunk_id) select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from s qualify rank <= {LIMIT}")

@@ -146,6 +146,13 @@ def test_limits(spark):
     assert all(r["erlaubt"] and r["verbleibend"] is None for r in L.decisions(e, 0).collect())
 
 
+def test_limits_by_purpose(spark):
+    rows = [(k, p, "1.2.3.4", f"2025-01-01 00:00:{k:02d}") for p in ("ask", "login", "other") for k in range(12)]
+    d = L.decided(spark.createDataFrame(rows, "event_id long, purpose string, address string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))).collect()
+    assert {p: sum(r["erlaubt"] for r in d if r["purpose"] == p) for p in ("ask", "login", "other")} == {"ask": 10, "login": 5, "other": 12}
+    assert {r["verbleibend"] for r in d if r["purpose"] == "other"} == {None}
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     source = tmp_path / "in"
     e = spark.read.parquet(f"{small}/events.parquet")
