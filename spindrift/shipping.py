@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
+            if not re.match(r"local(\[.*\])?$", context.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="spindrift-checkpoints-")
         context.setCheckpointDir(named)
