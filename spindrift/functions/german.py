@@ -95,6 +95,8 @@ def stems(words: DataFrame, column: str = "term") -> DataFrame:
             yield p.map(lambda w: None if w in stop else stem(w))
 
     distinct = words.select(F.lower(F.col(column)).alias("word")).where("word is not null").distinct()
+    # A vocabulary is small beside what its stems cost: all cores take a part.
+    distinct = distinct.repartition(words.sparkSession.sparkContext.defaultParallelism, "word")
     return distinct.withColumn("stem", F.pandas_udf(run, "string")("word"))
 
 
