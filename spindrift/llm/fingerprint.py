@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,8 @@ RUN = r"(?:[^ \n]{0,31}[^ \naehnst.,;:!?|] +){0,7}[^ \n]{1,32} *| +"
 #: Parts of the id order for each shuffle partition, and the most: their bounds are a literal of the plan. Above the most, parts
 #: grow with the table and are sorted on disk.
 BUCKETS, MAX_BUCKETS = 8, 16_384
+#: Bins of the first count of ids, and bits by which bins that hold more than a part are made finer.
+BINS, FINER = 1 << 16, 4
 #: Equal rows (id and text) above which their text is shuffled once, with their number.
 EQUAL = 1000
 #: Bits of a part's number below those of its range.
@@ -117,6 +118,41 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("tree", tree(text_or_empty(text)))
 
 
+def bounds_of(keys: DataFrame, parts: int) -> tuple[dict[int, int], int]:
+    """Where parts of about equal counts begin in the order of ``doc_id``, with how many parts the id itself fills; and the parts of rows without an id.
+
+    Ids are counted in bins of a power of two; bins that hold more than a part are counted again in finer ones, down to single
+    ids. So all rows count, and what is gathered is bounded by the number of bins and parts.
+    """
+    row = keys.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("ids"), F.count("*").alias("n")).first()
+    most = max(1, row["n"] // parts)
+    unnamed = 1 + (row["n"] - row["ids"]) // most
+    if not row["ids"]:
+        return {}, unnamed
+    shift = 0
+    while (row["hi"] >> shift) - (row["lo"] >> shift) >= BINS:
+        shift += 1
+    done, rows = [], keys.where("doc_id is not null")
+    while True:
+        counts = rows.groupBy(F.shiftright("doc_id", shift).alias("bin")).count().collect()
+        heavy = [r["bin"] for r in counts if r["count"] > most and shift]
+        done += [(r["bin"] << shift, shift, r["count"]) for r in counts if r["count"] <= most or not shift]
+        if not heavy:
+            break
+        held = keys.sparkSession.createDataFrame([(b,) for b in heavy], "heavy long")
+        rows = rows.join(F.broadcast(held), F.shiftright("doc_id", shift) == F.col("heavy"), "left_semi")
+        shift = max(0, shift - FINER)
+    times, filled = {}, 0
+    for start, width, count in sorted(done):
+        if filled and filled + count > most:
+            times[start], filled = 1, 0
+        if not width and count > most:
+            times[start], filled = -(-count // most), most
+        else:
+            filled += count
+    return times, unnamed
+
+
 def with_next(docs: DataFrame, buckets: int | None = None, equal: int = EQUAL) -> DataFrame:
     """(doc_id, text, next_text, copies) in descending order of doc_id (nulls last); after the last comes the first.
 
@@ -131,11 +167,8 @@ def with_next(docs: DataFrame, buckets: int | None = None, equal: int = EQUAL) -
     d = d.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     keys = checkpointed(d.select("doc_id", "digest"))
     n = buckets or min(MAX_BUCKETS, BUCKETS * partitions(spark))
-    known = keys.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    # An id that is several bounds fills as many parts; so do rows without an id.
-    times = Counter(known["b"] or [])
+    times, unnamed = bounds_of(keys, n)
     bounds = sorted(times)
-    unnamed = 1 + (known["n"] - known["ids"]) * n // max(1, known["n"])
     steps = max(1, len(bounds)).bit_length()
 
     def part() -> Column:

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -124,6 +125,26 @@ def test_next_over_many_ranges(spark, docs_of, buckets, equal):
         assert all((r["near_edited"] == 1) == (r["fingerprint"] == r["edited_fingerprint"]) for r in found)
 
 
+def test_bounds(spark):
+    r = random.Random(8)
+    spread = [r.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    close = [10**15 + k for k in range(3000)]
+    for ids in (spread, close, spread + close, [5] * 2000 + close, [7], [-1, 1 << 62], [None] * 500 + [3] * 500):
+        keys = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        times, unnamed = P.bounds_of(keys, 20)
+        most, bounds = max(1, len(ids) // 20), sorted(times)
+        held, inner = Counter(), Counter(i for i in ids if i is not None)
+        for i, c in inner.items():
+            at = bisect.bisect_right(bounds, i)
+            if at and bounds[at - 1] == i and times[i] > 1:
+                assert c <= most * times[i]
+            else:
+                held[at] += c
+        assert all(c <= most for c in held.values()) or len(ids) < 20
+        assert len(bounds) <= 2 * 20 + 2 and (ids.count(None) // most) + 1 == unnamed
+    assert P.bounds_of(spark.createDataFrame([(None,)], "doc_id long"), 4) == ({}, 2)
+
+
 def test_hot_ids_fill_several_parts(spark, docs_of):
     """No window holds the rows of an id, or of none, that are a large share of the table."""
     rows = [(k, f"t{k}") for k in range(200)] + [(50, f"hot {k}") for k in range(200)] + [(None, f"none {k}") for k in range(200)] + [(60, "equal")] * 200
