@@ -16,9 +16,9 @@ ENDS = ("0", "1")
 #: Runs of words, the leaves of a paragraph: up to a word that ends so, eight words at most; leading spaces are one of their own.
 #: Runs follow each other without a gap, so a paragraph's leaves hold for its very bytes.
 RUN = r"(?:[^ \n]{0,31}[^ \naehnst.,;:!?|] +){0,7}[^ \n]{1,32} *| +"
-#: Parts of the id order for each shuffle partition, and the most: their bounds are a literal of the plan. Above the most, parts
-#: grow with the table and are sorted on disk.
-BUCKETS, MAX_BUCKETS = 8, 16_384
+#: Parts of the id order for each shuffle partition (many, so that their hashes fill partitions evenly), and the most: their bounds
+#: are a literal of the plan. Above the most, parts grow with the table and are sorted on disk.
+BUCKETS, MAX_BUCKETS = 32, 32_768
 #: Bins of the first count of ids, and bits by which bins that hold more than a part are made finer.
 BINS, FINER = 1 << 16, 4
 #: Equal rows (id and text) above which their text is shuffled once, with their number.
