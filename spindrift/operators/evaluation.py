@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
+#: Characters of a candidate's text that an evaluation shows.
+PREVIEW = 240
+
 
 def judge(ranked: DataFrame, targets: DataFrame, top_k: int) -> DataFrame:
     """(frage_id, first_rank) for each question of ``targets(frage_id, ziel)``; null if no target is in the first ``top_k``.
@@ -39,6 +44,22 @@ def uncached(questions: DataFrame, cache: DataFrame, key: str = "frage") -> Data
     return questions.join(cache.select(key), key, "left_anti")
 
 
+def search_terms(words: Column) -> Column:
+    """The terms of an analysed question: its words between white space, in order, repeats included; none of null."""
+    return F.filter(F.split(F.coalesce(words, F.lit("")), f"{SPACE}+", -1), lambda w: w != "")
+
+
+def candidate_rows(ranked: DataFrame, chunks: DataFrame, documents: DataFrame, chars: int = PREVIEW) -> DataFrame:
+    """(frage_id, rank, chunk_id, dokumentnummer, dokumentart, drucksachetyp, anriss, titel) of ``ranked(frage_id, chunk_id, rank)``.
+
+    ``anriss`` is the first ``chars`` code points of the chunk's text, cut in the scan, so that no whole text is shuffled. Chunks
+    without a document are left out.
+    """
+    found = ranked.select("frage_id", "rank", "chunk_id").join(chunks.select("chunk_id", "document_id", F.left("text", F.lit(chars)).alias("anriss")), "chunk_id")
+    names = documents.select(F.col("id").alias("document_id"), "dokumentnummer", "dokumentart", "drucksachetyp", "titel")
+    return found.join(names, "document_id").select("frage_id", "rank", "chunk_id", "dokumentnummer", "dokumentart", "drucksachetyp", "anriss", "titel")
+
+
 def read_questions(spark, path: str) -> DataFrame:
     """(frage_id, frage, art, ziele) of a set ``{fragen: [{frage, ziele, art}]}``; numbered in order."""
     schema = "hinweis string, fragen array<struct<frage:string, ziele:array<string>, art:string>>"

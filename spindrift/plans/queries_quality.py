@@ -204,3 +204,21 @@ def feedback_truncate(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("anmerkung"),
     )
     return L.feedback(raw).select("doc_id", "hilfreich", "frage", "antwort", "anmerkung")
+
+
+@query("eval_terms", r"select conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') as terme from conversations")
+def eval_terms(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", E.search_terms(F.col("text")).alias("terme"))
+
+
+_LONGEST = "row_number() over (partition by lang order by length(text) desc, doc_id)"
+
+
+@query("eval_candidates", f"""with r as (select lang as frage_id, doc_id as chunk_id, {_LONGEST} as rank, text, source from documents where text is not null)
+select frage_id, rank, chunk_id, 'D' || chunk_id as dokumentnummer, source as dokumentart, null::varchar as drucksachetyp, left(text, 240) as anriss, left(text, 20) as titel from r where rank <= 40""")
+def eval_candidates(spark, sf):
+    """The 40 longest documents of each language, as candidates of a question."""
+    d = read(spark, sf, "documents").where("text is not null")
+    ranked = d.select(F.col("lang").alias("frage_id"), F.col("doc_id").alias("chunk_id"), F.expr(_LONGEST).cast("long").alias("rank")).where("rank <= 40")
+    named = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("D"), F.col("doc_id")).alias("dokumentnummer"), F.col("source").alias("dokumentart"), F.lit(None).cast("string").alias("drucksachetyp"), F.left("text", F.lit(20)).alias("titel"))
+    return E.candidate_rows(ranked, d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text"), named)
