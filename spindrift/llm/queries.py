@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, line_dedup, mixing, packing, pieces, sharding, simhash, toxicity, urls
+from . import embedding_dedup, fingerprint, line_dedup, mixing, packing, pieces, quality, ranked, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,8 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": toxicity.query,
     "op10_token_packing": packing.query,
+    "op11_line_quality": quality.query,
+    "op12_ranked_search": ranked.query,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op3_source_mixing": mixing.QUERY_SQL,
     "op4_line_dedup": line_dedup.QUERY_SQL,
     "op7_url_filters": urls.QUERY_SQL,
+    "op12_ranked_search": ranked.QUERY_SQL,
 }

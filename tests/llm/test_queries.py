@@ -16,7 +16,7 @@ def test_sql(spark, small, name):
 
 
 def test_one_query_for_each_operator():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 13))
 
 
 def test_nothing_else_imports_this_folder():
@@ -33,6 +33,6 @@ def test_native_plans_have_no_python(spark, small, capsys):
 
 
 def test_mapped_plans_read_two_columns(spark, small, capsys):
-    for name in ("op6_sentencepiece", "op9_toxicity", "op10_token_packing"):
+    for name in ("op6_sentencepiece", "op9_toxicity", "op10_token_packing", "op11_line_quality"):
         QUERIES[name](spark, small).explain("formatted")
         assert set(re.findall(r"ReadSchema: struct<([^>]*)>", capsys.readouterr().out)) <= {"doc_id:bigint,text:string", "text:string,doc_id:bigint"}
