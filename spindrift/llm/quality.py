@@ -17,8 +17,8 @@ from .common import checkpointed, mapped, table, text_or_empty
 MAX_DOCS, MAX_LINES = 12_000, 1_000_000
 #: Lines of a training chain at most; a longer document is several chains, none of its lines is left out.
 CHAIN = 128
-#: Training: steps of each round (lines are labelled anew before the later ones), rate and weight decay.
-ROUNDS, RATE, DECAY = (300, 150), 0.1, 3e-5
+#: Training: steps by the features of lines alone, then of the whole chain in rounds before which lines are labelled anew; rate and weight decay.
+ALONE, ROUNDS, RATE, DECAY = 100, (200, 200), 0.1, 3e-5
 #: A line of a bad document counts as bad in later rounds from this probability on, and so do its worst lines up to this share of its length.
 BAD, SHARE = 0.5, 0.5
 
@@ -138,11 +138,14 @@ class Chains:
         by_feature = np.bincount(self.features.ravel(), weights=np.repeat(bad - y, self.features.shape[1]), minlength=SIZE)
         return (total - score) / n + DECAY / 2 * float((w * w).sum()), by_feature / n + DECAY * w, (pairs - held) / n
 
-    def learn(self, w: np.ndarray, a: np.ndarray, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, w: np.ndarray, a: np.ndarray, y: np.ndarray, steps: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Weights after so many steps by moments of the gradient; ``alone`` leaves those of neighbours and pairs as they are."""
         x, m, v = np.append(w, a.ravel()), np.zeros(SIZE + 4), np.zeros(SIZE + 4)
         for step in range(1, steps + 1):
             _, gw, ga = self.gradient(x[:SIZE], x[SIZE:].reshape(2, 2), y)
             g = np.append(gw, ga.ravel())
+            if alone:
+                g[SIZE // 3 :] = 0
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         return x[:SIZE], x[SIZE:].reshape(2, 2)
@@ -236,8 +239,8 @@ def relabelled(bad: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.nda
 def fit(sample: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     """Learns from (label, bins of lines, weights of lines) of documents.
 
-    At first every line has the label of its document. In the next round lines of bad documents that the model finds good count as good,
-    so that a bad document may hold good lines. One class only, or none, gives its smoothed share as the score of every text.
+    At first every line has the label of its document and is judged by its own features alone. Then, before each round of the whole chain, lines of bad
+    documents that the model finds good count as good, so that a bad document may hold good lines. One class only, or none, gives its smoothed share as the score of every text.
     """
     rows = list(sample)
     y = np.array([label for label, _, _ in rows], dtype=int)
@@ -246,15 +249,13 @@ def fit(sample: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     counts = np.array([len(b) for _, b, _ in rows], dtype=np.int64)
     chains = Chains(np.concatenate([b for _, b, _ in rows]), counts)
     starts = np.cumsum(counts) - counts
-    label = np.repeat(1 - y, counts)
-    w, a = np.zeros(SIZE), np.zeros((2, 2))
-    for k, steps in enumerate(ROUNDS):
-        if k:
-            label = np.repeat(1 - y, counts) * relabelled(chains.passes(w, a)[0], np.concatenate([s for _, _, s in rows]), counts)
-        w, a = chains.learn(w, a, label, steps)
+    label, sizes = np.repeat(1 - y, counts), np.concatenate([s for _, _, s in rows])
+    w, a = chains.learn(np.zeros(SIZE), np.zeros((2, 2)), label, ALONE, alone=True)
+    for steps in ROUNDS:
+        w, a = chains.learn(w, a, label * relabelled(chains.passes(w, a)[0], sizes, counts), steps)
     model = Model(w, a)
     z = np.exp(np.clip(w[chains.features].sum(axis=1), -60, 60)).tolist()
-    x = np.array([aggregate(_marginals(z[s : s + n], a), sizes) for s, n, (_, _, sizes) in zip(starts.tolist(), counts.tolist(), rows, strict=True)])
+    x = np.array([aggregate(_marginals(z[s : s + n], a), own) for s, n, (_, _, own) in zip(starts.tolist(), counts.tolist(), rows, strict=True)])
     model.slope, model.offset = calibrate(x, y.astype(float))
     return model
 

@@ -58,11 +58,11 @@ def sample(texts):
 
 
 def test_lines_are_told_apart_within_a_bad_document():
-    texts = [(1, "\n".join([GOOD] * (1 + k % 5))) for k in range(60)] + [(0, "\n".join([GOOD] * 3 + [BAD] * (4 + k % 3) + [GOOD] * 2)) for k in range(40)]
+    texts = [(1, "\n".join([GOOD] * (1 + k % 5))) for k in range(60)] + [(0, "\n".join([GOOD] * 2 + [BAD] * (8 + k % 3) + [GOOD])) for k in range(40)]
     model = fit(sample(texts))
     (p, sizes), (q, _) = model.lines(["\n".join([GOOD, GOOD, BAD, BAD, BAD, GOOD]), GOOD])
     assert (p[2:5] > 0.5).all() and (p[[0, 5]] < 0.5).all() and (q < 0.5).all() and sizes[0] == len(GOOD.encode()) + 1
-    scores = model.scores(["\n".join([BAD] * 5), GOOD, "\n".join([GOOD] * 3 + [BAD] * 5)])
+    scores = model.scores(["\n".join([BAD] * 5), GOOD, "\n".join([GOOD] * 2 + [BAD] * 9)])
     assert scores[0] < 0.5 < scores[1] and scores[2] < 0.5
 
 
