@@ -7,12 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, with_small
+from .common import checkpointed, partitions, table, with_small
 
 #: Production parameters: targets are counts to this power, seed of the draws.
 ALPHA, SEED = 0.5, 17
 #: A mean is drawn in equal parts of at most this, each inverted from a table of 0 to so many events.
 PART, EVENTS = 16, 96
+#: Equal rows are numbered in blocks of so many.
+BLOCK = 4096
 
 
 def uniform(key: Column) -> Column:
@@ -43,21 +45,52 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, alpha: fl
     return checkpointed(counts.select("_by", parts.alias("_parts"), F.aggregate(steps, start, grown)["t"].alias("_table")))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 of a whole row, in hex: each column by name order as its length and value, or ``-`` for null; the text by its own SHA-256."""
+
+    def part(c: str) -> Column:
+        value = F.sha2(F.col(f"`{c}`").cast("binary"), 256) if c == "text" else F.col(f"`{c}`").cast("string")
+        return F.coalesce(F.concat(F.lit("+"), F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.sha2(F.concat(*[part(c) for c in sorted(docs.columns)]).cast("binary"), 256)
+
+
+def distinct_rows(docs: DataFrame, by: str) -> DataFrame:
+    """(row, own_by, own_key, number) of every row of ``docs``; equal rows are numbered from 0, all others have 0.
+
+    Keys are counted without their rows. Rows of repeated keys become one for each task before they are shuffled and are numbered from their count,
+    in blocks, so that a row that makes up a third of the table is in no task more often than a block has numbers.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{by}`").alias("own_by"), row_key(docs).alias("own_key"))
+    repeated = checkpointed(rows.groupBy("own_key").agg(F.count("*").alias("own_count")).where("own_count > 1"))
+    if repeated.isEmpty():
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    again = repeated.select(F.col("own_key").alias("again"), "own_count")
+    once = with_small(rows, again, F.col("own_key") == F.col("again"), "left_anti").withColumn("number", F.lit(0).cast("long"))
+    # Equal rows are combined where they are read, before they meet their count.
+    many = with_small(rows, again, F.col("own_key") == F.col("again"), "left_semi").groupBy("own_key").agg(F.first(F.struct("row", "own_by")).alias("held"))
+    counted = many.join(again, F.col("own_key") == F.col("again"))
+    blocks = counted.select("held.*", "own_key", "own_count", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("own_count") - 1, F.lit(BLOCK)))).alias("block"))
+    dealt = blocks.repartition(partitions(docs.sparkSession), "own_key", "block")
+    number = F.explode(F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("own_count")) - 1))
+    return once.unionByName(dealt.select("row", "own_by", "own_key", number.alias("number")))
+
+
 def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, alpha: float = ALPHA, total: int | None = None, seed: int = SEED, by: str = "source") -> DataFrame:
     """``docs`` with each row as often as its draw says, and columns ``copy_`` (from 1) and ``place_``; rows are not ordered.
 
     A source's share of the ``total`` (by default as many as there are rows) is its weight by all weights: those given
     (a source without one gets 0), else its count to the power ``alpha``. A row's number of copies is Poisson with mean total *
-    share / count, by inversion of a uniform that is hashed from seed and doc_id, so it depends on
-    nothing else; repeated doc_ids draw alike, a null one as ``null``, and null is a source of its own. Means of 0
+    share / count, by inversion of a uniform that is hashed from seed, the whole row and its number among equal rows, so it depends on
+    nothing else, and rows of a null or repeated doc_id, or of equal texts, draw apart. Null is a source of its own. Means of 0
     drop a source: this is a sampling operator. Texts are carried as they are, null, empty or long; other columns stay
-    too, but for those named ``copy_`` and ``place_``. An empty table gives no rows.
+    too, but for those named ``copy_`` and ``place_``; columns of maps are not taken. An empty table gives no rows.
     """
     names = [n for n in docs.columns if n not in ("copy_", "place_")]
+    docs = docs.select(*[F.col(f"`{n}`") for n in names])
     known = rates(docs, weights, alpha, total, by)
-    rows = docs.select(F.struct("*").alias("row"), docs[by].alias("own_by"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("own_key"))
-    d = with_small(rows, known, F.col("own_by").eqNullSafe(known["_by"]), "left", rows=10_000)
-    key = F.concat(F.lit(f"{seed}/"), F.col("own_key"), F.lit("/"))
+    d = with_small(distinct_rows(docs, by), known, F.col("own_by").eqNullSafe(known["_by"]), "left", rows=10_000)
+    key = F.concat(F.lit(f"{seed}/"), F.col("own_key"), F.lit("/"), F.col("number").cast("string"), F.lit("/"))
 
     # One-element transforms bind the uniform once, else it would be hashed for each entry of the table.
     def below(k: Column) -> Column:
@@ -65,13 +98,13 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
 
     draw = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, k: n + below(k))
     d = d.withColumn("_count", draw).where("_count > 0")
-    d = d.select(*[F.col("row")[n].alias(n) for n in names], key.alias("own_key"), F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_"))
+    d = d.select("row", key.alias("own_key"), F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_"))
     place = F.conv(F.substring(F.md5(F.concat(F.lit("place/"), F.col("own_key"), F.col("copy_").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return d.select(*[F.col(n) for n in names], "copy_", place.alias("place_"))
+    return d.select(*[F.col("row")[n].alias(n) for n in names], "copy_", place.alias("place_"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
-    """The replicated rows in one global random order: by place, a hash of seed, doc_id and copy."""
+    """The replicated rows in one global random order: by place, a hash of seed, row, number and copy."""
     return replicated(docs, weights, **options).orderBy("place_", "doc_id", "copy_")
 
 
@@ -81,13 +114,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "source", F.col("copy_").alias("copy"), F.col("place_").alias("place"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def _part_sql(value: str) -> str:
+    return f"coalesce('+' || length({value}) || ':' || {value}, '-')"
+
+
 QUERY_SQL = f"""
 with n as (select source, count(*) as n from documents group by source),
 r as (select source, (select count(*) from documents) * sqrt(n) / (select sum(sqrt(n)) from n) / n as mean from n),
 p as (select *, greatest(ceil(mean / {PART}), 1)::int as parts from r),
 t as (select *, list_transform(range({EVENTS} + 1), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-mean / parts + j * ln(mean / parts) - lgamma(j + 1))))) as cdf from p where mean > 0),
-d as (select doc_id, d.source, sha256(text) as text_sha256, coalesce(doc_id::varchar, 'null') as key,
-  list_sum(list_transform(range(1, parts + 1), lambda k: len(list_filter(cdf, lambda c: c < (('0x' || md5('{SEED}/' || coalesce(doc_id::varchar, 'null') || '/' || k)[1:13])::bigint + 0.5) / {1 << 52}))))::int as copies
-  from documents d join t on d.source is not distinct from t.source),
+k as (select *, sha256(text) as text_sha256, sha256({" || ".join(_part_sql(v) for v in ("doc_id::varchar", "lang", "n_chars::varchar", "source", "sha256(text)"))}) as own from documents),
+m as (select *, '{SEED}/' || own || '/' || (row_number() over (partition by own) - 1) || '/' as key from k),
+d as (select doc_id, m.source, text_sha256, key,
+  list_sum(list_transform(range(1, parts + 1), lambda k: len(list_filter(cdf, lambda c: c < (('0x' || md5(key || k)[1:13])::bigint + 0.5) / {1 << 52}))))::int as copies
+  from m join t on m.source is not distinct from t.source),
 e as (select *, unnest(range(1, copies + 1))::int as copy from d)
-select doc_id, source, text_sha256, copy, ('0x' || md5('place/{SEED}/' || key || '/' || copy)[1:15])::bigint as place from e"""
+select doc_id, source, text_sha256, copy, ('0x' || md5('place/' || key || copy)[1:15])::bigint as place from e"""

@@ -22,28 +22,42 @@ def md5_uniform(key):
 
 
 def plain_copies(rows, weights, total, seed=17):
-    n = Counter(s for _, s in rows)
+    """``rows`` are dictionaries with a source."""
+    n = Counter(r["source"] for r in rows)
     w = {s: (n[s] ** 0.5 if weights is None else weights.get(s, 0.0)) for s in n}
-    out = []
-    for i, s in rows:
-        mean = total * w[s] / sum(w.values()) / n[s]
+    out, numbers = [], Counter()
+
+    def part(name, v):
+        if v is None:
+            return "-"
+        v = hashlib.sha256(v.encode()).hexdigest() if name == "text" else str(v)
+        return f"+{len(v)}:{v}"
+
+    for r in rows:
+        mean = total * w[r["source"]] / sum(w.values()) / n[r["source"]]
         parts = max(1, math.ceil(mean / 16))
         cdf, p = [], math.exp(-mean / parts)
         for k in range(97):
             cdf.append((cdf[-1] if cdf else 0) + p)
             p *= mean / parts / (k + 1)
-        count = sum(bisect.bisect_left(cdf, md5_uniform(f"{seed}/{'null' if i is None else i}/{j}")) for j in range(1, parts + 1))
-        out += [(i, s, c) for c in range(1, count + 1)]
+        own = hashlib.sha256("".join(part(c, r[c]) for c in sorted(r)).encode()).hexdigest()
+        key = f"{seed}/{own}/{numbers[own]}/"
+        numbers[own] += 1
+        count = sum(bisect.bisect_left(cdf, md5_uniform(f"{key}{j}")) for j in range(1, parts + 1))
+        out += [(r["doc_id"], r["text"], r["source"], c) for c in range(1, count + 1)]
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("block", [2, 4096])
 @pytest.mark.parametrize(("weights", "total"), [(None, None), ({"a": 3.0, None: 1.0}, 900), ({"c": 1.0}, 400)])
-def test_mixing(docs_of, weights, total):
-    rows = [(k, "a" if k % 3 else "b") for k in range(120)] + [(500 + k, "c") for k in range(4)] + [(700 + k, None) for k in range(10)] + [(None, "a"), (5, "b"), (5, "b")]
-    d = docs_of([(i, "t", s) for i, s in rows]).withColumn("row", F.lit(1)).withColumn("_n", F.lit(2)).withColumn("copy_", F.lit(3))
-    out = mixing.mixed(d, weights, total=total)
-    got = out.collect()
-    assert sorted(((r["doc_id"], r["source"], r["copy_"]) for r in got), key=repr) == plain_copies(rows, weights, total or len(rows))
+def test_mixing(docs_of, weights, total, block, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(k, "t", "a" if k % 3 else "b") for k in range(120)] + [(500 + k, "t", "c") for k in range(4)] + [(700 + k, None, None) for k in range(10)] + [(5, "t", "b"), (5, "t", "b"), (5, "u", "b")]
+    rows += [(None, f"text {k % 11}", "a" if k % 2 else "b") for k in range(90)] + [(None, None, "a"), (None, "", "a"), (None, None, "a")]
+    d = docs_of(rows).withColumn("row", F.lit(1)).withColumn("_n", F.lit(2)).withColumn("copy_", F.lit(3)).withColumn("own_key", F.lit("x")).withColumn("number", F.lit(None).cast("int"))
+    whole = [{k: v for k, v in r.asDict().items() if k != "copy_"} for r in d.collect()]
+    got = mixing.mixed(d, weights, total=total).collect()
+    assert sorted(((r["doc_id"], r["text"], r["source"], r["copy_"]) for r in got), key=repr) == plain_copies(whole, weights, total or len(rows))
     assert [r["place_"] for r in got] == sorted(r["place_"] for r in got)
     assert mixing.mixed(docs_of([]), weights).count() == 0
 
@@ -53,9 +67,9 @@ def test_mixing_carries_texts(docs_of):
     texts = dict(rows[80:])
     got = mixing.replicated(docs_of(rows), {"s": 1.0}).collect()
     assert all(r["text"] == texts[r["doc_id"]] if r["doc_id"] is not None else not r["text"] for r in got)
-    copies = Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] is None)
-    # Rows of a repeated id draw alike.
-    assert len(set(copies.values())) <= 1 and all(n % 40 == 0 for n in copies.values())
+    # Equal rows draw apart: some of the forty stay, some go, none takes all with it.
+    copies = Counter(r["text"] for r in got if r["doc_id"] is None)
+    assert 20 < copies[None] < 65 and 20 < copies[""] < 65
 
 
 def test_mixing_meets_the_target(docs_of):
@@ -64,6 +78,18 @@ def test_mixing_meets_the_target(docs_of):
     assert abs(got["big"] - 2500) < 200 and abs(got["small"] - 2500) < 200
 
 
+def test_mixing_of_rows_without_ids(spark, docs_of):
+    """Half of the rows have no id, a third is one row over and over: both sources meet their targets, and the order has no hot range."""
+    rows = [(None if k % 2 else k, "one and the same" if k % 3 == 0 else f"text {k}", "big" if k % 5 else "small") for k in range(20_000)]
+    out = mixing.mixed(docs_of(rows), {"big": 2.0, "small": 1.0})
+    got = Counter(r["source"] for r in out.select("source").collect())
+    assert abs(got["big"] / 13_333 - 1) < 0.05 and abs(got["small"] / 6_667 - 1) < 0.05
+    places = np.array([r["place_"] for r in out.select("place_").collect()], dtype=float)
+    assert np.histogram(places, 40)[0].max() < 2 * len(places) / 40
+    none = Counter(r["source"] for r in out.where("doc_id is null").select("source").collect())
+    assert abs(none["big"] / 6_667 - 1) < 0.1 and abs(none["small"] / 3_333 - 1) < 0.1
+
+
 # ---- sharding
 
 
