@@ -4,6 +4,8 @@ import bisect
 import hashlib
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -239,6 +241,26 @@ def test_many_rules_and_collisions(tmp_path, monkeypatch):
     assert urls.Index(str(path)).judge(["a.com"], ["/"]) == ([None], [None])
 
 
+def test_a_host_of_very_many_dots(tmp_path):
+    path = tmp_path / "i"
+    path.write_bytes(urls.build([("block", f"h{k}.org", "/") for k in range(500)] + [("allow", "x.h7.org", "/a/b/")]))
+    index, host = urls.Index(str(path)), "a." * 200_000 + "x.h7.org"
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert index.judge([host, "." * 200_000, "h7.org", "xh7.org"], ["/a/b/c", "/", "/" * 100_000, "/"]) == (["x.h7.org/a/b/", None, "h7.org/", None], ["allow", None, "block", None])
+    assert time.perf_counter() - began < 1 and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_many_rules_are_indexed_in_tasks(spark):
+    rules = spark.range(300_000).select(F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"), F.concat(F.lit("H"), "id", F.lit(".net")).alias("host"), F.lit("/p/").alias("path"))
+    names = urls.written(rules, 1 << 20)
+    assert int(names[0]) == 16 and len(names) > 1
+    pages = spark.range(0, 300_600, 7).select(F.col("id").alias("page_id"), F.concat(F.lit("https://w.h"), "id", F.lit(".NET/p/x")).alias("url"))
+    got = urls.judged(pages, rules, max_bytes=1 << 20).select("page_id", "rule", "verdict").collect()
+    assert all((r["rule"], r["verdict"]) == ((f"h{r['page_id']}.net/p/", "allow" if r["page_id"] % 2 else "block") if r["page_id"] < 300_000 else (None, "allow")) for r in got) and len(got) == 42_943
+
+
 # ---- toxicity
 
 
