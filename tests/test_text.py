@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from oracle import rows_of, rows_of_sql
@@ -179,3 +180,27 @@ def test_long_texts_by_sql(spark, tmp_path, name):
     q = load()[name]
     got = rows_of(q.run(spark, str(tmp_path)))
     assert got == rows_of_sql(con, q.sql) and len({x[0] for x in got[1]}) > 50
+
+
+def test_hard_cuts_across_blocks(spark):
+    """Runs of white space and of letters that are longer than a block: pieces keep all characters but white space at cuts, start without it and stay in size."""
+    n = S._BLOCK
+    texts = ["a" * 2399 + " " * (2 * n) + "b" * 3000, " ".join(["wort"] * 9000), "z" * (3 * n + 17), "k " + "m" * (n - 2) + " " * 3 + "q" * 5000, "\u00a0 x" * 7000, ("y" * 1100 + "\n  ") * 40, "s" * n + " ", "\U0001f600" * (n + 5)]
+    for text, parts in zip(texts, one(spark, [[t] for t in texts], S.hard_split(F.col("s")), "s array<string>"), strict=True):
+        assert "".join("".join(parts).split()) == "".join(text.split())
+        assert all(p and len(p) <= S.LONG_SENTENCE for p in parts) and all(p == p.lstrip() for p in parts[1:])
+        assert all(len(p) >= S.LONG_SENTENCE // 2 for p in parts[:-1])
+
+
+def test_packing_costs_in_proportion_to_the_text(spark):
+    """Ten million characters in short paragraphs, in sentences and without an end of a sentence."""
+    sentence = "Der Antrag befasst sich mit der Rente und mit der Miete in allen Orten. "
+    for unit in (sentence.strip() + "\n\n\n", sentence, "wort "):
+        seconds = []
+        for size in (1_000_000, 1_000_000, 9_700_000):
+            d = spark.createDataFrame([(unit * (size // len(unit)),)], "s string")
+            began = time.perf_counter()
+            chunks = d.select(F.size(S.pack(T.split_paragraphs(F.col("s")))).alias("n")).first()["n"]
+            seconds.append(time.perf_counter() - began)
+            assert chunks >= size // S.LONG_SENTENCE
+        assert seconds[2] < 10 and seconds[2] < 30 * max(seconds[1], 0.2)
