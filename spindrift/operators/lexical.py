@@ -19,15 +19,18 @@ def _weighted(column: str, weight: float, tokens: Callable[[Column], Column] = i
     return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
 
-def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id", tokens: Callable[[Column], Column] = index_tokens, sizes: bool = False) -> DataFrame:
+def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str = "chunk_id", tokens: Callable[[Column], Column] = index_tokens, sizes: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, tf, hits): weighted and plain occurrences of each term in each chunk; with ``sizes`` also size, the chunk's tokens.
 
-    Columns are tokenised apart and exploded together, so one shuffle counts them all.
+    Columns are tokenised apart and exploded together, so one shuffle counts them all. Other terms than those of ``only(term)`` end in the scan stage if it
+    is broadcast, before they are counted.
     """
     marked = F.concat(*[_weighted(c, w, tokens) for c, w in columns.items()])
     rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(F.array(marked)).alias("ts")) if sizes else chunks.select(F.col(id_).alias("chunk_id"), marked.alias("ts"))
     own = [F.size("ts").cast("long").alias("size")] if sizes else []
     rows = rows.select("chunk_id", *own, F.explode_outer("ts").alias("t")).where("t is not null")
+    if only is not None:
+        rows = rows.join(only.select(F.col("term").alias("_only")), F.col("t.term") == F.col("_only"), "left_semi")
     keys = [F.col("t.term").alias("term"), "chunk_id", *(["size"] if sizes else [])]
     counted = rows.groupBy(*keys).agg(F.sum("t.w").alias("tf"), F.count("*").alias("hits"))
     return counted.select("term", "chunk_id", "tf", "hits", *(["size"] if sizes else []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,9 +168,9 @@ def pack(pieces: Column) -> Column:
     return F.filter(_bound(F.filter(F.transform(pieces, strip), lambda p: p != ""), chunks), lambda c: F.length(c) >= CHUNK_MIN)
 
 
-def segment_papers(docs: DataFrame, id_: str = "document_id", text: str = "text") -> DataFrame:
-    """(document_id, position, text) of papers: normalised, by paragraphs, packed. Null and short texts give no rows."""
-    return docs.select(F.col(id_).alias("document_id"), F.posexplode_outer(pack(split_paragraphs(normalize(F.col(text))))).alias("position", "text")).where("position is not null")
+def segment_papers(docs: DataFrame, id_: str = "document_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(document_id, position, text) of papers: normalised, by paragraphs, packed; with the columns ``keep`` of their document. Null and short texts give no rows."""
+    return docs.select(F.col(id_).alias("document_id"), *keep, F.posexplode_outer(pack(split_paragraphs(normalize(F.col(text))))).alias("position", "text")).where("position is not null")
 
 
 def speaker_lines(docs: DataFrame, id_: str = "document_id", text: str = "text") -> DataFrame:
