@@ -46,29 +46,41 @@ def _documents(spark: SparkSession, store: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind: str = "alle") -> None:
-    """Upserts raw records (of a kind) and cuts changed documents anew (all with ``force``); documents and chunks are replaced as whole versions."""
+def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind: str = "alle") -> int:
+    """Upserts raw records (of a kind) and cuts changed documents anew (all with ``force``); documents and chunks are replaced as whole versions.
+
+    Vectors of what is cut anew go first, so that none is ever beside another text, and the index follows at last: it gets a segment of the changed
+    documents. Where nothing changed nothing is written. Returns how many documents were cut.
+    """
     new = maintenance.latest(maintenance.incoming(jsonl.read(spark, raw)))
     if kind != "alle":
         new = new.where(F.lower("dokumentart") == kind)
     shared_folder(spark)
     # Without texts: what the three tables below need of the upsert is planned and run once.
     after = maintenance.upsert(_documents(spark, store), new.drop("text")).checkpoint()
+    touched = after.agg(F.count_if("changed").alias("changed"), F.count_if(F.expr("text_len > 0" if force else "text_len > 0 and changed")).alias("cut")).first()
+    if not touched["changed"] and not touched["cut"] and tables.current(spark, f"{store}/documents"):
+        return 0
+    held = index_of(spark, store)
     done = after.where("text_len > 0" if force else "text_len > 0 and changed").select(F.col("id").alias("cut_id"))
     cut = new.select("id", "dokumentart", "text").join(done, F.col("id") == F.col("cut_id"), "left_semi")
     pieces = segment.segment(cut.withColumnRenamed("id", "document_id"))
     pieces = pieces.withColumn("chunk_id", segment.chunk_id(F.col("document_id"), F.col("position")))
     pieces = pieces.select("chunk_id", "document_id", F.col("position").cast("int").alias("position"), "text", "redner", "rolle", "fraktion")
+    vectors = tables.load(spark, f"{store}/vectors")
+    if vectors is not None and touched["cut"]:
+        tables.replace(vectors.join(done, segment.document_of(vectors.chunk_id) == done.cut_id, "left_anti"), f"{store}/vectors")
     stored = tables.load(spark, f"{store}/chunks")
     if stored is None:
         stored = spark.createDataFrame([], tables.CHUNKS)
-    tables.replace(maintenance.replace_chunks(stored, pieces, done.select(F.col("cut_id").alias("document_id"))), f"{store}/chunks")
+    if touched["cut"] or not tables.current(spark, f"{store}/chunks"):
+        tables.replace(maintenance.replace_chunks(stored, pieces, done.select(F.col("cut_id").alias("document_id"))), f"{store}/chunks")
     joined = after.join(done, after.id == done.cut_id, "left")
     joined = joined.withColumn("status", F.when(F.col("cut_id").isNotNull(), "chunked").otherwise(F.col("status"))).withColumn("chunked_at", F.when(F.col("cut_id").isNotNull(), F.current_timestamp()).otherwise(F.col("chunked_at")))
     tables.replace(joined.drop("changed", "cut_id"), f"{store}/documents")
-    vectors = tables.load(spark, f"{store}/vectors")
-    if vectors is not None:  # vectors of replaced chunks go with them
-        tables.replace(vectors.join(done, segment.document_of(vectors.chunk_id) == done.cut_id, "left_anti"), f"{store}/vectors")
+    if held is not None:
+        _follow(spark, store, after.where("changed" if not force else "changed or text_len > 0").select(F.col("id").alias("document_id")))
+    return touched["cut"]
 
 
 def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None, commit: int = COMMIT) -> int:
@@ -88,6 +100,8 @@ def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int
             part = own.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k).select("chunk_id")
             tables.append(models.embed(chunks.join(part, "chunk_id", "left_semi"), embedder), f"{store}/vectors")
             parts += 1
+    if parts and index_of(spark, store) is not None and ann.read(spark, f"{store}/index/cells") is not None:
+        _follow_vectors(spark, store)
     return parts
 
 
@@ -106,7 +120,7 @@ def search(spark: SparkSession, store: str, question: str, embedder: models.Embe
     """The best chunks of a question with their texts: chunk_id, score, found_by, rank and the columns of ``serving``; by the store's index if it has one."""
     own, chunks = index_of(spark, store), serving(spark, store)
     vector = embedder.embed([question], models.QUERY)[0] if embedder is not None else None
-    hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own, cells_of(spark, store))
+    hits = plans.hybrid(chunks, vectors(spark, store), plans.asked(spark, question, profile), vector, profile, plans.filters(**filters), limit, own, cells_of(spark, store), plans.zones(**filters))
     if own is not None:
         hits = fusion.pinned(hits)
         chunks = own.of_documents(r["chunk_id"] // CHUNK_PLACES for r in hits.collect())
@@ -118,26 +132,71 @@ def ask(spark: SparkSession, store: str, question: str, generator: models.Genera
     return plans.ask(serving(spark, store), vectors(spark, store), question, generator, embedder, analyse_template, answer_template, index=index_of(spark, store), cells=cells_of(spark, store), **options)
 
 
-def index(spark: SparkSession, store: str, buckets: int = stored_index.BUCKETS) -> None:
-    """Writes the store's index: cells of its vectors, postings by word and stem, frequencies, and its chunks by document."""
-    found = vectors(spark, store)
-    if found is not None:
-        ann.write(found, f"{store}/index/cells", id_="chunk_id")
-    stored_index.write(serving(spark, store), f"{store}/index", buckets)
+def index(spark: SparkSession, store: str, buckets: int = stored_index.BUCKETS, whole: bool = False) -> None:
+    """Brings the store's index up to its tables: cells of its vectors, postings by word and stem, frequencies, and its chunks by document.
+
+    Where there is an index, documents whose chunks or columns differ from what it has are found by their hashes and become a segment of it; ``whole`` writes all anew, as the first time.
+    """
+    own = None if whole else stored_index.read(spark, f"{store}/index")
+    if own is None:
+        found = vectors(spark, store)
+        stored_index.write(serving(spark, store), f"{store}/index", buckets, _state(spark, store))
+        if found is not None:
+            own = stored_index.read(spark, f"{store}/index")
+            ann.write(found, f"{store}/index/cells", id_="chunk_id", state=_vectors_state(spark, store, own), segment=own.segments[-1])
+        return
+    if own.state != _state(spark, store):
+        now, there = (c.select("document_id", "position", F.to_json(F.struct(*sorted(c.columns))).alias("text")) for c in (serving(spark, store), own.chunks))
+        shared_folder(spark)
+        _follow(spark, store, maintenance.resync(now, there).select("document_id").checkpoint())
+    else:
+        _follow_vectors(spark, store)
+
+
+def _state(spark: SparkSession, store: str) -> str:
+    """The versions that chunks and documents have now."""
+    return " ".join(v for t in ("chunks", "documents") for v in (*tables.current(spark, f"{store}/{t}"), "/"))
+
+
+def _vectors_state(spark: SparkSession, store: str, own: stored_index.Index) -> str:
+    """What cells are written from: the index's first segment, by whose later ones their vectors go out of count, and the versions of the tables."""
+    return " ".join([str(own.segments[0]), _state(spark, store), *tables.current(spark, f"{store}/vectors")])
+
+
+def _follow(spark: SparkSession, store: str, changed: DataFrame) -> None:
+    """The index after the documents ``changed(document_id)`` and the vectors that came since."""
+    folder = f"{store}/index"
+    stored_index.update(serving(spark, store), changed, folder, _state(spark, store))
+    if len(stored_index.read(spark, folder).segments) > stored_index.SEGMENTS:
+        stored_index.compact(spark, folder)
+    _follow_vectors(spark, store)
+
+
+def _follow_vectors(spark: SparkSession, store: str) -> None:
+    """Cells get the vectors that they lack; those of documents that the index has in a later segment no longer count."""
+    folder, found = f"{store}/index/cells", vectors(spark, store)
+    cells, own = ann.read(spark, folder), stored_index.read(spark, f"{store}/index")
+    if found is None:
+        return
+    state = _vectors_state(spark, store, own)
+    if cells is None or cells.state.split(" ")[0] != str(own.segments[0]):
+        ann.write(found, folder, id_="chunk_id", state=state, segment=own.segments[-1])
+    elif cells.state != state:
+        ann.append(found.join(own.alive(cells.vectors).select("chunk_id"), "chunk_id", "left_anti"), folder, id_="chunk_id", state=state, segment=own.segments[-1])
 
 
 def index_of(spark: SparkSession, store: str) -> stored_index.Index | None:
-    """The store's index, unless chunks were replaced since it was written."""
-    if tables.written(spark, f"{store}/chunks") > tables.written(spark, f"{store}/index/stats"):
-        return None
-    return stored_index.read(spark, f"{store}/index")
+    """The store's index, unless its tables have other versions than those that it was written from."""
+    own = stored_index.read(spark, f"{store}/index")
+    return own if own is not None and own.state == _state(spark, store) else None
 
 
 def cells_of(spark: SparkSession, store: str) -> ann.Cells | None:
-    """The cells of the store's vectors, unless vectors or chunks were written since."""
-    if max(tables.written(spark, f"{store}/{t}") for t in ("chunks", "vectors")) > tables.written(spark, f"{store}/index/cells/centres"):
+    """The cells of the store's vectors, unless its tables have other versions than those that they were written from."""
+    own, cells = index_of(spark, store), ann.read(spark, f"{store}/index/cells")
+    if own is None or cells is None or cells.state != _vectors_state(spark, store, own):
         return None
-    return ann.read(spark, f"{store}/index/cells")
+    return replace(cells, vectors=own.alive(cells.vectors))
 
 
 def publish(spark: SparkSession, store: str, target: str) -> None:

@@ -15,7 +15,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"text": 1.0, "redner": 0.5}
 
 
-def _weighted(column: str, weight: float, tokens: Callable[[Column], Column] = index_tokens) -> Column:
+def weighted(column: str, weight: float, tokens: Callable[[Column], Column] = index_tokens) -> Column:
+    """The tokens of a column as structs (term, w)."""
     return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
 
@@ -25,7 +26,7 @@ def postings(chunks: DataFrame, columns: dict[str, float] = WEIGHTS, id_: str =
     Columns are tokenised apart and exploded together, so one shuffle counts them all. Other terms than those of ``only(term)`` end in the scan stage if it
     is broadcast, before they are counted.
     """
-    marked = F.concat(*[_weighted(c, w, tokens) for c, w in columns.items()])
+    marked = F.concat(*[weighted(c, w, tokens) for c, w in columns.items()])
     rows = chunks.select(F.col(id_).alias("chunk_id"), F.explode(F.array(marked)).alias("ts")) if sizes else chunks.select(F.col(id_).alias("chunk_id"), marked.alias("ts"))
     own = [F.size("ts").cast("long").alias("size")] if sizes else []
     rows = rows.select("chunk_id", *own, F.explode_outer("ts").alias("t")).where("t is not null")
@@ -73,7 +74,7 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHT
     Statistics are of all chunks, ``keep`` only filters what is returned. Rows that hold none of the question's
     terms end in the scan stage, since the terms are broadcast (at most 32).
     """
-    marked = [_weighted(c, w) for c, w in columns.items()]
+    marked = [weighted(c, w) for c, w in columns.items()]
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     rows = chunks.select(F.col(id_).alias("chunk_id"), kept.alias("kept"), F.concat(*marked).alias("tokens"))
     stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))

@@ -36,6 +36,21 @@ def filters(dokumentart: str | None = None, datum_von: str | None = None, datum_
     return keep
 
 
+def zones(dokumentart: str | None = None, datum_von: str | None = None, datum_bis: str | None = None) -> Column | None:
+    """``filters`` over the least and greatest values of a cell: false only where none of its rows is kept."""
+    parts = []
+    if dokumentart:
+        parts.append((F.col("least_dokumentart") <= dokumentart) & (F.col("most_dokumentart") >= dokumentart))
+    if datum_von:
+        parts.append(F.col("most_datum") >= F.lit(datum_von).cast("date"))
+    if datum_bis:
+        parts.append(F.col("least_datum") <= F.lit(datum_bis).cast("date"))
+    may = None
+    for p in parts:
+        may = p if may is None else may & p
+    return may
+
+
 @dataclass(frozen=True)
 class Asked:
     """The words of a question (32 at most), as they are and folded."""
@@ -96,20 +111,26 @@ def _ranked(scores: DataFrame, profile: Profile) -> DataFrame:
     return lexical.top(scores, profile.candidates, [F.round("score", 9).desc(), F.col("chunk_id")])
 
 
-def semantic_hits(vectors: DataFrame, query, profile: Profile, keep: Column | None = None, cells: ann.Cells | None = None) -> DataFrame:
-    """(chunk_id, distance, rank) of the nearest chunks by the profile's metric and way to filter; from a few cells, if there are any, where nothing is filtered."""
-    if cells is not None and keep is None and not isinstance(query, DataFrame):
-        near = ann.nearest(cells, query, profile.candidates, profile.metric, id_="chunk_id")
+def semantic_hits(vectors: DataFrame, query, profile: Profile, keep: Column | None = None, cells: ann.Cells | None = None, may: Column | None = None) -> DataFrame:
+    """(chunk_id, distance, rank) of the nearest chunks by the profile's metric and way to filter; from a few cells, if there are any.
+
+    A filter that goes before the search is exact: cells are read by the bounds of their vectors, those left out that ``may`` tells to hold no row of it.
+    """
+    if cells is not None and not isinstance(query, DataFrame):
+        if keep is not None and profile.vector_filter == "before":
+            near = ann.nearest_filtered(cells, query, profile.candidates, keep, profile.metric, may, "chunk_id")
+        else:
+            near = ann.nearest(cells, query, profile.candidates, profile.metric, keep, profile.vector_filter, "chunk_id")
     else:
         near = semantic.nearest(vectors, query, profile.candidates, profile.metric, keep, profile.vector_filter, "chunk_id")
     return lexical.top(near.select("chunk_id", "distance"), profile.candidates, [F.round("distance", 9), F.col("chunk_id")])
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, question: Asked, query, profile: Profile = SQLITE, keep: Column | None = None, limit: int | None = None, index: Index | None = None, cells: ann.Cells | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, question: Asked, query, profile: Profile = SQLITE, keep: Column | None = None, limit: int | None = None, index: Index | None = None, cells: ann.Cells | None = None, may: Column | None = None) -> DataFrame:
     """(chunk_id, score, found_by, rank); without vectors or a query vector the lexical list alone. Vectors carry the columns that ``keep`` reads."""
     lists = {"bm25": (lexical_hits(chunks, question, profile, keep, index), 1.0)}
     if vectors is not None and query is not None:
-        lists["vektor"] = (semantic_hits(vectors, query, profile, keep, cells), profile.vector_weight)
+        lists["vektor"] = (semantic_hits(vectors, query, profile, keep, cells, may), profile.vector_weight)
     return fusion.fuse(lists, limit or profile.top_k, profile.rrf_k)
 
 
@@ -268,7 +289,7 @@ def _answer(chunks, vectors, question, generator, embedder, analyse_template, an
     vector = embedder.embed([question], QUERY)[0] if embedder is not None else None
     words = asked(spark, analysis["suchbegriffe"], profile)
     keep = filters(analysis["dokumentart"])
-    hits = hybrid(chunks, vectors, words, vector, profile, keep, limit if rerank_template is None else fusion.RERANK_MOST, index, cells)
+    hits = hybrid(chunks, vectors, words, vector, profile, keep, limit if rerank_template is None else fusion.RERANK_MOST, index, cells, zones(analysis["dokumentart"]))
     if rerank_template is not None:
         hits = reranked(hits, chunks, question, generator, rerank_template, limit)
     ordered, near = context_chunks(hits, chunks, profile, index)

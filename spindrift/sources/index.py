@@ -1,44 +1,87 @@
-"""The stored index of chunks: postings by word and by stem, frequencies and the chunks by document. A question reads what it asks for alone."""
+"""The stored index of chunks: postings by word and by stem, frequencies and the chunks by document. A question reads what it asks for alone.
+
+It is written in segments, each a folder of every table: the first holds all chunks, a later one those of the documents that changed since, and which documents
+these are. So it follows the data at the cost of what changed: rows of a document count from the last segment that has it, and numbers of
+chunks are sums over segments. One small table names the segments that count, and is written last.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import german
-from ..functions.text import word_tokens
+from ..functions.text import fold, word_tokens
 from ..operators import lexical
+from ..operators.segment import document_of
+from ..shipping import remove
 from . import tables
 
 #: Folders of each table; a cluster's store has thousands.
 BUCKETS = 64
+#: Segments from which an index should be compacted: a question reads some files of each.
+SEGMENTS = 16
+#: Changed documents that are told by a list or a broadcast; more are joined by a shuffle.
+SMALL = 100_000
+#: Changed documents whose chunks are found by their folders.
+FEW = 1_000
+
+_POSTINGS = "term string, chunk_id long, tf double, hits long, size long, segment long, bucket int"
+_STEMS = "term string, chunk_id long, tf double, hits long, segment long, bucket int"
+_FREQUENCY = "term string, kind string, ndoc long, segment long, bucket int"
+_GONE = "document_id long, segment long"
+_NAMED = "segment long, buckets int, count long, tokens long, gone long, schema string, state string"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of one store and the two numbers that BM25 needs of all chunks."""
+    """Tables of one store and the two numbers that BM25 needs of all chunks; ``state`` is what the writer said of the data it holds."""
 
     postings: DataFrame
     stems: DataFrame
     frequency: DataFrame
-    chunks: DataFrame
+    held: DataFrame
     count: int
     mean: float
     buckets: int
+    segments: tuple[int, ...]
+    state: str
+    #: (document_id, last): the last segment that has a changed document; None where there is one segment.
+    gone: DataFrame | None = field(default=None)
+    few_gone: bool = True
+
+    def alive(self, rows: DataFrame, document: Column | None = None) -> DataFrame:
+        """``rows(segment, ...)`` of documents that no later segment has; ``document`` is their id, by default that of chunk_id."""
+        if self.gone is None:
+            return rows
+        last = F.broadcast(self.gone) if self.few_gone else self.gone
+        document = document_of(F.col("chunk_id")) if document is None else document
+        marked = rows.withColumn("_document", document).join(last.withColumnRenamed("document_id", "_document"), "_document", "left")
+        return marked.where("last is null or segment >= last").drop("_document", "last")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.alive(self.held, F.col("document_id")).drop("segment", "bucket")
 
     def of_terms(self, table: DataFrame, terms: Iterable[str]) -> DataFrame:
-        """Rows of some terms: their folders and, as files are sorted, their row groups only."""
+        """Rows of some terms: their folders and, as files are sorted, their row groups only. Frequencies come as sums over segments."""
         terms = sorted(set(terms))
-        return table.where(F.col("bucket").isin(sorted({bucket_of(t.encode("utf-8", "surrogatepass"), self.buckets) for t in terms})) & F.col("term").isin(terms))
+        rows = table.where(F.col("bucket").isin(sorted({bucket_of(t.encode("utf-8", "surrogatepass"), self.buckets) for t in terms})) & F.col("term").isin(terms))
+        if table is self.frequency:
+            return rows.groupBy("term", "kind").agg(F.sum("ndoc").alias("ndoc")).where("ndoc > 0")
+        return self.alive(rows).drop("segment", "bucket")
 
     def of_documents(self, ids: Iterable[int]) -> DataFrame:
         """Chunks of some documents."""
         ids = sorted(set(ids))
-        return self.chunks.where(F.col("bucket").isin(sorted({bucket_of(k.to_bytes(8, "little", signed=True), self.buckets) for k in ids})) & F.col("document_id").isin(ids)).drop("bucket")
+        rows = self.held.where(F.col("bucket").isin(sorted({bucket_of(k.to_bytes(8, "little", signed=True), self.buckets) for k in ids})) & F.col("document_id").isin(ids))
+        return self.alive(rows, F.col("document_id")).drop("segment", "bucket")
 
 
 def bucket_of(key: bytes, buckets: int) -> int:
@@ -51,38 +94,141 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _put(df: DataFrame, folder: str, by: str, order: list[str], buckets: int) -> None:
-    """A table in folders by a hash of ``by``, its files sorted. Rows are dealt by ranges, so that a term of very many chunks fills several tasks."""
+def _put(df: DataFrame, folder: str, segment: int, by: str, order: list[str], buckets: int) -> None:
+    """A segment of a table in folders by a hash of ``by``, its files sorted. Rows are dealt by ranges, so that a term of very many chunks fills several tasks."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.withColumn("bucket", _bucket(F.col(by), buckets)).repartitionByRange(parts, "bucket", *order).sortWithinPartitions("bucket", *order)
-    tables.replace(rows, folder, ["bucket"])
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/segment={segment}")
+
 
+def terms_of(chunks: DataFrame, columns: dict[str, float] = lexical.WEIGHTS) -> DataFrame:
+    """(kind, term, chunk_id, size, tf, hits): folded words (``word``) and words as they are (``raw``) of chunks, whose texts are cut into tokens once."""
+    marked = F.concat(*[lexical.weighted(c, w, word_tokens) for c, w in columns.items()])
+    rows = chunks.select("chunk_id", F.explode(F.array(marked)).alias("ts")).select("chunk_id", F.size("ts").cast("long").alias("size"), F.explode_outer("ts").alias("t")).where("t is not null")
+    both = F.explode(F.array(F.struct(F.lit("word").alias("kind"), fold(F.col("t.term")).alias("term")), F.struct(F.lit("raw").alias("kind"), F.col("t.term").alias("term"))))
+    rows = rows.select("chunk_id", "size", F.col("t.w").alias("w"), both.alias("b"))
+    return rows.groupBy(F.col("b.kind").alias("kind"), F.col("b.term").alias("term"), "chunk_id", "size").agg(F.sum("w").alias("tf"), F.count("*").alias("hits"))
 
-def write(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Indexes ``chunks(chunk_id, document_id, position, text, redner, ...)``, whole each time, so no stale term stays.
 
-    Texts are tokenised twice (folded words, and words as they are for stems), never for a question.
+def _frequencies(words: DataFrame, stems: DataFrame, sign: int) -> DataFrame:
+    counted = [t.groupBy("term").agg((F.count("*") * sign).alias("ndoc")).withColumn("kind", F.lit(kind)) for t, kind in ((words, "word"), (stems, "stem"))]
+    return counted[0].unionByName(counted[1])
+
+
+def _segment(folder: str, number: int, chunks: DataFrame, former: DataFrame | None, buckets: int) -> tuple[int, int]:
+    """Writes the tables of a segment: ``chunks`` come, ``former`` go. Returns by how much chunks and their tokens grow in number."""
+    spark = chunks.sparkSession
+    _put(chunks, f"{folder}/chunks", number, "document_id", ["document_id", "position"], buckets)
+    work = f"{folder}/work-{number}"
+    try:
+        terms_of(chunks).write.mode("overwrite").partitionBy("kind").parquet(f"{work}/new")
+        schema = "term string, chunk_id long, size long, tf double, hits long, kind string"
+        both = spark.read.schema(schema).parquet(f"{work}/new")
+        _put(both.where("kind = 'word'").drop("kind"), f"{folder}/postings", number, "term", ["term", "chunk_id"], buckets)
+        _put(german.stemmed_postings(both.where("kind = 'raw'").drop("kind", "size")), f"{folder}/stems", number, "term", ["term", "chunk_id"], buckets)
+        words = _rows(spark, folder, "postings", _POSTINGS, [number])
+        changes = _frequencies(words, _rows(spark, folder, "stems", _STEMS, [number]), 1)
+        count, tokens = _rows(spark, folder, "chunks", _with_places(chunks.schema), [number]).count(), words.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+        if former is not None:
+            former.select("chunk_id", *lexical.WEIGHTS).write.mode("overwrite").parquet(f"{work}/former-chunks")
+            before = spark.read.parquet(f"{work}/former-chunks")
+            terms_of(before).write.mode("overwrite").partitionBy("kind").parquet(f"{work}/former")
+            old = spark.read.schema(schema).parquet(f"{work}/former")
+            changes = changes.unionByName(_frequencies(old.where("kind = 'word'"), german.stemmed_postings(old.where("kind = 'raw'")), -1))
+            count, tokens = count - before.count(), tokens - old.where("kind = 'word'").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+        sums = changes.groupBy("term", "kind").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
+        _put(sums, f"{folder}/lexeme_df", number, "term", ["term"], buckets)
+    finally:
+        remove(spark, work)
+    return count, tokens
+
+
+def _named(spark: SparkSession, folder: str) -> list:
+    known = tables.load(spark, f"{folder}/segments")
+    return [] if known is None else sorted(known.collect(), key=lambda r: r["segment"])
+
+
+def _name(spark: SparkSession, folder: str, rows: list[tuple]) -> None:
+    """From now on these segments count."""
+    tables.replace(spark.createDataFrame(rows, _NAMED).coalesce(1), f"{folder}/segments")
+
+
+def write(chunks: DataFrame, folder: str, buckets: int = BUCKETS, state: str = "") -> None:
+    """Indexes ``chunks(chunk_id, document_id, position, text, redner, ...)`` whole, as one segment that takes the place of all others."""
+    spark, known = chunks.sparkSession, _named(chunks.sparkSession, folder)
+    number = known[-1]["segment"] + 1 if known else 0
+    count, tokens = _segment(folder, number, chunks, None, buckets)
+    _name(spark, folder, [(number, buckets, count, tokens, 0, chunks.schema.json(), state)])
+
+
+def update(chunks: DataFrame, changed: DataFrame, folder: str, state: str = "") -> None:
+    """A segment for the documents ``changed(document_id)``, of which ``chunks`` are all there are now; a document without chunks is gone.
+
+    Reads the former chunks of these documents alone. A run that breaks off leaves the index as it was, and the next one writes the segment anew.
     """
     spark = chunks.sparkSession
-    _put(chunks, f"{folder}/chunks", "document_id", ["document_id", "position"], buckets)
-    _put(lexical.postings(chunks, sizes=True), f"{folder}/postings", "term", ["term", "chunk_id"], buckets)
-    _put(german.stemmed_postings(lexical.postings(chunks, tokens=word_tokens)), f"{folder}/stems", "term", ["term", "chunk_id"], buckets)
-    known = [tables.load(spark, f"{folder}/{t}").groupBy("term").agg(F.count("*").alias("ndoc")).withColumn("kind", F.lit(kind)) for t, kind in (("postings", "word"), ("stems", "stem"))]
-    _put(known[0].unionByName(known[1]), f"{folder}/lexeme_df", "term", ["term"], buckets)
-    sizes = lexical.lengths(chunks)
-    stats = sizes.agg(F.count("*").alias("count"), F.coalesce(F.avg("tokens"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets"))
-    tables.replace(stats.coalesce(1), f"{folder}/stats")
+    own, known = read(spark, folder), _named(spark, folder)
+    number, buckets = known[-1]["segment"] + 1, known[0]["buckets"]
+    ids = changed.select(F.col("document_id").cast("long").alias("document_id")).distinct()
+    ids.write.mode("overwrite").parquet(f"{folder}/gone/segment={number}")
+    ids = spark.read.schema("document_id long").parquet(f"{folder}/gone/segment={number}")
+    gone = ids.count()
+    if gone:
+        few = [r[0] for r in ids.collect()] if gone <= FEW else []
+        former = own.of_documents(few) if few else own.chunks.join(F.broadcast(ids) if gone <= SMALL else ids, "document_id", "left_semi")
+        count, tokens = _segment(folder, number, chunks.join(F.broadcast(ids) if gone <= SMALL else ids, "document_id", "left_semi").select(chunks.columns), former, buckets)
+        _name(spark, folder, [*map(tuple, known), (number, buckets, count, tokens, gone, known[0]["schema"], state)])
+    else:
+        _name(spark, folder, [*map(tuple, known[:-1]), (*tuple(known[-1])[:-1], state)])
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """One segment in place of several: rows that count are written together, no text is cut into tokens again."""
+    own, known = read(spark, folder), _named(spark, folder)
+    if own is None or len(known) == 1:
+        return
+    number, b = known[-1]["segment"] + 1, own.buckets
+    _put(own.chunks, f"{folder}/chunks", number, "document_id", ["document_id", "position"], b)
+    for name, rows in (("postings", own.postings), ("stems", own.stems)):
+        _put(own.alive(rows).drop("segment", "bucket"), f"{folder}/{name}", number, "term", ["term", "chunk_id"], b)
+    sums = own.frequency.groupBy("term", "kind").agg(F.sum("ndoc").alias("ndoc")).where("ndoc > 0")
+    _put(sums, f"{folder}/lexeme_df", number, "term", ["term"], b)
+    _name(spark, folder, [(number, b, sum(r["count"] for r in known), sum(r["tokens"] for r in known), 0, known[0]["schema"], known[-1]["state"])])
+
+
+def sweep(spark: SparkSession, folder: str) -> list[int]:
+    """Deletes the folders of segments before the first that counts, which ``write`` and ``compact`` leave for readers that still use them; returns their numbers."""
+    first = min((r["segment"] for r in _named(spark, folder)), default=0)
+    found = set()
+    for table in ("chunks", "postings", "stems", "lexeme_df", "gone"):
+        for name in tables.folders(spark, f"{folder}/{table}", "segment="):
+            number = int(name.removeprefix("segment="))
+            if number < first:
+                remove(spark, f"{folder}/{table}/{name}")
+                found.add(number)
+    return sorted(found)
+
+
+def _rows(spark: SparkSession, folder: str, table: str, schema: str | StructType, segments: Iterable[int]) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{table}").where(F.col("segment").isin(list(segments)))
+
+
+def _with_places(schema: StructType) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL("segment long, bucket int").fields])
 
 
 def read(spark: SparkSession, folder: str) -> Index | None:
     """The index in a folder, or None. Its files are listed and its numbers read once for each version, which the last written table tells."""
-    version = tables.current(spark, f"{folder}/stats")
+    version = tables.current(spark, f"{folder}/segments")
     if not version:
         return None
     held = spark.__dict__.setdefault("_spindrift_indexes", {})
     known = held.get(folder)
     if known is None or known[0] != version:
-        row = tables.load(spark, f"{folder}/stats").first()
-        known = version, Index(*[tables.load(spark, f"{folder}/{t}") for t in ("postings", "stems", "lexeme_df", "chunks")], row["count"], row["mean"], row["buckets"])
+        rows = _named(spark, folder)
+        segments, count, tokens = [r["segment"] for r in rows], sum(r["count"] for r in rows), sum(r["tokens"] for r in rows)
+        found = [_rows(spark, folder, t, s, segments) for t, s in (("postings", _POSTINGS), ("stems", _STEMS), ("lexeme_df", _FREQUENCY), ("chunks", _with_places(StructType.fromJson(json.loads(rows[0]["schema"])))))]
+        gone = _rows(spark, folder, "gone", _GONE, segments).groupBy("document_id").agg(F.max("segment").alias("last")) if len(rows) > 1 else None
+        known = version, Index(*found, count, tokens / count if count else 0.0, rows[0]["buckets"], tuple(segments), rows[-1]["state"], gone, sum(r["gone"] for r in rows) <= SMALL)
         held[folder] = known
     return known[1]

@@ -39,10 +39,15 @@ def _system(spark: SparkSession, folder: str):
 
 
 def _pointers(spark: SparkSession, folder: str) -> list[str]:
+    return folders(spark, folder, _POINTER)
+
+
+def folders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names in a folder that start so; none where it does not exist."""
     system, kind = _system(spark, folder)
     if not system.exists(kind(folder)):
         return []
-    return sorted(n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith(_POINTER))
+    return sorted(n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith(prefix))
 
 
 def current(spark: SparkSession, folder: str) -> list[str]:
@@ -132,10 +137,3 @@ def vacuum(spark: SparkSession, folder: str, grace_hours: float = 24.0) -> list[
     for name in gone:
         system.delete(kind(f"{folder}/{name}"), True)
     return [n for n in gone if not n.endswith(".schema")]
-
-
-def written(spark: SparkSession, folder: str) -> int:
-    """When a table was last pointed to anew, in milliseconds; 0 if there is none."""
-    found = _pointers(spark, folder)
-    system, kind = _system(spark, folder)
-    return system.getFileStatus(kind(f"{folder.rstrip('/')}/{found[-1]}")).getModificationTime() if found else 0

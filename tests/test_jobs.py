@@ -9,7 +9,8 @@ from spindrift import jobs
 from spindrift.functions import german
 from spindrift.models import EchoGenerator, HashEmbedder
 from spindrift.operators import lexical, segment
-from spindrift.profiles import CHUNK_PLACES
+from spindrift.profiles import CHUNK_PLACES, PROFILES
+from spindrift.sources import index as stored_index
 from spindrift.sources import tables
 
 WORDS = ["Rente", "Miete", "Haushalt", "Verteidigung"]
@@ -59,10 +60,78 @@ def test_life_of_a_store(spark, tmp_path):
     assert jobs.evaluate(spark, store, str(tmp_path / "q.json"), HashEmbedder(64), top_k=2, generator=picked, rerank_template="{frage} {kandidaten}").startswith("Treffer: 1/1")
     events = list(jobs.ask(spark, store, "Miete", EchoGenerator(["kein JSON", "Ja [1]."]), HashEmbedder(64), "{frage}", "{kontext}", limit=2))
     assert events[1]["typ"] == "quellen" and "Miete" in events[1]["quellen"][0]["auszug"]
-    # A newer build makes the index stale, so searches go by the chunks again.
-    (tmp_path / "raw" / "3.jsonl").write_text(json.dumps(record(3, "c")))
-    jobs.build(spark, raw, store, kind="drucksache")
-    assert jobs.index_of(spark, store) is None
+    # A build that changes nothing writes nothing and leaves the index as it is.
+    state = {t: tables.current(spark, f"{store}/{t}") for t in ("chunks", "documents", "vectors", "index/segments", "index/cells/parts")}
+    assert jobs.build(spark, raw, store) == 0 and state == {t: tables.current(spark, f"{store}/{t}") for t in state}
+    # A newer build adds a segment of what changed, and the search finds it by the index, as by the chunks.
+    (tmp_path / "raw" / "3.jsonl").write_text(json.dumps(record(3, "c", "Am Ende steht das Wort Zitrone.")) + "\n" + json.dumps(record(20, "a", "Und die Zitrone.")))
+    assert jobs.build(spark, raw, store, kind="drucksache") == 2
+    own = jobs.index_of(spark, store)
+    assert len(own.segments) == 2 and jobs.cells_of(spark, store) is not None
+    compared(spark, store, ["Zitrone", "Verteidigung Miete", "Absatz am Ende"])
+    jobs.embed(spark, store, HashEmbedder(64))
+    assert jobs.cells_of(spark, store).vectors.count() == jobs.stats(spark, store)["vektoren"] == jobs.stats(spark, store)["chunks"]
+    compared(spark, store, ["Zitrone", "Miete"])
+    # Many segments become one.
+    for k in range(3):
+        (tmp_path / "raw" / f"{4 + k}.jsonl").write_text(json.dumps(record(k, f"d{k}", f"Neu {k} Birne.")))
+        jobs.build(spark, raw, store)
+    assert len(jobs.index_of(spark, store).segments) == 5
+    stored_index.compact(spark, f"{store}/index")
+    jobs.index(spark, store)
+    assert len(jobs.index_of(spark, store).segments) == 1 and stored_index.sweep(spark, f"{store}/index") == [0, 1, 2, 3, 4]
+    jobs.embed(spark, store, HashEmbedder(64))
+    compared(spark, store, ["Birne", "Zitrone", "Rente"])
+
+
+def compared(spark, store, questions):
+    """What is found by index and cells is what is found without them."""
+    own, cells = jobs.index_of, jobs.cells_of
+    for q in questions:
+        for profile in PROFILES.values():
+            found = []
+            for without in (False, True):
+                if without:
+                    jobs.index_of = jobs.cells_of = lambda *_: None
+                try:
+                    rows = jobs.search(spark, store, q, HashEmbedder(64), 6, profile, dokumentart="Drucksache").collect()
+                finally:
+                    jobs.index_of, jobs.cells_of = own, cells
+                found.append([(r["chunk_id"], round(r["score"], 9), r["text"]) for r in rows])
+            assert found[0] == found[1] and found[0]
+
+
+def test_an_index_that_was_left_behind_catches_up(spark, tmp_path, monkeypatch):
+    """The build fails before its index follows, or between tables: no vector is beside another text, the search goes by the chunks, and the next run mends it."""
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    raw.mkdir()
+    (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(6)))
+    jobs.build(spark, str(raw), store)
+    jobs.embed(spark, store, HashEmbedder(16))
+    jobs.index(spark, store, 3)
+    whole = tables.replace
+    for k, table in enumerate(("vectors", "chunks", "documents", "index/segments")):
+        (raw / f"{k + 2}.jsonl").write_text(json.dumps(record(k, f"v{k}", "Ganz neu ist der Apfel.")) + "\n" + json.dumps(record(50 + k, "a", "Apfel.")))
+
+        def failing(df, folder, *a, table=table):
+            if folder == f"{store}/{table}":
+                raise OSError("aus")
+            return whole(df, folder, *a)
+
+        monkeypatch.setattr(tables, "replace", failing)
+        with pytest.raises(OSError, match="aus"):
+            jobs.build(spark, str(raw), store)
+        monkeypatch.setattr(tables, "replace", whole)
+        texts = {r["chunk_id"]: r["text"] for r in tables.load(spark, f"{store}/chunks").collect()}
+        for r in tables.load(spark, f"{store}/vectors").collect():
+            assert r["chunk_id"] in texts and [round(x, 5) for x in r["embedding"]] == [round(x, 5) for x in HashEmbedder(16).embed([texts[r["chunk_id"]]])[0]]
+        assert (jobs.index_of(spark, store) is None) == (table != "vectors" and table != "chunks")
+        jobs.build(spark, str(raw), store)
+        jobs.index(spark, store)
+        jobs.embed(spark, store, HashEmbedder(16))
+        assert jobs.cells_of(spark, store).vectors.count() == tables.load(spark, f"{store}/chunks").count()
+        own, fresh = jobs.index_of(spark, store), {r["chunk_id"]: r["text"] for r in tables.load(spark, f"{store}/chunks").collect()}
+        assert {r["chunk_id"]: r["text"] for r in own.chunks.collect()} == fresh and own.count == len(fresh)
 
 
 def test_embedding_commits_by_parts(spark, tmp_path):
