@@ -21,7 +21,7 @@ from ..shipping import remove, shared_folder
 from ..sources import index
 from ..sources.tables import read, spread
 from .catalogue import query
-from .search import asked_of, context_chunks, filters, hybrid, lexical_hits
+from .search import asked_of, batch, context_chunks, filters, hybrid, lexical_hits
 
 LIMIT = 40
 
@@ -123,6 +123,30 @@ def stored(spark, sf):
     return found
 
 
+def _former(spark, sf):
+    """Chunks as an earlier state of ``documents`` had them: some documents had other texts, some were not there, and one has gone since; and the ids of all these."""
+    now, d = chunks(spark, sf), F.col("document_id")
+    before = now.where(d % 11 != 0).withColumn("text", F.when(d % 7 == 0, F.concat(F.lit("former "), F.reverse("text"), F.lit(" the"))).otherwise(F.col("text")))
+    gone = now.where(d == 1).withColumns({"document_id": -1 - d, "chunk_id": -1 - F.col("chunk_id")})
+    changed = now.select("document_id").where((d % 7 == 0) | (d % 11 == 0)).distinct().union(gone.select("document_id").distinct())
+    return before.unionByName(gone), now, changed
+
+
+@query("bm25_delta_topk", f"with {BM25_SQL} select chunk_id, round(score, 6) as score, (row_number() over (order by round(score, 9) desc, chunk_id))::int as rank from bm25 qualify rank <= {LIMIT}")
+def bm25_delta_topk(spark, sf):
+    """``bm25_topk`` from an index that was written of an earlier state and has followed the data by a segment of the changed documents."""
+    before, now, changed = _former(spark, sf)
+    folder = f"{shared_folder(spark)}/delta-{uuid.uuid4().hex}"
+    try:
+        index.write(before, folder)
+        index.update(now, changed, folder)
+        own = index.read(spark, folder)
+        hits = lexical_hits(own.chunks, asked_of(_question(spark, sf), SQLITE, "text"), SQLITE, index=own).where(F.col("rank") <= LIMIT)
+        return fusion.pinned(hits.select("chunk_id", F.round("score", 6).alias("score"), "rank"))
+    finally:
+        remove(spark, folder)
+
+
 @query("postgres_topk")
 def postgres_topk(spark, sf):
     """The lexical list of the postgres profile: stems, without stopwords and too frequent ones. Stemming is beyond the SQL; tests hold it against plain Python."""
@@ -217,6 +241,22 @@ def knn_cells_recall(spark, sf):
     return out
 
 
+@query("knn_cells_filtered", f"""with p as (select a.vec_id as query_id, b.vec_id, round({_COS.format(a='b.embedding', b='a.embedding')}, 9) as distance from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.label = 3)
+select query_id, vec_id, round(distance, 5) + 0.0 as distance, (row_number() over (partition by query_id order by distance, vec_id))::int as rank from p qualify rank <= 5""")
+def knn_cells_filtered(spark, sf):
+    """The nearest five of a label of every vector whose id is divisible by 20, exact by the bounds of cells, of which those of no such label are not read."""
+    v = spread(read(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    try:
+        ann.write(v, folder)
+        may = (F.col("least_label") <= 3) & (F.col("most_label") >= 3)
+        found = ann.nearest_filtered_per_query(ann.read(spark, folder), asked, 5, F.col("label") == 3, may=may, places=9)
+        return found.select("query_id", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"), "rank").checkpoint()
+    finally:
+        remove(spark, folder)
+
+
 # ---- fusion
 
 
@@ -373,3 +413,28 @@ def hybrid_context(spark, sf):
     ordered, near = context_chunks(hits, own.chunks, SQLITE, own)
     blocks = near.join(F.broadcast(ordered), "chunk_id").select("ord", F.concat("dokumentart", F.lit(" 21/"), F.col("document_id").cast("string"), F.lit(" vom "), F.date_format("datum", "yyyy-MM-dd"), F.lit(", "), "redner").alias("head"), F.col("text").alias("body"))
     return fusion.build_context(blocks).select(F.explode("quellen").alias("q")).select("q.nummer", "q.at", "q.block")
+
+
+_BATCH_SQL = f"""{CHUNKS_SQL}, {TOKENS_SQL},
+asked as (select distinct item_id, unnest({_tok('text')}) as term from benchmark where item_id % 20 = 0),
+size as (select chunk_id, len({_tok('text')}) + len({_tok('redner')}) as size from chunks),
+stats as (select count(*) as n, avg(size) as mean from size),
+per as (select chunk_id, term, sum(w)::double as tf from tokens where term in (select term from asked) group by all),
+df as (select term, count(*) as df from per group by term),
+bm25 as (select item_id, per.chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score
+  from asked join per using (term) join df using (term) join size using (chunk_id), stats group by item_id, per.chunk_id),
+lex as (select item_id, chunk_id, row_number() over (partition by item_id order by round(score, 9) desc, chunk_id) as r from bm25 qualify r <= {LIMIT}),
+vec as (select item_id, chunk_id, row_number() over (partition by item_id order by distance, chunk_id) as r from (
+  select q.vec_id as item_id, v.vec_id * {CHUNK_PLACES} as chunk_id, round({_L2.format(a='v.embedding', b='q.embedding')}, 9) as distance from embeddings v, embeddings q where q.vec_id % 20 = 0 and q.vec_id in (select item_id from benchmark)) qualify r <= {LIMIT}),
+f as (select item_id, chunk_id, sum(1.0 / (60 + r))::double as score, min(r) filter (where l = 0) as r0, min(r) filter (where l = 1) as r1
+  from (select *, 0 as l from lex union all select *, 1 from vec) group by item_id, chunk_id)"""
+
+
+@query("eval_hybrid", f"with {_BATCH_SQL} select item_id, chunk_id, round(score, 9) as score, (row_number() over (partition by item_id order by round(score, 12) desc, r0 nulls last, r1 nulls last))::int as rank from f qualify rank <= {SQLITE.top_k}")
+def eval_hybrid(spark, sf):
+    """The hybrid hits of every benchmark item whose id is divisible by 20, in one plan from the stored index; an item's vector is that of its number."""
+    own = stored(spark, sf)
+    items = read(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").cast("int").alias("frage_id"), F.col("text").alias("suchbegriffe"))
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("frage_id"), F.col("embedding").alias("vektor"))
+    hits = batch(own.chunks, _vectors(spark, sf), items.join(vectors, "frage_id", "left"), SQLITE, SQLITE.top_k, own)
+    return hits.select(F.col("frage_id").cast("long").alias("item_id"), "chunk_id", F.round("score", 9).alias("score"), "rank")

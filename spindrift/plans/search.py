@@ -15,6 +15,7 @@ from ..functions import german
 from ..functions.text import fold, index_tokens, match_terms, query_terms, word_tokens
 from ..models import QUERY, Embedder, Generator
 from ..operators import ann, answers, fusion, lexical, semantic
+from ..operators.evaluation import search_terms
 from ..profiles import CHUNK_PLACES, SQLITE, Profile
 from ..sources.index import Index
 
@@ -141,10 +142,10 @@ def batch(chunks: DataFrame, vectors: DataFrame | None, questions: DataFrame, pr
     fetched, and postings are read once for all of them; vectors are compared in blocks of questions.
     """
     spark = chunks.sparkSession
-    rows = questions.select("frage_id", F.transform(F.split("suchbegriffe", r"\s+"), lambda w: w).alias("w")).collect()
+    rows = questions.select("frage_id", search_terms(F.col("suchbegriffe")).alias("w")).collect()
     if profile.lexical == "bm25":
         own = lexical.postings(chunks, sizes=True) if index is None else index.postings
-        terms = _folded(spark, [(r["frage_id"], w) for r in rows for w in r["w"] if w])
+        terms = _folded(spark, [(r["frage_id"], w) for r in rows for w in r["w"]])
     else:
         own = german.stemmed_postings(lexical.postings(chunks, tokens=word_tokens)) if index is None else index.stems
         terms = [(r["frage_id"], s) for r in rows for s in german.question_stems(spark, [x for w in r["w"] for x in re.findall(r"[^\W_]+", w)])]

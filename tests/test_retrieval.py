@@ -265,3 +265,47 @@ def test_cells(spark, tmp_path):
     assert few.first()["vec_id"] == 7 and re.search(r"PartitionFilters: \[[^]]*cell#", few._jdf.queryExecution().executedPlan().toString())
     ann.write(v.where("false"), str(tmp_path / "none"))
     assert ann.nearest(ann.read(spark, str(tmp_path / "none")), [1.0], 3).count() == 0
+
+
+def test_stems_and_cut_by_hand(spark, small):
+    """``postgres_topk`` against plain Python over all lines: stems of words that are no stopwords, those of too many lines left out."""
+    from collections import Counter
+
+    from spindrift.functions import german
+    from spindrift.plans.catalogue import load
+
+    stop = set(german.stopwords(spark))
+    words = lambda t: [german.stem(w) for w in re.findall(r"[^\W_]+", (t or "").lower()) if w not in stop]
+    lines = {r["doc_id"] * CHUNK_PLACES + k: Counter(words(t) + words(r["source"])) for r in spark.read.parquet(f"{small}/documents.parquet").collect() for k, t in enumerate(r["text"].split("\n"))}
+    question = min(spark.read.parquet(f"{small}/benchmark.parquet").collect(), key=lambda r: r["item_id"])["text"]
+    asked = list(dict.fromkeys(german.stem(w.lower()) for w in re.findall(r"[^\W_]{2,}", question)[:32] if w.lower() not in stop))
+    held = {s: sum(s in c for c in lines.values()) for s in asked}
+    rare = [s for s in asked if held[s] <= POSTGRES.max_df * len(lines)] or asked
+    scores = {k: 0.1 * sum(c[s] for s in rare) for k, c in lines.items() if any(s in c for s in rare)}
+    want = [(k, round(v, 6), n + 1) for n, (k, v) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:40])]
+    assert [tuple(r) for r in load()["postgres_topk"].run(spark, small).orderBy("rank").collect()] == want and want
+
+
+def test_half_recall_by_hand(spark, small):
+    from spindrift.plans.catalogue import load
+
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    half = x.astype(np.float16).astype(float)
+    want = {}
+    for k in np.flatnonzero(ids % 20 == 0):
+        near = [set(ids[np.lexsort((ids, 1 - v @ x[k] / np.linalg.norm(v, axis=1) / np.linalg.norm(x[k])))[:10]].tolist()) for v in (x, half)]
+        want[int(ids[k])] = len(near[0] & near[1]) / 10
+    assert {r["query_id"]: r["recall"] for r in load()["knn_half_recall"].run(spark, small).collect()} == want
+
+
+def test_terms_and_candidates_of_an_evaluation(spark):
+    from spindrift.operators import evaluation as E
+
+    rows = spark.createDataFrame([(1, " a  b\u00a0a\n"), (2, ""), (3, None)], "k int, w string").select("k", E.search_terms(F.col("w")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in rows} == {1: ["a", "b", "a"], 2: [], 3: []}
+    ranked = spark.createDataFrame([(1, 11, 2), (1, 12, 1), (2, 99, 1)], "frage_id int, chunk_id long, rank int")
+    held = spark.createDataFrame([(11, 1, "x" * 300), (12, 5, "y"), (99, 1, None)], "chunk_id long, document_id long, text string")
+    docs = spark.createDataFrame([(1, "21/1", "Drucksache", None, "T")], "id long, dokumentnummer string, dokumentart string, drucksachetyp string, titel string")
+    got = sorted(map(tuple, E.candidate_rows(ranked, held, docs, 5).collect()))
+    assert got == [(1, 2, 11, "21/1", "Drucksache", None, "xxxxx", "T"), (2, 1, 99, "21/1", "Drucksache", None, None, "T")]
