@@ -154,13 +154,13 @@ def bounds_of(keys: DataFrame, parts: int) -> tuple[dict[int, int], int]:
 
 
 def with_next(docs: DataFrame, buckets: int | None = None, equal: int = EQUAL) -> DataFrame:
-    """(doc_id, text, next_text, copies) in descending order of doc_id (nulls last); after the last comes the first.
+    """(doc_id, text, text_tree, next_text, next_text_tree, copies) in descending order of doc_id (nulls last); after the last comes the first.
 
     Rows that share a doc_id follow each other by their text's SHA-256, descending, so the result is
     defined; a lone row is its own next. One shuffle of texts: ids are cut into parts of about equal
     counts, and the first row of each part is copied to the end of the part before. The rows of an id (or of none) that fill several
     parts are cut by their digests. Of more than ``equal`` equal rows one is shuffled, with their number: ``next_text`` is
-    that of the last of them.
+    that of the last of them. Trees are made after the shuffle and the sort, once for each text and each copy of a part's first row.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -206,8 +206,13 @@ def with_next(docs: DataFrame, buckets: int | None = None, equal: int = EQUAL) -
     d = d.join(F.broadcast(guests), d.doc_id.eqNullSafe(guests.gid) & (d.digest == guests.gdigest), "left")
     places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("guest").alias("b"), F.lit(1).alias("copy")))
     d = d.select("doc_id", "text", "digest", "copies", F.explode(F.filter(places, lambda p: p["b"].isNotNull())).alias("at"))
-    order = Window.partitionBy("at.b").orderBy(F.col("at.copy"), F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
-    return d.withColumn("next_text", F.lead("text").over(order)).where("at.copy = 0").select("doc_id", "text", "next_text", "copies")
+    d = d.select("at.b", "at.copy", "doc_id", "digest", "text", "copies")
+    order = [F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("digest").desc()]
+    # The window takes the rows as they are dealt and sorted here, so that trees are not carried through either.
+    d = d.repartition(partitions(spark), "b").sortWithinPartitions("b", *order).withColumn("text_tree", tree(F.col("text")))
+    follow = Window.partitionBy("b").orderBy(*order)
+    next_ = F.lead(F.struct("text", "text_tree")).over(follow)
+    return d.withColumn("next", next_).where("copy = 0").select("doc_id", "text", "text_tree", F.col("next.text").alias("next_text"), F.col("next.text_tree").alias("next_text_tree"), "copies")
 
 
 def edited_fingerprints(docs: DataFrame, buckets: int | None = None, equal: int = EQUAL) -> DataFrame:
@@ -219,14 +224,14 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None, equal: int
     """
     d = with_next(docs, buckets, equal)
     # All but the last of equal rows come before themselves. Most rows are alone, and have one turn.
-    turns = F.when(F.col("copies") > 1, F.array(F.struct(F.col("next_text").alias("next"), F.lit(1).cast("long").alias("rows")), F.struct(F.col("text").alias("next"), (F.col("copies") - 1).alias("rows"))))
-    turns = turns.otherwise(F.array(F.struct(F.col("next_text").alias("next"), F.lit(1).cast("long").alias("rows"))))
-    d = d.select("doc_id", "text", F.explode(turns).alias("turn")).select("doc_id", "text", F.col("turn.next").alias("next_text"), F.col("turn.rows").alias("rows"))
+    turn = lambda name, rows: F.struct(F.col(name).alias("next"), F.col(f"{name}_tree").alias("tree"), rows.cast("long").alias("rows"))
+    turns = F.when(F.col("copies") > 1, F.array(turn("next_text", F.lit(1)), turn("text", F.col("copies") - 1))).otherwise(F.array(turn("next_text", F.lit(1))))
+    d = d.select("doc_id", "text", "text_tree", F.explode(turns).alias("turn"))
+    d = d.select("doc_id", "text", "text_tree", F.col("turn.next").alias("next_text"), F.col("turn.tree").alias("next_text_tree"), F.col("turn.rows").alias("rows"))
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.expr("left(text, int(n_chars) - int(floor(n_chars / 3)))"), F.substring(F.col("next_text"), F.lit(1), third)))
-    for name in ("text", "edited", "next_text"):
-        d = d.withColumn(f"{name}_tree", tree(F.col(name)))
+    d = d.withColumn("edited_tree", tree(F.col("edited")))
     d = d.withColumn("edit", edit(F.col("text_tree"), F.col("edited_tree")))
     d = d.select(
         "doc_id",
