@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import joined, main, stored
 from spindrift.operators import maintenance, segment
+from spindrift.streaming.windows import pattern
 
 LOG = logging.getLogger("jobs.passages")
 PASSAGES = "doc_id long, position int, passage_id long, text string, n_chars int, lang string, source string, batch long, bucket int"
@@ -57,12 +58,6 @@ def cut(rows: DataFrame, buckets: int) -> DataFrame:
     return found.select("doc_id", "position", passage, "text", F.length("text").alias("n_chars"), "lang", "source", bucket).hint("rebalance", "bucket")
 
 
-def _pattern(path: str) -> str:
-    """A path as a pattern of itself: by a pattern the stream takes a single file as well as a folder."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return path if set(path) & set("*?[{") else f"{folder}/{{{name}}}" if folder else f"{{{name}}}"
-
-
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, buckets: int = 16, files_per_batch: int = 0) -> dict[str, int]:
     """Takes the new files of ``documents`` into ``output``; returns how many batches, rows, documents and passages there were.
 
@@ -96,7 +91,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, bucke
     reader = spark.readStream.schema(spark.read.parquet(documents).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arrived = reader.parquet(_pattern(documents)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file"))
+    arrived = reader.parquet(pattern(documents)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file"))
     query = arrived.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     LOG.info("read %d rows in %d batches, wrote %d documents and %d passages", done["rows"], done["batches"], done["documents"], done["passages"])

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from . import jobs, models
-from .sources import index
+from .sources import index, tables
 
 
 # The names of commands and options are those that users of the command line know.
@@ -40,7 +40,10 @@ def main(args: list[str] | None = None) -> None:
     for name in ("publish", "resync"):
         c = sub.add_parser(name)
         c.add_argument("target")
+    c = sub.add_parser("feedback")
+    c.add_argument("file")
     c = sub.add_parser("index")
+    c.add_argument("--neu", action="store_true")
     c.add_argument("--buckets", type=int, default=index.BUCKETS)
     c = sub.add_parser("eval")
     c.add_argument("questions")
@@ -70,7 +73,9 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "resync":
         jobs.resync(spark, a.store, a.target).show(1000, False)
     elif a.command == "index":
-        jobs.index(spark, a.store, a.buckets)
+        jobs.index(spark, a.store, a.buckets, a.neu)
+    elif a.command == "feedback":
+        print(jobs.feedback(spark, a.store, spark.read.schema(tables.FEEDBACK).json(a.file)))
     elif a.command == "eval":
         print(jobs.evaluate(spark, a.store, a.questions, embedder, a.top_k, a.vektor_gewicht, new=a.neu))
     elif a.command == "stats":

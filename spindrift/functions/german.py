@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import shipped
+from ..shipping import shared_folder, shipped
 
 # Fixed values of the published algorithm: vowels and the letters that may stand before s and st.
 VOWELS = "aeiouyäöü"
@@ -100,8 +100,16 @@ def stems(words: DataFrame, column: str = "term") -> DataFrame:
     return distinct.withColumn("stem", F.pandas_udf(run, "string")("word"))
 
 
+#: Words of a vocabulary that is broadcast.
+WORDS = 500_000
+
+
 def stemmed_postings(index: DataFrame) -> DataFrame:
-    """``postings`` by stem in place of term, without stopwords; the vocabulary is joined, not each occurrence stemmed."""
-    known = stems(index)
-    rows = index.join(known, index.term == known.word).where("stem is not null")
+    """``postings`` by stem in place of term, without stopwords; the vocabulary is joined, not each occurrence stemmed.
+
+    It is made once, and broadcast only where it is counted to have at most ``WORDS`` words.
+    """
+    shared_folder(index.sparkSession)
+    known = stems(index).where("stem is not null").checkpoint()
+    rows = index.join(F.broadcast(known) if known.count() <= WORDS else known, index.term == known.word)
     return rows.groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("hits").alias("hits"))

@@ -8,9 +8,10 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import models
-from .operators import ann, evaluation, fusion, maintenance, segment
+from .operators import ann, evaluation, fusion, limits, maintenance, segment
 from .plans import search as plans
 from .profiles import CHUNK_PLACES, PROFILES, SQLITE, Profile
 from .shipping import shared_folder, shipped
@@ -199,15 +200,43 @@ def cells_of(spark: SparkSession, store: str) -> ann.Cells | None:
     return replace(cells, vectors=own.alive(cells.vectors))
 
 
-def publish(spark: SparkSession, store: str, target: str) -> None:
-    """Copies what a serving store lacks or has otherwise: documents whole, chunks by document."""
-    chunks = tables.load(spark, f"{store}/chunks")
-    there = tables.load(spark, f"{target}/chunks")
+def publish(spark: SparkSession, store: str, target: str, commit: int = COMMIT) -> int:
+    """Brings a serving store up to this one: documents whole, chunks by document, then the vectors that it lacks, about ``commit`` at a time; its index follows if it has one.
+
+    Vectors of chunks that differ go first, so that none is ever beside another text. Each part of the vectors is a commit of its own, so a run that broke off
+    goes on with those that are still lacking and writes none twice. Returns the number of parts.
+    """
+    shared_folder(spark)
+    chunks, there = tables.load(spark, f"{store}/chunks"), tables.load(spark, f"{target}/chunks")
     if there is None:
         there = spark.createDataFrame([], tables.CHUNKS)
-    actions = maintenance.resync(chunks, there)
-    tables.replace(maintenance.replace_chunks(there, chunks, actions), f"{target}/chunks")
+    actions = maintenance.resync(chunks, there).checkpoint()
+    held, own = tables.load(spark, f"{target}/vectors"), tables.load(spark, f"{store}/vectors")
+    if not actions.isEmpty():
+        if held is not None:
+            tables.replace(held.join(actions, segment.document_of(held.chunk_id) == actions.document_id, "left_anti"), f"{target}/vectors")
+        tables.replace(maintenance.replace_chunks(there, chunks, actions), f"{target}/chunks")
     tables.replace(tables.load(spark, f"{store}/documents"), f"{target}/documents")
+    parts = 0
+    if own is not None:
+        held = tables.load(spark, f"{target}/vectors")
+        lacking = (own if held is None else maintenance.unembedded(own, held)).checkpoint()
+        rounds = -(-lacking.count() // commit)
+        for k in range(rounds):
+            tables.append(lacking.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k), f"{target}/vectors")
+            parts += 1
+    if stored_index.read(spark, f"{target}/index") is not None:
+        index(spark, target)
+    return parts
+
+
+def feedback(spark: SparkSession, store: str, given: DataFrame) -> int:
+    """Adds the valid rows of ``given`` (columns of ``tables.FEEDBACK``, but for zeitpunkt and anzahl_stellen) to the store's feedback; returns their number."""
+    rows = limits.feedback(given).withColumn("zeitpunkt", F.current_timestamp())
+    rows = rows.withColumn("anzahl_stellen", F.size("belegte_dokumente"))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(tables.FEEDBACK).fields])
+    version = tables.append(rows, f"{store}/feedback")
+    return spark.read.schema(tables.FEEDBACK).parquet(f"{store}/feedback/{version}").count()
 
 
 def resync(spark: SparkSession, store: str, target: str) -> DataFrame:

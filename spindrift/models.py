@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pandas as pd
@@ -17,6 +20,9 @@ from .shipping import shipped
 #: Characters that a model sees, dimensions, texts of a call, tries, first wait.
 MAX_CHARS, DIMENSIONS, BATCH, TRIES, WAIT = 8_000, 768, 64, 5, 2.0
 DOCUMENT, QUERY = "document", "query"
+#: Calls at once in a task, and the statuses of a service that may pass.
+FLIGHT, PASSING = 6, (429, 500, 503)
+T = TypeVar("T")
 
 
 class Embedder(Protocol):
@@ -59,8 +65,23 @@ class EchoGenerator:
         yield from self.complete(prompt, temperature).split(" ")
 
 
+class ModelError(RuntimeError):
+    """An answer of a model service that is none: its HTTP status, and how long it asks to wait if it does.
+
+    429, 500 and 503 may pass and are tried again; all others are final.
+    """
+
+    def __init__(self, status: int, text: str = "", retry_after: float | None = None):
+        super().__init__(f"{status} {text[:300]}".rstrip())
+        self.status, self.retry_after = status, retry_after
+
+    @property
+    def passing(self) -> bool:
+        return self.status in PASSING
+
+
 def retried(call: Callable[[], list], tries: int = TRIES, wait: float = WAIT, sleep: Callable[[float], None] = time.sleep) -> list:
-    """A model call that is tried again after OSError (transport, 429 and 5xx), with doubled waits."""
+    """A model call that is tried again after OSError (transport) and after a ``ModelError`` that may pass, with doubled waits or as long as the service asks for."""
     for left in range(tries - 1, -1, -1):
         try:
             return call()
@@ -68,19 +89,54 @@ def retried(call: Callable[[], list], tries: int = TRIES, wait: float = WAIT, sl
             if not left:
                 raise
             sleep(wait)
-            wait *= 2
+        except ModelError as e:
+            if not left or not e.passing:
+                raise
+            sleep(wait if e.retry_after is None else e.retry_after)
+        wait *= 2
     return []
 
 
-def embed(chunks: DataFrame, embedder: Embedder, task: str = DOCUMENT, id_: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk_id, embedding): calls of ``BATCH`` texts in each partition; only what the caller left open is embedded."""
+def in_flight(calls: Iterable[Callable[[], T]], most: int = FLIGHT) -> Iterator[T]:
+    """Results in the order of the calls, of which so many run at once; no more are begun than their results are taken.
+
+    The first that fails ends all: those that wait are not begun.
+    """
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        waiting: deque = deque()
+        try:
+            for call in calls:
+                waiting.append(pool.submit(call))
+                if len(waiting) == most:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for w in waiting:
+                w.cancel()
+
+
+def embed(chunks: DataFrame, embedder: Embedder, task: str = DOCUMENT, id_: str = "chunk_id", text: str = "text", flight: int = FLIGHT) -> DataFrame:
+    """(chunk_id, embedding): calls of ``BATCH`` texts, ``flight`` of them at once in each task; only what the caller left open is embedded.
+
+    An embedder is used by several threads, as a client of a service can be. A call without as many vectors as texts is an error, so that none lands beside
+    another's text.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for at in range(0, len(p), BATCH):
-                part = p.iloc[at : at + BATCH]
-                texts = [t[:MAX_CHARS] for t in part["text"]]
-                yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": retried(lambda: embedder.embed(texts, task))})
+        def calls() -> Iterator[Callable[[], pd.DataFrame]]:
+            for p in parts:
+                for at in range(0, len(p), BATCH):
+                    yield partial(one, p.iloc[at : at + BATCH])
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            texts = [t[:MAX_CHARS] for t in part["text"]]
+            vectors = retried(lambda: embedder.embed(texts, task))
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            return pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": vectors})
+
+        yield from in_flight(calls(), flight)
 
     rows = chunks.select(F.col(id_).cast("long").alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shipped(rows.sparkSession)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
 from ..operators import evaluation as E
 from ..operators import limits as L
 from ..operators import semantic
+from ..shipping import shared_folder
 from ..sources.tables import read, spread
+from ..streaming.windows import decisions, read_events, write_once
 from .catalogue import query
 
 # Turns of a conversation as answers that cite: the sentence ends of a text get numbers by its conversation.
@@ -187,6 +191,15 @@ def rate_decision(spark, sf):
     return L.decisions(_requests(spark, sf), 3, "1 hour").select("event_id", "anzahl", "erlaubt", "verbleibend")
 
 
+@query("rate_decision_stream", f"with {_REQUESTS_SQL}, n as (select *, (row_number() over (partition by kennung, time_bucket(interval 1 hour, ts) order by ts, event_id))::int as anzahl from r) select event_id, anzahl, anzahl <= 3 as erlaubt, greatest(0, 3 - anzahl)::int as verbleibend from n")
+def rate_decision_stream(spark, sf):
+    """``rate_decision`` by a stream over the events, whose counts are state; what it wrote is read back and its files stay."""
+    folder = f"{shared_folder(spark)}/limits-{uuid.uuid4().hex}"
+    events = read_events(spark, f"{sf}/events.parquet").select("event_id", L.key("ask", F.col("event_type")).alias("kennung"), "ts")
+    write_once(decisions(events, 3, "1 hour"), f"{folder}/decided", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/decided").select("event_id", F.col("anzahl").cast("int").alias("anzahl"), "erlaubt", F.col("verbleibend").cast("int").alias("verbleibend"))
+
+
 @query("rate_retention", f"with {_REQUESTS_SQL}, c as (select kennung, time_bucket(interval 1 hour, ts) as fenster, count(*) as anzahl from r group by all), m as (select max(ts) as now from r) select kennung, strftime(fenster, '%Y-%m-%d %H:%M') as fenster, anzahl from c, m where fenster >= now - interval 24 hour")
 def rate_retention(spark, sf):
     r = _requests(spark, sf)

@@ -104,10 +104,11 @@ def _put(df: DataFrame, folder: str, segment: int, by: str, order: list[str], bu
 def terms_of(chunks: DataFrame, columns: dict[str, float] = lexical.WEIGHTS) -> DataFrame:
     """(kind, term, chunk_id, size, tf, hits): folded words (``word``) and words as they are (``raw``) of chunks, whose texts are cut into tokens once."""
     marked = F.concat(*[lexical.weighted(c, w, word_tokens) for c, w in columns.items()])
-    rows = chunks.select("chunk_id", F.explode(F.array(marked)).alias("ts")).select("chunk_id", F.size("ts").cast("long").alias("size"), F.explode_outer("ts").alias("t")).where("t is not null")
+    # Texts are dealt by chunk, so that what each holds is counted where it is cut and no token is shuffled.
+    rows = chunks.repartition("chunk_id").select("chunk_id", F.explode(F.array(marked)).alias("ts")).select("chunk_id", F.size("ts").cast("long").alias("size"), F.explode_outer("ts").alias("t")).where("t is not null")
     both = F.explode(F.array(F.struct(F.lit("word").alias("kind"), fold(F.col("t.term")).alias("term")), F.struct(F.lit("raw").alias("kind"), F.col("t.term").alias("term"))))
     rows = rows.select("chunk_id", "size", F.col("t.w").alias("w"), both.alias("b"))
-    return rows.groupBy(F.col("b.kind").alias("kind"), F.col("b.term").alias("term"), "chunk_id", "size").agg(F.sum("w").alias("tf"), F.count("*").alias("hits"))
+    return rows.groupBy("chunk_id", F.col("b.kind").alias("kind"), F.col("b.term").alias("term"), "size").agg(F.sum("w").alias("tf"), F.count("*").alias("hits"))
 
 
 def _frequencies(words: DataFrame, stems: DataFrame, sign: int) -> DataFrame:

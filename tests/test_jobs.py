@@ -134,6 +134,46 @@ def test_an_index_that_was_left_behind_catches_up(spark, tmp_path, monkeypatch):
         assert {r["chunk_id"]: r["text"] for r in own.chunks.collect()} == fresh and own.count == len(fresh)
 
 
+def test_publishing_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    raw, store, target = tmp_path / "raw", str(tmp_path / "store"), str(tmp_path / "target")
+    raw.mkdir()
+    (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(8)))
+    jobs.build(spark, str(raw), store)
+    jobs.embed(spark, store, HashEmbedder(16))
+    count, whole, calls = tables.load(spark, f"{store}/vectors").count(), tables.append, []
+
+    def failing(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("aus")
+        return whole(*a)
+
+    monkeypatch.setattr(tables, "append", failing)
+    with pytest.raises(OSError, match="aus"):
+        jobs.publish(spark, store, target, commit=4)
+    monkeypatch.setattr(tables, "append", whole)
+    first = tables.load(spark, f"{target}/vectors").count()
+    assert 0 < first < count and jobs.publish(spark, store, target, commit=4) == -(-(count - first) // 4)
+    held = [tuple(r) for r in tables.load(spark, f"{target}/vectors").select("chunk_id").collect()]
+    assert len(held) == len(set(held)) == count and jobs.publish(spark, store, target) == 0
+    hits = jobs.search(spark, target, "Rente", HashEmbedder(16), 4).collect()
+    assert any("vektor" in r["found_by"] for r in hits)
+    # A changed document: its vectors go with its chunks, and the target's index follows.
+    jobs.index(spark, target, 3)
+    (raw / "2.jsonl").write_text(json.dumps(record(2, "b", "Neu ist die Quitte.")))
+    jobs.build(spark, str(raw), store)
+    jobs.publish(spark, store, target)
+    assert not [r for r in tables.load(spark, f"{target}/vectors").collect() if r["chunk_id"] // CHUNK_PLACES == 2]
+    assert len(jobs.index_of(spark, target).segments) == 2 and "Quitte" in jobs.search(spark, target, "Quitte").first()["text"]
+
+
+def test_feedback(spark, tmp_path):
+    given = spark.createDataFrame([(True, "Frage", "x", "Antwort", ["21/1", "21/2"], "gut"), (None, "F", "x", "A", None, None), (False, " ", "x", "A", None, None), (False, "F" * 3000, None, "A", None, "")], "hilfreich boolean, frage string, suchbegriffe string, antwort string, belegte_dokumente array<string>, anmerkung string")
+    assert jobs.feedback(spark, str(tmp_path), given) == 2 and jobs.feedback(spark, str(tmp_path), given.limit(1)) == 1
+    rows = tables.load(spark, f"{tmp_path}/feedback").collect()
+    assert sorted((len(r["frage"]), r["anzahl_stellen"], r["anmerkung"]) for r in rows) == [(5, 2, "gut"), (5, 2, "gut"), (2000, 0, None)] and all(r["zeitpunkt"] for r in rows)
+
+
 def test_embedding_commits_by_parts(spark, tmp_path):
     raw, store = tmp_path / "raw", str(tmp_path / "store")
     raw.mkdir()

@@ -1,14 +1,20 @@
 """Readers, writers, limits and the stream twin."""
 
+import datetime
 import json
+import os
+import random
+import shutil
 import threading
+import time
+from functools import partial
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.models import HashEmbedder, embed, retried
+from spindrift.models import HashEmbedder, ModelError, embed, in_flight, retried
 from spindrift.operators import evaluation as E
 from spindrift.operators import limits as L
 from spindrift.operators import maintenance as M
@@ -72,6 +78,97 @@ def test_retries():
     assert len(tries) == 5
 
 
+def test_model_errors():
+    """What may pass is tried again, as long as the service asks for; what is final is not."""
+    waits, answers = [], [ModelError(429, "zu viele", 9.0), ModelError(503), OSError(), None]
+
+    def call():
+        e = answers.pop(0)
+        if e is not None:
+            raise e
+        return [1]
+
+    assert retried(call, sleep=waits.append) == [1] and waits == [9.0, 4.0, 8.0]
+    answers = [ModelError(400, "nein")]
+    with pytest.raises(ModelError, match="400 nein"):
+        retried(call, sleep=waits.append)
+    answers = [ModelError(500)] * 5
+    with pytest.raises(ModelError, match="500"):
+        retried(call, sleep=waits.append)
+    assert answers == []
+
+
+def test_calls_in_flight():
+    """Six at once, in order, none begun before its turn; a failure ends all."""
+    lock, at_once, most, begun = threading.Lock(), [0], [0], []
+
+    def call(k):
+        with lock:
+            begun.append(k)
+            at_once[0] += 1
+            most[0] = max(most[0], at_once[0])
+        time.sleep(0.05 if k % 6 else 0.1)
+        with lock:
+            at_once[0] -= 1
+        if k == 40:
+            raise OSError("aus")
+        return k
+
+    start = time.perf_counter()
+    assert list(in_flight((partial(call, k) for k in range(36)), 6)) == list(range(36)) and most[0] == 6
+    assert time.perf_counter() - start < 42 * 0.05 / 2
+    begun.clear()
+    results = in_flight((partial(call, k) for k in range(1000)), 6)
+    assert [next(results) for _ in range(3)] == [0, 1, 2] and len(begun) <= 9
+    with pytest.raises(OSError, match="aus"):
+        list(results)
+    assert max(begun) < 60
+    assert list(in_flight(iter([]))) == []
+
+
+def test_a_call_of_fewer_vectors_is_an_error(spark):
+    class Short(HashEmbedder):
+        def embed(self, texts, task="document"):
+            return super().embed(texts)[1:]
+
+    chunks = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "chunk_id long, text string")
+    with pytest.raises(Exception, match="63 vectors for 64 texts"):
+        embed(chunks.coalesce(1), Short(4)).collect()
+    own = HashEmbedder(4)
+    got = {r["chunk_id"]: [round(x, 5) for x in r["embedding"]] for r in embed(chunks, own, flight=3).collect()}
+    assert got == {k: [round(x, 5) for x in own.embed([f"t{k}"])[0]] for k in range(300)}
+
+
+def test_decisions_do_not_depend_on_batches(spark, tmp_path):
+    """Events in one file, and in one file for each hour, taken one by one: the same decisions as of all at once; state goes, and what is far too late has no decision."""
+    rng = random.Random(2)
+    start = datetime.datetime(2025, 3, 1, tzinfo=datetime.UTC)
+    rows = sorted(((start + datetime.timedelta(seconds=rng.randrange(6 * 3600)), f"k{rng.randrange(4)}") for _ in range(400)), key=lambda r: r[0])
+    rows = [(k, t, u) for k, (t, u) in enumerate(rows)]
+    schema = "event_id long, ts timestamp, kennung string"
+    want = {r["event_id"]: (r["anzahl"], r["erlaubt"], r["verbleibend"]) for r in L.decisions(spark.createDataFrame(rows, schema), 3, "10 minutes").collect()}
+    for n, name in ((1, "one"), (6, "six")):
+        folder = tmp_path / name
+        folder.mkdir()
+        for k in range(n):
+            part = [r for r in rows if n == 1 or int((r[1] - start).total_seconds() // 3600) == k]
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}-{k}"))
+            [own] = (tmp_path / f"{name}-{k}").glob("part-*.parquet")
+            shutil.copy(own, folder / f"{k}.parquet")
+            os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        windows.write_once(windows.decisions(stream, 3, "10 minutes"), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-ck")).awaitTermination()
+        got = {r["event_id"]: (r["anzahl"], r["erlaubt"], r["verbleibend"]) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).collect()}
+        assert got == want
+    spark.createDataFrame([(9000, start, "k0"), (9001, start + datetime.timedelta(hours=9), "k0")], schema).coalesce(1).write.parquet(str(tmp_path / "more"))
+    [own] = (tmp_path / "more").glob("part-*.parquet")
+    shutil.copy(own, tmp_path / "six" / "9.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "six"))
+    windows.write_once(windows.decisions(stream, 0, "10 minutes"), str(tmp_path / "six-out"), str(tmp_path / "six-ck")).awaitTermination()
+    late = {r["event_id"]: (r["anzahl"], r["erlaubt"], r["verbleibend"]) for r in spark.read.parquet(str(tmp_path / "six-out")).where("event_id >= 9000").collect()}
+    assert late == {9001: (1, True, None)}
+
+
 def test_jsonl(spark, tmp_path):
     lines = [{"id": "1", "aktualisiert": "a", "titel": " x\r\ny "}, {"id": "1", "aktualisiert": "b", "text": "neu"}, {"id": "2", "fundstelle": {"datum": "2025-01-01", "dokumentart": "D"}}]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nkaputt\n")
