@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import statistics
 import time
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,7 +49,7 @@ def _documents(spark: SparkSession, store: str) -> DataFrame:
 
 
 def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind: str = "alle") -> int:
-    """Upserts raw records (of a kind) and cuts changed documents anew (all with ``force``); documents and chunks are replaced as whole versions.
+    """Upserts raw records (of a kind) and cuts changed documents anew (all with ``force``); chunks are replaced in the buckets of these, the narrow documents whole.
 
     Vectors of what is cut anew go first, so that none is ever beside another text, and the index follows at last: it gets a segment of the changed
     documents. Where nothing changed nothing is written. Returns how many documents were cut.
@@ -68,14 +69,10 @@ def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind:
     pieces = segment.segment(cut.withColumnRenamed("id", "document_id"))
     pieces = pieces.withColumn("chunk_id", segment.chunk_id(F.col("document_id"), F.col("position")))
     pieces = pieces.select("chunk_id", "document_id", F.col("position").cast("int").alias("position"), "text", "redner", "rolle", "fraktion")
-    vectors = tables.load(spark, f"{store}/vectors")
-    if vectors is not None and touched["cut"]:
-        tables.replace(vectors.join(done, segment.document_of(vectors.chunk_id) == done.cut_id, "left_anti"), f"{store}/vectors")
-    stored = tables.load(spark, f"{store}/chunks")
-    if stored is None:
-        stored = spark.createDataFrame([], tables.CHUNKS)
+    ids = done.select(F.col("cut_id").alias("document_id"))
+    _forget(spark, store, ids)
     if touched["cut"] or not tables.current(spark, f"{store}/chunks"):
-        tables.replace(maintenance.replace_chunks(stored, pieces, done.select(F.col("cut_id").alias("document_id"))), f"{store}/chunks")
+        _exchange(spark, store, pieces, ids)
     joined = after.join(done, after.id == done.cut_id, "left")
     joined = joined.withColumn("status", F.when(F.col("cut_id").isNotNull(), "chunked").otherwise(F.col("status"))).withColumn("chunked_at", F.when(F.col("cut_id").isNotNull(), F.current_timestamp()).otherwise(F.col("chunked_at")))
     tables.replace(joined.drop("changed", "cut_id"), f"{store}/documents")
@@ -84,6 +81,32 @@ def build(spark: SparkSession, raw: str, store: str, force: bool = False, kind:
     return touched["cut"]
 
 
+def _of_document() -> Column:
+    return tables.bucket_of(F.col("document_id"))
+
+
+def _of_chunk() -> Column:
+    return tables.bucket_of(segment.document_of(F.col("chunk_id")))
+
+
+def _forget(spark: SparkSession, store: str, ids: DataFrame) -> None:
+    """Removes the vectors of the documents ``ids(document_id)``; buckets that hold none of these are neither read nor written."""
+    buckets = [r[0] for r in ids.select(_of_document()).distinct().collect()]
+    held = tables.load(spark, f"{store}/vectors", buckets)
+    if held is not None and buckets:
+        left = held.join(ids, segment.document_of(held.chunk_id) == ids.document_id, "left_anti")
+        tables.replace_buckets(left, f"{store}/vectors", _of_chunk(), buckets)
+
+
+def _exchange(spark: SparkSession, store: str, pieces: DataFrame, ids: DataFrame) -> None:
+    """Puts ``pieces`` in the place of all chunks of the documents ``ids(document_id)``, in the buckets of these alone."""
+    buckets = [r[0] for r in ids.select(_of_document()).distinct().collect()]
+    held = tables.load(spark, f"{store}/chunks", buckets)
+    if held is None:
+        held = spark.createDataFrame([], tables.CHUNKS)
+    tables.replace_buckets(maintenance.replace_chunks(held, pieces, ids), f"{store}/chunks", _of_document(), buckets)
+
+
 def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None, commit: int = COMMIT) -> int:
     """Adds vectors of open chunks in order of priority, about ``commit`` at a time; what is there is not computed or written again.
 
@@ -99,7 +122,7 @@ def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int
         own, rounds = queue.where(F.col("prioritaet") == row["prioritaet"]), -(-row["count"] // commit)
         for k in range(rounds):
             part = own.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k).select("chunk_id")
-            tables.append(models.embed(chunks.join(part, "chunk_id", "left_semi"), embedder), f"{store}/vectors")
+            tables.append_buckets(models.embed(chunks.join(part, "chunk_id", "left_semi"), embedder), f"{store}/vectors", _of_chunk())
             parts += 1
     if parts and index_of(spark, store) is not None and ann.read(spark, f"{store}/index/cells") is not None:
         _follow_vectors(spark, store)
@@ -155,13 +178,17 @@ def index(spark: SparkSession, store: str, buckets: int = stored_index.BUCKETS,
 
 
 def _state(spark: SparkSession, store: str) -> str:
-    """The versions that chunks and documents have now."""
-    return " ".join(v for t in ("chunks", "documents") for v in (*tables.current(spark, f"{store}/{t}"), "/"))
+    """What stands for the versions that chunks and documents have now."""
+    return _digest([tables.current(spark, f"{store}/{t}") for t in ("chunks", "documents")])
+
+
+def _digest(versions: list) -> str:
+    return hashlib.sha256(repr(versions).encode()).hexdigest()
 
 
 def _vectors_state(spark: SparkSession, store: str, own: stored_index.Index) -> str:
     """What cells are written from: the index's first segment, by whose later ones their vectors go out of count, and the versions of the tables."""
-    return " ".join([str(own.segments[0]), _state(spark, store), *tables.current(spark, f"{store}/vectors")])
+    return f"{own.segments[0]} {_state(spark, store)} {_digest(tables.current(spark, f'{store}/vectors'))}"
 
 
 def _follow(spark: SparkSession, store: str, changed: DataFrame) -> None:
@@ -211,11 +238,10 @@ def publish(spark: SparkSession, store: str, target: str, commit: int = COMMIT)
     if there is None:
         there = spark.createDataFrame([], tables.CHUNKS)
     actions = maintenance.resync(chunks, there).checkpoint()
-    held, own = tables.load(spark, f"{target}/vectors"), tables.load(spark, f"{store}/vectors")
-    if not actions.isEmpty():
-        if held is not None:
-            tables.replace(held.join(actions, segment.document_of(held.chunk_id) == actions.document_id, "left_anti"), f"{target}/vectors")
-        tables.replace(maintenance.replace_chunks(there, chunks, actions), f"{target}/chunks")
+    own = tables.load(spark, f"{store}/vectors")
+    if not actions.isEmpty() or not tables.current(spark, f"{target}/chunks"):
+        _forget(spark, target, actions.select("document_id"))
+        _exchange(spark, target, chunks, actions.select("document_id"))
     tables.replace(tables.load(spark, f"{store}/documents"), f"{target}/documents")
     parts = 0
     if own is not None:
@@ -223,7 +249,7 @@ def publish(spark: SparkSession, store: str, target: str, commit: int = COMMIT)
         lacking = (own if held is None else maintenance.unembedded(own, held)).checkpoint()
         rounds = -(-lacking.count() // commit)
         for k in range(rounds):
-            tables.append(lacking.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k), f"{target}/vectors")
+            tables.append_buckets(lacking.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k), f"{target}/vectors", _of_chunk())
             parts += 1
     if stored_index.read(spark, f"{target}/index") is not None:
         index(spark, target)

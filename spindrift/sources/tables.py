@@ -1,4 +1,4 @@
-"""Parquet tables of the store: written whole under a new version, then named by a pointer that is replaced."""
+"""Parquet tables of the store: written under a new version, whole or some of their buckets, then named by a pointer that is replaced."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHUNKS = "chunk_id long, document_id long, position int, text string, redner string, rolle string, fraktion string"
@@ -78,13 +80,18 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The table, by the schema that was written beside it, so that no file is opened to plan and an empty one is known too."""
+def load(spark: SparkSession, folder: str, only: Iterable[int] | None = None) -> DataFrame | None:
+    """The table, by the schema that was written beside it, so that no file is opened to plan and an empty one is known too.
+
+    Of a table in buckets ``only`` some can be loaded; of others all is.
+    """
     folder, versions = folder.rstrip("/"), current(spark, folder)
     if not versions:
         return None
-    schema = StructType.fromJson(json.loads(_text(spark, f"{folder}/{versions[0]}.schema")))
-    return spark.read.schema(schema).parquet(*[f"{folder}/{v}" for v in versions])
+    schema = StructType.fromJson(json.loads(_text(spark, f"{folder}/{versions[0].split('/')[0]}.schema")))
+    wanted = None if only is None else {f"bucket={k}" for k in only}
+    versions = [v for v in versions if wanted is None or "/" not in v or v.split("/")[1] in wanted]
+    return spark.read.schema(schema).parquet(*[f"{folder}/{v}" for v in versions]) if versions else spark.createDataFrame([], schema)
 
 
 def _commit(spark: SparkSession, folder: str, versions: list[str]) -> None:
@@ -127,11 +134,57 @@ def append(df: DataFrame, folder: str, partition_by: list[str] | None = None) ->
     return version
 
 
+#: Buckets of a table that is written by them.
+BUCKETS = 64
+
+
+def bucket_of(key: Column) -> Column:
+    """The bucket of a row by a key, such as its document's id."""
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def by_buckets(spark: SparkSession, folder: str) -> bool:
+    """Whether a table is in buckets; one that does not exist can be."""
+    return all("/" in v for v in current(spark, folder))
+
+
+def _put_buckets(df: DataFrame, folder: str, bucket: Column) -> list[str]:
+    spark, version, folder = df.sparkSession, f"v-{uuid.uuid4().hex}", folder.rstrip("/")
+    df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{version}")
+    _put(spark, f"{folder}/{version}.schema", df.schema.json())
+    return [f"{version}/{name}" for name in folders(spark, f"{folder}/{version}", "bucket=")]
+
+
+def replace_buckets(df: DataFrame, folder: str, bucket: Column, touched: Iterable[int]) -> list[str]:
+    """Replaces the ``touched`` buckets by ``df``, which has rows of these alone; files of the others are neither read nor written. A table that is not in buckets is replaced whole."""
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    gone = {f"bucket={k}" for k in touched}
+    kept = [v for v in current(spark, folder) if v.split("/")[1] not in gone] if by_buckets(spark, folder) else []
+    found = kept + _put_buckets(df, folder, bucket)
+    if not found:  # no row at all: a table of one empty bucket
+        version = _write(df.limit(0), folder, None)
+        found = [f"{version}/"]
+    _commit(spark, folder, found)
+    return found
+
+
+def append_buckets(df: DataFrame, folder: str, bucket: Column) -> list[str]:
+    """Adds rows to the buckets of a table (or a version to one that is not in buckets); what is there is not written again."""
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    before = current(spark, folder)
+    if not by_buckets(spark, folder):
+        return [append(df, folder)]
+    found = _put_buckets(df, folder, bucket)
+    if found or not before:
+        _commit(spark, folder, before + found or [f"{_write(df.limit(0), folder, None)}/"])
+    return found
+
+
 def vacuum(spark: SparkSession, folder: str, grace_hours: float = 24.0) -> list[str]:
     """Deletes versions that no pointer names and that are older than the grace of readers; returns them."""
     folder = folder.rstrip("/")
     system, kind = _system(spark, folder)
-    named = {v for p in _pointers(spark, folder) for v in _named(spark, folder, p)}
+    named = {v.split("/")[0] for p in _pointers(spark, folder) for v in _named(spark, folder, p)}
     oldest = time.time() * 1000 - grace_hours * 3_600_000
     gone = [n for s in system.listStatus(kind(folder)) if (n := s.getPath().getName()).startswith("v-") and n.removesuffix(".schema") not in named and s.getModificationTime() <= oldest] if system.exists(kind(folder)) else []
     for name in gone:

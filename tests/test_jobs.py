@@ -109,19 +109,21 @@ def test_an_index_that_was_left_behind_catches_up(spark, tmp_path, monkeypatch):
     jobs.build(spark, str(raw), store)
     jobs.embed(spark, store, HashEmbedder(16))
     jobs.index(spark, store, 3)
-    whole = tables.replace
+    whole, parts = tables.replace, tables.replace_buckets
     for k, table in enumerate(("vectors", "chunks", "documents", "index/segments")):
         (raw / f"{k + 2}.jsonl").write_text(json.dumps(record(k, f"v{k}", "Ganz neu ist der Apfel.")) + "\n" + json.dumps(record(50 + k, "a", "Apfel.")))
 
         def failing(df, folder, *a, table=table):
             if folder == f"{store}/{table}":
                 raise OSError("aus")
-            return whole(df, folder, *a)
+            return (parts if len(a) == 2 else whole)(df, folder, *a)
 
         monkeypatch.setattr(tables, "replace", failing)
+        monkeypatch.setattr(tables, "replace_buckets", failing)
         with pytest.raises(OSError, match="aus"):
             jobs.build(spark, str(raw), store)
         monkeypatch.setattr(tables, "replace", whole)
+        monkeypatch.setattr(tables, "replace_buckets", parts)
         texts = {r["chunk_id"]: r["text"] for r in tables.load(spark, f"{store}/chunks").collect()}
         for r in tables.load(spark, f"{store}/vectors").collect():
             assert r["chunk_id"] in texts and [round(x, 5) for x in r["embedding"]] == [round(x, 5) for x in HashEmbedder(16).embed([texts[r["chunk_id"]]])[0]]
@@ -140,7 +142,7 @@ def test_publishing_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(8)))
     jobs.build(spark, str(raw), store)
     jobs.embed(spark, store, HashEmbedder(16))
-    count, whole, calls = tables.load(spark, f"{store}/vectors").count(), tables.append, []
+    count, whole, calls = tables.load(spark, f"{store}/vectors").count(), tables.append_buckets, []
 
     def failing(*a):
         calls.append(a)
@@ -148,10 +150,10 @@ def test_publishing_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
             raise OSError("aus")
         return whole(*a)
 
-    monkeypatch.setattr(tables, "append", failing)
+    monkeypatch.setattr(tables, "append_buckets", failing)
     with pytest.raises(OSError, match="aus"):
         jobs.publish(spark, store, target, commit=4)
-    monkeypatch.setattr(tables, "append", whole)
+    monkeypatch.setattr(tables, "append_buckets", whole)
     first = tables.load(spark, f"{target}/vectors").count()
     assert 0 < first < count and jobs.publish(spark, store, target, commit=4) == -(-(count - first) // 4)
     held = [tuple(r) for r in tables.load(spark, f"{target}/vectors").select("chunk_id").collect()]
@@ -167,6 +169,47 @@ def test_publishing_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert len(jobs.index_of(spark, target).segments) == 2 and "Quitte" in jobs.search(spark, target, "Quitte").first()["text"]
 
 
+def test_a_build_writes_the_buckets_of_what_changed(spark, tmp_path):
+    """Files of other buckets stay as they are and are not listed for a read of some."""
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    raw.mkdir()
+    (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(20)))
+    jobs.build(spark, str(raw), store)
+    jobs.embed(spark, store, HashEmbedder(8))
+    before = {t: tables.current(spark, f"{store}/{t}") for t in ("chunks", "vectors")}
+    (raw / "2.jsonl").write_text(json.dumps(record(3, "b", "Neu.")))
+    assert jobs.build(spark, str(raw), store) == 1
+    bucket = spark.range(1).select(tables.bucket_of(F.lit(3))).first()[0]
+    for t in before:
+        now = tables.current(spark, f"{store}/{t}")
+        assert {v for v in before[t] if v not in now} == {v for v in before[t] if v.endswith(f"/bucket={bucket}")}
+        assert {v.split("/")[1] for v in now if v not in before[t]} <= {f"bucket={bucket}"}
+    some = tables.load(spark, f"{store}/chunks", [bucket])
+    assert {r["document_id"] for r in some.collect()} == {k for k in range(20) if spark.range(1).select(tables.bucket_of(F.lit(k))).first()[0] == bucket}
+    assert tables.load(spark, f"{store}/chunks", [bucket + 1000]).count() == 0
+    assert len(tables.vacuum(spark, f"{store}/chunks", 0)) == 0 and tables.load(spark, f"{store}/chunks").count() == jobs.stats(spark, store)["chunks"]
+    # A table that was written whole becomes one in buckets at the next build.
+    tables.replace(tables.load(spark, f"{store}/chunks"), f"{store}/chunks")
+    (raw / "3.jsonl").write_text(json.dumps(record(4, "b", "Neu.")))
+    count = tables.load(spark, f"{store}/chunks").count()
+    jobs.build(spark, str(raw), store)
+    assert tables.by_buckets(spark, f"{store}/chunks") and abs(tables.load(spark, f"{store}/chunks").count() - count) <= 1
+
+
+def test_buckets_without_rows(spark, tmp_path):
+    folder, key = str(tmp_path / "t"), F.col("id")
+    tables.replace_buckets(spark.range(10), folder, tables.bucket_of(key), range(64))
+    tables.append_buckets(spark.range(10, 15), folder, tables.bucket_of(key))
+    tables.append_buckets(spark.range(0), folder, tables.bucket_of(key))
+    assert sorted(r["id"] for r in tables.load(spark, folder).collect()) == list(range(15))
+    tables.replace_buckets(spark.range(0), folder, tables.bucket_of(key), range(64))
+    assert tables.load(spark, folder).count() == 0 and tables.load(spark, folder).columns == ["id"]
+    tables.replace_buckets(spark.range(3), folder, tables.bucket_of(key), range(64))
+    assert tables.load(spark, folder).count() == 3
+    tables.append_buckets(spark.range(0), str(tmp_path / "none"), tables.bucket_of(key))
+    assert tables.load(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_feedback(spark, tmp_path):
     given = spark.createDataFrame([(True, "Frage", "x", "Antwort", ["21/1", "21/2"], "gut"), (None, "F", "x", "A", None, None), (False, " ", "x", "A", None, None), (False, "F" * 3000, None, "A", None, "")], "hilfreich boolean, frage string, suchbegriffe string, antwort string, belegte_dokumente array<string>, anmerkung string")
     assert jobs.feedback(spark, str(tmp_path), given) == 2 and jobs.feedback(spark, str(tmp_path), given.limit(1)) == 1
