@@ -268,12 +268,13 @@ def read_binary(manifest: DataFrame, folder: str, path: str | None = None, lengt
 def query(spark, sf_dir: str) -> DataFrame:
     """The packed rows with digests in place of the id and position matrices, of binary shards that were written to the shared folder and read again.
 
-    The shards are removed when the digests are made.
+    The shards are removed when the digests are made, or if that fails.
     """
     folder = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
-    # The manifest keeps a partition for each task, so shards are read by as many.
-    written = checkpointed(write_packed(table(spark, sf_dir, "documents"), folder))
-    p = read_binary(written, folder)
-    out = checkpointed(p.select("pack", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"), "cu_seqlens", "doc_ids", "starts"))
-    remove(spark, folder)
-    return out
+    try:
+        # The manifest keeps a partition for each task, so shards are read by as many.
+        written = checkpointed(write_packed(table(spark, sf_dir, "documents"), folder))
+        p = read_binary(written, folder)
+        return checkpointed(p.select("pack", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"), "cu_seqlens", "doc_ids", "starts"))
+    finally:
+        remove(spark, folder)

@@ -178,3 +178,11 @@ def test_bounds_hold():
 
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_clashing_columns_of_simhash(docs_of):
+    """Columns named as the operator names its own change nothing."""
+    docs = docs_of([(k, f"eins zwei drei vier {k % 4}") for k in range(12)] + [(None, None), (20, "")])
+    odd = docs.withColumns({c: F.lit("x") for c in ("fp", "key", "tile", "side", "digest", "component", "component_id", "least_id", "_fp", "node", "fingerprint")})
+    rows = [sorted((tuple(r) for r in simhash.near_duplicates(d).collect()), key=repr) for d in (docs, odd)]
+    assert rows[0] == rows[1] and len(rows[0]) == 14
