@@ -105,6 +105,36 @@ def _exchange(spark: SparkSession, store: str, pieces: DataFrame, ids: DataFrame
     if held is None:
         held = spark.createDataFrame([], tables.CHUNKS)
     tables.replace_buckets(maintenance.replace_chunks(held, pieces, ids), f"{store}/chunks", _of_document(), buckets)
+    now = maintenance.content_hash(tables.load(spark, f"{store}/chunks", buckets))
+    tables.replace_buckets(now.withColumn("state", _chunk_state(spark, store)), f"{store}/digests", _of_document(), buckets)
+
+
+def _chunk_state(spark: SparkSession, store: str) -> Column:
+    """What stands for the files that a document's bucket of chunks has now; null where chunks are not in buckets."""
+    files: dict[int, list[str]] = {}
+    for v in tables.current(spark, f"{store}/chunks"):
+        if "/bucket=" in v:
+            files.setdefault(int(v.split("=")[1]), []).append(v)
+    known = F.create_map(*[F.lit(x) for k, v in files.items() for x in (k, _digest(v))]) if files else F.create_map().cast("map<int,string>")
+    return F.try_element_at(known, _of_document())
+
+
+def digests(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame:
+    """(document_id, n, hash) of the store's documents (in some buckets): as they were kept when chunks were written, or of the chunks themselves where these have been written since."""
+    schema, now = "document_id long, n long, hash decimal(38,0)", _chunk_state(spark, store)
+    held, chunks = tables.load(spark, f"{store}/digests", buckets), tables.load(spark, f"{store}/chunks", buckets)
+    if chunks is None:
+        return spark.createDataFrame([], schema)
+    if held is None or not tables.by_buckets(spark, f"{store}/chunks"):
+        return maintenance.content_hash(chunks)
+    # A row for each bucket that was written otherwise.
+    stale = [r[0] for r in held.where(~F.col("state").eqNullSafe(now)).select(_of_document()).distinct().collect()]
+    known = {r[0] for r in held.select(_of_document()).distinct().collect()}
+    stale += [k for v in tables.current(spark, f"{store}/chunks") if "/bucket=" in v and (k := int(v.split("=")[1])) not in known and (buckets is None or k in buckets)]
+    sound = held.select("document_id", "n", "hash")
+    if not stale:
+        return sound
+    return sound.where(~_of_document().isin(stale)).unionByName(maintenance.content_hash(tables.load(spark, f"{store}/chunks", stale)))
 
 
 def embed(spark: SparkSession, store: str, embedder: models.Embedder, limit: int | None = None, commit: int = COMMIT) -> int:
@@ -234,10 +264,8 @@ def publish(spark: SparkSession, store: str, target: str, commit: int = COMMIT)
     goes on with those that are still lacking and writes none twice. Returns the number of parts.
     """
     shared_folder(spark)
-    chunks, there = tables.load(spark, f"{store}/chunks"), tables.load(spark, f"{target}/chunks")
-    if there is None:
-        there = spark.createDataFrame([], tables.CHUNKS)
-    actions = maintenance.resync(chunks, there).checkpoint()
+    chunks = tables.load(spark, f"{store}/chunks")
+    actions = resync(spark, store, target).checkpoint()
     own = tables.load(spark, f"{store}/vectors")
     if not actions.isEmpty() or not tables.current(spark, f"{target}/chunks"):
         _forget(spark, target, actions.select("document_id"))
@@ -266,8 +294,9 @@ def feedback(spark: SparkSession, store: str, given: DataFrame) -> int:
 
 
 def resync(spark: SparkSession, store: str, target: str) -> DataFrame:
-    """What ``publish`` would change."""
-    return maintenance.resync(tables.load(spark, f"{store}/chunks"), tables.load(spark, f"{target}/chunks"))
+    """What ``publish`` would change: digests of buckets are compared first, then those of the documents in unequal ones. Texts are not read."""
+    buckets = maintenance.unequal_buckets(digests(spark, store), digests(spark, target), _of_document())
+    return maintenance.differences(digests(spark, store, buckets), digests(spark, target, buckets))
 
 
 def prepare(spark: SparkSession, store: str, asked: DataFrame, embedder: models.Embedder | None, generator: models.Generator | None = None, analyse_template: str = "{frage}", new: bool = False) -> DataFrame:

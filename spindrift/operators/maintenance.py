@@ -80,7 +80,12 @@ def resync(source: DataFrame, target: DataFrame, by: str = "hash") -> DataFrame:
 
     ``by`` hash also sees edits that keep the number of chunks; ``count`` compares numbers alone.
     """
-    s, t = content_hash(source).alias("s"), content_hash(target).alias("t")
+    return differences(content_hash(source), content_hash(target), by)
+
+
+def differences(source: DataFrame, target: DataFrame, by: str = "hash") -> DataFrame:
+    """``resync`` of two tables of ``content_hash``."""
+    s, t = source.alias("s"), target.alias("t")
     both = s.join(t, F.col("s.document_id") == F.col("t.document_id"), "full_outer")
     differ = ~F.col("s.n").eqNullSafe(F.col("t.n"))
     if by == "hash":
@@ -89,6 +94,19 @@ def resync(source: DataFrame, target: DataFrame, by: str = "hash") -> DataFrame:
     return both.select(F.coalesce("s.document_id", "t.document_id").alias("document_id"), action.alias("action")).where("action is not null")
 
 
+def unequal_buckets(source: DataFrame, target: DataFrame, bucket: Column) -> list[int]:
+    """Buckets in which two tables of ``content_hash`` differ, by one digest over the documents of each: what is fetched is as many rows as there are buckets.
+
+    The digest sums over documents, so their order of rows makes no difference, and it holds their ids, numbers of chunks and hashes.
+    """
+    one = F.xxhash64("document_id", "n", "hash").cast("decimal(38,0)")
+    s, t = (d.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(one).alias("digest")) for d in (source, target))
+    s, t = s.alias("s"), t.alias("t")
+    both = s.join(t, F.col("s.bucket") == F.col("t.bucket"), "full_outer")
+    differ = ~(F.col("s.n").eqNullSafe(F.col("t.n")) & F.col("s.digest").eqNullSafe(F.col("t.digest")))
+    return sorted(r[0] for r in both.where(differ).select(F.coalesce("s.bucket", "t.bucket")).collect())
+
+
 def resume(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``source`` beyond the greatest key that ``target`` has."""
     done = target.agg(F.max(key).alias("_done"))

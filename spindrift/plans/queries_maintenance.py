@@ -11,7 +11,7 @@ from ..operators.segment import chunk_id
 from ..profiles import CHUNK_PLACES
 from ..shipping import remove, shared_folder
 from ..sources import jsonl
-from ..sources.tables import read
+from ..sources.tables import bucket_of, read
 from .catalogue import query
 
 
@@ -122,6 +122,17 @@ def _resync_sql(digest: str) -> str:
 
 
 query("resync_diff", _resync_sql("string_agg(position || ':' || text, chr(1) order by position)"))(lambda spark, sf: M.resync(_lines(spark, sf), _target(spark, sf)))
+
+
+@query("resync_tree", _resync_sql("string_agg(position || ':' || text, chr(1) order by position)"))
+def resync_tree(spark, sf):
+    """``resync_diff`` by digests: buckets first, then the documents of unequal ones."""
+    shared_folder(spark)
+    kept, bucket = [M.content_hash(c).checkpoint() for c in (_lines(spark, sf), _target(spark, sf))], bucket_of(F.col("document_id"))
+    unequal = M.unequal_buckets(*kept, bucket)
+    return M.differences(*[d.where(bucket.isin(unequal)) for d in kept])
+
+
 query("resync_by_count", _resync_sql("count(*)"))(lambda spark, sf: M.resync(_lines(spark, sf), _target(spark, sf), "count"))
 
 

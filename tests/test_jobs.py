@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift import jobs
 from spindrift.functions import german
 from spindrift.models import EchoGenerator, HashEmbedder
-from spindrift.operators import lexical, segment
+from spindrift.operators import lexical, maintenance, segment
 from spindrift.profiles import CHUNK_PLACES, PROFILES
 from spindrift.sources import index as stored_index
 from spindrift.sources import tables
@@ -210,6 +210,40 @@ def test_buckets_without_rows(spark, tmp_path):
     assert tables.load(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_stores_are_compared_by_digests(spark, tmp_path, monkeypatch):
+    """No text is read where digests are kept; those of a bucket that was written without them are made of its chunks; equal stores have no unequal bucket."""
+    raw, store, target = tmp_path / "raw", str(tmp_path / "store"), str(tmp_path / "target")
+    raw.mkdir()
+    (raw / "1.jsonl").write_text("\n".join(json.dumps(record(k)) for k in range(15)))
+    jobs.build(spark, str(raw), store)
+    assert {tuple(r) for r in jobs.resync(spark, store, target).collect()} == {(k, "replace") for k in range(15)}
+    jobs.publish(spark, store, target)
+    key = lambda r: (r["document_id"], r["n"], r["hash"])
+    whole = lambda s: sorted(map(key, maintenance.content_hash(tables.load(spark, f"{s}/chunks")).collect()))
+    for s in (store, target):
+        held = jobs.digests(spark, s)
+        assert "text" not in held._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1] and sorted(map(key, held.collect())) == whole(s)
+    assert maintenance.unequal_buckets(jobs.digests(spark, store), jobs.digests(spark, target), tables.bucket_of(F.col("document_id"))) == []
+    assert jobs.resync(spark, store, target).count() == 0
+    # Chunks are written, their digests are not: the build breaks off between.
+    (raw / "2.jsonl").write_text(json.dumps(record(4, "b", "Neu.")) + "\n" + json.dumps(record(70)))
+    put = tables.replace_buckets
+
+    def failing(df, folder, *a):
+        if folder.endswith("/digests"):
+            raise OSError("aus")
+        return put(df, folder, *a)
+
+    monkeypatch.setattr(tables, "replace_buckets", failing)
+    with pytest.raises(OSError, match="aus"):
+        jobs.build(spark, str(raw), store)
+    monkeypatch.setattr(tables, "replace_buckets", put)
+    assert sorted(map(key, jobs.digests(spark, store).collect())) == whole(store)
+    assert {tuple(r) for r in jobs.resync(spark, store, target).collect()} == {(4, "replace"), (70, "replace")}
+    jobs.build(spark, str(raw), store)
+    assert {tuple(r) for r in jobs.resync(spark, target, store).collect()} == {(4, "replace"), (70, "delete")}
+
+
 def test_feedback(spark, tmp_path):
     given = spark.createDataFrame([(True, "Frage", "x", "Antwort", ["21/1", "21/2"], "gut"), (None, "F", "x", "A", None, None), (False, " ", "x", "A", None, None), (False, "F" * 3000, None, "A", None, "")], "hilfreich boolean, frage string, suchbegriffe string, antwort string, belegte_dokumente array<string>, anmerkung string")
     assert jobs.feedback(spark, str(tmp_path), given) == 2 and jobs.feedback(spark, str(tmp_path), given.limit(1)) == 1
