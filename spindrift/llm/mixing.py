@@ -45,35 +45,44 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, alpha: fl
     return checkpointed(counts.select("_by", parts.alias("_parts"), F.aggregate(steps, start, grown)["t"].alias("_table")))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """SHA-256 of a whole row, in hex: each column by name order as its length and value, or ``-`` for null; the text by its own SHA-256."""
+def row_key(columns: Mapping[str, Column]) -> Column:
+    """SHA-256 of some columns, in hex: each by name order as its length and value, or ``-`` for null; a text by its own SHA-256."""
 
-    def part(c: str) -> Column:
-        value = F.sha2(F.col(f"`{c}`").cast("binary"), 256) if c == "text" else F.col(f"`{c}`").cast("string")
+    def part(name: str, c: Column) -> Column:
+        value = F.sha2(c.cast("binary"), 256) if name == "text" else c.cast("string")
         return F.coalesce(F.concat(F.lit("+"), F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
-    return F.sha2(F.concat(*[part(c) for c in sorted(docs.columns)]).cast("binary"), 256)
+    return F.sha2(F.concat(*[part(n, columns[n]) for n in sorted(columns)]).cast("binary"), 256)
 
 
 def distinct_rows(docs: DataFrame, by: str) -> DataFrame:
-    """(row, own_by, own_key, number) of every row of ``docs``; equal rows are numbered from 0, all others have 0.
+    """(_c0, _c1, ..., own_by, own_key, number) of every row of ``docs``: its columns by place, its source, key (doc_id, source and text) and, in decimal, its number among rows of its key.
 
-    Keys are counted without their rows. Rows of repeated keys become one for each task before they are shuffled and are numbered from their count,
-    in blocks, so that a row that makes up a third of the table is in no task more often than a block has numbers.
+    Equal rows are numbered from 0, and one whose key no other has is 0; where rows of a key differ in other columns, the number is led by the row's own digest, so that
+    none takes another's. Keys are counted without their rows. Rows of repeated keys become one for each task before they are shuffled and are numbered from
+    their count, in blocks, so that a row that makes up a third of the table is in no task more often than a block has numbers.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{by}`").alias("own_by"), row_key(docs).alias("own_key"))
-    repeated = checkpointed(rows.groupBy("own_key").agg(F.count("*").alias("own_count")).where("own_count > 1"))
+    held = {n: f"_c{k}" for k, n in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in held.items()])
+    key = row_key({n: F.col(held[n]) for n in {"doc_id", "text", by} & set(held)})
+    rows = rows.select("*", F.col(held[by]).alias("own_by"), key.alias("own_key"))
+    whole = F.xxhash64(*held.values())
+    repeated = rows.groupBy("own_key").agg(F.count("*").alias("n"), F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("n > 1")
+    repeated = checkpointed(repeated.select(F.col("own_key").alias("again"), F.expr("lo <> hi").alias("differ")))
+    none = F.lit("0").alias("number")
     if repeated.isEmpty():
-        return rows.withColumn("number", F.lit(0).cast("long"))
-    again = repeated.select(F.col("own_key").alias("again"), "own_count")
-    once = with_small(rows, again, F.col("own_key") == F.col("again"), "left_anti").withColumn("number", F.lit(0).cast("long"))
-    # Equal rows are combined where they are read, before they meet their count.
-    many = with_small(rows, again, F.col("own_key") == F.col("again"), "left_semi").groupBy("own_key").agg(F.first(F.struct("row", "own_by")).alias("held"))
-    counted = many.join(again, F.col("own_key") == F.col("again"))
-    blocks = counted.select("held.*", "own_key", "own_count", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("own_count") - 1, F.lit(BLOCK)))).alias("block"))
-    dealt = blocks.repartition(partitions(docs.sparkSession), "own_key", "block")
-    number = F.explode(F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("own_count")) - 1))
-    return once.unionByName(dealt.select("row", "own_by", "own_key", number.alias("number")))
+        return rows.select("*", none)
+    on = F.col("own_key") == F.col("again")
+    once = with_small(rows, repeated, on, "left_anti").select("*", none)
+    # Equal rows are combined where they are read, before they meet their numbers.
+    own_row = row_key({n: F.col(c) for n, c in held.items()})
+    many = with_small(rows, repeated, on, "inner").groupBy("own_key", "differ", own_row.alias("own_row")).agg(F.first(F.struct(*held.values(), "own_by")).alias("held"), F.count("*").alias("n"))
+    blocks = many.select("held.*", "own_key", "differ", "own_row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(BLOCK)))).alias("block"))
+    dealt = blocks.repartition(partitions(docs.sparkSession), "own_key", "own_row", "block")
+    place = F.explode(F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("n")) - 1))
+    placed = dealt.select(*held.values(), "own_by", "own_key", "differ", "own_row", place.alias("place"))
+    number = F.when(F.col("differ"), F.concat("own_row", F.lit("/"), F.col("place").cast("string"))).otherwise(F.col("place").cast("string"))
+    return once.unionByName(placed.select(*held.values(), "own_by", "own_key", number.alias("number")))
 
 
 def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, alpha: float = ALPHA, total: int | None = None, seed: int = SEED, by: str = "source") -> DataFrame:
@@ -81,7 +90,7 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
 
     A source's share of the ``total`` (by default as many as there are rows) is its weight by all weights: those given
     (a source without one gets 0), else its count to the power ``alpha``. A row's number of copies is Poisson with mean total *
-    share / count, by inversion of a uniform that is hashed from seed, the whole row and its number among equal rows, so it depends on
+    share / count, by inversion of a uniform that is hashed from seed, doc_id, source, text and its number among rows that are equal in these, so it depends on
     nothing else, and rows of a null or repeated doc_id, or of equal texts, draw apart. Null is a source of its own. Means of 0
     drop a source: this is a sampling operator. Texts are carried as they are, null, empty or long; other columns stay
     too, but for those named ``copy_`` and ``place_``; columns of maps are not taken. An empty table gives no rows.
@@ -90,7 +99,7 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     docs = docs.select(*[F.col(f"`{n}`") for n in names])
     known = rates(docs, weights, alpha, total, by)
     d = with_small(distinct_rows(docs, by), known, F.col("own_by").eqNullSafe(known["_by"]), "left", rows=10_000)
-    key = F.concat(F.lit(f"{seed}/"), F.col("own_key"), F.lit("/"), F.col("number").cast("string"), F.lit("/"))
+    key = F.concat(F.lit(f"{seed}/"), F.col("own_key"), F.lit("/"), F.col("number"), F.lit("/"))
 
     # One-element transforms bind the uniform once, else it would be hashed for each entry of the table.
     def below(k: Column) -> Column:
@@ -98,9 +107,10 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
 
     draw = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, k: n + below(k))
     d = d.withColumn("_count", draw).where("_count > 0")
-    d = d.select("row", key.alias("own_key"), F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_"))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("place/"), F.col("own_key"), F.col("copy_").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return d.select(*[F.col("row")[n].alias(n) for n in names], "copy_", place.alias("place_"))
+    held = [f"_c{k}" for k in range(len(names))]
+    d = d.select(*held, key.alias("own_key"), F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("own_copy"))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("place/"), F.col("own_key"), F.col("own_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return d.select(*[F.col(c).alias(n) for c, n in zip(held, names, strict=True)], F.col("own_copy").alias("copy_"), place.alias("place_"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
@@ -123,8 +133,9 @@ with n as (select source, count(*) as n from documents group by source),
 r as (select source, (select count(*) from documents) * sqrt(n) / (select sum(sqrt(n)) from n) / n as mean from n),
 p as (select *, greatest(ceil(mean / {PART}), 1)::int as parts from r),
 t as (select *, list_transform(range({EVENTS} + 1), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-mean / parts + j * ln(mean / parts) - lgamma(j + 1))))) as cdf from p where mean > 0),
-k as (select *, sha256(text) as text_sha256, sha256({" || ".join(_part_sql(v) for v in ("doc_id::varchar", "lang", "n_chars::varchar", "source", "sha256(text)"))}) as own from documents),
-m as (select *, '{SEED}/' || own || '/' || (row_number() over (partition by own) - 1) || '/' as key from k),
+k as (select *, sha256(text) as text_sha256, sha256({" || ".join(_part_sql(v) for v in ("doc_id::varchar", "source", "sha256(text)"))}) as own,
+  sha256({" || ".join(_part_sql(v) for v in ("doc_id::varchar", "lang", "n_chars::varchar", "source", "sha256(text)"))}) as whole from documents),
+m as (select *, '{SEED}/' || own || '/' || case when min(whole) over (partition by own) <> max(whole) over (partition by own) then whole || '/' else '' end || (row_number() over (partition by own, whole) - 1) || '/' as key from k),
 d as (select doc_id, m.source, text_sha256, key,
   list_sum(list_transform(range(1, parts + 1), lambda k: len(list_filter(cdf, lambda c: c < (('0x' || md5(key || k)[1:13])::bigint + 0.5) / {1 << 52}))))::int as copies
   from m join t on m.source is not distinct from t.source),

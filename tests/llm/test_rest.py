@@ -25,6 +25,7 @@ def md5_uniform(key):
 
 def plain_copies(rows, weights, total, seed=17):
     """``rows`` are dictionaries with a source."""
+    digest = lambda r, names: hashlib.sha256("".join(part(c, r[c]) for c in sorted(names)).encode()).hexdigest()
     n = Counter(r["source"] for r in rows)
     w = {s: (n[s] ** 0.5 if weights is None else weights.get(s, 0.0)) for s in n}
     out, numbers = [], Counter()
@@ -35,6 +36,9 @@ def plain_copies(rows, weights, total, seed=17):
         v = hashlib.sha256(v.encode()).hexdigest() if name == "text" else str(v)
         return f"+{len(v)}:{v}"
 
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(digest(r, ("doc_id", "text", "source")), set()).add(digest(r, r))
     for r in rows:
         mean = total * w[r["source"]] / sum(w.values()) / n[r["source"]]
         parts = max(1, math.ceil(mean / 16))
@@ -42,9 +46,9 @@ def plain_copies(rows, weights, total, seed=17):
         for k in range(97):
             cdf.append((cdf[-1] if cdf else 0) + p)
             p *= mean / parts / (k + 1)
-        own = hashlib.sha256("".join(part(c, r[c]) for c in sorted(r)).encode()).hexdigest()
-        key = f"{seed}/{own}/{numbers[own]}/"
-        numbers[own] += 1
+        own, whole = digest(r, ("doc_id", "text", "source")), digest(r, r)
+        key = f"{seed}/{own}/{whole + '/' if len(kinds[own]) > 1 else ''}{numbers[own, whole]}/"
+        numbers[own, whole] += 1
         count = sum(bisect.bisect_left(cdf, md5_uniform(f"{key}{j}")) for j in range(1, parts + 1))
         out += [(r["doc_id"], r["text"], r["source"], c) for c in range(1, count + 1)]
     return sorted(out, key=repr)
@@ -56,10 +60,11 @@ def test_mixing(docs_of, weights, total, block, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", block)
     rows = [(k, "t", "a" if k % 3 else "b") for k in range(120)] + [(500 + k, "t", "c") for k in range(4)] + [(700 + k, None, None) for k in range(10)] + [(5, "t", "b"), (5, "t", "b"), (5, "u", "b")]
     rows += [(None, f"text {k % 11}", "a" if k % 2 else "b") for k in range(90)] + [(None, None, "a"), (None, "", "a"), (None, None, "a")]
-    d = docs_of(rows).withColumn("row", F.lit(1)).withColumn("_n", F.lit(2)).withColumn("copy_", F.lit(3)).withColumn("own_key", F.lit("x")).withColumn("number", F.lit(None).cast("int"))
+    d = docs_of(rows).withColumn("row", F.lit(1)).withColumn("_n", F.lit(2)).withColumn("copy_", F.lit(3)).withColumn("own_key", F.lit("x")).withColumn("number", F.when(F.col("doc_id").isNull(), F.col("text").isNull().cast("int")))
+    d = d.unionByName(d.where("doc_id < 3 or text = 'text 4'").withColumn("_n", F.lit(7)))
     whole = [{k: v for k, v in r.asDict().items() if k != "copy_"} for r in d.collect()]
     got = mixing.mixed(d, weights, total=total).collect()
-    assert sorted(((r["doc_id"], r["text"], r["source"], r["copy_"]) for r in got), key=repr) == plain_copies(whole, weights, total or len(rows))
+    assert sorted(((r["doc_id"], r["text"], r["source"], r["copy_"]) for r in got), key=repr) == plain_copies(whole, weights, total or len(whole))
     assert [r["place_"] for r in got] == sorted(r["place_"] for r in got)
     assert mixing.mixed(docs_of([]), weights).count() == 0
 
