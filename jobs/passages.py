@@ -26,8 +26,10 @@ from spindrift.operators import maintenance, segment
 from spindrift.streaming.windows import pattern
 
 LOG = logging.getLogger("jobs.passages")
-PASSAGES = "doc_id long, position int, passage_id long, text string, n_chars int, lang string, source string, batch long, bucket int"
-DOCUMENTS = "doc_id long, digest string, n_passages long, lang string, source string, batch long"
+PASSAGES = "doc_id long, position int, passage_id long, text string, n_chars int, lang string, source string, bucket int"
+DOCUMENTS = "doc_id long, digest string, n_passages long, lang string, source string"
+#: The column of the folders of batches.
+BATCH = ", batch long"
 
 
 def arrivals(batch: DataFrame) -> DataFrame:
@@ -70,18 +72,18 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, bucke
     def take(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         read = batch.count()
-        known = stored(own, f"{output}/documents", DOCUMENTS).where(F.col("batch") < number)
+        known = stored(own, f"{output}/documents", DOCUMENTS + BATCH).where(F.col("batch") < number)
         rows = arrivals(batch)
         if number:
             rows = changed(rows, known)
         cut(rows, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/passages/batch={number}")
-        written = stored(own, f"{output}/passages", PASSAGES).where(F.col("batch") == number)
+        written = stored(own, f"{output}/passages/batch={number}", PASSAGES)
         counts = written.groupBy("doc_id").agg(F.count("*").alias("n_passages"))
         ledger = rows.select("doc_id", "digest", "lang", "source").join(counts, "doc_id", "left")
         ledger.select("doc_id", "digest", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), "lang", "source").write.mode("overwrite").parquet(f"{output}/documents/batch={number}")
         lost = batch.where("doc_id is null").select("text", "lang", "source", "file")
         lost.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
-        told = stored(own, f"{output}/documents", DOCUMENTS).where(F.col("batch") == number).agg(F.count("*").alias("d"), F.coalesce(F.sum("n_passages"), F.lit(0)).alias("p")).first()
+        told = stored(own, f"{output}/documents/batch={number}", DOCUMENTS).agg(F.count("*").alias("d"), F.coalesce(F.sum("n_passages"), F.lit(0)).alias("p")).first()
         rejected = own.read.parquet(f"{output}/rejected/batch={number}").count()
         LOG.info("batch %d: read %d rows, cut %d documents into %d passages, put %d rows without an id aside", number, read, told["d"], told["p"], rejected)
         for name, n in (("batches", 1), ("rows", read), ("documents", told["d"]), ("passages", told["p"]), ("rejected", rejected)):
@@ -104,7 +106,7 @@ def current(spark: SparkSession, output: str) -> DataFrame:
     Only what a later batch cut again is looked up, so passages are not shuffled.
     """
     output = output.rstrip("/")
-    known, passages = stored(spark, f"{output}/documents", DOCUMENTS), stored(spark, f"{output}/passages", PASSAGES)
+    known, passages = stored(spark, f"{output}/documents", DOCUMENTS + BATCH), stored(spark, f"{output}/passages", PASSAGES + BATCH)
     again = known.groupBy("doc_id").agg(F.max("batch").alias("last"), F.count("*").alias("n")).where("n > 1").select("doc_id", "last")
     whole = joined(passages, known.select("batch").distinct(), "batch", "left_semi")
     last = joined(whole, again, "doc_id", "left").where("last is null or batch = last")
