@@ -23,6 +23,7 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("--since")
     c.add_argument("--wahlperiode", type=int, default=21)
     c.add_argument("--zuordnung")
+    c.add_argument("--follow", metavar="CHECKPOINT", help="harvest what was updated since the last run of this checkpoint")
     c = sub.add_parser("build")
     c.add_argument("kind", nargs="?", default="alle", choices=["drucksache", "plenarprotokoll", "alle"])
     c.add_argument("--raw", default="raw")
@@ -55,7 +56,9 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("spindrift").getOrCreate()
     # Offline stand-ins; a caller with a model service passes its own to the functions of ``jobs``.
     embedder, generator = models.HashEmbedder(), models.EchoGenerator()
-    if a.command == "harvest":
+    if a.command == "harvest" and a.follow:
+        print(jobs.follow(spark, a.url, a.raw, a.follow, a.kind, a.wahlperiode, assignment=a.zuordnung))
+    elif a.command == "harvest":
         print(jobs.harvest(spark, a.url, a.raw, a.kind, a.wahlperiode, a.since, assignment=a.zuordnung))
     elif a.command == "build":
         jobs.build(spark, a.raw, a.store, a.force, a.kind)

@@ -40,6 +40,32 @@ def harvest(spark: SparkSession, url: str, raw: str, kind: str = "alle", term: i
     return count
 
 
+def follow(spark: SparkSession, url: str, raw: str, checkpoint: str, kind: str = "alle", term: int = 21, token: str | None = None, assignment: str | None = None, **options) -> int:
+    """Harvests what was updated since the last run of the same ``checkpoint`` (at first all), a stream for each kind that ends when it has caught up; returns how many records came.
+
+    A batch becomes a harvest that is added to the others. One that broke off is harvested again: its records may then be in two harvests, of which a build
+    takes the last version of each.
+    """
+    shipped(spark).dataSource.register(rest.RestSource)
+    # One end for all runs below: a run after one that broke off takes its batch first, and what came since in another.
+    options = {"until": rest.until()} | options
+    came, batches = [0], [0]
+    for own in list(KINDS) if kind == "alle" else [kind]:
+        known = {"url": url, "paths": KINDS[own], "terms": str(term)} | {k: v for k, v in (("token", token), ("assignment", assignment)) if v} | options
+
+        def take(batch: DataFrame, number: int, own: str = own) -> None:
+            folder = jsonl.write(batch.select(jsonl.parsed(F.col("record")).alias("r")).select("r.*"), raw, own, term, f"batch {number}")
+            came[0] += batch.sparkSession.read.schema(jsonl.RAW).json(folder).count()
+            batches[0] += 1
+
+        before = -1
+        while batches[0] > before:
+            before = batches[0]
+            stream = spark.readStream.format("paged_rest").options(**known).load()
+            stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{own}-{term}").trigger(availableNow=True).start().awaitTermination()
+    return came[0]
+
+
 def _documents(spark: SparkSession, store: str) -> DataFrame:
     found = tables.load(spark, f"{store}/documents")
     if found is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import time
 import urllib.error
@@ -9,10 +10,12 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Pause between pages, tries, first wait; waits double.
 PAUSE, TRIES, WAIT = 0.3, 5, 1.0
+#: Seconds by which a stream stays behind the clock.
+LAG = 60.0
 
 Get = Callable[[str], tuple[int, dict, str]]
 
@@ -78,17 +81,19 @@ class Slice(InputPartition):
         self.path, self.filters = path, filters
 
 
-class _Reader(DataSourceReader):
+def _slices(o: dict, since: str | None, until: str | None) -> list[Slice]:
+    """One for each path and term: pages follow from each other, so a slice is read in order by one task."""
+    terms = [t for t in o.get("terms", "").split(",") if t] or [None]
+    own = {"f__wahlperiode": None, "f__zuordnung": o.get("assignment") or None, "f__aktualisiert__start": since, "f__aktualisiert__end": until}
+    return [Slice(p, own | {"f__wahlperiode": t}) for p in o["paths"].split(",") for t in terms]
+
+
+class _Records:
+    """Reads a slice in a task."""
+
     def __init__(self, options):
         self.options = options
 
-    def partitions(self) -> list[Slice]:
-        """One for each path and term: pages follow from each other, so a slice is read in order by one task."""
-        o = self.options
-        terms = [t for t in o.get("terms", "").split(",") if t] or [None]
-        own = {"f__wahlperiode": None, "f__zuordnung": o.get("assignment") or None, "f__aktualisiert__start": o.get("since") or None}
-        return [Slice(p, own | {"f__wahlperiode": t}) for p in o["paths"].split(",") for t in terms]
-
     def read(self, partition: Slice) -> Iterator[tuple]:
         key, base = self.options.get("token"), self.options["url"]
         headers = {"Authorization": f"ApiKey {key}"} if key else {}
@@ -100,8 +105,42 @@ class _Reader(DataSourceReader):
             yield partition.path, json.dumps(record, ensure_ascii=False)
 
 
+class _Reader(_Records, DataSourceReader):
+
+    def partitions(self) -> list[Slice]:
+        return _slices(self.options, self.options.get("since") or None, None)
+
+
+def until(lag: float = LAG) -> str:
+    """The time so many seconds ago, in UTC."""
+    return (datetime.datetime.now(datetime.UTC) - datetime.timedelta(seconds=lag)).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+
+
+class _Stream(_Records, DataSourceStreamReader):
+    """Records by the time of their last update: an offset is such a time, and a batch takes what was updated from one to the next.
+
+    Both ends are inclusive, as the endpoint's filters are, so a record at an end comes twice and none is missed; one that is updated again while a batch is read
+    comes with a later one. A batch that is read again asks for the same times.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"until": self.options.get("since") or ""}
+
+    def latestOffset(self) -> dict:
+        """Now, less ``lag`` seconds for what the endpoint has not shown yet, in UTC; or the time that ``until`` names."""
+        if self.options.get("until"):
+            return {"until": self.options["until"]}
+        return {"until": until(float(self.options.get("lag", LAG)))}
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        return _slices(self.options, start["until"] or None, end["until"])
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept at the endpoint."""
+
+
 class RestSource(DataSource):
-    """``spark.read.format("paged_rest")`` with options url, paths, terms, assignment, since, token, pause.
+    """``spark.read.format("paged_rest")`` with options url, paths, terms, assignment, since, token, pause; as a stream also until and lag.
 
     Rows are (path, record), record as JSON; ``jsonl.parsed`` gives its columns.
     """
@@ -115,3 +154,6 @@ class RestSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(dict(self.options))
