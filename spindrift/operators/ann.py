@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from ..functions.vectors import as_double
 from ..shipping import shared_folder, shipped
 from ..sources import tables
-from . import semantic
+from . import pairs, semantic
 
 #: The centres are fitted on so many vectors at most, in the order of a hash of the id; all vectors are indexed. Rounds of the fit.
 SAMPLE, ROUNDS = 20_000, 10
@@ -101,13 +101,24 @@ def probes_for(x: np.ndarray, c: np.ndarray, recall: float) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
+#: Bytes of a batch of vectors that are repeated for each of their cells.
+_BATCH = 8 << 20
+
+
+def _slices(batch: pa.RecordBatch, times: int, dims: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that are still bounded once each row is repeated for so many cells."""
+    step = max(1, _BATCH // (8 * max(1, times) * (dims + 4)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def placed(vectors: DataFrame, known: np.ndarray, probes: int = 1, column: str = "embedding") -> DataFrame:
     """``vectors`` with ``cell``, a row for each of the ``probes`` nearest cells; a null or empty vector is in cell -1."""
     shipped(vectors.sparkSession)
     at = vectors.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in _slices(b, min(probes, len(known)), known.shape[1])):
             values = b.column(at)
             sound = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(values), known.shape[1]), False).to_numpy(zero_copy_only=False))
             rows, cells = np.setdiff1d(np.arange(b.num_rows), sound), []
@@ -274,7 +285,7 @@ def nearest_filtered_per_query(index: Cells, queries: DataFrame, limit: int, kee
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
+                for b in _slices(b, len(own.centres), own.centres.shape[1]):
                     q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                     least = np.where(able, _bounds(own, q, metric), np.inf)
                     row, cell = np.nonzero(choose(least, b.column(2).fill_null(np.inf).to_numpy(zero_copy_only=False)))
@@ -287,12 +298,8 @@ def nearest_filtered_per_query(index: Cells, queries: DataFrame, limit: int, kee
         place = np.argsort(np.argsort(least, axis=1, kind="stable"), axis=1)
         return (place < probes) & np.isfinite(least)
 
-    def found(pairs: DataFrame) -> DataFrame:
-        rows = index.vectors.where(keep).select(id_, as_double(F.col("embedding")).alias("e"), "cell").join(pairs, "cell")
-        measured = semantic.DISTANCES[metric](F.col("e"), F.col("q"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_))
-        near = rows.select("query_id", id_, (measured if places is None else F.round(measured, places)).alias("distance")).where("distance is not null")
-        return near.withColumn("rank", rank).where(F.col("rank") <= limit)
+    def found(asked: DataFrame) -> DataFrame:
+        return pairs.nearest(index.vectors.where(keep).select(id_, "embedding", "cell"), asked, limit, metric, id_, places)
 
     probed = checkpointed(found(cells(asked.withColumn("last", F.lit(None).cast("double")), first)))
     # Rounded distances may hide half a unit of their last place.
@@ -313,7 +320,4 @@ def nearest(index: Cells, query: Sequence[float], limit: int, metric: str = "cos
 def nearest_per_query(index: Cells, queries: DataFrame, limit: int, metric: str = "cosine", id_: str = "vec_id", probes: int | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) for many queries ``(query_id, q)``: each meets its cells by one join."""
     asked = placed(queries.select("query_id", as_double(F.col("q")).alias("q")), index.centres, probes or index.probes, "q")
-    pairs = index.vectors.select(id_, as_double(F.col("embedding")).alias("e"), "cell").join(asked, "cell")
-    rows = pairs.select("query_id", id_, semantic.DISTANCES[metric](F.col("e"), F.col("q")).alias("distance")).where("distance is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return pairs.nearest(index.vectors.select(id_, "embedding", "cell"), asked, limit, metric, id_)

@@ -5,13 +5,15 @@ import sqlite3
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
 from spindrift.models import EchoGenerator, HashEmbedder
 from spindrift.operators import answers as A
-from spindrift.operators import ann, fusion, lexical, semantic
+from spindrift.operators import ann, fusion, lexical, pairs, semantic
 from spindrift.plans import search
 from spindrift.profiles import CHUNK_PLACES, POSTGRES, SQLITE
 from spindrift.sources import index
@@ -222,6 +224,38 @@ def test_queries_in_blocks(spark):
     assert whole == blocks and len(whole) == 80
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_tiles_of_queries_and_rows(spark, monkeypatch, metric):
+    """Against all pairs by Spark's columns: copies, ties by id, vectors without a length or of other dimensions, and numbers that are none."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 6)), 4, axis=0)
+    rows = [(k, r.tolist()) for k, r in enumerate(x)]
+    rows += [(500, None), (501, []), (502, [0.0] * 6), (503, [1.0, None] * 3), (504, [1.0] * 5), (505, [2.0] * 5), (506, [float("nan")] * 6), (507, [float("inf")] + [1.0] * 5), (508, [1e200] * 6), (509, [1e-200] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(pairs, "TILE_BYTES", 8 * 6 * 20)
+    measure = V.l2_distance if metric == "l2" else V.cosine_distance
+    for places, other, limit in ((None, False, 5), (9, True, 7), (1, False, 3), (2, True, 300)):
+        measured = measure(F.col("embedding"), F.col("q"))
+        near = v.join(q).where("vec_id <> query_id" if other else "true").select("query_id", "vec_id", (measured if places is None else F.round(measured, places)).alias("distance")).where("distance is not null")
+        want = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= limit)
+        key = lambda r: (r["query_id"], r["rank"], r["vec_id"], repr(r["distance"]))
+        got = semantic.nearest_per_query(v, q, limit, metric, places=places, other=other)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+        # Pairs meet in the tiles and are no rows of the plan.
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    whole = pairs.tile_nearest(x[::7], x, np.arange(160), 5, metric, 0.0)
+    monkeypatch.setattr(pairs, "PRODUCT", 50)
+    strips = pairs.tile_nearest(x[::7], x, np.arange(160), 5, metric, 0.0)
+    assert len(whole[0]) == 5 * len(x[::7]) and all((a == b).all() for a, b in zip(whole, strips, strict=True))
+
+
+def test_batches_are_bounded_once_rows_are_repeated():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["k"])
+    parts = list(ann._slices(batch, 300, 64))
+    assert sum(b.num_rows for b in parts) == 10_000 and max(b.num_rows for b in parts) * 300 * 64 * 8 <= ann._BATCH
+
+
 def test_recall_of_nothing_is_reported(spark):
     from spindrift.plans.queries_retrieval import recall
 
