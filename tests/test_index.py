@@ -154,3 +154,34 @@ def test_bounds_hold_for_every_vector(spark, tmp_path):
         for x, cell in rows:
             d = np.linalg.norm(q - x, axis=1) if metric == "l2" else 1 - q @ x / np.linalg.norm(q, axis=1) / np.linalg.norm(x)
             assert (least[:, cell] <= d + 1e-12).all()
+
+
+def test_a_word_is_stemmed_once(spark, monkeypatch):
+    """The vocabulary goes through Python, not each occurrence: the step of stems stands behind the distinct words."""
+    from spindrift.functions import german
+
+    rows = spark.createDataFrame([("häuser",), ("häuser",), ("und",), ("rente",), (None,)], "term string")
+    found = german.stems(rows)
+    assert sorted(map(tuple, found.collect())) == [("häuser", "haus"), ("rente", "rent")]
+    plan = found.where("stem is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate") and "Python" not in plan[plan.index("Aggregate") :]
+
+
+def test_parts_grow_with_the_table(spark, small, tmp_path, monkeypatch):
+    """Tasks take bounded texts and rows, whatever the number of shuffle partitions; which stays as it was, and scores too."""
+    now = lines(spark, small)
+    index.write(now, str(tmp_path / "a"), 3)
+    monkeypatch.setattr(index, "TASK_TEXT", 20_000)
+    monkeypatch.setattr(index, "TASK_ROWS", 2_000)
+    parts, put, cut = [], index._put, index.terms_of
+    monkeypatch.setattr(index, "_put", lambda *a: (parts.append(a[-1]), put(*a))[1])
+    monkeypatch.setattr(index, "terms_of", lambda c, parts: (made.append(parts), cut(c, parts=parts))[1])
+    made = []
+    index.write(now, str(tmp_path / "b"), 3)
+    size = now.selectExpr("sum(octet_length(text) + octet_length(redner))").first()[0]
+    rows = index.read(spark, str(tmp_path / "b")).postings.count()
+    assert made == [-(-size // 20_000)] and parts == [max(4, -(-size // 160_000)), *[-(-rows // 2_000)] * 3] and min(made + parts[1:]) > 4
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    for profile in (SQLITE, POSTGRES):
+        for q in QUESTIONS:
+            assert found(index.read(spark, str(tmp_path / "b")), now, profile, q) == found(index.read(spark, str(tmp_path / "a")), now, profile, q)
