@@ -343,3 +343,11 @@ def test_terms_and_candidates_of_an_evaluation(spark):
     docs = spark.createDataFrame([(1, "21/1", "Drucksache", None, "T")], "id long, dokumentnummer string, dokumentart string, drucksachetyp string, titel string")
     got = sorted(map(tuple, E.candidate_rows(ranked, held, docs, 5).collect()))
     assert got == [(1, 2, 11, "21/1", "Drucksache", None, "xxxxx", "T"), (2, 1, 99, "21/1", "Drucksache", None, None, "T")]
+
+
+def test_no_token_is_shuffled(spark, small):
+    """Texts are dealt once by chunk: postings of all of them are counted where they are cut."""
+    from spindrift.plans.catalogue import load
+
+    plan = load()["postings"].run(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(term" not in plan
