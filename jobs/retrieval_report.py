@@ -51,7 +51,8 @@ def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def ranked(per: DataFrame, asked: DataFrame, frequency: DataFrame, count: int, mean: float, top_k: int) -> DataFrame:
     """(frage_id, dokument, score, rank) of the best documents of each question."""
     own = frequency.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    scores = lexical.bm25_indexed(per.join(F.broadcast(asked), "term"), own, count, mean, ["frage_id"])
+    # A document's terms lie in one task, so that its scores for all questions are summed there and only the best of each leave it.
+    scores = lexical.bm25_indexed(per.repartition("chunk_id").join(F.broadcast(asked), "term"), own, count, mean, ["frage_id"])
     order = Window.partitionBy("frage_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("frage_id", F.col("chunk_id").alias("dokument"), F.round("score", 6).alias("score"), "rank")
 

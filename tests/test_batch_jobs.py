@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -198,3 +199,13 @@ def test_command_line(spark, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.passages", "--documents", str(tmp_path / "docs"), "--output", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "mark"), "--buckets", "2"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "read 3 rows, cut 3 documents" in done.stderr
     assert spark.read.parquet(str(tmp_path / "out" / "passages")).select(F.count_distinct("doc_id")).first()[0] == 3
+
+
+def test_scores_are_summed_where_a_document_lies(spark):
+    """Only the best of each question leave a task: no pair of question and document is shuffled before its rank."""
+    per = spark.createDataFrame([("a", 1, 1.0, 3), ("b", 1, 2.0, 3), ("a", 2, 1.0, 2)], "term string, chunk_id long, tf double, size long")
+    asked = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a")], "frage_id long, term string")
+    found = retrieval_report.ranked(per, asked, per.groupBy("term").count().withColumnRenamed("count", "ndoc"), 2, 2.5, 1)
+    assert sorted((r["frage_id"], r["dokument"]) for r in found.collect()) == [(7, 1), (8, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and not re.search(r"hashpartitioning\(frage_id#\d+L?, chunk_id", plan)
