@@ -204,3 +204,9 @@ def test_packing_costs_in_proportion_to_the_text(spark):
             seconds.append(time.perf_counter() - began)
             assert chunks >= size // S.LONG_SENTENCE
         assert seconds[2] < 10 and seconds[2] < 30 * max(seconds[1], 0.2)
+
+
+def test_a_chain_of_conjunctions_keeps_its_hyphens(spark):
+    """As the reference repairs it, whose test of the conjunction consumes nothing."""
+    row = spark.createDataFrame([("das-\nund-\nund ist",)], "t string").select(T.dehyphenate(F.col("t"))).first()
+    assert row[0] == "das- und- und ist"
