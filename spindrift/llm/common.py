@@ -8,13 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import shared_folder, shipped
+from ..shipping import remove, shared_folder, shipped, tidied
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which outlives lost executors."""
+    """Cuts the lineage with a reliable checkpoint, which outlives lost executors. What was shuffled for it is deleted once it is written."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidied(df.sparkSession):
+        # A plan of its own, so that no other one reads these shuffles.
+        return df.select("*").checkpoint(eager=True)
+
+
+def released(*dfs: DataFrame) -> None:
+    """Deletes the files of checkpoints that no plan reads any more."""
+    for df in dfs:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        remove(df.sparkSession, file.get())
 
 
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mapped, text_or_empty
+from .common import checkpointed, mapped, released, text_or_empty
 from .components import connected_components, forest
 from .tiles import dealt, tile_starts, whole_tiles
 
@@ -157,16 +157,16 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     All columns stay as they are, whatever their names; of rows that repeat both doc_id and text one stays.
     """
-    return kept_of(docs, grouped(docs, bits).select("doc_id", "digest", "component"))
+    return kept_of(docs, checkpointed(grouped(docs, bits).select("doc_id", "digest", "component")))
 
 
 def kept_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the first row of each component of ``found(doc_id, digest, component)``, in the order of ``keep_one``."""
-    found = checkpointed(found)
+    """``docs`` with the first row of each component of ``found(doc_id, digest, component)``, a checkpoint that goes with it, in the order of ``keep_one``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("r")
     keep = found.groupBy("component").agg(first).select(F.col("r.doc_id").alias("kept_id"), F.col("r.digest").alias("kept_digest")).distinct()
     counts = found.groupBy("doc_id", "digest").count()
     keep = checkpointed(keep.join(counts, keep.kept_id.eqNullSafe(counts.doc_id) & (keep.kept_digest == counts.digest)).select("kept_id", "kept_digest", F.col("count").alias("rows")))
+    released(found)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_digest"))
     kept = rows.join(keep, (rows.own_digest == keep.kept_digest) & rows.own_id.eqNullSafe(keep.kept_id))
     if not keep.where("rows > 1").isEmpty():
