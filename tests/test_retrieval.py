@@ -351,3 +351,31 @@ def test_no_token_is_shuffled(spark, small):
 
     plan = load()["postings"].run(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(term" not in plan
+
+
+def test_one_question_writes_no_index(spark, small, tmp_path):
+    """Without an index the texts answer, with the rows that an index gives; of the texts' own scores both uses are one shuffle."""
+    import os
+    import shutil
+
+    from spindrift.operators import lexical
+    from spindrift.plans import queries_retrieval as R
+    from spindrift.plans.catalogue import load
+    from spindrift.shipping import listed, shared_folder
+
+    sf = str(tmp_path / "sf")
+    os.mkdir(sf)
+    for t in ("benchmark", "embeddings"):
+        shutil.copy(f"{small}/{t}.parquet", sf)
+    spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60").write.parquet(f"{sf}/documents.parquet")
+    names = ("rrf_unweighted", "eval_hybrid", "postgres_topk", "rerank_backfill", "hybrid_context", "neighbours_appended")
+    rows = lambda: {n: sorted(map(repr, load()[n].run(spark, sf).collect())) for n in names}
+    before = listed(spark, shared_folder(spark), "lines-")
+    without = rows()
+    assert listed(spark, shared_folder(spark), "lines-") == before and all(without.values())
+    R.stored(spark, sf)
+    assert len(listed(spark, shared_folder(spark), "lines-")) == len(before) + 1
+    assert rows() == without
+    scores = lexical.bm25(R.chunks(spark, sf), R.terms(spark, sf))
+    scores.collect()
+    assert "ReusedExchange" in scores._jdf.queryExecution().executedPlan().toString()
