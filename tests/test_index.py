@@ -185,3 +185,37 @@ def test_parts_grow_with_the_table(spark, small, tmp_path, monkeypatch):
     for profile in (SQLITE, POSTGRES):
         for q in QUESTIONS:
             assert found(index.read(spark, str(tmp_path / "b")), now, profile, q) == found(index.read(spark, str(tmp_path / "a")), now, profile, q)
+
+
+def test_postings_lie_in_blocks(spark, small, tmp_path):
+    """Postings of a term that are cut in one task are a row of bounded size; opened, also after a compaction, they are those of the texts. Stems are those of a join with the vocabulary."""
+    from spindrift.functions import german
+    from spindrift.functions.text import word_tokens
+    from spindrift.operators import lexical
+
+    before, now, changed = states(spark, small)
+    folder, anew = str(tmp_path / "i"), str(tmp_path / "anew")
+    index.write(before, folder, 3)
+    index.update(now, changed, folder)
+    index.compact(spark, folder)
+    index.write(now, anew, 3)
+    key = lambda rows, *c: sorted(tuple(r[x] for x in c) for r in rows.collect())
+    words = key(lexical.postings(now, sizes=True), "term", "chunk_id", "tf", "hits", "size")
+    stems = key(german.stemmed_postings(lexical.postings(now, tokens=word_tokens)), "term", "chunk_id", "hits")
+    for own in (index.read(spark, folder), index.read(spark, anew)):
+        assert key(own.postings, "term", "chunk_id", "tf", "hits", "size") == words
+        assert key(own.stems, "term", "chunk_id", "hits") == stems
+    blocks = spark.read.parquet(f"{anew}/postings")
+    told = blocks.selectExpr("max(n)", "sum(n)", "count(*)", "min(first = ids[0])", "sum(total)").first()
+    assert 1 < told[0] <= index.BLOCK and told[1] == len(words) and told[2] < len(words) / 2 and told[3] and told[4] == sum(w[3] for w in words)
+    assert spark.read.parquet(f"{anew}/stems").where("tf is not null or size is not null").count() == 0
+
+
+def test_an_index_of_another_format_is_none(spark, small, tmp_path, monkeypatch):
+    now, folder = lines(spark, small).where("document_id < 5"), str(tmp_path / "i")
+    monkeypatch.setattr(index, "FORMAT", 1)
+    index.write(now, folder, 2)
+    monkeypatch.undo()
+    assert index.read(spark, folder) is None
+    index.write(now, folder, 2)
+    assert index.read(spark, folder).chunks.count() == now.count()
